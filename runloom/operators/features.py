@@ -166,7 +166,10 @@ def wide_features(
         return (F.col(tag) - past) / minutes
 
     # Context joins on (run, segment): the samples are not shuffled again.
-    spans = samples.groupBy("run_id").agg(F.max("sample_idx").alias("_last"))
+    if "n_samples" in meta.columns:
+        spans = meta.select("run_id", (F.col("n_samples") - 1).alias("_last"))
+    else:
+        spans = samples.groupBy("run_id").agg(F.max("sample_idx").alias("_last"))
     context = (
         run_context(meta, grades, slew)
         .join(spans, "run_id")

@@ -145,14 +145,25 @@ def exact_percentiles(
 
 
 def number_samples(
-    df: DataFrame, run: str, time: str, ties: Sequence[str] = (), name: str = "sample_idx",
-    rows_per_cell: int = ROWS_PER_CELL,
+    df: DataFrame, run: str, time: str, ties: Sequence[str] = (), name: str = "sample_idx", slice_s: float = 60.0,
 ) -> DataFrame:
-    """Dense 0-based position of each row inside its run by (time, ties); the
-    time axis of a long run is cut into cells, so no run fills a single task."""
-    rows = df.withColumn("_one", F.lit(1).cast("long"))
-    t = F.col(time)
-    out = running_totals(
-        rows, F.unix_micros(t.cast("timestamp")), ["_one"], [run], [t, *[F.col(c) for c in ties]], rows_per_cell
+    """Dense 0-based position of each row inside its run by (time, ties).
+
+    The time axis is cut into slices of ``slice_s`` seconds.  Rows are numbered
+    inside (run, slice) and shifted by the count of the run's earlier slices, so a
+    run of any length is spread over all tasks; pick ``slice_s`` so that the
+    densest run puts a few million rows into a slice."""
+    width = int(slice_s * 1_000_000)
+    rows = df.withColumn("_slice", F.expr(f"unix_micros(cast(`{time}` as timestamp)) div {width}"))
+    earlier = W.partitionBy(run).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(run, "_slice")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(run, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .repartition(run, "_slice")
     )
-    return out.withColumn(name, (F.col("_one_upto") - 1).cast("int")).drop("_one", "_one_upto")
+    inside = W.partitionBy(run, "_slice").orderBy(time, *ties)
+    place = F.col("_before") + F.row_number().over(inside) - 1
+    # named here so that the rows are spread by slice, not by run alone
+    joined = rows.repartition(run, "_slice").join(offsets, [run, "_slice"])
+    return joined.select(*df.columns, place.cast("int").alias(name))

@@ -85,13 +85,15 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run: first and last event type as grades, and a plan."""
     n, r = F.col("n_samples"), F.col("run_id")
+    order = F.struct("ts", "event_id")
     return (
-        numbered_events(spark, sf_dir)
+        read(spark, sf_dir, "events")
+        .withColumnRenamed("user_id", "run_id")
         .groupBy("run_id")
         .agg(
             F.count(F.lit(1)).alias("n_samples"),
-            F.min_by("event_type", "sample_idx").alias("from_grade"),
-            F.max_by("event_type", "sample_idx").alias("to_grade"),
+            F.min_by("event_type", order).alias("from_grade"),
+            F.max_by("event_type", order).alias("to_grade"),
             F.array_sort(F.collect_set(F.when(F.col("value") > 200.0, F.col("event_type")))).alias("fault_codes"),
         )
         .select(
