@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runloom.functions.numeric import ratio
 from runloom.operators import scores
 from runloom.operators.ordered import exact_percentiles
+from runloom.operators.stage import staged
 from runloom.operators.segments import OWN, SEG, SEGMENT_ROWS, over_runs
 
 # The default grids of thresholds and on-delays.
@@ -67,32 +68,35 @@ def warning_outcomes(rows: DataFrame, time: str = "t_min") -> DataFrame:
     )
 
 
-def _warning_rates() -> list[Column]:
-    breached, warned, quiet = F.col("breached"), F.col("warned"), ~F.col("breached")
-    return [
-        F.count(F.lit(1)).alias("n_runs"),
-        F.count_if(breached).alias("n_breaching"),
-        F.count_if(quiet).alias("n_clean"),
-        F.count_if(warned).alias("n_warned"),
-        ratio(F.count_if(warned), F.count_if(breached)).alias("detection_rate"),
-        F.avg("warning_min").alias("mean_warning_min"),
-        F.max("warning_min").alias("max_warning_min"),
-        ratio(F.count_if(F.col("false_alarm")), F.count_if(quiet)).alias("false_alarm_run_rate"),
-    ]
+def _outcome_totals() -> dict[str, Column]:
+    breached = F.col("breached")
+    return {
+        "n_runs": F.count(F.lit(1)),
+        "n_breaching": F.count_if(breached),
+        "n_clean": F.count_if(~breached),
+        "n_warned": F.count_if(F.col("warned")),
+        "n_false": F.count_if(F.col("false_alarm")),
+        "sum_warning": F.coalesce(F.sum("warning_min"), F.lit(0.0)),
+    }
+
+
+def _outcome_rates() -> dict[str, Column]:
+    c = F.col
+    return {
+        "detection_rate": ratio(c("n_warned"), c("n_breaching")),
+        "mean_warning_min": ratio(c("sum_warning"), c("n_warned")),
+        "false_alarm_run_rate": ratio(c("n_false"), c("n_clean")),
+    }
 
 
 def warning_summary(outcomes: DataFrame) -> DataFrame:
     """One row over all runs; statistics of the warning time cover warned runs
     only and are NULL without one."""
-    probs = {"median_warning_min": 0.5, "p25_warning_min": 0.25, "p75_warning_min": 0.75}
-    spread = exact_percentiles(outcomes, "warning_min", probs).select(F.struct(*probs)).scalar()
-    late = F.count_if(F.col("off_at_start")).alias("n_off_at_start")
-    return (
-        outcomes.agg(*_warning_rates(), late)
-        .withColumn("_s", spread)
-        .select("*", *[F.col("_s")[p].alias(p) for p in probs])
-        .drop("_s")
-    )
+    probs = {"median_warning_min": 0.5, "p25_warning_min": 0.25, "p75_warning_min": 0.75, "max_warning_min": 1.0}
+    totals = _outcome_totals() | {"n_off_at_start": F.count_if(F.col("off_at_start"))}
+    table = exact_percentiles(outcomes, "warning_min", probs, totals=totals)
+    rest = _outcome_rates()
+    return table.select("*", *[v.alias(k) for k, v in rest.items()]).drop("sum_warning", "n_false")
 
 
 def evaluate(
@@ -100,29 +104,47 @@ def evaluate(
 ) -> DataFrame:
     """One row: classification on in-spec rows with the on-delay applied first,
     ranking scores on raw scores, early warning on all rows.  Brier and ROC-AUC of
-    the delayed scores are given next to the raw ones."""
+    the delayed scores are given next to the raw ones.
+
+    The samples are counted once by (score, alarm, label, in spec); every score
+    below is computed from those counts."""
     judged = confirm(rows, threshold, delay, start=start)
-    shifted = F.when(F.col("alarm"), F.greatest("proba", F.lit(threshold))).otherwise(
+    clean = (F.col("currently_off_spec") == 0) if in_spec_only else F.lit(True)
+    counts = staged(
+        judged.groupBy("proba", "alarm", "y_breach", clean.alias("kept")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    delayed = F.when(F.col("alarm"), F.greatest("proba", F.lit(threshold))).otherwise(
         F.least("proba", F.lit(threshold - UNCONFIRMED_GAP))
     )
-    judged = judged.withColumn("delayed", shifted)
-    kept = judged.where(F.col("currently_off_spec") == 0) if in_spec_only else judged
-    table = scores.classification(kept, threshold, proba="delayed")
-    raw = scores.ranking_scores(kept).select(F.struct("average_precision", "roc_auc")).scalar()
-    late = scores.ranking_scores(kept, proba="delayed").select("roc_auc").scalar()
-    dropped = judged.agg(F.count(F.lit(1))).scalar()
-    warning = warning_summary(warning_outcomes(judged))
-    keep = ["detection_rate", "median_warning_min", "mean_warning_min", "false_alarm_run_rate"]
-    w = warning.select(F.struct(*keep)).scalar()
+    kept = counts.where("kept").withColumn("delayed", delayed)
+    n, y, alarm, keep = F.col("n"), F.col("y_breach"), F.col("alarm"), F.col("kept")
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    def squared(score: Column) -> Column:
+        gap = score - y
+        return ratio(F.sum(F.when(keep, n * gap * gap)), total(keep))
+
+    table = counts.agg(
+        total(keep & alarm & (y == 1)).alias("tp"), total(keep & alarm & (y == 0)).alias("fp"),
+        total(keep & ~alarm & (y == 1)).alias("fn"), total(keep & ~alarm & (y == 0)).alias("tn"),
+        total(keep).alias("n_samples"), total(~keep).alias("n_rows_excluded"),
+        ratio(total(keep & (y == 1)), total(keep)).alias("positive_rate"),
+        squared(delayed).alias("brier_score"), squared(F.col("proba")).alias("brier_raw"),
+    )
+    raw = scores.ranking_scores(kept, n=n).select(F.struct("average_precision", "roc_auc")).scalar()
+    late = scores.ranking_scores(kept, proba="delayed", n=n).select("roc_auc").scalar()
+    shown = ["detection_rate", "median_warning_min", "mean_warning_min", "false_alarm_run_rate"]
+    warning = warning_summary(warning_outcomes(judged)).select(F.struct(*shown)).scalar()
     return (
-        table.withColumn("_raw", raw)
-        .withColumn("_w", w)
+        table.select("*", *[c.alias(k) for k, c in scores.rates().items()])
+        .withColumn("_raw", raw)
+        .withColumn("_w", warning)
         .withColumn("pr_auc", F.col("_raw.average_precision"))
         .withColumn("roc_auc_raw", F.col("_raw.roc_auc"))
         .withColumn("roc_auc", late)
-        .withColumn("brier_raw", kept.agg(scores.brier()).scalar())
-        .withColumn("n_rows_excluded", dropped - F.col("n_samples"))
-        .select("*", *[F.col("_w")[k].alias(k) for k in keep])
+        .select("*", *[F.col("_w")[k].alias(k) for k in shown])
         .drop("_raw", "_w")
     )
 
@@ -175,40 +197,36 @@ def sweep(
         F.min("_off").alias("breach_min"),
         F.collect_list(F.struct("level", "_on", "_pos", "_neg")).alias("_levels"),
     )
-    def at_least(i: int) -> Column:
-        return F.filter("_levels", lambda s: s["level"] > i)
+    reached = F.filter("_levels", lambda s: s["level"] > F.col("_i"))
+
+    def total(levels_: Column | str, name: str) -> Column:
+        return F.aggregate(levels_, F.lit(0).cast("long"), lambda acc, s: acc + s[name])
 
-    points = F.array(
-        *[
-            F.struct(
-                F.lit(float(t)).alias("threshold"),
-                F.array_min(F.transform(at_least(i), lambda s: s["_on"])).alias("_alarm"),
-                F.aggregate(at_least(i), F.lit(0).cast("long"), lambda a, s: a + s["_pos"]).alias("tp"),
-                F.aggregate(at_least(i), F.lit(0).cast("long"), lambda a, s: a + s["_neg"]).alias("fp"),
-            )
-            for i, t in enumerate(levels)
-        ]
-    )
-    total = lambda f: F.aggregate("_levels", F.lit(0).cast("long"), lambda a, s: a + s[f])
     outcomes = (
-        folded.select(*unit, "delay", "breach_min", total("_pos").alias("_p"), total("_neg").alias("_n"), F.explode(points).alias("_pt"))
-        .select(*unit, "delay", "breach_min", "_p", "_n", "_pt.*")
+        folded.select("*", F.posexplode(F.array(*[F.lit(float(t)) for t in levels])).alias("_i", "threshold"))
+        .withColumn("_hit", reached)
+        .select(
+            *unit, "delay", "threshold", "breach_min",
+            total("_levels", "_pos").alias("_p"), total("_levels", "_neg").alias("_n"),
+            total("_hit", "_pos").alias("tp"), total("_hit", "_neg").alias("fp"),
+            F.array_min(F.transform("_hit", lambda s: s["_on"])).alias("_alarm"),
+        )
         .withColumn("breached", F.col("breach_min").isNotNull())
         .withColumn("warned", F.coalesce(F.col("_alarm") < F.col("breach_min"), F.lit(False)))
         .withColumn("warning_min", F.when(F.col("warned"), F.col("breach_min") - F.col("_alarm")))
         .withColumn("false_alarm", ~F.col("breached") & F.col("_alarm").isNotNull())
     )
     point = [*by, "threshold", "delay"]
-    tp, fp, p, n = (F.sum(c) for c in ("tp", "fp", "_p", "_n"))
-    table = outcomes.groupBy(*point).agg(
-        *_warning_rates(),
-        tp.alias("tp"), fp.alias("fp"), (p - tp).alias("fn"), (n - fp).alias("tn"),
-    )
-    median = exact_percentiles(outcomes, "warning_min", {"median_warning_min": 0.5}, point)
-    rate = scores.rates()
-    return table.join(median, point, "left").select(
+    # one count by (point, warning time) gives the medians and all totals
+    totals = _outcome_totals() | {c: F.sum(c) for c in ("tp", "fp", "_p", "_n")}
+    table = exact_percentiles(outcomes, "warning_min", {"median_warning_min": 0.5}, point, totals)
+    tp, fp = F.col("tp"), F.col("fp")
+    rate = scores.rates() | _outcome_rates()
+    table = table.withColumn("fn", F.col("_p") - tp).withColumn("tn", F.col("_n") - fp)
+    return table.select(
         *point, *[rate[k].alias(k) for k in ("precision", "recall", "f1", "false_positive_rate")],
-        "detection_rate", "median_warning_min", "false_alarm_run_rate",
+        rate["detection_rate"].alias("detection_rate"), "median_warning_min",
+        rate["false_alarm_run_rate"].alias("false_alarm_run_rate"),
     )
 
 
@@ -239,28 +257,38 @@ def retune(points: DataFrame, current: float) -> DataFrame:
     """The threshold to use next, at one fixed delay: the candidate with fewest
     false alarms among those that keep detection (less a small slack) and warning
     time, if it beats the current one; otherwise the current one."""
-    now = points.where(F.col("threshold") == F.lit(current))
-    base = now.select(F.struct("detection_rate", "median_warning_min", "false_alarm_run_rate")).scalar()
-    rows = points.withColumn("_now", base)
-    ok = (
-        (F.col("threshold") != F.lit(current))
-        & (F.col("detection_rate") >= F.col("_now.detection_rate") - DETECTION_SLACK)
-        & (F.col("median_warning_min") >= F.col("_now.median_warning_min"))
+    # the grid of points is a fixed parameter, so it fits one row
+    grid = points.agg(
+        F.collect_list(
+            F.struct(
+                F.coalesce("false_alarm_run_rate", F.lit(float("inf"))).alias("far"), "threshold",
+                F.col("detection_rate").alias("det"), F.col("median_warning_min").alias("warn"),
+            )
+        ).alias("_g")
     )
-    best = (
-        rows.where(ok)
-        .orderBy(F.asc_nulls_last("false_alarm_run_rate"), "threshold")
-        .limit(1)
-        .where(F.col("false_alarm_run_rate") < F.col("_now.false_alarm_run_rate"))
-        .select(F.struct("threshold", "false_alarm_run_rate"))
-        .scalar()
+    now = F.filter("_g", lambda p: p["threshold"] == F.lit(current))[0]
+    ok = F.filter(
+        "_g",
+        lambda p: (p["threshold"] != F.lit(current))
+        & (p["det"] >= F.col("_now.det") - DETECTION_SLACK)
+        & (p["warn"] >= F.col("_now.warn")),
     )
-    return now.select(
-        F.col("threshold").alias("current_threshold"),
-        F.col("false_alarm_run_rate").alias("current_false_alarm_rate"),
-        F.coalesce(best["threshold"], F.col("threshold")).alias("chosen_threshold"),
-        F.coalesce(best["false_alarm_run_rate"], F.col("false_alarm_run_rate")).alias("chosen_false_alarm_rate"),
-        best.isNotNull().alias("changed"),
+    best = F.col("_best")
+    changed = F.coalesce(best["far"] < F.col("_now.far"), F.lit(False))
+
+    def known(rate: Column) -> Column:
+        return F.when(rate < F.lit(float("inf")), rate)
+
+    return (
+        grid.withColumn("_now", now)
+        .withColumn("_best", F.array_min(ok))
+        .select(
+            F.col("_now.threshold").alias("current_threshold"),
+            known(F.col("_now.far")).alias("current_false_alarm_rate"),
+            F.when(changed, best["threshold"]).otherwise(F.col("_now.threshold")).alias("chosen_threshold"),
+            known(F.when(changed, best["far"]).otherwise(F.col("_now.far"))).alias("chosen_false_alarm_rate"),
+            changed.alias("changed"),
+        )
     )
 
 

@@ -1,8 +1,9 @@
 """Running totals, ranks and exact percentiles without a one-task window.
 
-A cumulative sum over a whole table (or over a hot group) is cut into value cells:
-cells hold neighbouring values, each cell is summed on its own, and the small table
-of cell totals supplies the offset.  Cell numbers grow with the value, so the
+The input is staged once, since several passes read it.  If it is small (its row
+count is checked), a plain window does.  Otherwise the rows are cut into value
+cells: cells hold neighbouring values, each cell is summed on its own, and the small
+table of cell totals supplies the offset.  Cell numbers grow with the value, so the
 result is exact whatever the spread of the values; a second cut splits the cells
 that turned out dense.
 """
@@ -15,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runloom.operators.stage import staged
+
 ROWS_PER_CELL = 250_000
-_POS, _LO, _HI, _N, _CELL, _SUB, _AT = "_pos", "_lo", "_hi", "_n", "_cell", "_sub", "_at"
+_ALL = "_rt_all"
+_POS, _LO, _HI, _N, _CELL, _SUB, _AT = "_rt_pos", "_rt_lo", "_rt_hi", "_rt_n", "_rt_cell", "_rt_sub", "_rt_at"
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -38,63 +42,69 @@ def running_totals(
     rows_per_cell: int = ROWS_PER_CELL,
     refine: bool = True,
 ) -> DataFrame:
-    """Add ``<m>_upto`` = sum of ``m`` over the rows of the same keys up to and
-    including this row, ascending by ``position`` (ties by ``order_by``).
+    """Add, per measure ``m``, ``m_upto`` = its sum over the rows of the same keys
+    up to and including this row, ascending by ``position`` (ties by ``order_by``),
+    and ``m_total`` = its sum over all rows of the keys.
 
     ``position`` is a non-null double that never decreases along the wanted order.
     Rows with equal position and no ``order_by`` share the same total.
     ``refine=False`` skips the second cut, for positions known to be uniform."""
-    keys = list(keys)
-    rows = df.withColumn(_POS, position.cast("double"))
+    rows = staged(df.withColumn(_POS, position.cast("double")))
+    keys, totals = list(keys), [f"{m}_total" for m in measures]
+
+    def running(within: list[str]):
+        w = W.partitionBy(*within).orderBy(_POS, *order_by)
+        return (w.rowsBetween if order_by else w.rangeBetween)(W.unboundedPreceding, 0)
+
+    if rows.count() <= rows_per_cell:
+        whole = W.partitionBy(*keys)
+        return rows.select(
+            *df.columns,
+            *[F.sum(m).over(whole).alias(t) for m, t in zip(measures, totals)],
+            *[F.sum(m).over(running(keys)).alias(f"{m}_upto") for m in measures],
+        )
+    if not keys:
+        keys = [_ALL]
+        rows = rows.withColumn(_ALL, F.lit(0))
 
     # First cut: as many equal-width cells as the group's row count asks for.
-    spans = (rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0).alias("_all"))).agg(
-        F.min(_POS).alias(_LO), F.max(_POS).alias(_HI), F.count(F.lit(1)).alias(_N)
+    spans = rows.groupBy(*keys).agg(
+        F.min(_POS).alias(_LO), F.max(_POS).alias(_HI), F.count(F.lit(1)).alias(_N),
+        *[F.sum(m).alias(f"{m}_total") for m in measures],
     )
-    if keys:
-        rows = _join(rows, spans, keys)
-    else:
-        one = spans.select(F.struct(_LO, _HI, _N)).scalar()
-        rows = rows.withColumn("_span", one).select(
-            "*", *[F.col("_span")[c].alias(c) for c in (_LO, _HI, _N)]
-        ).drop("_span")
-    cells = F.ceil(F.col(_N) / F.lit(rows_per_cell))
+    rows = _join(rows, spans, keys)
     share = F.coalesce(F.try_divide(F.col(_POS) - F.col(_LO), F.col(_HI) - F.col(_LO)), F.lit(0.0))
-    rows = (
-        rows.withColumn(_AT, share * cells)
-        .withColumn(_CELL, F.floor(_AT))
-        .withColumn(_AT, F.col(_AT) - F.col(_CELL))
-        .drop(_LO, _HI, _N)
-    )
+    rows = rows.withColumn(_AT, share * F.ceil(F.col(_N) / F.lit(rows_per_cell))).withColumn(_CELL, F.floor(_AT))
+    own = [*df.columns, *[k for k in keys if k == _ALL]]
+    rows = rows.select(*own, *totals, _POS, _CELL, (F.col(_AT) - F.col(_CELL)).alias(_AT))
+
+    def earlier(table: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        """Totals of the cells before each cell, replacing its own totals."""
+        frame = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        kept = [c for c in table.columns if not c.startswith("_t_")]
+        return table.select(
+            *kept, *[F.coalesce(F.sum(f"_t_{m}").over(frame), F.lit(0)).alias(f"{name}_{m}") for m in measures]
+        )
+
+    sums = [F.sum(m).alias(f"_t_{m}") for m in measures]
+    at = [*keys, _CELL]
+    cells = rows.groupBy(*at).agg(F.count(F.lit(1)).alias(_N), *sums)
+    rows = _join(rows, earlier(cells, keys, _CELL, "_c"), at)
+    offset = {m: F.col(f"_c_{m}") for m in measures}
 
     # Second cut: dense cells again, in proportion to what they hold.
     if refine:
-        dense = rows.groupBy(*keys, _CELL).agg(F.count(F.lit(1)).alias(_N))
-        rows = _join(rows, dense, [*keys, _CELL])
         subs = F.ceil(F.col(_N) / F.lit(rows_per_cell))
-        rows = rows.withColumn(_SUB, F.floor(F.col(_AT) * subs)).drop(_AT, _N)
-    else:
-        rows = rows.withColumn(_SUB, F.lit(0).cast("long")).drop(_AT)
-
-    # Offsets: totals of all earlier cells.
-    at = [*keys, _CELL, _SUB]
-    totals = rows.groupBy(*at).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    earlier = (
-        (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-        .orderBy(_CELL, _SUB)
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *at, *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures]
-    )
-    rows = _join(rows, offsets, at).repartition(*[F.col(c) for c in at])
+        rows = rows.withColumn(_SUB, F.floor(F.col(_AT) * subs))
+        fine = rows.groupBy(*at, _SUB).agg(*sums)
+        rows = _join(rows, earlier(fine, at, _SUB, "_s"), [*at, _SUB])
+        offset = {m: offset[m] + F.col(f"_s_{m}") for m in measures}
+        at = [*at, _SUB]
+    rows = rows.repartition(*[F.col(c) for c in at])
 
-    inside = W.partitionBy(*at).orderBy(_POS, *order_by)
-    inside = inside.rowsBetween(W.unboundedPreceding, 0) if order_by else inside.rangeBetween(W.unboundedPreceding, 0)
-    out = rows.select(
-        *df.columns, *[(F.sum(m).over(inside) + F.col(f"_o_{m}")).alias(f"{m}_upto") for m in measures]
-    )
-    return out
+    inside = running(at)
+    upto = [(F.sum(m).over(inside) + offset[m]).alias(f"{m}_upto") for m in measures]
+    return rows.select(*df.columns, *totals, *upto)
 
 
 def hash_position(*parts: Column) -> Column:
@@ -111,37 +121,36 @@ def shuffled_rank(df: DataFrame, ident: str, seed: int, keys: Sequence[str] = ()
     ranked = running_totals(
         rows, position, ["_one"], keys, [F.col("_md5"), F.col(ident)], rows_per_cell, refine=False
     )
-    return ranked.withColumnRenamed("_one_upto", name).drop("_md5", "_one")
+    return ranked.withColumnRenamed("_one_upto", name).drop("_md5", "_one", "_one_total")
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), weight: Column | None = None,
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), totals: dict[str, Column] | None = None,
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` (NULLs skipped), one row per
-    keys.  Equal values are counted first, so heavy repeats cost nothing."""
-    keys = list(keys)
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.cast("long").alias("_w"))
-    seen = running_totals(counts, F.col(value), ["_w"], keys, rows_per_cell=rows_per_cell)
-    sizes = counts.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    if keys:
-        seen = _join(seen, sizes, keys)
-    else:
-        seen = seen.withColumn("_total", sizes.scalar())
+    keys, next to any additive ``totals`` (aggregates that may be summed again).
+    Equal values are counted first, so heavy repeats cost nothing."""
+    keys, totals = list(keys), totals or {}
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_w"), *[c.alias(n) for n, c in totals.items()])
+    # rows without a value weigh nothing; they only carry the totals
+    seen = running_totals(
+        counts, F.coalesce(F.col(value), F.lit(0.0)), ["_w", *totals], keys, rows_per_cell=rows_per_cell
+    )
     picks = []
     for name, p in probs.items():
-        rank = (F.col("_total") - 1) * F.lit(float(p))
+        rank = (F.col("_w_total") - 1) * F.lit(float(p))
         for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             here = (F.col("_w_upto") > at) & (F.col("_w_upto") - F.col("_w") <= at)
             picks.append(F.max(F.when(here, F.col(value))).alias(f"_{name}_{side}"))
-    out = seen.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    carried = [F.max(f"{n}_total").alias(n) for n in totals]
+    out = seen.groupBy(*keys).agg(F.max("_w_total").alias("_w_total"), *carried, *picks)
     final = []
     for name, p in probs.items():
-        rank = (F.col("_total") - 1) * F.lit(float(p))
+        rank = (F.col("_w_total") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         final.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return out.select(*keys, *final)
+    return out.select(*keys, *totals, *final)
 
 
 def number_samples(

@@ -51,22 +51,28 @@ def brier(y: str = "y_breach", proba: str = "proba") -> Column:
     return F.avg(gap * gap)
 
 
-def score_steps(rows: DataFrame, y: str = "y_breach", proba: str = "proba", by: Sequence[str] = ()) -> DataFrame:
+def score_steps(
+    rows: DataFrame, y: str = "y_breach", proba: str = "proba", by: Sequence[str] = (), n: Column | None = None
+) -> DataFrame:
     """One row per distinct score: positives and negatives there (``pos``,
-    ``neg``) and at or above it (``tp``, ``fp``)."""
-    counts = (
-        rows.groupBy(*by, F.col(proba).alias("threshold"))
-        .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    ``neg``), at or above it (``tp``, ``fp``) and in all (``p``, ``n``).  ``n`` is
+    the number of samples a row stands for."""
+    n = F.lit(1).cast("long") if n is None else n
+    counts = rows.groupBy(*by, F.col(proba).alias("threshold")).agg(
+        F.sum(F.when(F.col(y) == 1, n).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col(y) == 0, n).otherwise(0)).alias("neg"),
     )
     steps = running_totals(counts, -F.col("threshold"), ["pos", "neg"], by)
-    return steps.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp"})
+    return steps.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp", "pos_total": "p", "neg_total": "n"})
 
 
-def ranking_scores(rows: DataFrame, y: str = "y_breach", proba: str = "proba", by: Sequence[str] = ()) -> DataFrame:
+def ranking_scores(
+    rows: DataFrame, y: str = "y_breach", proba: str = "proba", by: Sequence[str] = (), n: Column | None = None
+) -> DataFrame:
     """Average precision (a step sum, 0 without positives) and ROC-AUC (rank
     statistic, ties count half; NULL unless both classes occur)."""
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
-    steps = score_steps(rows, y, proba, by)
+    steps = score_steps(rows, y, proba, by, n)
     sums = (steps.groupBy(*by) if by else steps).agg(
         F.sum(pos * tp / (tp + fp)).alias("_ap"),
         F.sum(neg * (tp - pos / 2.0)).alias("_u"),
@@ -88,10 +94,7 @@ def pick_threshold(
     the false positive rate under a cap); the lowest wins a tie, and data of one
     class gives 0.5."""
     steps = score_steps(rows, y, proba)
-    sizes = rows.agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    one = sizes.select(F.struct("p", "n")).scalar()
-    p, n = F.col("_all.p"), F.col("_all.n")
-    tp, fp = F.col("tp"), F.col("fp")
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
     if criterion == "f1":
         score = ratio(2.0 * tp, tp + fp + p, 0.0)
     elif criterion == "fbeta":
@@ -101,12 +104,7 @@ def pick_threshold(
         score = F.when(ratio(fp, F.greatest(n, F.lit(1))) <= max_fpr, ratio(tp, p, 0.0)).otherwise(-1.0)
     else:
         raise ValueError(f"unknown criterion {criterion!r}")
-    best = (
-        steps.withColumn("_all", one)
-        .withColumn("score", score)
-        .orderBy(F.desc("score"), F.asc("threshold"))
-        .limit(1)
-    )
+    best = steps.withColumn("score", score).orderBy(F.desc("score"), F.asc("threshold")).limit(1)
     both = (p > 0) & (n > 0)
     return best.select(
         F.lit(criterion).alias("criterion"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators.stage import staged
 from runloom.operators.ordered import exact_percentiles, hash_position, shuffled_rank
 
 SPLITS = ("train", "val", "test")
@@ -19,6 +20,7 @@ def run_strata(rows: DataFrame, magnitude: str = "transition_magnitude") -> Data
         F.max("y_breach").cast("int").alias("any_positive"),
         F.min_by(magnitude, "sample_idx").alias("magnitude"),
     )
+    per_run = staged(per_run)
     edges = exact_percentiles(per_run, "magnitude", {"e0": 0.0, "e1": 1 / 3, "e2": 2 / 3, "e3": 1.0})
     e = edges.select(F.struct("e0", "e1", "e2", "e3")).scalar()
     m = F.col("magnitude")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runloom.plans import queries_eval, queries_runs
+from runloom.plans import queries_advice, queries_eval, queries_runs
 
-_PARTS = (queries_runs, queries_eval)
+_PARTS = (queries_runs, queries_eval, queries_advice)
 QUERIES = {k: v for part in _PARTS for k, v in part.R.queries.items()}

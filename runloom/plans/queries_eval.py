@@ -10,6 +10,7 @@ from runloom.functions.numeric import rounded
 from runloom.operators import alarms, labels as lab, scores, splits, targets
 from runloom.operators.features import next_breach, trailing
 from runloom.operators.segments import over_runs
+from runloom.operators.stage import staged
 from runloom.plans import queries_runs as qr
 from runloom.plans.oracle_base import BAND, BASE, EV, GRADES, PLANS, SCORED, WIDE, W, d, with_
 from runloom.plans.registry import Registry
@@ -183,13 +184,13 @@ def eval_sql(proba: str, thr: float, delay: int, tag: str = "") -> tuple[str, st
 _C, _B = eval_sql("proba", CUT, DELAY)
 R.add(
     "evaluate_model",
-    lambda spark, sf: rounded(alarms.evaluate(scored(spark, sf), CUT, DELAY, start=WARM)),
+    lambda spark, sf: rounded(alarms.evaluate(staged(scored(spark, sf)), CUT, DELAY, start=WARM)),
     with_(BASE, SCORED, _C, body=_B),
 )
 
 
 def compared(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored(spark, sf)
+    rows = staged(scored(spark, sf))
     level = alarms.evaluate(rows, CUT, DELAY, start=WARM).withColumn("model", F.lit("level"))
     peak = alarms.evaluate(rows.withColumn("proba", F.col("proba_peak")), CUT, 1, start=WARM).withColumn("model", F.lit("peak"))
     return rounded(alarms.comparison(level.unionByName(peak)))
@@ -239,7 +240,7 @@ def sweep_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_points(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored(spark, sf)
+    rows = staged(scored(spark, sf))
     both = rows.withColumn("model", F.lit("level")).unionByName(
         rows.withColumn("proba", F.col("proba_peak")).withColumn("model", F.lit("peak"))
     )
@@ -322,10 +323,15 @@ R.add(
 
 
 def split_and_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = split_rows_base(spark, sf)
+    rows = staged(split_rows_base(spark, sf))
     return rows, splits.three_way_split(splits.run_strata(rows))
 
 
+def split_table(spark: SparkSession, sf: str) -> DataFrame:
+    rows, which = split_and_rows(spark, sf)
+    return rounded(splits.split_summary(rows, which.select("run_id", "split")))
+
+
 def split_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows, which = split_and_rows(spark, sf)
     return splits.rows_of(rows, which, "val").select("run_id", "sample_idx", "y_breach")
@@ -338,7 +344,7 @@ R.add(
 )
 R.add(
     "split_summary",
-    lambda spark, sf: rounded(splits.split_summary(split_and_rows(spark, sf)[0], split_and_rows(spark, sf)[1].select("run_id", "split"))),
+    split_table,
     with_(*STRATA_CTES, SPLIT3, body="""SELECT split, count(DISTINCT run_id) AS n_runs, count(*) AS n_rows, round(avg(y), 6) AS positive_rate,
   count(*) FILTER (WHERE off = 0) AS in_spec_rows, round(avg(CASE WHEN off = 0 THEN y END), 6) AS in_spec_positive_rate FROM scored JOIN split3 USING (run_id) GROUP BY split"""),
 )
@@ -347,7 +353,7 @@ R.add(
 def overlap(spark: SparkSession, sf: str) -> DataFrame:
     """The three-way split against a second one with another seed: runs whose
     side differs show up, as a shared run would."""
-    strata = splits.run_strata(split_rows_base(spark, sf))
+    strata = staged(splits.run_strata(split_rows_base(spark, sf)))
     both = splits.three_way_split(strata).select("run_id", "split").unionByName(
         splits.two_way_split(strata.select("run_id")).select("run_id", "split")
     )
@@ -378,7 +384,7 @@ RANGES = {"basis_weight": (0.05, 400.0), "moisture": (0.5, 30.0), "ash": (-0.1,
 
 
 def health(spark: SparkSession, sf: str) -> DataFrame:
-    labels = qr.run_labels(spark, sf)
+    labels = staged(qr.run_labels(spark, sf))
     bad = lab.run_violations(dt.wide_samples(spark, sf), labels, SPEC, RANGES)
     return rounded(lab.health_report(labels, qr.meta_rows(spark, sf), bad))
 
