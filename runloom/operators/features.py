@@ -7,6 +7,7 @@ shuffle and one sort; per-run context joins on that same partitioning.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.dims import DV_NOMINAL, DV_TAGS, ENVELOPE, MV_TAGS, PEAK_TO_MEAN_RATE, SLEW_LIMITS
@@ -15,7 +16,6 @@ from runloom.functions.series import deviation_pct, out_of_band, ramp_phase, tra
 from runloom.functions.sheet import recipe_setpoints
 from runloom.operators.segments import OWN, SEG, SEGMENT_ROWS, cut, over_runs
 from runloom.settings import RunSpec
-from pyspark.sql import Window as W
 
 REMAINING_TAGS = ("stock_flow", "filler_flow", "steam_pressure", "machine_speed")
 STEAM_SHARE, STEAM_RESERVE_KPA, SPEED_LIMIT_SHARE = 0.95, 15.0, 0.95
@@ -130,41 +130,118 @@ def run_context(meta: DataFrame, grades: DataFrame, slew: dict[str, float] | Non
 
 # ---- the wide table -------------------------------------------------------
 
-def wide_features(
-    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec,
-    slew: dict[str, float] | None = None, size: int = SEGMENT_ROWS,
-) -> DataFrame:
-    """104 features, two labels and the identifiers of every sample past the
-    warm-up."""
-    slew = slew or SLEW_LIMITS
-    half, one, two = spec.steps(0.5), spec.steps(1.0), spec.steps(2.0)
+# look-backs of the wide table: name, minutes and the series that use it
+STATE_SERIES = ["basis_weight", "basis_weight_sp", "moisture", "ash"]
+TRACKED = ["bw_dev_pct", *STATE_SERIES, *MV_TAGS, *DV_TAGS]
+LOOKBACKS: dict[str, tuple[float, list[str]]] = {
+    "half": (0.5, ["bw_dev_pct", *MV_TAGS]),
+    "one": (1.0, ["bw_dev_pct", *STATE_SERIES, *MV_TAGS]),
+    "two": (2.0, ["bw_dev_pct", *DV_TAGS]),
+}
+RATES = [f"_{which}_{tag}" for which, (_, tags) in LOOKBACKS.items() for tag in tags]
+TRAILING = ["bw_dev_max_2min", "bw_dev_std_2min", "bw_dev_mean_2min"]
+
+
+def with_deviation(samples: DataFrame) -> DataFrame:
     dev = deviation_pct(F.col("basis_weight"), F.col("basis_weight_sp"))
-    base = samples.withColumn("bw_dev_pct", dev).withColumn("bw_abs_dev_pct", F.abs(F.col("bw_dev_pct")))
-    rows = cut(base, back=two, ahead=spec.horizon, size=size)
+    return samples.withColumn("bw_dev_pct", dev).withColumn("bw_abs_dev_pct", F.abs(F.col("bw_dev_pct")))
 
-    # One struct per look-back instead of one window expression per series.
-    tracked = ["bw_dev_pct", "basis_weight", "basis_weight_sp", "moisture", "ash", *MV_TAGS, *DV_TAGS]
+
+def windowed_state(samples: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS) -> DataFrame:
+    """Samples past the warm-up with their rates, trailing statistics and the
+    gap to the next breach; still carries the segment they were computed in."""
+    two = spec.steps(2.0)
+    rows = cut(with_deviation(samples), back=two, ahead=spec.horizon, size=size)
     w = W.partitionBy("run_id", SEG).orderBy("sample_idx")
-    now = F.struct(*tracked)
-    idx = F.col("sample_idx")
-    two_min = trailing(w, 2.0, spec)
+    # one struct per look-back instead of one window expression per series
+    now = F.struct(*TRACKED)
+    last_two = trailing(w, 2.0, spec)
+    breach = out_of_band(F.col("bw_dev_pct"), spec.band_pct)
     rows = rows.select(
         "*",
         F.first(now).over(w).alias("_start"),
-        F.lag(now, half).over(w).alias("_half"),
-        F.lag(now, one).over(w).alias("_one"),
-        F.lag(now, two).over(w).alias("_two"),
-        F.max("bw_abs_dev_pct").over(two_min).alias("bw_dev_max_2min"),
-        F.coalesce(F.stddev_samp("bw_dev_pct").over(two_min), F.lit(0.0)).alias("bw_dev_std_2min"),
-        F.avg("bw_dev_pct").over(two_min).alias("bw_dev_mean_2min"),
-        (next_breach(out_of_band(F.col("bw_dev_pct"), spec.band_pct), w, spec.horizon) - idx).alias("_gap"),
-    ).where(F.col(OWN) & (idx >= spec.warmup))
-
-    def rate(tag: str, which: str) -> Column:
-        n, minutes = {"_half": (half, 0.5), "_one": (one, 1.0), "_two": (two, 2.0)}[which]
-        past = F.when(idx >= n, F.col(which)[tag]).otherwise(F.col("_start")[tag])
-        return (F.col(tag) - past) / minutes
+        *[F.lag(now, spec.steps(m)).over(w).alias(f"_{which}") for which, (m, _) in LOOKBACKS.items()],
+        F.max("bw_abs_dev_pct").over(last_two).alias("bw_dev_max_2min"),
+        F.coalesce(F.stddev_samp("bw_dev_pct").over(last_two), F.lit(0.0)).alias("bw_dev_std_2min"),
+        F.avg("bw_dev_pct").over(last_two).alias("bw_dev_mean_2min"),
+        (next_breach(breach, w, spec.horizon) - F.col("sample_idx")).alias("_gap"),
+    ).where(F.col(OWN) & (F.col("sample_idx") >= spec.warmup))
+    rates = [
+        f"({tag} - if(sample_idx >= {spec.steps(m)}, _{which}.{tag}, _start.{tag})) / {m}D AS _{which}_{tag}"
+        for which, (m, tags) in LOOKBACKS.items()
+        for tag in tags
+    ]
+    return rows.selectExpr(*samples.columns, "bw_dev_pct", "bw_abs_dev_pct", *TRAILING, "_gap", SEG, *rates)
+
+
+def feature_expressions(spec: RunSpec, slew: dict[str, float]) -> dict[str, str | Column]:
+    """The 104 features over samples that carry rates and run context.  Stateless,
+    so batch and stream share it."""
+    band = f"{spec.band_pct}D"
+    c = F.col
+    f: dict[str, str | Column] = dict(ramp_phase(c("t_min"), c("plan_start_min"), c("plan_ramp_min")))
+    for name in ("bw_from", "bw_to", "bw_change_pct", "ash_change", "moisture_change", "speed_change_pct",
+                 "transition_magnitude", "plan_ramp_min", "plan_lead_scale", "plan_tau_c_scale",
+                 "plan_trim_enabled", "min_ramp_min", "ramp_deficit_min", "ramp_is_feasible",
+                 "bw_dev_pct", "bw_abs_dev_pct", "caliper", *TRAILING):
+        f[name] = name
+    f |= {
+        "currently_off_spec": f"double(bw_abs_dev_pct > {band})",
+        "bw_dev_headroom_pct": f"{band} - bw_abs_dev_pct",
+        "moisture_dev": "moisture - moisture_sp",
+        "ash_dev": "ash - ash_sp",
+        "bw_dev_roc_0_5min": "_half_bw_dev_pct",
+        "bw_dev_roc_1min": "_one_bw_dev_pct",
+        "bw_dev_roc_2min": "_two_bw_dev_pct",
+        "bw_roc_1min": "_one_basis_weight",
+        "bw_sp_roc_1min": "_one_basis_weight_sp",
+        "moisture_roc_1min": "_one_moisture",
+        "ash_roc_1min": "_one_ash",
+    }
+    projected = f"bw_dev_pct + _one_bw_dev_pct * {spec.horizon_min}D"
+    f |= {
+        "bw_dev_projected": projected,
+        "bw_dev_projected_abs": f"abs({projected})",
+        "projected_breach": f"double(abs({projected}) > {band})",
+    }
+    for tag in MV_TAGS:
+        f[f"mv_{tag}"] = tag
+        f[f"mv_{tag}_roc_1min"] = f"_one_{tag}"
+        f[f"mv_{tag}_slew_util"] = f"abs(_half_{tag}) / {slew[tag]}D"
+    for tag in REMAINING_TAGS:
+        f[f"mv_{tag}_remaining"] = f"goal_{tag} - {tag}"
+        f[f"mv_{tag}_remaining_frac"] = f"(goal_{tag} - {tag}) / greatest(abs(goal_{tag}), 1e-9D)"
+    room = f"steam_header_kpa * {STEAM_SHARE}D - steam_pressure"
+    f |= {
+        "steam_headroom_kpa": room,
+        "steam_saturated": f"double({room} < {STEAM_RESERVE_KPA}D)",
+        "stock_headroom": f"{ENVELOPE['stock_flow'][1]}D - stock_flow",
+        "speed_at_limit": f"double(abs(_half_machine_speed) > {SPEED_LIMIT_SHARE}D * {slew['machine_speed']}D)",
+    }
+    for tag in DV_TAGS:
+        nominal = DV_NOMINAL[tag]
+        f[f"dv_{tag}"] = tag
+        f[f"dv_{tag}_dev"] = f"{tag} - {nominal}D"
+        f[f"dv_{tag}_dev_norm"] = f"({tag} - {nominal}D) / {max(abs(nominal), 1e-9)}D"
+        f[f"dv_{tag}_roc_2min"] = f"_two_{tag}"
+    return f
 
+
+def as_columns(expressions: dict[str, str | Column]) -> list[Column]:
+    return [(F.expr(e) if isinstance(e, str) else e).alias(name) for name, e in expressions.items()]
+
+
+IDENTIFIERS = ("run_id", "sample_idx", "t_min", "from_grade", "to_grade", "primary_cause")
+
+
+def wide_features(
+    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec,
+    slew: dict[str, float] | None = None, size: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """104 features, two labels and the identifiers of every sample past the
+    warm-up."""
+    slew = slew or SLEW_LIMITS
+    rows = windowed_state(samples, spec, size)
     # Context joins on (run, segment): the samples are not shuffled again.
     if "n_samples" in meta.columns:
         spans = meta.select("run_id", (F.col("n_samples") - 1).alias("_last"))
@@ -176,59 +253,9 @@ def wide_features(
         .withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / F.lit(size)))))
         .drop("_last")
     )
-    rows = rows.join(context, ["run_id", SEG])
-
-    c = F.col
-    t = c("t_min")
-    f: dict[str, Column] = dict(ramp_phase(t, c("plan_start_min"), c("plan_ramp_min")))
-    for name in ("bw_from", "bw_to", "bw_change_pct", "ash_change", "moisture_change", "speed_change_pct",
-                 "transition_magnitude", "plan_ramp_min", "plan_lead_scale", "plan_tau_c_scale",
-                 "plan_trim_enabled", "min_ramp_min", "ramp_deficit_min", "ramp_is_feasible",
-                 "bw_dev_pct", "bw_abs_dev_pct"):
-        f[name] = c(name)
-    f["currently_off_spec"] = flag(c("bw_abs_dev_pct") > spec.band_pct)
-    f["bw_dev_headroom_pct"] = F.lit(spec.band_pct) - c("bw_abs_dev_pct")
-    f["moisture_dev"] = c("moisture") - c("moisture_sp")
-    f["ash_dev"] = c("ash") - c("ash_sp")
-    f["caliper"] = c("caliper")
-    f["bw_dev_roc_0_5min"] = rate("bw_dev_pct", "_half")
-    f["bw_dev_roc_1min"] = rate("bw_dev_pct", "_one")
-    f["bw_dev_roc_2min"] = rate("bw_dev_pct", "_two")
-    f["bw_roc_1min"] = rate("basis_weight", "_one")
-    f["bw_sp_roc_1min"] = rate("basis_weight_sp", "_one")
-    f["moisture_roc_1min"] = rate("moisture", "_one")
-    f["ash_roc_1min"] = rate("ash", "_one")
-    for name in ("bw_dev_max_2min", "bw_dev_std_2min", "bw_dev_mean_2min"):
-        f[name] = c(name)
-    projected = c("bw_dev_pct") + rate("bw_dev_pct", "_one") * spec.horizon_min
-    f["bw_dev_projected"] = projected
-    f["bw_dev_projected_abs"] = F.abs(projected)
-    f["projected_breach"] = flag(F.abs(projected) > spec.band_pct)
-    for tag in MV_TAGS:
-        f[f"mv_{tag}"] = c(tag)
-        f[f"mv_{tag}_roc_1min"] = rate(tag, "_one")
-        f[f"mv_{tag}_slew_util"] = F.abs(rate(tag, "_half")) / slew[tag]
-    for tag in REMAINING_TAGS:
-        left = c(f"goal_{tag}") - c(tag)
-        f[f"mv_{tag}_remaining"] = left
-        f[f"mv_{tag}_remaining_frac"] = left / F.greatest(F.abs(c(f"goal_{tag}")), F.lit(1e-9))
-    room = c("steam_header_kpa") * STEAM_SHARE - c("steam_pressure")
-    f["steam_headroom_kpa"] = room
-    f["steam_saturated"] = flag(room < STEAM_RESERVE_KPA)
-    f["stock_headroom"] = F.lit(ENVELOPE["stock_flow"][1]) - c("stock_flow")
-    f["speed_at_limit"] = flag(
-        F.abs(rate("machine_speed", "_half")) > F.lit(SPEED_LIMIT_SHARE) * slew["machine_speed"]
-    )
-    for tag in DV_TAGS:
-        nominal = DV_NOMINAL[tag]
-        f[f"dv_{tag}"] = c(tag)
-        f[f"dv_{tag}_dev"] = c(tag) - nominal
-        f[f"dv_{tag}_dev_norm"] = (c(tag) - nominal) / max(abs(nominal), 1e-9)
-        f[f"dv_{tag}_roc_2min"] = rate(tag, "_two")
-
-    return rows.select(
-        "run_id", "sample_idx", "t_min", "from_grade", "to_grade", "primary_cause",
-        *[v.alias(k) for k, v in f.items()],
-        c("_gap").isNotNull().cast("int").alias("y_breach"),
-        (c("_gap") * spec.dt_s / 60.0).alias("y_time_to_breach_min"),
+    return rows.join(context, ["run_id", SEG]).select(
+        *IDENTIFIERS,
+        *as_columns(feature_expressions(spec, slew)),
+        F.col("_gap").isNotNull().cast("int").alias("y_breach"),
+        (F.col("_gap") * spec.dt_s / 60.0).alias("y_time_to_breach_min"),
     )
