@@ -85,11 +85,10 @@ def narrow_doubles(df: DataFrame, keep: Iterable[str] = ("run_id", "sample_idx",
 def rounded(df: DataFrame, digits: int = 6, only: Iterable[str] | None = None) -> DataFrame:
     """Round floating columns for output."""
     only = set(only) if only is not None else None
-    return df.select(
-        [
-            F.round(F.col(f.name).cast("double"), digits).alias(f.name)
-            if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and (only is None or f.name in only)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+
+    def text(f: T.StructField) -> str:
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and (only is None or f.name in only):
+            return f"round(cast(`{f.name}` as double), {digits}) AS `{f.name}`"
+        return f"`{f.name}`"
+
+    return df.selectExpr(*[text(f) for f in df.schema.fields])

@@ -149,6 +149,19 @@ def evaluate(
     )
 
 
+def _level(held: str, thresholds: Sequence[float]) -> str:
+    """SQL text: how many of the sorted thresholds ``held`` reaches, by binary
+    search (0 for NULL)."""
+
+    def search(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"if({held} >= {thresholds[mid]}D, {search(mid + 1, hi)}, {search(lo, mid)})"
+
+    return search(0, len(thresholds))
+
+
 def sweep(
     rows: DataFrame,
     thresholds: Sequence[float] = FINE_THRESHOLDS,
@@ -160,73 +173,81 @@ def sweep(
     """All operating points at once.
 
     Each sample is tagged, per delay, with the number of thresholds its held score
-    reaches; counting by that level serves every threshold, so rows grow by the
-    number of delays only and are combined before the shuffle."""
-    levels = sorted(thresholds)
+    reaches.  Counting by that level serves every threshold, so rows grow by the
+    number of delays only and are combined before the shuffle; from then on there
+    are at most (levels x delays) rows per run."""
+    levels = [float(t) for t in sorted(thresholds)]
     by = list(by)
-    unit = [*by, "run_id"]
+    unit = [*by, "run_id", "delay"]
 
     def build(part, w):
         w = W.partitionBy(*by, "run_id", SEG).orderBy("sample_idx")
-        part = part.select("*", *[held_score(F.col("proba"), d, w, start=start).alias(f"_h{d}") for d in delays])
-        points = [
-            F.struct(
-                F.lit(d).alias("delay"),
-                F.coalesce(F.expr(" + ".join(f"int(_h{d} >= {t}D)" for t in levels)), F.lit(0)).alias("level"),
-            )
-            for d in delays
+        helds = [
+            F.struct(F.lit(d).alias("delay"), held_score(F.col("proba"), d, w, start=start).alias("held")) for d in delays
         ]
-        return part.select(*unit, "sample_idx", "t_min", "currently_off_spec", "y_breach", OWN, SEG, F.array(*points).alias("_points"))
-
-    tagged = over_runs(rows, build, back=max(delays) - 1, size=size)
-    off = F.col("currently_off_spec") == 1
-    y = F.col("y_breach") == 1
-    per_run = (
-        tagged.select(*unit, "t_min", "currently_off_spec", "y_breach", F.explode("_points").alias("_p"))
-        .select(*unit, "t_min", "currently_off_spec", "y_breach", "_p.delay", "_p.level")
-        .groupBy(*unit, "delay", "level")
+        return part.select(*by, "run_id", "t_min", "currently_off_spec", "y_breach", OWN, SEG, F.array(*helds).alias("_h"))
+
+    off, y = F.col("currently_off_spec") == 1, F.col("y_breach") == 1
+    per_run = staged(
+        over_runs(rows, build, back=max(delays) - 1, size=size)
+        .select("*", F.inline("_h"))
+        .withColumn("level", F.expr(_level("held", levels)))
+        .groupBy(*unit, "level")
         .agg(
-            F.min(F.when(off, F.col("t_min"))).alias("_off"),
-            F.min(F.when(~off, F.col("t_min"))).alias("_on"),
-            F.count_if(~off & y).alias("_pos"),
-            F.count_if(~off & ~y).alias("_neg"),
+            F.min(F.when(off, F.col("t_min"))).alias("off_at"),
+            F.min(F.when(~off, F.col("t_min"))).alias("on_at"),
+            F.count_if(~off & y).alias("pos"),
+            F.count_if(~off & ~y).alias("neg"),
         )
     )
-    # Per run and delay there are at most len(levels) + 1 rows: fold them.
-    folded = per_run.groupBy(*unit, "delay").agg(
-        F.min("_off").alias("breach_min"),
-        F.collect_list(F.struct("level", "_on", "_pos", "_neg")).alias("_levels"),
-    )
-    reached = F.filter("_levels", lambda s: s["level"] > F.col("_i"))
 
-    def total(levels_: Column | str, name: str) -> Column:
-        return F.aggregate(levels_, F.lit(0).cast("long"), lambda acc, s: acc + s[name])
+    def at_or_above(table: DataFrame, within: list[str], **folds: Column) -> DataFrame:
+        """One row per threshold index ``i`` that some row of ``within`` reaches,
+        with its folds over the levels above i."""
+        w = W.partitionBy(*within).orderBy(F.desc("level"))
+        upto = w.rowsBetween(W.unboundedPreceding, 0)
+        below = F.coalesce(F.lead("level").over(w), F.lit(0))
+        found = table.select("*", below.alias("_below"), *[f.over(upto).alias(n) for n, f in folds.items()])
+        reached = F.explode(F.sequence(F.col("_below"), F.col("level") - 1))
+        kept = [c for c in ("breach_min",) if c in table.columns]
+        return found.where(F.col("level") > F.col("_below")).select(*within, *kept, *folds, reached.alias("i"))
+
+    whole = W.partitionBy(*unit)
+    alarms_ = at_or_above(
+        per_run.withColumn("breach_min", F.min("off_at").over(whole)), unit, alarm_min=F.min("on_at")
+    ).where(F.col("alarm_min").isNotNull())
+    breached = F.col("breach_min").isNotNull()
+    warned = F.coalesce(F.col("alarm_min") < F.col("breach_min"), F.lit(False))
+    outcomes = alarms_.withColumn("warning_min", F.when(warned, F.col("breach_min") - F.col("alarm_min")))
+    point = [*by, "delay", "i"]
+    warnings = exact_percentiles(
+        outcomes, "warning_min", {"median_warning_min": 0.5}, point,
+        totals={"n_warned": F.count("warning_min"), "n_false": F.count_if(~breached)},
+    )
 
-    outcomes = (
-        folded.select("*", F.posexplode(F.array(*[F.lit(float(t)) for t in levels])).alias("_i", "threshold"))
-        .withColumn("_hit", reached)
-        .select(
-            *unit, "delay", "threshold", "breach_min",
-            total("_levels", "_pos").alias("_p"), total("_levels", "_neg").alias("_n"),
-            total("_hit", "_pos").alias("tp"), total("_hit", "_neg").alias("fp"),
-            F.array_min(F.transform("_hit", lambda s: s["_on"])).alias("_alarm"),
+    counts = per_run.groupBy(*by, "delay", "level").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    hits = at_or_above(counts, [*by, "delay"], tp=F.sum("pos"), fp=F.sum("neg"))
+    runs = (
+        per_run.groupBy(*unit)
+        .agg(F.min("off_at").alias("breach_min"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .groupBy(*by, "delay")
+        .agg(
+            F.count_if(breached).alias("n_breaching"), F.count_if(~breached).alias("n_clean"),
+            F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
         )
-        .withColumn("breached", F.col("breach_min").isNotNull())
-        .withColumn("warned", F.coalesce(F.col("_alarm") < F.col("breach_min"), F.lit(False)))
-        .withColumn("warning_min", F.when(F.col("warned"), F.col("breach_min") - F.col("_alarm")))
-        .withColumn("false_alarm", ~F.col("breached") & F.col("_alarm").isNotNull())
     )
-    point = [*by, "threshold", "delay"]
-    # one count by (point, warning time) gives the medians and all totals
-    totals = _outcome_totals() | {c: F.sum(c) for c in ("tp", "fp", "_p", "_n")}
-    table = exact_percentiles(outcomes, "warning_min", {"median_warning_min": 0.5}, point, totals)
-    tp, fp = F.col("tp"), F.col("fp")
-    rate = scores.rates() | _outcome_rates()
-    table = table.withColumn("fn", F.col("_p") - tp).withColumn("tn", F.col("_n") - fp)
+    grid = runs.select("*", F.posexplode(F.array(*[F.lit(t) for t in levels])).alias("i", "threshold"))
+    table = (
+        grid.join(hits, point, "left")
+        .join(warnings, point, "left")
+        .na.fill(0, ["tp", "fp", "n_warned", "n_false"])
+        .withColumns({"fn": F.col("_p") - F.col("tp"), "tn": F.col("_n") - F.col("fp")})
+    )
+    rate = scores.rates()
     return table.select(
-        *point, *[rate[k].alias(k) for k in ("precision", "recall", "f1", "false_positive_rate")],
-        rate["detection_rate"].alias("detection_rate"), "median_warning_min",
-        rate["false_alarm_run_rate"].alias("false_alarm_run_rate"),
+        *by, "threshold", "delay", *[rate[k].alias(k) for k in ("precision", "recall", "f1", "false_positive_rate")],
+        ratio(F.col("n_warned"), F.col("n_breaching")).alias("detection_rate"), "median_warning_min",
+        ratio(F.col("n_false"), F.col("n_clean")).alias("false_alarm_run_rate"),
     )
 
 

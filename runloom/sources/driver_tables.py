@@ -59,7 +59,7 @@ def tag_expr(tag: str) -> Column:
     if tag == "basis_weight":
         return F.col("value")
     a, b = PULL[tag]
-    return NOMINAL[tag] * (1.0 + a * (F.col("value") - 50.0) + b * (F.col("k") - 50))
+    return F.expr(f"{NOMINAL[tag]}D * (1D + {a!r}D * (value - 50D) + {b!r}D * (k - 50))")
 
 
 def wide_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
