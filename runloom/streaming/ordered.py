@@ -31,20 +31,20 @@ def ordered_stream(
     size: int = SEGMENT_ROWS,
     start: int = 0,
     time: str | None = None,
-    delay: str = "10 minutes",
+    wait: str = "10 minutes",
 ) -> DataFrame:
     """Each sample once, in run order, with the columns ``block`` adds.
 
     ``block(positions, table)`` sees the history (at most ``back`` rows) followed by
     new rows and returns one array per output column for all of them.  ``start`` is
     the first position of every run.  ``time`` names an event-time column: a gap is
-    then given up once the watermark has passed it by ``delay``."""
+    then given up once the watermark has passed it by ``wait``."""
     names = ["sample_idx", *values]
     k = len(names)
     added = [part.split()[0] for part in output.split(",")]
 
     if time is not None:
-        stream = stream.withWatermark(time, delay)
+        stream = stream.withWatermark(time, wait)
     pos = F.col("sample_idx").cast("long")
     spread = F.sequence(F.floor(pos / F.lit(size)), F.floor((pos + back) / F.lit(size)))
     keyed = stream.select("run_id", *names, *([time] if time else []), F.explode(spread).alias(SEG))
