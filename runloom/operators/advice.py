@@ -181,33 +181,29 @@ def sensitivity(
     NULL = never settled; the baseline has delta 0): the steepest slope, the best
     of all tries and the baseline, and the minutes it gains.  The earlier try wins
     a tie, the baseline loses it."""
-    settle = F.coalesce("settle_min", F.lit(float(window_min)))
-    base = F.max(F.when(F.col("delta") == 0, settle))
-    tried = F.col("delta") != 0
-    packed = rows.groupBy(*unit).agg(
-        base.alias("baseline_settle_min"),
-        F.max(F.when(F.col("delta") == 0, F.col("base_value"))).alias("baseline_value"),
-        # one row per probed direction: a handful by design of the probe table
-        F.sort_array(F.collect_list(F.when(tried, F.struct(F.col(order).alias("o"), F.col("delta").alias("d"), settle.alias("s"))))).alias("_t"),
+    rows = rows.withColumn("_s", F.coalesce("settle_min", F.lit(float(window_min))))
+    base = rows.where(F.col("delta") == 0).groupBy(*unit).agg(
+        F.max("_s").alias("baseline_settle_min"), F.max("base_value").alias("baseline_value")
     )
-    b = F.col("baseline_settle_min")
-    slopes = F.transform("_t", lambda t: F.struct(F.abs((t["s"] - b) / t["d"]).alias("a"), (-t["o"]).alias("o"), ((t["s"] - b) / t["d"]).alias("slope")))
-    options = F.concat(
-        F.transform("_t", lambda t: F.struct(t["s"].alias("s"), F.lit(0).alias("last"), t["o"].alias("o"), t["d"].alias("d"))),
-        F.array(F.struct(b.alias("s"), F.lit(1).alias("last"), F.lit(0).alias("o"), F.lit(0.0).alias("d"))),
-    )
-    best = F.col("_best")
-    return (
-        packed.where(F.size("_t") > 0)
-        .withColumn("_steep", F.array_max(slopes))
-        .withColumn("_best", F.array_min(options))
-        .select(
-            *unit, "baseline_value", "baseline_settle_min",
-            F.col("_steep.slope").alias("sensitivity_min_per_unit"),
-            F.when(best["d"] > 0, "increase").when(best["d"] < 0, "decrease").otherwise("none").alias("best_direction"),
-            best["d"].alias("best_delta"), best["s"].alias("best_settle_min"), (b - best["s"]).alias("improvement_min"),
+    b, slope = F.col("baseline_settle_min"), F.col("_slope")
+    tried = (
+        rows.where(F.col("delta") != 0)
+        .join(base, list(unit))
+        .withColumn("_slope", (F.col("_s") - b) / F.col("delta"))
+        .groupBy(*unit, "baseline_value", "baseline_settle_min")
+        .agg(
+            F.max_by(slope, F.struct(F.abs(slope), -F.col(order))).alias("sensitivity_min_per_unit"),
+            F.min(F.struct(F.col("_s").alias("s"), F.col(order).alias("o"), F.col("delta").alias("d"))).alias("_best"),
         )
     )
+    better = F.col("_best.s") <= b
+    delta = F.when(better, F.col("_best.d")).otherwise(0.0)
+    settle = F.least(F.col("_best.s"), b)
+    return tried.select(
+        *unit, "baseline_value", "baseline_settle_min", "sensitivity_min_per_unit",
+        F.when(delta > 0, "increase").when(delta < 0, "decrease").otherwise("none").alias("best_direction"),
+        delta.alias("best_delta"), settle.alias("best_settle_min"), (b - settle).alias("improvement_min"),
+    )
 
 
 def improvement_summary(rows: DataFrame, saved: str, value: str, source: str = "source", least: float = 1e-6) -> DataFrame:

@@ -14,15 +14,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+_unset: dict[str, str] = {}
 
 
 def _root(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
     folder = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF, None)
     if not folder:
-        # single-machine sessions such as tests; a cluster names its own folder
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CONF, folder)
-    return f"{folder.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+        # the session names no shared folder: a single-machine run such as a test
+        folder = _unset.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
+        _unset[app] = folder
+    return f"{folder.rstrip('/')}/staged-{app}"
 
 
 def staged(df: DataFrame) -> DataFrame:

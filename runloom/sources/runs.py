@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -71,21 +72,41 @@ def run_arrays(samples: DataFrame, columns: list[str], chunk: int = 65_536) -> D
 
 
 def at_cursor(
-    rows: DataFrame, cursors: DataFrame, fallback_first: bool = False, time: str = "t_min"
+    rows: DataFrame, cursors: DataFrame, fallback_first: bool = False, time: str = "t_min",
+    order: str = "sample_idx", slice_min: float = 60.0,
 ) -> DataFrame:
     """For each (run_id, cursor) the last row at or before the cursor; NULLs if
     there is none, or the run's first row with ``fallback_first``.
 
-    The join is an equi-join on the run and the aggregate combines map-side, so a
-    long run is never gathered in one task."""
+    Rows and cursors meet in slices of ``slice_min`` minutes, so neither a long run
+    nor many cursors of one run fill a task, and no row-cursor pairs are formed.
+    The last row of the earlier slices comes from one summary row per slice."""
     names = [c for c in rows.columns if c != "run_id"]
     whole = F.struct(*names)
-    hit = F.col(time) <= F.col("cursor")
-    aggs = [F.max_by(F.when(hit, whole), F.when(hit, F.col(time))).alias("_at")]
+
+    def slice_of(c):
+        return F.floor(c / F.lit(slice_min)).alias("_slice")
+
+    points = rows.select("run_id", slice_of(F.col(time)), F.col(time).alias("_t"), F.col(order).alias("_o"), whole.alias("_row"))
+    asked = cursors.select("run_id", slice_of(F.col("cursor")), F.col("cursor").alias("_t"), "cursor").distinct()
+    merged = points.unionByName(asked, allowMissingColumns=True).repartition("run_id", "_slice")
+    # at equal times rows come before the cursor
+    upto = W.partitionBy("run_id", "_slice").orderBy("_t", F.asc_nulls_last("_o")).rowsBetween(W.unboundedPreceding, 0)
+    inside = merged.withColumn("_row", F.last("_row", ignorenulls=True).over(upto)).where(F.col("cursor").isNotNull())
+
+    key = F.struct("_t", "_o")
+    ends = points.groupBy("run_id", "_slice").agg(F.max_by("_row", key).alias("_end"), F.min_by("_row", key).alias("_begin"))
+    slices = ends.select("run_id", "_slice", "_end").unionByName(
+        asked.select("run_id", "_slice").distinct(), allowMissingColumns=True
+    ).groupBy("run_id", "_slice").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    earlier = W.partitionBy("run_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = slices.select("run_id", "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    found = inside.join(carried, ["run_id", "_slice"], "left")
+    pick = F.coalesce("_row", "_before")
     if fallback_first:
-        aggs.append(F.min_by(whole, F.col(time)).alias("_first"))
-    found = cursors.join(rows, "run_id", "left").groupBy("run_id", "cursor").agg(*aggs)
-    pick = F.coalesce("_at", "_first") if fallback_first else F.col("_at")
+        first = ends.groupBy("run_id").agg(F.min_by("_begin", "_slice").alias("_first"))
+        found = found.join(first, "run_id", "left")
+        pick = F.coalesce(pick, F.col("_first"))
     return found.withColumn("_pick", pick).select("run_id", "cursor", *[F.col("_pick")[c].alias(c) for c in names])
 
 
