@@ -117,19 +117,30 @@ def tags_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TAGS), "tag string, kind string, unit string, label string")
 
 
+def with_limits(grades: DataFrame) -> DataFrame:
+    """Add the shared recipe envelope (``<tag>_limits``) and actuator rates
+    (``max_<tag>_rate``) where a grade table does not bring its own."""
+    limits = [
+        F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).alias(f"{tag}_limits")
+        for tag, (lo, hi) in ENVELOPE.items()
+        if f"{tag}_limits" not in grades.columns
+    ]
+    rates = [
+        F.lit(rate).alias(f"max_{tag}_rate")
+        for tag, rate in SLEW_LIMITS.items()
+        if f"max_{tag}_rate" not in grades.columns
+    ]
+    return grades.select("*", *limits, *rates)
+
+
 def grades_table(spark: SparkSession) -> DataFrame:
-    """One row per grade, the shared envelope and rate limits attached."""
+    """One row per grade with its targets, envelope and rate limits."""
     base = spark.createDataFrame(
         list(GRADES),
         "code string, name string, basis_weight double, moisture double, ash double, "
         "machine_speed double, nominal_ramp_min double",
     )
-    limits = [
-        F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).alias(f"{tag}_limits")
-        for tag, (lo, hi) in ENVELOPE.items()
-    ]
-    rates = [F.lit(rate).alias(f"max_{tag}_rate") for tag, rate in SLEW_LIMITS.items()]
-    return base.select("*", *limits, *rates)
+    return with_limits(base)
 
 
 def known_loops_table(spark: SparkSession) -> DataFrame:

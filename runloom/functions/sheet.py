@@ -87,11 +87,21 @@ def soft_sensor(inputs: dict[str, Column] | None = None) -> dict[str, Column]:
     }
 
 
+def grade_setpoints(prefix: str = "") -> dict[str, Column]:
+    """Setpoints of a grade row whose columns carry ``prefix`` and its limits."""
+    limits = {tag: (F.col(f"{prefix}{tag}_limits.lo"), F.col(f"{prefix}{tag}_limits.hi")) for tag in ENVELOPE}
+    targets = [F.col(f"{prefix}{c}") for c in ("basis_weight", "moisture", "ash", "machine_speed")]
+    return recipe_setpoints(*targets, limits=limits)
+
+
 def recipe_setpoints(
-    weight: Column, moisture: Column, ash: Column, speed: Column, state: dict[str, Column] | None = None
+    weight: Column, moisture: Column, ash: Column, speed: Column, state: dict[str, Column] | None = None,
+    limits: dict[str, tuple] | None = None,
 ) -> dict[str, Column]:
     """Actuator setpoints that hit a grade's targets at the given disturbance
-    state (the healthy one by default), held inside the recipe envelope."""
+    state (the healthy one by default), held inside the recipe envelope or the
+    given (low, high) ``limits``."""
+    limits = ENVELOPE | (limits or {})
     d = {k: (state or {}).get(k, F.lit(v)) for k, v in DV_NOMINAL.items()}
     fiber_ret, filler_ret = _retentions(
         F.lit(RECIPE_AID_PPM), d["wire_drainage_index"], d["white_water_freeness"], d["broke_ratio"]
@@ -106,7 +116,7 @@ def recipe_setpoints(
         "filler_flow": filler / (1000.0 * FILLER_CONSISTENCY * filler_ret),
         "steam_pressure": F.pow(capacity / margin, F.lit(1.0 / STEAM_EXPONENT)),
     }
-    out = {tag: clip(raw[tag], *ENVELOPE[tag]) for tag in raw}
+    out = {tag: clip(raw[tag], *limits[tag]) for tag in raw}
     out["machine_speed"] = speed
     out["retention_aid"] = F.lit(RECIPE_AID_PPM)
     out["jet_wire_ratio"] = F.lit(RECIPE_JET_WIRE)

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.dims import DV_NOMINAL, DV_TAGS, ENVELOPE, MV_TAGS, PEAK_TO_MEAN_RATE, SLEW_LIMITS
+from runloom.dims import DV_NOMINAL, DV_TAGS, ENVELOPE, MV_TAGS, PEAK_TO_MEAN_RATE, SLEW_LIMITS, with_limits
 from runloom.functions.numeric import flag
 from runloom.functions.series import deviation_pct, out_of_band, ramp_phase, transition_context
-from runloom.functions.sheet import recipe_setpoints
+from runloom.functions.sheet import grade_setpoints
 from runloom.operators.segments import OWN, SEG, SEGMENT_ROWS, cut, over_runs
 from runloom.settings import RunSpec
 
@@ -63,35 +63,24 @@ def breach_labels(
 
 # ---- per-run context ------------------------------------------------------
 
-def feasible_ramp(meta: DataFrame, grades: DataFrame, slew: dict[str, float] | None = None) -> DataFrame:
-    """Shortest ramp the actuator limits permit between the two grades of each
-    run, the actuator that sets it (first listed wins a tie, '' if nothing has to
-    move) and how far the planned ramp falls short."""
-    slew = slew or SLEW_LIMITS
-    points = grades.select(
-        F.col("code"),
-        F.struct(
-            *[
-                v.alias(k)
-                for k, v in recipe_setpoints(
-                    F.col("basis_weight"), F.col("moisture"), F.col("ash"), F.col("machine_speed")
-                ).items()
-            ]
-        ).alias("mv"),
+def feasible_ramp(meta: DataFrame, grades: DataFrame) -> DataFrame:
+    """Shortest ramp the actuator limits of the destination grade permit, the
+    actuator that sets it (first listed wins a tie, '' if nothing has to move) and
+    how far the planned ramp falls short."""
+    grades = with_limits(grades)
+    mv = F.struct(*[v.alias(k) for k, v in grade_setpoints().items()])
+    a = grades.select(F.col("code").alias("from_grade"), mv.alias("_mv_from"))
+    b = grades.select(
+        F.col("code").alias("to_grade"), mv.alias("_mv_to"),
+        F.struct(*[F.col(f"max_{tag}_rate").alias(tag) for tag in SLEW_LIMITS]).alias("_rate"),
     )
-    a = points.select(F.col("code").alias("from_grade"), F.col("mv").alias("_mv_from"))
-    b = points.select(F.col("code").alias("to_grade"), F.col("mv").alias("_mv_to"))
     needs = F.array(
         *[
-            F.struct(
-                (
-                    F.abs(F.col("_mv_to")[tag] - F.col("_mv_from")[tag]) / F.lit(rate) * PEAK_TO_MEAN_RATE
-                ).alias("minutes"),
-                F.lit(-i).alias("place"),
-                F.lit(tag).alias("tag"),
+            F.expr(
+                f"named_struct('minutes', if(_rate.{tag} > 0, abs(_mv_to.{tag} - _mv_from.{tag}) / _rate.{tag} * {PEAK_TO_MEAN_RATE}D, 0D), "
+                f"'place', {-i}, 'tag', '{tag}')"
             )
-            for i, (tag, rate) in enumerate(slew.items())
-            if rate > 0
+            for i, tag in enumerate(SLEW_LIMITS)
         ]
     )
     floor = F.col("_worst")["minutes"]
@@ -103,19 +92,21 @@ def feasible_ramp(meta: DataFrame, grades: DataFrame, slew: dict[str, float] | N
         .withColumn("binding_actuator", F.when(floor > 0, F.col("_worst")["tag"]).otherwise(""))
         .withColumn("ramp_is_feasible", flag(F.col("plan_ramp_min") >= floor - 1e-9))
         .withColumn("ramp_deficit_min", F.greatest(floor - F.col("plan_ramp_min"), F.lit(0.0)))
-        .drop("_worst", "_mv_from", "_mv_to")
+        .drop("_worst", "_mv_from", "_mv_to", "_rate")
     )
 
 
-def run_context(meta: DataFrame, grades: DataFrame, slew: dict[str, float] | None = None) -> DataFrame:
-    """Everything constant within a run: transition size, plan, feasibility and
-    the destination setpoints (``goal_*``)."""
+def run_context(meta: DataFrame, grades: DataFrame) -> DataFrame:
+    """Everything constant within a run: transition size, plan, feasibility, the
+    destination setpoints (``goal_*``) and limits (``rate_*``, ``stock_hi``)."""
+    grades = with_limits(grades)
     targets = ["basis_weight", "moisture", "ash", "machine_speed"]
+    limits = [*[f"{tag}_limits" for tag in ENVELOPE], *[f"max_{tag}_rate" for tag in SLEW_LIMITS]]
     a = grades.select(F.col("code").alias("from_grade"), *[F.col(c).alias(f"a_{c}") for c in targets])
-    b = grades.select(F.col("code").alias("to_grade"), *[F.col(c).alias(f"b_{c}") for c in targets])
-    goal = recipe_setpoints(*[F.col(f"b_{c}") for c in targets])
+    b = grades.select(F.col("code").alias("to_grade"), *[F.col(c).alias(f"b_{c}") for c in [*targets, *limits]])
+    goal = grade_setpoints("b_")
     return (
-        feasible_ramp(meta, grades, slew)
+        feasible_ramp(meta, grades)
         .join(a, "from_grade")
         .join(b, "to_grade")
         .select(
@@ -124,6 +115,8 @@ def run_context(meta: DataFrame, grades: DataFrame, slew: dict[str, float] | Non
             "plan_start_min", "min_ramp_min", "ramp_deficit_min", "ramp_is_feasible",
             *[c.alias(n) for n, c in transition_context("a_", "b_").items()],
             *[goal[tag].alias(f"goal_{tag}") for tag in REMAINING_TAGS],
+            *[F.col(f"b_max_{tag}_rate").alias(f"rate_{tag}") for tag in SLEW_LIMITS],
+            F.col("b_stock_flow_limits.hi").alias("stock_hi"),
         )
     )
 
@@ -174,7 +167,7 @@ def windowed_state(samples: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS)
     return rows.selectExpr(*samples.columns, "bw_dev_pct", "bw_abs_dev_pct", *TRAILING, "_gap", SEG, *rates)
 
 
-def feature_expressions(spec: RunSpec, slew: dict[str, float]) -> dict[str, str | Column]:
+def feature_expressions(spec: RunSpec) -> dict[str, str | Column]:
     """The 104 features over samples that carry rates and run context.  Stateless,
     so batch and stream share it."""
     band = f"{spec.band_pct}D"
@@ -207,7 +200,7 @@ def feature_expressions(spec: RunSpec, slew: dict[str, float]) -> dict[str, str
     for tag in MV_TAGS:
         f[f"mv_{tag}"] = tag
         f[f"mv_{tag}_roc_1min"] = f"_one_{tag}"
-        f[f"mv_{tag}_slew_util"] = f"abs(_half_{tag}) / {slew[tag]}D"
+        f[f"mv_{tag}_slew_util"] = f"abs(_half_{tag}) / greatest(rate_{tag}, 1e-9D)"
     for tag in REMAINING_TAGS:
         f[f"mv_{tag}_remaining"] = f"goal_{tag} - {tag}"
         f[f"mv_{tag}_remaining_frac"] = f"(goal_{tag} - {tag}) / greatest(abs(goal_{tag}), 1e-9D)"
@@ -215,8 +208,8 @@ def feature_expressions(spec: RunSpec, slew: dict[str, float]) -> dict[str, str
     f |= {
         "steam_headroom_kpa": room,
         "steam_saturated": f"double({room} < {STEAM_RESERVE_KPA}D)",
-        "stock_headroom": f"{ENVELOPE['stock_flow'][1]}D - stock_flow",
-        "speed_at_limit": f"double(abs(_half_machine_speed) > {SPEED_LIMIT_SHARE}D * {slew['machine_speed']}D)",
+        "stock_headroom": "stock_hi - stock_flow",
+        "speed_at_limit": f"double(abs(_half_machine_speed) > {SPEED_LIMIT_SHARE}D * rate_machine_speed)",
     }
     for tag in DV_TAGS:
         nominal = DV_NOMINAL[tag]
@@ -235,12 +228,10 @@ IDENTIFIERS = ("run_id", "sample_idx", "t_min", "from_grade", "to_grade", "prima
 
 
 def wide_features(
-    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec,
-    slew: dict[str, float] | None = None, size: int = SEGMENT_ROWS,
+    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """104 features, two labels and the identifiers of every sample past the
     warm-up."""
-    slew = slew or SLEW_LIMITS
     rows = windowed_state(samples, spec, size)
     # Context joins on (run, segment): the samples are not shuffled again.
     if "n_samples" in meta.columns:
@@ -248,14 +239,14 @@ def wide_features(
     else:
         spans = samples.groupBy("run_id").agg(F.max("sample_idx").alias("_last"))
     context = (
-        run_context(meta, grades, slew)
+        run_context(meta, grades)
         .join(spans, "run_id")
         .withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / F.lit(size)))))
         .drop("_last")
     )
     return rows.join(context, ["run_id", SEG]).select(
         *IDENTIFIERS,
-        *as_columns(feature_expressions(spec, slew)),
+        *as_columns(feature_expressions(spec)),
         F.col("_gap").isNotNull().cast("int").alias("y_breach"),
         (F.col("_gap") * spec.dt_s / 60.0).alias("y_time_to_breach_min"),
     )

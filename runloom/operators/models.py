@@ -168,3 +168,11 @@ def native_importance(model: PipelineModel, features: Sequence[str], spark) -> D
         return None
     rows = [(f, float(values[i])) for i, f in enumerate(features)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.dims import ALL_TAGS, SETPOINT_TAGS, SLEW_LIMITS
+from runloom.dims import ALL_TAGS, SETPOINT_TAGS
 from runloom.functions.numeric import finite_or_null
 from runloom.operators import features as feat
 from runloom.operators.segments import SEGMENT_ROWS
@@ -16,12 +16,10 @@ from runloom.streaming.ordered import ordered_stream
 
 
 def stream_features(
-    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec, slew: dict[str, float] | None = None,
-    size: int = SEGMENT_ROWS, **gaps,
+    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS, **gaps,
 ) -> DataFrame:
     """The feature table of a sample stream, without the forward labels, which
     need samples that have not come yet.  ``meta`` and ``grades`` are static."""
-    slew = slew or SLEW_LIMITS
     values = ["t_min", *ALL_TAGS, *SETPOINT_TAGS, "bw_dev_pct", "bw_abs_dev_pct"]
     at = {v: i for i, v in enumerate(values)}
     steps = {which: (spec.steps(m), m, tags) for which, (m, tags) in feat.LOOKBACKS.items()}
@@ -44,12 +42,12 @@ def stream_features(
 
     output = ", ".join(f"{name} double" for name in [*feat.RATES, *feat.TRAILING])
     rows = ordered_stream(feat.with_deviation(samples), values, wide, block, output, size=size, **gaps)
-    context = feat.run_context(meta, grades, slew)
+    context = feat.run_context(meta, grades)
     return (
         finite_or_null(rows)
         .where(F.col("sample_idx") >= spec.warmup)
         .join(context, "run_id")
-        .select(*feat.IDENTIFIERS, *feat.as_columns(feat.feature_expressions(spec, slew)))
+        .select(*feat.IDENTIFIERS, *feat.as_columns(feat.feature_expressions(spec)))
     )
 
 

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from runloom.dims import grades_table
 from runloom.functions import text
 from runloom.operators import advice, ledger as led
+from runloom.operators.features import feasible_ramp
 from runloom.operators.stage import staging_path
 from runloom.settings import Economics, SurfacePolicy
 from runloom.sources import files, runs
@@ -141,6 +143,22 @@ def test_corpus_round_trip(spark):
     assert strict == {0.2: 2, -1.0: None} and relaxed == {0.2: 2, -1.0: 0}
 
 
+def test_cursor_slices(spark):
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate((0.5, 0.9, 3.2, 3.3, 9.0))], "run_id long, sample_idx int, t_min double")
+    asked = [0.1, 0.5, 2.9, 3.25, 5.0, 8.99, 9.0, 40.0]
+    cursors = spark.createDataFrame([(1, c) for c in asked], "run_id long, cursor double")
+    for width in (1.0, 60.0):
+        got = {r.cursor: r.sample_idx for r in runs.at_cursor(rows, cursors, slice_min=width).collect()}
+        assert [got[c] for c in asked] == [None, 0, 1, 2, 3, 3, 4, 4]
+
+
+def test_own_limits_of_a_grade(spark):
+    grades = grades_table(spark).withColumn("max_machine_speed_rate", F.when(F.col("code") == "WFU-70", 4.5).otherwise(45.0))
+    meta = spark.sql("SELECT 1L AS run_id, 'NP-45' AS from_grade, 'WFU-70' AS to_grade, 6D AS plan_ramp_min")
+    r = feasible_ramp(meta, grades).first()
+    assert r.binding_actuator == "machine_speed" and r.min_ramp_min == pytest.approx(230 / 4.5 * 1.5)
+
+
 def test_feature_cache_and_reports(spark):
     df = spark.sql("SELECT 1L AS run_id, 0 AS sample_idx, 0.1D AS x, 'g' AS from_grade")
     p, c, r = (staging_path(spark, n) for n in ("p", "c", "r"))

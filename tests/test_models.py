@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators import attribution, forecast, models, splits, targets
+from runloom.operators.stage import staging_path
 from runloom.plans import live
 from runloom.settings import ForecastSpec
 
@@ -52,6 +53,9 @@ def test_fit_compare_choose(spark, data):
     assert r.proba == pytest.approx(1 / (1 + 2.718281828459045 ** -z), abs=1e-9)
     gated = live.recommend(live.risk_advice(scored.where("sample_idx = 5"), weights, b))
     assert gated.where("confidence < 0.35").count() == 0 and "driven mainly by" in gated.first().explanation
+    path = staging_path(spark, "model")
+    models.save_model(fitted["logistic"], path)
+    assert models.score(models.load_model(path), df).first().proba == r.proba
     near = attribution.surrogate_attribution(scored.select("run_id", "sample_idx", "risk", "noise", "proba"), ["risk", "noise"]).first()
     assert near.exact is False and abs(near.base - 0.5) < 0.3
 
