@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators.ordered import shuffled_rank
 from runloom.operators.scores import ranking_scores
+from runloom.operators.splits import seeded_sample
 from runloom.operators.stage import staged
 
 RIDGE_ALPHA = 1.0
@@ -37,9 +38,15 @@ def logistic_weights(model: PipelineModel, features: Sequence[str]) -> tuple[dic
     return raw, float(logit.intercept) - sum(raw[f] * m for f, m in zip(features, mean))
 
 
-def surrogate_attribution(scored: DataFrame, features: Sequence[str], proba: str = "proba") -> DataFrame:
+def surrogate_attribution(
+    scored: DataFrame, features: Sequence[str], proba: str = "proba", max_rows: int | None = None,
+    ident: str = "run_id", seed: int = 0,
+) -> DataFrame:
     """Approximate attribution: a ridge fit of the model's own scores on
-    standardised features.  ``exact`` is false to say so."""
+    standardised features.  ``exact`` is false to say so.  ``max_rows`` explains a
+    seeded sample instead of all rows."""
+    if max_rows is not None:
+        scored = seeded_sample(scored, ident, max_rows, seed)
     n = scored.count()
     model = Pipeline(
         stages=[
@@ -82,14 +89,17 @@ def top_drivers(phi: Column, k: int = 8) -> Column:
 
 def permutation_importance(
     rows: DataFrame, ident: str, features: Sequence[str], scorer: Callable[[dict[str, Column]], Column],
-    repeats: int = 5, seed: int = 0, y: str = "y_breach",
+    repeats: int = 5, seed: int = 0, y: str = "y_breach", max_rows: int | None = None,
 ) -> DataFrame:
     """Drop in average precision when one feature is shuffled: mean and standard
     deviation over repeats, on held-out rows.
 
     Each repeat ranks the rows in another seeded order and joins that order to the
     first one, which hands every row a stranger's feature values; the join is on the
-    unique rank, so it is never skewed."""
+    unique rank, so it is never skewed.  Every (feature, repeat) ranks all rows
+    again; ``max_rows`` bounds that by a seeded sample."""
+    if max_rows is not None:
+        rows = seeded_sample(rows, ident, max_rows, seed)
     base = rows.select(ident, F.col(y).alias("y"), F.struct(*features).alias("own"))
     first = staged(shuffled_rank(base, ident, seed))
     own = {f: F.col("own")[f] for f in features}

@@ -175,4 +175,4 @@ def number_samples(
     place = F.col("_before") + F.row_number().over(inside) - 1
     # named here so that the rows are spread by slice, not by run alone
     joined = rows.repartition(run, "_slice").join(offsets, [run, "_slice"])
-    return joined.select(*df.columns, place.cast("int").alias(name))
+    return joined.select(*df.columns, place.cast("long").alias(name))

@@ -20,7 +20,7 @@ def with_(*ctes: str, body: str) -> str:
 
 EV = """ev AS (
   SELECT user_id AS run_id,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS sample_idx,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS sample_idx,
          ts, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events)"""
 SPS = "sps AS (SELECT event_type, round(avg(value), 2) AS sp FROM events GROUP BY event_type)"

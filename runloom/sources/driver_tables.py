@@ -142,7 +142,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_id").cast("string").alias("entry_id"),
             F.when(surfaced, "surfaced").otherwise("response").alias("kind"),
             F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("advisory_id"),
-            (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("timestamp"),
+            (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1000000.0).alias("timestamp"),
             F.when(surfaced, F.element_at(sources, k % 4 + 1)).alias("source"),
             F.when(surfaced, k / 100.0).alias("confidence"),
             F.when(surfaced & (k % 5 != 0), F.col("value") * 10.0).alias("value_usd"),

@@ -16,6 +16,15 @@ def read_ledger_stream(spark: SparkSession, path: str, files_per_trigger: int |
     return reader.json(path)
 
 
+def append_stream(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream of ledger entries to the JSON Lines ledger; the checkpoint
+    keeps what is already written from being written again."""
+    return (
+        entries.select(led.LEDGER.fieldNames()).writeStream.format("json").option("path", path)
+        .option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def _latest(kind: str, *columns: str):
     here = F.col("kind") == kind
     return F.max_by(F.when(here, F.struct("seq", *columns)), F.when(here, F.col("seq"))).alias(kind)

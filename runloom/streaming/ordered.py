@@ -79,7 +79,7 @@ def ordered_stream(
             history = table[len(table) - min(back, len(table)) :] if back else np.empty((0, k))
             if own.any():
                 out = pd.DataFrame(table[own], columns=names)
-                out["sample_idx"] = out["sample_idx"].astype("int32")
+                out["sample_idx"] = out["sample_idx"].astype("int64")
                 out.insert(0, "run_id", np.full(len(out), run, dtype="int64"))
                 for name in added:
                     out[name] = columns[name][own]
@@ -92,6 +92,6 @@ def ordered_stream(
         if time is not None:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 1)
 
-    schema = "run_id long, sample_idx int, " + "".join(f"{v} double, " for v in values) + output
+    schema = "run_id long, sample_idx long, " + "".join(f"{v} double, " for v in values) + output
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
     return keyed.groupBy("run_id", SEG).applyInPandasWithState(step, schema, STATE, "append", timeout)

@@ -10,6 +10,7 @@ from runloom.operators.features import feasible_ramp
 from runloom.operators.stage import staging_path
 from runloom.settings import Economics, SurfacePolicy
 from runloom.sources import files, runs
+from runloom.streaming import ledger as sled
 
 ECON = Economics()
 
@@ -112,6 +113,18 @@ def test_responses_and_files(spark):
     assert back.count() == 2 and led.trust_summary(back).first().acceptance_rate == 1.0
 
 
+def test_streamed_ledger(spark):
+    rows = [("surfaced", f"a{i}", "RISK_MODEL", 0.5, 10.0, None) for i in range(6)] + [("response", f"a{i}", None, None, None, "accepted" if i < 2 else "rejected") for i in range(4)]
+    log_ = log(spark, [*rows, ("response", "a3", None, None, None, "accepted")])
+    source, path, changes = (staging_path(spark, n) for n in ("source", "ledger", "changes"))
+    led.append_ledger(log_.repartition(3), source)
+    for _ in range(2):  # the second run finds nothing new
+        sled.append_stream(sled.read_ledger_stream(spark, source, 1), path, f"{changes}-append").awaitTermination()
+    assert led.read_ledger(spark, path).count() == 11
+    sled.track_latest(sled.read_ledger_stream(spark, path, 1), changes, f"{changes}-track").awaitTermination()
+    assert sled.live_trust(spark, changes).first() == led.trust_summary(log_).first()
+
+
 def test_text(spark):
     r = spark.range(1).select(
         text.one_line(F.lit("a\tb \x00 c   d"), 24).alias("a"), text.one_line(F.lit("abcdefgh"), 5).alias("b"),
