@@ -12,7 +12,7 @@ from runloom.operators import advice, ledger as led
 from runloom.operators.stage import staged, staging_path
 from runloom.plans.oracle_base import LATEST, LEDGER, d, with_
 from runloom.plans.registry import Registry
-from runloom.settings import ECONOMICS_BOUNDS, Economics, PlanBounds
+from runloom.settings import Economics
 from runloom.sources import driver_tables as dt
 
 R = Registry()
@@ -180,8 +180,6 @@ R.add(
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of a part as tried plans; the first line is the baseline."""
-    from pyspark.sql import Window as W
-
     rows = dt.read(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("run_id"), "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice",
         (F.col("l_extendedprice") / F.col("l_quantity") / 99.7).alias("off_spec_minutes"), F.col("l_extendedprice").alias("max_abs_dev_pct"),

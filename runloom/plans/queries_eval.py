@@ -12,7 +12,7 @@ from runloom.operators.features import next_breach, trailing
 from runloom.operators.segments import over_runs
 from runloom.operators.stage import staged
 from runloom.plans import queries_runs as qr
-from runloom.plans.oracle_base import BAND, BASE, EV, GRADES, PLANS, SCORED, WIDE, W, d, with_
+from runloom.plans.oracle_base import BASE, EV, GRADES, PLANS, SCORED, W, d, with_
 from runloom.plans.registry import Registry
 from runloom.sources import driver_tables as dt
 from runloom.sources.driver_tables import SPEC

@@ -15,7 +15,7 @@ from runloom.plans.oracle_base import BASE, DAY_TAGS, SCORED, TYPES, d, with_
 from runloom.plans.registry import Registry
 from runloom.settings import ForecastSpec
 from runloom.sources import driver_tables as dt
-from runloom.sources import files, runs
+from runloom.sources import files
 from runloom.sources.driver_tables import SPEC
 
 R = Registry()

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.dims import DV_BOUNDS, DV_NOMINAL, DV_TAGS, ENVELOPE, MV_TAGS, SLEW_LIMITS
-from runloom.functions import numeric, series, sheet
+from runloom.dims import DV_NOMINAL, DV_TAGS, ENVELOPE, MV_TAGS, SLEW_LIMITS
+from runloom.functions import series, sheet
 from runloom.functions.numeric import clip, flag, rounded
 from runloom.operators import features as feat
 from runloom.operators import labels as lab
 from runloom.operators import targets
 from runloom.operators.segments import over_runs
 from runloom.plans import oracle_base as ob
-from runloom.plans.oracle_base import BAND, BASE, EV, GRADES, PLANS, SPS, WIDE, S, d, with_
+from runloom.plans.oracle_base import BAND, BASE, EV, GRADES, PLANS, WIDE, d, with_
 from runloom.plans.registry import Registry
 from runloom.sources import driver_tables as dt
 from runloom.sources import runs
