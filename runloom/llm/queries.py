@@ -5,11 +5,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runloom.llm import quality, urls, winnow
 from runloom.llm.mixing import mix
 from runloom.llm.packing import pack
 from runloom.llm.tables import table
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -18,5 +27,18 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op9_source_mix)}
-ORACLES: dict[str, str] = {}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_document_fingerprints,
+        op4_url_filters,
+        op6_best_fit_packing,
+        op9_source_mix,
+        op10_quality_classifier,
+    )
+}
+ORACLES: dict[str, str] = {"op4_url_filters": urls.ORACLE}
