@@ -56,10 +56,11 @@ def _bits(key: Column) -> Column:
 def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     """block, words: eight 64-bit words of every block in which ``keys.key`` sets bits."""
     bit = F.col("_bit")
+    one = F.expr("shiftleft(1L, cast(_bit % 64 AS int))")
     word = (
         keys.select(_block(F.col("key"), blocks).alias("block"), F.explode(_bits(F.col("key"))).alias("_bit"))
         .groupBy("block", F.floor(bit / 64).alias("_word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("_set"))
+        .agg(F.bit_or(one).alias("_set"))
     )
     at = lambda i: F.coalesce(F.max(F.when(F.col("_word") == i, F.col("_set"))), F.lit(0).cast("long"))
     return word.groupBy("block").agg(F.array(*[at(i) for i in range(BITS // 64)]).alias("words"))
@@ -67,8 +68,8 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
 
 def possible(words: str, key: str) -> Column:
     """All bits of the key set in its block?"""
-    hit = lambda b: F.shiftrightunsigned(F.get(words, F.floor(b / 64).cast("int")), b % 64).bitwiseAND(F.lit(1).cast("long")) == 1
-    return F.forall(_bits(F.col(key)), hit)
+    bits = f"transform(sequence(1, {PER_KEY}), i -> cast(pmod(xxhash64({key}, i), {BITS}) AS int))"
+    return F.expr(f"forall({bits}, b -> (shiftrightunsigned(get({words}, b div 64), b % 64) & 1L) = 1L)")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:

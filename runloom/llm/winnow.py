@@ -33,25 +33,29 @@ CELLS = 512
 ROWS_PER_SUBCELL = 20_000
 
 
+def _joined(values: str, ahead: int):
+    """Hash of a run and of the run ``ahead`` words later, as one."""
+    lift = pow(_BASE, ahead, _PRIME)
+    return lambda x, at: F.pmod(x * F.lit(lift) + F.coalesce(F.get(values, at + ahead), F.lit(0)), F.lit(_PRIME))
+
+
+def _smaller(values: str, ahead: int):
+    """The smaller of an entry and the one ``ahead`` later; past the end get() is null,
+    which least() leaves out."""
+    return lambda x, at: F.least(x, F.get(values, at + ahead))
+
+
 def with_winnowed(df: DataFrame, text: str, out: str, grams: int = GRAM_DOUBLINGS, windows: int = WINDOW_DOUBLINGS) -> DataFrame:
     """Add ``out``: the kept entries of column ``text``, hash * 2^31 + (2^31 - 1 - position)."""
     k, w, tmp = 1 << grams, 1 << windows, f"_{out}"
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     df = df.withColumn(tmp, F.transform(words, lambda x: F.pmod(F.hash(x).cast("long"), F.lit(_PRIME))))
     for i in range(grams):
-        lift = pow(_BASE, 1 << i, _PRIME)
-        df = df.withColumn(
-            tmp,
-            F.transform(
-                tmp,
-                lambda x, at, i=i, lift=lift: F.pmod(x * F.lit(lift) + F.coalesce(F.get(tmp, at + (1 << i)), F.lit(0)), F.lit(_PRIME)),
-            ),
-        )
+        df = df.withColumn(tmp, F.transform(tmp, _joined(tmp, 1 << i)))
     whole = F.greatest(F.size(tmp) - (k - 1), F.least(F.size(tmp), F.lit(1)))
     df = df.withColumn(tmp, F.transform(F.slice(tmp, F.lit(1), whole), lambda x, at: x * F.lit(_POSITIONS) + (F.lit(_POSITIONS - 1) - at)))
     for i in range(windows):
-        # past the end get() is null, which least() leaves out
-        df = df.withColumn(tmp, F.transform(tmp, lambda x, at, i=i: F.least(x, F.get(tmp, at + (1 << i)))))
+        df = df.withColumn(tmp, F.transform(tmp, _smaller(tmp, 1 << i)))
     full = F.greatest(F.size(tmp) - (w - 1), F.least(F.size(tmp), F.lit(1)))
     return df.withColumn(out, F.array_distinct(F.slice(tmp, F.lit(1), full))).drop(tmp)
 
