@@ -5,12 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import quality, toxicity, urls, winnow, wrappers
+from runloom.llm import jaccard, quality, toxicity, urls, winnow, wrappers
 from runloom.llm.mixing import mix
 from runloom.llm.packing import pack
 from runloom.llm.tables import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_html_extraction,
         op3_document_fingerprints,
         op4_url_filters,
