@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import jaccard, quality, toxicity, urls, winnow, wrappers
+from runloom.llm import jaccard, quality, toxicity, urls, vectors, winnow, wrappers
 from runloom.llm.mixing import mix
 from runloom.llm.packing import pack
 from runloom.llm.tables import table
@@ -35,6 +35,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
         op4_url_filters,
         op5_toxicity,
         op6_best_fit_packing,
+        op7_embedding_near_dedup,
         op9_source_mix,
         op10_quality_classifier,
     )
