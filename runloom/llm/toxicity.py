@@ -22,12 +22,15 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.llm.arrays import mixed, powers
+
 PER_CLASS = 5000
 LEXICON = 800
 FOLDS, HELD_OUT = 5, 0
@@ -147,8 +150,10 @@ def squeezed(word: str) -> str:
 
 @dataclass
 class Restorer:
+    """Decodes suspicious spans; remembers those it has seen."""
+
     costs: np.ndarray
-    most: int = 200_000
+    most: int = 100_000
     known: dict[str, str] = field(default_factory=dict)
 
     def span(self, m: re.Match) -> str:
@@ -164,8 +169,109 @@ class Restorer:
     def __call__(self, text: str | None) -> str:
         return SUSPICIOUS.sub(self.span, (text or "").lower())
 
-    def words(self, text: str | None) -> set[str]:
-        return set(WORD.findall(self(text)))
+
+@dataclass
+class Lines:
+    """Lower-case texts of a batch as one array of code points, with a line break after
+    each, and what may be hidden writing in them."""
+
+    joined: str
+    points: np.ndarray
+    letter: np.ndarray
+    border: np.ndarray  # first code point of each text
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.border, at, side="right") - 1
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of tokens and of runs of single characters that may hide a
+        word; SUSPICIOUS then looks closer."""
+        p, letter = self.points, self.letter
+        code = np.minimum(p, 255).astype(np.uint8)
+        code[p > 255] = 0
+        leet, last, joint = _IS_LEET[code] | (p == 0x20AC), _IS_LAST[code], _IS_JOINT[code]
+        solid = ~_IS_SPACE[code]
+        start = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
+        end = np.flatnonzero(solid & ~np.r_[solid[1:], False]) + 1
+        if not len(start):
+            return start, end
+        after = lambda x, k: np.r_[x[k:], np.zeros(k, x.dtype)]
+        same = letter & (p == after(p, 1))
+        odd = leet & after(letter, 1)
+        odd |= letter & after(last, 1) & (~after(solid, 2) | (after(last, 2) & ~after(solid, 3)))
+        odd |= same & after(same, 1)
+        odd |= letter & after(joint, 1) & after(letter, 2) & after(joint, 3)
+        token = np.unique(np.searchsorted(start, np.flatnonzero(odd), side="right") - 1)
+        lone = (end - start == 1) & (letter[start] | leet[start])
+        beside = lone[:-1] & lone[1:] & (start[1:] - end[:-1] <= 2) & (p[end[:-1]] == 32)
+        head = np.flatnonzero(beside & ~np.r_[False, beside[:-1]])
+        tail = np.flatnonzero(beside & ~np.r_[beside[1:], False]) + 1
+        long = tail - head >= 2
+        return np.r_[start[token], start[head[long]]], np.r_[end[token], end[tail[long]]]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(self.letter & ~np.r_[False, self.letter[:-1]])
+        end = np.flatnonzero(self.letter & ~np.r_[self.letter[1:], False]) + 1
+        return start, end
+
+
+def _byte_set(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+_IS_LEET = _byte_set("".join(c for c in LEET if ord(c) < 256))
+_IS_LAST = _byte_set("0123456789@$+")
+_IS_JOINT = _byte_set(" .-_*")
+_IS_SPACE = _byte_set(" \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0")
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    every = np.zeros(0x110000, bool)
+    every[[c for c in range(0x110000) if chr(c).isalpha()]] = True
+    return every
+
+
+def read_lines(texts: list[str | None]) -> Iterator[tuple[int, int, Lines]]:
+    """Stretches of whole texts of about CHARS_PER_CHUNK characters."""
+    at = 0
+    while at < len(texts):
+        n = size = 0
+        part = []
+        while at + n < len(texts) and (not n or size < CHARS_PER_CHUNK):
+            part.append((texts[at + n] or "").lower())
+            size += len(part[-1])
+            n += 1
+        joined = "\n".join([*part, ""])
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        border = np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
+        yield at, at + n, Lines(joined, points, _letters()[points], border)
+        at += n
+
+
+def hidden_words(lines: Lines, restore: Restorer) -> Iterator[tuple[int, str]]:
+    """(row of the stretch, word) for the words read out of suspicious spans."""
+    start, end = lines.spans()
+    for row, s, e in zip(lines.rows(start).tolist(), start.tolist(), end.tolist()):
+        found = lines.joined[s:e]
+        read = restore(found)
+        if read != found:
+            for word in WORD.findall(read):
+                yield row, word
+
+
+def word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points + np.uint64(1)) * up[:-1], dtype=np.uint64, out=total[1:])
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def one_hash(word: str) -> int:
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(word_hashes(points, np.array([0]), np.array([len(points)]))[0])
 
 
 @dataclass
@@ -173,9 +279,33 @@ class Model:
     bias: float
     weights: dict[str, float]
 
-    def score(self, words: set[str]) -> float:
-        z = self.bias + sum(self.weights[w] for w in words & self.weights.keys())
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+    def scores(self, texts: list[str | None], restore: Restorer) -> np.ndarray:
+        """A text's lexicon words count once each, written openly or hidden."""
+        lexicon = list(self.weights)
+        keys = np.array([one_hash(w) for w in lexicon], np.uint64)
+        order = np.argsort(keys)
+        keys, weight = keys[order], np.array([self.weights[w] for w in lexicon])[order]
+        place = {lexicon[i]: k for k, i in enumerate(order.tolist())}
+        z = np.full(len(texts), self.bias)
+        for a, b, lines in read_lines(texts) if lexicon else ():
+            start, end = lines.words()
+            h = word_hashes(lines.points, start, end)
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[k] == h
+            used = [lines.rows(start[hit]) * len(keys) + k[hit]]
+            hidden = [row * len(keys) + place[w] for row, w in hidden_words(lines, restore) if w in place]
+            used = np.unique(np.concatenate([*used, np.array(hidden, np.int64)]))
+            np.add.at(z, a + used // len(keys), weight[used % len(keys)])
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def word_sets(texts: list[str | None], restore: Restorer) -> list[list[str]]:
+    """Distinct restored words of each text."""
+    out = [set(WORD.findall((t or "").lower())) for t in texts]
+    for a, _, lines in read_lines(texts):
+        for row, word in hidden_words(lines, restore):
+            out[a + row].add(word)
+    return [sorted(w) for w in out]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -204,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, per_class: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(costs)
         for batch in batches:
-            words = [sorted(restore.words(t)) for t in batch.column(0).to_pylist()]
+            words = word_sets(batch.column(0).to_pylist(), restore)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
     # the list of ids is bounded by its limits, so a broadcast is safe
@@ -240,7 +370,7 @@ def score(docs: DataFrame, model: Model, costs: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(costs)
         for batch in batches:
-            s = [model.score(restore.words(t)) for t in batch.column(at).to_pylist()]
+            s = model.scores(batch.column(at).to_pylist(), restore)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*names, "toxicity"])
 
     return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add("toxicity", "double"))
