@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import jaccard, quality, toxicity, urls, vectors, winnow, wrappers
+from runloom.llm import jaccard, lines, quality, toxicity, urls, vectors, winnow, wrappers
 from runloom.llm.mixing import mix
 from runloom.llm.packing import pack
 from runloom.llm.tables import table
@@ -39,6 +39,11 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.remove_repeats(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
         op5_toxicity,
         op6_best_fit_packing,
         op7_embedding_near_dedup,
+        op8_line_dedup,
         op9_source_mix,
         op10_quality_classifier,
     )
