@@ -17,6 +17,10 @@ Jaccard distance d = 1 - similarity is a metric.  With r = 1 - threshold:
    Where windows hold nearly everybody (pivots do not part the region), the region is
    compared in pairs of blocks instead; the result is the same.
 
+Before any set travels, a sketch (parities of the shingles in 1024 slots, which differ in
+at most as many slots as the sets differ in shingles) and the sizes tell who can have a
+partner in a region at all; the others leave it.
+
 Only edges of a spanning forest leave a task, never all pairs of a group.  Equal sets
 are one member, whatever the number of their documents.
 
@@ -44,6 +48,8 @@ WORDS, PERCENT = 4, 85
 REGION = 512
 FAN_OUT = 16
 CELLS_PER_BUCKET = 2_000_000
+SIFT_BLOCK = 2048
+SKETCH_BITS = 1024
 _GROWTH = 1.3
 _SLACK = 1.42
 
@@ -135,18 +141,59 @@ def cells(offsets: np.ndarray, grams: np.ndarray, percent: int) -> tuple[np.ndar
     return np.concatenate(out_row), np.concatenate(out_cell)
 
 
+def sketches(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Per set, one bit per slot: is the number of its shingles there odd?"""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    slot = (mixed(grams + np.uint64(5)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(row * SKETCH_BITS + slot, minlength=n * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+
+
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set_id, n_shingles."""
+    """doc_id, set_id, n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, offsets, grams in shingle_sets(batch.column(1), k):
                 n = len(offsets) - 1
+                sketch = [r.tobytes() for r in sketches(offsets, grams)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(set_ids(offsets, grams)), pa.array(np.diff(offsets))], names=["doc_id", "set_id", "n_shingles"]
+                    [batch.column(0).slice(a, n), pa.array(set_ids(offsets, grams)), pa.array(np.diff(offsets)), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "set_id", "n_shingles", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n_shingles long, sketch binary")
+
+
+def sift(members: DataFrame, percent: int, block: int = SIFT_BLOCK) -> DataFrame:
+    """region, id of the members (region, id, size, n_shingles, sketch) that may have a
+    partner in their region, by sizes and sketches."""
+
+    def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        mine, lo, hi = table.column("mine").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        n = table.column("n_shingles").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+        keep = np.zeros(len(n), bool)
+        for s in range(0, len(left), 64) if len(right) else ():
+            part = left[s : s + 64]
+            differ = np.zeros((len(part), len(right)), np.int64)
+            for w in range(bits.shape[1]):
+                differ += np.bitwise_count(bits[part, w][:, None] ^ bits[right, w][None, :])
+            a, b = n[part][:, None], n[right][None, :]
+            may = ((100 + percent) * differ <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            may &= part[:, None] != right[None, :]
+            keep[part[may.any(1)]] = True
+            keep[right[may.any(0)]] = True
+        yield table.select(["region", "id"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else _empty("region", "id")
+
+    rows = in_blocks(members, "region", "size", block).select("region", "lo", "hi", "mine", "id", "n_shingles", "sketch")
+    return grouped(rows, ["region", "lo", "hi"], kernel, "region long, id long").distinct()
+
+
+def _empty(*names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([], pa.int64()) for _ in names], names=list(names))
 
 
 def region_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -379,12 +426,14 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, region: int
     sets = staged(document_sets(docs, k))
     shingles = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = 1 << max(6, math.ceil(math.log2(1 + shingles / CELLS_PER_BUCKET)))
-    pairs = staged(region_members(docs, k, percent, buckets))
-    sizes = pairs.groupBy("pivot").agg((F.count("*") + 1).alias("size"))
-    inside = pairs.select(F.col("pivot").alias("region"), "id").union(pairs.select("pivot", "pivot").distinct())
-    wanted = inside.select(F.col("id").alias("set_id")).distinct().join(sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
-    payload = staged(set_payload(docs, wanted.select("doc_id", F.col("set_id").alias("id")), k))
-    members = inside.join(payload, "id").join(sizes.withColumnRenamed("pivot", "region"), "region")
+    pairs = staged(region_members(docs, k, percent, buckets).select(F.col("pivot").alias("region"), "id"))
+    sizes = pairs.groupBy("region").agg((F.count("*") + 1).alias("size"))
+    inside = pairs.union(pairs.select("region", "region").distinct()).join(sizes, "region")
+    one = sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("of")).select(F.col("set_id").alias("id"), "of.*")
+    met = staged(sift(inside.join(one.drop("doc_id"), "id"), percent))
+    wanted = met.select("id").distinct().join(one.select("id", "doc_id"), "id")
+    payload = staged(set_payload(docs, wanted, k))
+    members = met.join(met.groupBy("region").agg(F.count("*").alias("size")), "region").join(payload, "id")
     labels = components(link_edges(members, percent, region))
     labelled = sets.where("n_shingles > 0").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
