@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).withColumn("uses", F.round(F.col("taken") / F.col("size")).cast("int")).where("uses > 0")
+    taken = mixing.mix(docs).withColumn("uses", F.round(F.try_divide("taken", "size")).cast("int")).where("uses > 0")
     taken = taken.groupBy("doc_id").agg(F.max("uses").alias("uses"))
     return docs.join(taken, "doc_id").withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(*COLUMNS)
 

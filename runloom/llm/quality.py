@@ -171,8 +171,9 @@ def _collected(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]
     # the list is bounded by its limits, so a broadcast is safe
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "tag")
     rows = picked.mapInArrow(run, "x binary, tag int").collect()
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), -1)
-    return x, np.array([r.tag for r in rows])
+    if not rows:
+        return features(pa.array([], pa.string())), np.zeros(0, int)
+    return np.stack([np.frombuffer(r.x, np.float32) for r in rows]), np.array([r.tag for r in rows])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, calibration: int = CALIBRATION) -> Model:
