@@ -17,6 +17,8 @@ any other (0).  Repeated rows repeat; extra columns are ignored or carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,9 +85,10 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, values: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add ``next_<value>`` from the next row by descending doc_id (ties by text; after
-    the last row the first).  ``docs`` has doc_id, text and the values.
+    the last row the first).  ``docs`` has doc_id and text; ``derive`` adds further
+    values behind the shuffle, so that only texts travel.
 
     Ids are cut into cells at their approximate percentiles (a bounded list), large
     cells again by equal steps, so a window only ever orders one cell.  The last row of
@@ -119,15 +122,17 @@ def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
         docs.join(chain.select(F.col("_top").alias("doc_id")), "doc_id")
         .withColumn("_rank", F.row_number().over(by_text))
         .where("_rank = 1")
+        .transform(derive)
         .select(F.col("doc_id").alias("_next_top"), *[F.col(v).alias(f"_head_{v}") for v in values])
         .join(chain.select("_cell", "_next_top"), "_next_top")
         .drop("_next_top")
     )
     inside = W.partitionBy("_cell").orderBy(F.col("doc_id").desc(), "text")
-    after = celled(docs).withColumn("_after", F.lead(F.struct(*values)).over(inside))
+    rows = celled(docs).repartition("_cell").transform(derive)
+    after = rows.withColumn("_after", F.lead(F.struct(*values)).over(inside))
     return (
         after.join(heads, "_cell", "left")
-        .select(*docs.columns, *[F.when(F.col("_after").isNotNull(), F.col("_after")[v]).otherwise(F.col(f"_head_{v}")).alias(f"next_{v}") for v in values])
+        .select(*[c for c in rows.columns if c != "_cell"], *[F.when(F.col("_after").isNotNull(), F.col("_after")[v]).otherwise(F.col(f"_head_{v}")).alias(f"next_{v}") for v in values])
     )
 
 
@@ -136,8 +141,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     points replaced by as many of the next document's first), with their likeness to
     each other and to the next document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = with_winnowed(texts, "text", "kept")
-    rows = with_next(texts, ["text", "kept"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(texts, ["text", "kept"], lambda df: with_winnowed(df, "text", "kept")).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn(
         "edited",
