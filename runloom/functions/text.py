@@ -21,23 +21,17 @@ def fixed(x: Column, digits: int) -> Column:
 
 def explain_risk(probability: Column, drivers: Column, top: int = 3) -> Column:
     """``drivers``: array of (feature, phi) structs, strongest first."""
-    base = F.concat(
-        F.lit("Risk model estimates "), percent(probability),
-        F.lit(" probability of an off-spec breach within the horizon"),
-    )
-    named = F.transform(
-        F.slice(drivers, 1, top), lambda s: F.concat(s["feature"], F.lit(" ("), signed(s["phi"], 3), F.lit(")"))
-    )
-    return F.when(F.coalesce(F.size(drivers), F.lit(0)) <= 0, F.concat(base, F.lit("."))).otherwise(
-        F.concat(base, F.lit(", driven mainly by "), F.array_join(named, ", "), F.lit("."))
+    named = F.transform(F.slice(drivers, 1, top), lambda s: F.concat(s["feature"], F.lit(" "), signed(s["phi"], 3)))
+    some = F.coalesce(F.size(drivers), F.lit(0)) > 0
+    return F.concat(
+        F.lit("Breach risk "), percent(probability), F.when(some, F.concat(F.lit("; drivers: "), F.array_join(named, ", "))).otherwise(""),
     )
 
 
 def explain_link(cause: Column, effect: Column, lag_min: Column, r: Column, mi: Column, known: Column) -> Column:
-    kind = F.when(known, "a known").otherwise("a newly discovered")
     return F.concat(
-        cause, F.lit(" leads "), effect, F.lit(" by "), fixed(lag_min, 2), F.lit(" min (r="), signed(r, 2),
-        F.lit(", MI="), fixed(mi, 2), F.lit(") -- "), kind, F.lit(" relationship."),
+        F.when(known, "Known link: ").otherwise("New link: "), effect, F.lit(" follows "), cause, F.lit(" after "), fixed(lag_min, 2),
+        F.lit(" min; correlation "), signed(r, 2), F.lit(", mutual information "), fixed(mi, 2),
     )
 
 
@@ -45,30 +39,16 @@ def explain_plan(
     old_ramp: Column, new_ramp: Column, lead: Column, tau: Column, saved_min: Column, source: Column,
     floor_min: Column, actuator: Column,
 ) -> Column:
-    change = F.concat(
-        F.lit("Adjusting the ramp from "), fixed(old_ramp, 1), F.lit(" to "), fixed(new_ramp, 1),
-        F.lit(" min (lead x"), fixed(lead, 2), F.lit(", trim tau_c x"), fixed(tau, 2), F.lit(")"),
-    )
-    forced = F.concat(
-        change, F.lit(" is required: the requested ramp is below the "), fixed(floor_min, 1), F.lit(" min the "),
-        actuator, F.lit(" actuator can physically deliver for this transition. Predicted to reduce off-spec time by "),
-        fixed(saved_min, 2), F.lit(" min."),
-    )
-    chosen = F.concat(
-        change, F.lit(" is predicted to reduce off-spec time by "), fixed(saved_min, 2), F.lit(" min on the twin.")
+    limit = F.concat(F.lit("; "), actuator, F.lit(" needs "), fixed(floor_min, 1), F.lit(" min"))
+    return F.concat(
+        F.lit("Ramp "), fixed(old_ramp, 1), F.lit(" -> "), fixed(new_ramp, 1), F.lit(" min, lead x "), fixed(lead, 2), F.lit(", trim x "),
+        fixed(tau, 2), F.when(source == "RECIPE_LIMIT", limit).otherwise(""), F.lit("; off-spec time saved: "), fixed(saved_min, 2), F.lit(" min"),
     )
-    return F.when(source == "RECIPE_LIMIT", forced).otherwise(chosen)
 
 
 def explain_knob(knob: Column, direction: Column, delta: Column, saved_min: Column) -> Column:
-    return F.when(
-        direction == "none", F.concat(knob, F.lit(": neither probed direction improves settling time."))
-    ).otherwise(
-        F.concat(
-            knob, F.lit(" "), direction, F.lit(" of "), fixed(F.abs(delta), 2),
-            F.lit(" is predicted to cut settling time by "), fixed(saved_min, 2), F.lit(" min."),
-        )
-    )
+    tried = F.concat(F.lit(": "), direction, F.lit(" by "), fixed(F.abs(delta), 2), F.lit(", settling gains "), fixed(saved_min, 2), F.lit(" min"))
+    return F.concat(knob, F.when(direction == "none", ": leave as it is, no probe settles sooner").otherwise(tried))
 
 
 def utc_text(epoch_s: Column) -> Column:

@@ -205,6 +205,17 @@ def sensitivity(
     )
 
 
+def sensitivity_rejects(rows: DataFrame, unit: Sequence[str] = ("run_id", "parameter")) -> DataFrame:
+    """Units that :func:`sensitivity` can't rank: without a baseline or a probe."""
+    baseline, probe = F.bool_or(F.col("delta") == 0), F.bool_or(F.col("delta") != 0)
+    return (
+        rows.groupBy(*unit)
+        .agg(F.count(F.lit(1)).alias("n_tries"), baseline.alias("_b"), probe.alias("_p"))
+        .where(~(F.col("_b") & F.col("_p")))
+        .select(*unit, "n_tries", F.when(F.col("_b"), "no probe").otherwise("no baseline").alias("reason"))
+    )
+
+
 def improvement_summary(rows: DataFrame, saved: str, value: str, source: str = "source", least: float = 1e-6) -> DataFrame:
     """Success rate, spread of the minutes saved, value totals, counts by source;
     rows without an outcome count as skipped."""

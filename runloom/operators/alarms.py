@@ -17,27 +17,29 @@ from runloom.operators.segments import OWN, SEG, SEGMENT_ROWS, over_runs
 # The default grids of thresholds and on-delays.
 FINE_THRESHOLDS = tuple(round(0.20 + 0.025 * i, 4) for i in range(27))
 COARSE_THRESHOLDS = tuple(round(0.20 + 0.05 * i, 4) for i in range(14))
+RETUNE_THRESHOLDS = tuple(round(0.05 + 0.05 * i, 4) for i in range(19))
 DELAYS = (1, 2, 3, 4, 6)
 UNCONFIRMED_GAP = 1e-9
 
 
-def held_score(proba: Column, delay: int, w, position: str = "sample_idx", start: int = 0) -> Column:
-    """Lowest score of the last ``delay`` samples, NULL while fewer exist.  An
-    alarm at any threshold is confirmed exactly when this reaches it."""
+def held_score(proba: Column, delay: int, w) -> Column:
+    """Lowest score of the last ``delay`` rows of the run, NULL while there are
+    fewer, wherever the run's rows begin.  An alarm at any threshold is confirmed
+    exactly when this reaches it; a missing score never confirms one."""
     if delay <= 1:
         return proba
-    full = F.col(position) >= start + delay - 1
-    return F.when(full, F.min(proba).over(w.rowsBetween(-(delay - 1), 0)))
+    frame = w.rowsBetween(-(delay - 1), 0)
+    return F.when(F.count(proba).over(frame) == delay, F.min(proba).over(frame))
 
 
 def confirm(
-    rows: DataFrame, threshold: float, delay: int, proba: str = "proba", start: int = 0, size: int = SEGMENT_ROWS
+    rows: DataFrame, threshold: float, delay: int, proba: str = "proba", size: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Add ``alarm``: the score has reached the threshold on ``delay`` samples in
-    a row.  ``start`` is the position of a run's first row (after a warm-up cut)."""
+    a row."""
 
     def build(part, w):
-        held = held_score(F.col(proba), delay, w, start=start)
+        held = held_score(F.col(proba), delay, w)
         return part.withColumn("alarm", F.coalesce(held >= threshold, F.lit(False)))
 
     return over_runs(rows, build, back=max(delay - 1, 0), size=size)
@@ -100,7 +102,7 @@ def warning_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    rows: DataFrame, threshold: float, delay: int = 1, in_spec_only: bool = True, start: int = 0,
+    rows: DataFrame, threshold: float, delay: int = 1, in_spec_only: bool = True,
 ) -> DataFrame:
     """One row: classification on in-spec rows with the on-delay applied first,
     ranking scores on raw scores, early warning on all rows.  Brier and ROC-AUC of
@@ -108,7 +110,7 @@ def evaluate(
 
     The samples are counted once by (score, alarm, label, in spec); every score
     below is computed from those counts."""
-    judged = confirm(rows, threshold, delay, start=start)
+    judged = confirm(rows, threshold, delay)
     clean = (F.col("currently_off_spec") == 0) if in_spec_only else F.lit(True)
     counts = staged(
         judged.groupBy("proba", "alarm", "y_breach", clean.alias("kept")).agg(F.count(F.lit(1)).alias("n"))
@@ -167,7 +169,6 @@ def sweep(
     thresholds: Sequence[float] = FINE_THRESHOLDS,
     delays: Sequence[int] = DELAYS,
     by: Sequence[str] = (),
-    start: int = 0,
     size: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """All operating points at once.
@@ -183,7 +184,7 @@ def sweep(
     def build(part, w):
         w = W.partitionBy(*by, "run_id", SEG).orderBy("sample_idx")
         helds = [
-            F.struct(F.lit(d).alias("delay"), held_score(F.col("proba"), d, w, start=start).alias("held")) for d in delays
+            F.struct(F.lit(d).alias("delay"), held_score(F.col("proba"), d, w).alias("held")) for d in delays
         ]
         return part.select(*by, "run_id", "t_min", "currently_off_spec", "y_breach", OWN, SEG, F.array(*helds).alias("_h"))
 
@@ -287,10 +288,12 @@ def retune(points: DataFrame, current: float) -> DataFrame:
             )
         ).alias("_g")
     )
-    now = F.filter("_g", lambda p: p["threshold"] == F.lit(current))[0]
+    # the current threshold need not be on the grid: its nearest point stands for it
+    gap = F.transform("_g", lambda p: F.struct(F.round(F.abs(p["threshold"] - F.lit(float(current))), 9).alias("gap"), p["threshold"].alias("at"), p.alias("point")))
+    now = F.array_min(gap)["point"]
     ok = F.filter(
         "_g",
-        lambda p: (p["threshold"] != F.lit(current))
+        lambda p: (p["threshold"] != F.col("_now.threshold"))
         & (p["det"] >= F.col("_now.det") - DETECTION_SLACK)
         & (p["warn"] >= F.col("_now.warn")),
     )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators.models import input_stages
 from runloom.operators.ordered import shuffled_rank
 from runloom.operators.scores import ranking_scores
 from runloom.operators.splits import seeded_sample
@@ -50,7 +51,7 @@ def surrogate_attribution(
     n = scored.count()
     model = Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="skip"),
+            *input_stages(features),
             StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True),
             LinearRegression(featuresCol="z", labelCol=proba, elasticNetParam=0.0, regParam=RIDGE_ALPHA / max(n, 1), standardization=False),
         ]

@@ -63,6 +63,19 @@ def breach_labels(
 
 # ---- per-run context ------------------------------------------------------
 
+def grade_rejects(meta: DataFrame, grades: DataFrame) -> DataFrame:
+    """Runs whose grades are missing from the grade table, one row per run and end
+    (``from_grade``, ``to_grade``): the check to run before building features."""
+    ends = meta.select("run_id", F.explode(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).alias("code")) for c in ("from_grade", "to_grade")])).alias("_e"))
+    return ends.select("run_id", "_e.*").join(grades.select("code"), "code", "left_anti").select("run_id", "end", "code")
+
+
+def _or_error(found: str, kind: str, key: str) -> Column:
+    """The joined value; a missing one stops the job and names the key."""
+    told = F.concat(F.lit(f"unknown {kind}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    return F.coalesce(F.col(found), F.raise_error(told))
+
+
 def feasible_ramp(meta: DataFrame, grades: DataFrame) -> DataFrame:
     """Shortest ramp the actuator limits of the destination grade permit, the
     actuator that sets it (first listed wins a tie, '' if nothing has to move) and
@@ -85,8 +98,9 @@ def feasible_ramp(meta: DataFrame, grades: DataFrame) -> DataFrame:
     )
     floor = F.col("_worst")["minutes"]
     return (
-        meta.join(a, "from_grade")
-        .join(b, "to_grade")
+        meta.join(a, "from_grade", "left")
+        .join(b, "to_grade", "left")
+        .withColumns({"_mv_from": _or_error("_mv_from", "grade", "from_grade"), "_mv_to": _or_error("_mv_to", "grade", "to_grade")})
         .withColumn("_worst", F.array_max(needs))
         .withColumn("min_ramp_min", floor)
         .withColumn("binding_actuator", F.when(floor > 0, F.col("_worst")["tag"]).otherwise(""))
@@ -106,9 +120,9 @@ def run_context(meta: DataFrame, grades: DataFrame) -> DataFrame:
     b = grades.select(F.col("code").alias("to_grade"), *[F.col(c).alias(f"b_{c}") for c in [*targets, *limits]])
     goal = grade_setpoints("b_")
     return (
-        feasible_ramp(meta, grades)
-        .join(a, "from_grade")
-        .join(b, "to_grade")
+        feasible_ramp(meta, grades)  # stops at an unknown grade
+        .join(a, "from_grade", "left")
+        .join(b, "to_grade", "left")
         .select(
             "run_id", "from_grade", "to_grade", "primary_cause", "plan_ramp_min", "plan_lead_scale",
             "plan_tau_c_scale", flag(F.col("plan_trim_enabled")).alias("plan_trim_enabled"),
@@ -244,7 +258,10 @@ def wide_features(
         .withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / F.lit(size)))))
         .drop("_last")
     )
-    return rows.join(context, ["run_id", SEG]).select(
+    joined = rows.join(context.withColumn("_known", F.lit(True)), ["run_id", SEG], "left")
+    told = F.raise_error(F.concat(F.lit("unknown run: "), F.col("run_id").cast("string")))
+    run = F.when(F.col("_known"), F.col("run_id")).otherwise(told.cast(samples.schema["run_id"].dataType))
+    return joined.withColumn("run_id", run).select(
         *IDENTIFIERS,
         *as_columns(feature_expressions(spec)),
         F.col("_gap").isNotNull().cast("int").alias("y_breach"),

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators.models import input_stages
 from runloom.operators.ordered import exact_percentiles
 from runloom.operators.splits import rows_of
 from runloom.operators.targets import sorted_quantiles, target_name
@@ -36,13 +36,15 @@ def fit_cone(
     for h in spec.horizons_min:
         y = target_name(h)
         stages = [
-            VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="skip"),
+            *input_stages(features),
             GBTRegressor(featuresCol="raw", labelCol=y, lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed),
         ]
         model = Pipeline(stages=stages).fit(train.where(F.col(y).isNotNull()))
         left = model.transform(val.where(F.col(y).isNotNull())).select((F.col(y) - F.col("prediction")).alias("residual"))
         found = exact_percentiles(left, "residual", {column(q): q for q in spec.quantiles}).first()
-        cone[h] = (model, {q: (found[column(q)] or 0.0) if found else 0.0 for q in spec.quantiles})
+        if found is None or found[column(spec.quantiles[0])] is None:
+            raise ValueError(f"no calibration rows with a target {h} min ahead")
+        cone[h] = (model, {q: found[column(q)] for q in spec.quantiles})
     return cone
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +39,19 @@ class ModelSpec:
         return f"needs {', '.join(lacking)}" if lacking else None
 
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="skip")
+def input_stages(features: Sequence[str], output: str = "raw") -> list:
+    """Missing inputs become the training median, so every row is scored."""
+    filled = [f"_filled_{f}" for f in features]
+    return [
+        Imputer(inputCols=list(features), outputCols=filled, strategy="median", relativeError=0.01),
+        VectorAssembler(inputCols=filled, outputCol=output, handleInvalid="keep"),
+    ]
 
 
 def random_forest(features: Sequence[str], trees: int = 300, depth: int = 14, leaf: int = 20) -> list:
     # fixed values: tree count, depth and leaf size of the bagged baseline
     return [
-        _assembler(features),
+        *input_stages(features),
         RandomForestClassifier(
             featuresCol="raw", labelCol="y_breach", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
             featureSubsetStrategy="sqrt", seed=SEED,
@@ -57,7 +62,7 @@ def random_forest(features: Sequence[str], trees: int = 300, depth: int = 14, le
 def boosted_trees(features: Sequence[str], rounds: int = 400, depth: int = 7, leaf: int = 40, rate: float = 0.06) -> list:
     # fixed values: rounds, depth, leaf size and rate; stops early on held-out runs
     return [
-        _assembler(features),
+        *input_stages(features),
         GBTClassifier(
             featuresCol="raw", labelCol="y_breach", maxIter=rounds, maxDepth=depth, minInstancesPerNode=leaf,
             stepSize=rate, validationIndicatorCol="early_stop", seed=SEED,
@@ -68,7 +73,7 @@ def boosted_trees(features: Sequence[str], rounds: int = 400, depth: int = 7, le
 def logistic(features: Sequence[str], c: float = 0.5) -> list:
     # the scaler is part of the pipeline, so it only ever sees training rows
     return [
-        _assembler(features),
+        *input_stages(features),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
         LogisticRegression(
             featuresCol="scaled", labelCol="y_breach", regParam=c, elasticNetParam=0.0, standardization=False, maxIter=100,
@@ -126,7 +131,7 @@ def score(model, rows: DataFrame, name: str = "proba") -> DataFrame:
 
 def fit_all(
     rows: DataFrame, splits: DataFrame, features: Sequence[str], names: Sequence[str] | None = None,
-    min_detection: float = 0.80, start: int = 0, settings: dict[str, dict] | None = None,
+    min_detection: float = 0.80, settings: dict[str, dict] | None = None,
 ) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
     """Train each model on train runs, tune its operating point on validation,
     choose the model by that point, and score test once for the winner.
@@ -144,7 +149,7 @@ def fit_all(
         scored = part if scored is None else scored.unionByName(part)
     scored = staged(scored)
     points = staged(
-        alarms.best_points(alarms.sweep(scored, alarms.COARSE_THRESHOLDS, by=["model"], start=start), min_detection, ["model"])
+        alarms.best_points(alarms.sweep(scored, alarms.COARSE_THRESHOLDS, by=["model"]), min_detection, ["model"])
     )
     choice = alarms.choose_model(points, min_detection).first()
     if choice is None:
@@ -154,7 +159,7 @@ def fit_all(
         threshold, delay = scores.pick_threshold(clean.where(F.col("model") == winner)).first().threshold, 1
     else:
         winner, threshold, delay = choice.model, choice.threshold, choice.delay
-    result = alarms.evaluate(staged(score(fitted[winner], test).select(*kept)), threshold, delay, start=start)
+    result = alarms.evaluate(staged(score(fitted[winner], test).select(*kept)), threshold, delay)
     return fitted, points, result.select(
         F.lit(winner).alias("model"), F.lit(float(threshold)).alias("threshold"), F.lit(int(delay)).alias("delay"), "*"
     )

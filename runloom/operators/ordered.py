@@ -1,11 +1,10 @@
 """Running totals, ranks and exact percentiles without a one-task window.
 
-The input is staged once, since several passes read it.  If it is small (its row
-count is checked), a plain window does.  Otherwise the rows are cut into value
-cells: cells hold neighbouring values, each cell is summed on its own, and the small
-table of cell totals supplies the offset.  Cell numbers grow with the value, so the
-result is exact whatever the spread of the values; a second cut splits the cells
-that turned out dense.
+The input is staged once, since several passes read it.  Its rows are cut into cells of
+neighbouring values at approximate percentiles, so cells hold about as many rows
+whatever the spread of the values; each cell is summed on its own, and the small table
+of cell totals supplies the offset.  Cell numbers grow with the value, so the result is
+exact.  A group that fits one cell is one cell; nothing else depends on its size.
 """
 
 from __future__ import annotations
@@ -19,8 +18,9 @@ from pyspark.sql import functions as F
 from runloom.operators.stage import staged
 
 ROWS_PER_CELL = 250_000
+CELLS, ACCURACY = 1024, 5000
 _ALL = "_rt_all"
-_POS, _LO, _HI, _N, _CELL, _SUB, _AT = "_rt_pos", "_rt_lo", "_rt_hi", "_rt_n", "_rt_cell", "_rt_sub", "_rt_at"
+_POS, _N, _CELL, _MARKS = "_rt_pos", "_rt_n", "_rt_cell", "_rt_marks"
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -40,15 +40,13 @@ def running_totals(
     keys: Sequence[str] = (),
     order_by: Sequence[Column] = (),
     rows_per_cell: int = ROWS_PER_CELL,
-    refine: bool = True,
 ) -> DataFrame:
     """Add, per measure ``m``, ``m_upto`` = its sum over the rows of the same keys
     up to and including this row, ascending by ``position`` (ties by ``order_by``),
     and ``m_total`` = its sum over all rows of the keys.
 
     ``position`` is a non-null double that never decreases along the wanted order.
-    Rows with equal position and no ``order_by`` share the same total.
-    ``refine=False`` skips the second cut, for positions known to be uniform."""
+    Rows with equal position and no ``order_by`` share the same total."""
     rows = staged(df.withColumn(_POS, position.cast("double")))
     keys, totals = list(keys), [f"{m}_total" for m in measures]
 
@@ -56,54 +54,32 @@ def running_totals(
         w = W.partitionBy(*within).orderBy(_POS, *order_by)
         return (w.rowsBetween if order_by else w.rangeBetween)(W.unboundedPreceding, 0)
 
-    if rows.count() <= rows_per_cell:
-        whole = W.partitionBy(*keys)
-        return rows.select(
-            *df.columns,
-            *[F.sum(m).over(whole).alias(t) for m, t in zip(measures, totals)],
-            *[F.sum(m).over(running(keys)).alias(f"{m}_upto") for m in measures],
-        )
     if not keys:
         keys = [_ALL]
         rows = rows.withColumn(_ALL, F.lit(0))
+    own = [*df.columns, *[k for k in keys if k == _ALL]]
 
-    # First cut: as many equal-width cells as the group's row count asks for.
+    # Cell borders: every so many of the group's percentiles, at most CELLS - 1 of them.
+    marks = [i / CELLS for i in range(1, CELLS)]
     spans = rows.groupBy(*keys).agg(
-        F.min(_POS).alias(_LO), F.max(_POS).alias(_HI), F.count(F.lit(1)).alias(_N),
+        F.percentile_approx(_POS, marks, F.lit(ACCURACY)).alias(_MARKS), F.count(F.lit(1)).alias(_N),
         *[F.sum(m).alias(f"{m}_total") for m in measures],
     )
+    cells_of = F.least(F.ceil(F.col(_N) / F.lit(rows_per_cell)), F.lit(CELLS)).cast("int")
+    picked = F.transform(
+        F.filter(F.sequence(F.lit(0), cells_of), lambda i: (i > 0) & (i < cells_of)), lambda i: F.get(F.col(_MARKS), F.floor(i * CELLS / cells_of).cast("int") - 1)
+    )
+    spans = spans.select(*keys, F.array_distinct(picked).alias(_MARKS), *totals)
     rows = _join(rows, spans, keys)
-    share = F.coalesce(F.try_divide(F.col(_POS) - F.col(_LO), F.col(_HI) - F.col(_LO)), F.lit(0.0))
-    rows = rows.withColumn(_AT, share * F.ceil(F.col(_N) / F.lit(rows_per_cell))).withColumn(_CELL, F.floor(_AT))
-    own = [*df.columns, *[k for k in keys if k == _ALL]]
-    rows = rows.select(*own, *totals, _POS, _CELL, (F.col(_AT) - F.col(_CELL)).alias(_AT))
+    rows = rows.select(*own, *totals, _POS, F.size(F.filter(_MARKS, lambda b: b < F.col(_POS))).alias(_CELL))
 
-    def earlier(table: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
-        """Totals of the cells before each cell, replacing its own totals."""
-        frame = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
-        kept = [c for c in table.columns if not c.startswith("_t_")]
-        return table.select(
-            *kept, *[F.coalesce(F.sum(f"_t_{m}").over(frame), F.lit(0)).alias(f"{name}_{m}") for m in measures]
-        )
-
-    sums = [F.sum(m).alias(f"_t_{m}") for m in measures]
     at = [*keys, _CELL]
-    cells = rows.groupBy(*at).agg(F.count(F.lit(1)).alias(_N), *sums)
-    rows = _join(rows, earlier(cells, keys, _CELL, "_c"), at)
-    offset = {m: F.col(f"_c_{m}") for m in measures}
-
-    # Second cut: dense cells again, in proportion to what they hold.
-    if refine:
-        subs = F.ceil(F.col(_N) / F.lit(rows_per_cell))
-        rows = rows.withColumn(_SUB, F.floor(F.col(_AT) * subs))
-        fine = rows.groupBy(*at, _SUB).agg(*sums)
-        rows = _join(rows, earlier(fine, at, _SUB, "_s"), [*at, _SUB])
-        offset = {m: offset[m] + F.col(f"_s_{m}") for m in measures}
-        at = [*at, _SUB]
-    rows = rows.repartition(*[F.col(c) for c in at])
-
+    frame = W.partitionBy(*keys).orderBy(_CELL).rowsBetween(W.unboundedPreceding, -1)
+    cells = rows.groupBy(*at).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    offsets = cells.select(*at, *[F.coalesce(F.sum(f"_t_{m}").over(frame), F.lit(0)).alias(f"_c_{m}") for m in measures])
+    rows = _join(rows, offsets, at).repartition(*[F.col(c) for c in at])
     inside = running(at)
-    upto = [(F.sum(m).over(inside) + offset[m]).alias(f"{m}_upto") for m in measures]
+    upto = [(F.sum(m).over(inside) + F.col(f"_c_{m}")).alias(f"{m}_upto") for m in measures]
     return rows.select(*df.columns, *totals, *upto)
 
 
@@ -119,7 +95,7 @@ def shuffled_rank(df: DataFrame, ident: str, seed: int, keys: Sequence[str] = ()
     # 13 hex digits are 52 bits: exact in a double and in md5 order
     position = F.conv(F.substring("_md5", 1, 13), 16, 10).cast("double")
     ranked = running_totals(
-        rows, position, ["_one"], keys, [F.col("_md5"), F.col(ident)], rows_per_cell, refine=False
+        rows, position, ["_one"], keys, [F.col("_md5"), F.col(ident)], rows_per_cell
     )
     return ranked.withColumnRenamed("_one_upto", name).drop("_md5", "_one", "_one_total")
 
@@ -154,25 +130,33 @@ def exact_percentiles(
 
 
 def number_samples(
-    df: DataFrame, run: str, time: str, ties: Sequence[str] = (), name: str = "sample_idx", slice_s: float = 60.0,
+    df: DataFrame, run: str, time: str, ties: Sequence[str] = (), name: str = "sample_idx", rows_per_slice: int = 1_000_000,
 ) -> DataFrame:
     """Dense 0-based position of each row inside its run by (time, ties).
 
-    The time axis is cut into slices of ``slice_s`` seconds.  Rows are numbered
-    inside (run, slice) and shifted by the count of the run's earlier slices, so a
-    run of any length is spread over all tasks; pick ``slice_s`` so that the
-    densest run puts a few million rows into a slice."""
-    width = int(slice_s * 1_000_000)
-    rows = df.withColumn("_slice", F.expr(f"unix_micros(cast(`{time}` as timestamp)) div {width}"))
+    A run of up to ``rows_per_slice`` rows is numbered as it is.  The time axis of a
+    longer run is cut into slices, four times as many as its rows ask for; rows are
+    numbered inside (run, slice) and shifted by the count of the earlier slices.  Only
+    long runs appear in the two small tables, so ordinary runs cost one shuffle."""
+    rows = df.withColumn("_us", F.expr(f"unix_micros(cast(`{time}` as timestamp))"))
+    n, slices = F.col("_n"), F.ceil(F.col("_n") * 4 / F.lit(rows_per_slice))
+    long = staged(
+        rows.groupBy(run)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"))
+        .where(n > rows_per_slice)
+        .select(run, "_from", F.ceil((F.col("_to") - F.col("_from") + 1) / slices).cast("long").alias("_width"))
+    )
+    cut = F.coalesce(F.floor((F.col("_us") - F.col("_from")) / F.col("_width")), F.lit(0)).cast("long")
+    rows = rows.join(long, run, "left").withColumn("_slice", cut)
     earlier = W.partitionBy(run).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(run, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(run, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-        .repartition(run, "_slice")
+        rows.where(F.col("_width").isNotNull())
+        .groupBy(run, "_slice")
+        .agg(F.count(F.lit(1)).alias("_in"))
+        .select(run, "_slice", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = W.partitionBy(run, "_slice").orderBy(time, *ties)
-    place = F.col("_before") + F.row_number().over(inside) - 1
+    inside = W.partitionBy(run, "_slice").orderBy("_us", *ties)
+    place = F.coalesce("_before", F.lit(0)) + F.row_number().over(inside) - 1
     # named here so that the rows are spread by slice, not by run alone
-    joined = rows.repartition(run, "_slice").join(offsets, [run, "_slice"])
+    joined = rows.repartition(run, "_slice").join(offsets, [run, "_slice"], "left")
     return joined.select(*df.columns, place.cast("long").alias(name))

@@ -21,7 +21,10 @@ def _root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     folder = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF, None)
     if not folder:
-        # the session names no shared folder: a single-machine run such as a test
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{CONF} must name a folder that all executors of {master} share")
+        # one machine, such as a test: driver and tasks see the same folder
         folder = _unset.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
         _unset[app] = folder
     return f"{folder.rstrip('/')}/staged-{app}"

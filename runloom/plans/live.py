@@ -13,12 +13,12 @@ from runloom.sources.runs import at_cursor
 
 
 def live_state(
-    features: DataFrame, cursors: DataFrame, model, cone: dict, threshold: float, delay: int = 1, start: int = 0,
+    features: DataFrame, cursors: DataFrame, model, cone: dict, threshold: float, delay: int = 1,
     fallback_first: bool = True,
 ) -> DataFrame:
     """As-of row of each (run, cursor) with probability, alarm and cone.  The
     alarm honours the on-delay; ``delay=1`` turns that off."""
-    scored = alarms.confirm(models.score(model, features), threshold, delay, start=start)
+    scored = alarms.confirm(models.score(model, features), threshold, delay)
     now = staged(at_cursor(scored, cursors, fallback_first).where(F.col("sample_idx").isNotNull()))
     long = forecast.predict_cone(cone, now, keys=("run_id", "cursor"))
     qs = [c for c in long.columns if c.startswith("q")]
@@ -44,7 +44,7 @@ def risk_advice(scored: DataFrame, weights: dict[str, float], intercept: float,
     ident = F.concat_ws("-", F.lit("risk"), F.col("run_id").cast("string"), F.col("sample_idx").cast("string"))
     drivers = F.transform("_top", lambda p: F.struct(p["feature"].alias("feature"), p["phi"].alias("phi")))
     return advice.advisory(
-        rows, ident, F.lit("Off-spec risk warning"), F.lit("RISK_MODEL"), F.col("proba"),
+        rows, ident, F.lit("Breach risk"), F.lit("RISK_MODEL"), F.col("proba"),
         text.explain_risk(F.col("proba"), drivers), detail=["proba"],
     )
 
@@ -61,7 +61,7 @@ def plan_advice(best: DataFrame, economics: Economics = Economics()) -> DataFram
         c("base_ramp_min"), c("best_ramp_min"), c("best_lead_scale"), c("best_tau_c_scale"), c("saved_off_spec_minutes"),
         c("source"), c("min_ramp_min"), c("binding_actuator"),
     )
-    title = F.concat(F.lit("Recommended plan for "), text.fixed(c("base_ramp_min"), 1), F.lit(" min ramp"))
+    title = F.concat(F.lit("Plan instead of a ramp of "), text.fixed(c("base_ramp_min"), 1), F.lit(" min"))
     ident = F.concat_ws("-", F.lit("opt"), c("run_id").cast("string"))
     return advice.advisory(priced, ident, title, c("source"), c("confidence"), words, c("value_usd"), ["n_evaluations"])
 

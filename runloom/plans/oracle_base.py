@@ -62,8 +62,8 @@ WIDE = (
 DAY_TAGS = f"""day_tags AS (
   SELECT g.run_id, g.sample_idx, {", ".join(f"coalesce(p.{t}, 0e0) AS {t}" for t in TYPES)}
   FROM (SELECT DISTINCT user_id AS run_id, CAST(x AS INTEGER) AS sample_idx
-        FROM events, range(0, 30) AS r(x)) g
-  LEFT JOIN (SELECT user_id AS run_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS sample_idx,
+        FROM events, (SELECT unnest(range(0, date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1)) AS x FROM events) r) g
+  LEFT JOIN (SELECT user_id AS run_id, CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS INTEGER) AS sample_idx,
                {", ".join(f"round(sum(CASE WHEN event_type = '{t}' THEN value ELSE 0e0 END), 2) AS {t}" for t in TYPES)}
              FROM events GROUP BY 1, 2) p USING (run_id, sample_idx))"""
 SCORED = f"""scored AS (
@@ -83,11 +83,10 @@ LEDGER = """ledger AS (
          CASE WHEN event_type = 'view' THEN list_extract(['RISK_MODEL', 'PHYSICS_MODEL', 'CORRELATION_DISCOVERY', 'RECIPE_LIMIT'], k % 4 + 1) END AS source,
          CASE WHEN event_type = 'view' THEN k / 100e0 END AS confidence,
          CASE WHEN event_type = 'view' AND k % 5 <> 0 THEN value * 10e0 END AS value_usd,
-         CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'ignored' END AS decision,
+         CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'accepted' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'ignored' END AS decision,
          CASE WHEN event_type <> 'view' THEN 'answer' || chr(9) || ' of  ' || event_type || ' ' || props END AS note,
          user_id AS run_id, event_id AS seq
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
-  WHERE event_type IN ('view', 'purchase', 'error', 'click'))"""
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
 LATEST = """latest AS (
   SELECT s.advisory_id, s.source, s.confidence, s.value_usd, r.decision
   FROM (SELECT * FROM ledger WHERE kind = 'surfaced'

@@ -113,13 +113,12 @@ TEXT_BASE = f"""k AS (SELECT {KEYS}, l_suppkey AS run_id, l_extendedprice / 1069
   l_linenumber % 2 = 0 AS known, l_quantity / 3.0001e0 AS ramp, l_extendedprice / 9101.7773e0 AS new_ramp, l_extendedprice / 70100.9991e0 AS lead_x, l_extendedprice / 50300.1117e0 AS tau_x, l_extendedprice / 8700.3331e0 AS saved,
   CASE WHEN l_linenumber > 3 THEN 'RECIPE_LIMIT' ELSE 'PHYSICS_MODEL' END AS plan_source, CASE WHEN l_linenumber = 1 THEN 'none' WHEN l_linenumber < 4 THEN 'increase' ELSE 'decrease' END AS direction FROM lineitem)"""
 SENT = {
-    "risk": """'Risk model estimates ' || CAST(round_even(prob * 100e0, 0) AS BIGINT) || '% probability of an off-spec breach within the horizon' ||
-  CASE WHEN l_linenumber = 1 THEN '.' ELSE ', driven mainly by r (' || CASE WHEN r >= 0 THEN '+' ELSE '' END || printf('%.3f', r) || '), mi (+' || printf('%.3f', mi) || ').' END""",
-    "link": """'tag' || l_linenumber || ' leads basis_weight by ' || printf('%.2f', lag_min) || ' min (r=' || CASE WHEN r >= 0 THEN '+' ELSE '' END || printf('%.2f', r) || ', MI=' || printf('%.2f', mi) || ') -- ' || CASE WHEN known THEN 'a known' ELSE 'a newly discovered' END || ' relationship.'""",
-    "plan": """'Adjusting the ramp from ' || printf('%.1f', ramp) || ' to ' || printf('%.1f', new_ramp) || ' min (lead x' || printf('%.2f', lead_x) || ', trim tau_c x' || printf('%.2f', tau_x) || ')' ||
-  CASE WHEN plan_source = 'RECIPE_LIMIT' THEN ' is required: the requested ramp is below the ' || printf('%.1f', new_ramp) || ' min the machine_speed actuator can physically deliver for this transition. Predicted to reduce off-spec time by ' || printf('%.2f', saved) || ' min.'
-  ELSE ' is predicted to reduce off-spec time by ' || printf('%.2f', saved) || ' min on the twin.' END""",
-    "knob": """CASE WHEN direction = 'none' THEN 'ramp_min: neither probed direction improves settling time.' ELSE 'ramp_min ' || direction || ' of ' || printf('%.2f', abs(r)) || ' is predicted to cut settling time by ' || printf('%.2f', saved) || ' min.' END""",
+    "risk": """'Breach risk ' || CAST(round_even(prob * 100e0, 0) AS BIGINT) || '%' ||
+  CASE WHEN l_linenumber = 1 THEN '' ELSE '; drivers: r ' || CASE WHEN r >= 0 THEN '+' ELSE '' END || printf('%.3f', r) || ', mi +' || printf('%.3f', mi) END""",
+    "link": """CASE WHEN known THEN 'Known link: ' ELSE 'New link: ' END || 'basis_weight follows tag' || l_linenumber || ' after ' || printf('%.2f', lag_min) || ' min; correlation ' || CASE WHEN r >= 0 THEN '+' ELSE '' END || printf('%.2f', r) || ', mutual information ' || printf('%.2f', mi)""",
+    "plan": """'Ramp ' || printf('%.1f', ramp) || ' -> ' || printf('%.1f', new_ramp) || ' min, lead x ' || printf('%.2f', lead_x) || ', trim x ' || printf('%.2f', tau_x) ||
+  CASE WHEN plan_source = 'RECIPE_LIMIT' THEN '; machine_speed needs ' || printf('%.1f', new_ramp) || ' min' ELSE '' END || '; off-spec time saved: ' || printf('%.2f', saved) || ' min'""",
+    "knob": """'ramp_min' || CASE WHEN direction = 'none' THEN ': leave as it is, no probe settles sooner' ELSE ': ' || direction || ' by ' || printf('%.2f', abs(r)) || ', settling gains ' || printf('%.2f', saved) || ' min' END""",
 }
 
 
@@ -148,10 +147,10 @@ def advisories(spark: SparkSession, sf: str) -> DataFrame:
     def ident(kind: str):
         return F.concat(F.lit(f"{kind}-"), key)
 
-    risk = advice.advisory(rows, ident("risk"), F.lit("Off-spec risk warning"), F.lit("RISK_MODEL"), c("prob"), s["risk"], detail=["known"])
+    risk = advice.advisory(rows, ident("risk"), F.lit("Breach risk"), F.lit("RISK_MODEL"), c("prob"), s["risk"], detail=["known"])
     link = advice.advisory(rows, ident("corr"), F.concat(F.lit("tag"), c("l_linenumber").cast("string"), F.lit(" -> basis_weight")), F.lit("CORRELATION_DISCOVERY"), F.least(F.abs("r"), F.lit(1.0)), s["link"], detail=["known"])
-    plan = advice.advisory(rows, ident("opt"), F.concat(F.lit("Recommended plan for "), text.fixed(c("ramp"), 1), F.lit(" min ramp")), c("plan_source"), F.lit(advice.TWIN_CONFIDENCE), s["plan"], c("saved") * 100.0, ["direction"])
-    knob = advice.advisory(rows, ident("stab"), F.lit("Stabilize faster: ramp_min"), F.lit("PHYSICS_MODEL"), F.lit(0.5), s["knob"], detail=["direction"])
+    plan = advice.advisory(rows, ident("opt"), F.concat(F.lit("Plan instead of a ramp of "), text.fixed(c("ramp"), 1), F.lit(" min")), c("plan_source"), F.lit(advice.TWIN_CONFIDENCE), s["plan"], c("saved") * 100.0, ["direction"])
+    knob = advice.advisory(rows, ident("stab"), F.lit("Settle sooner: ramp_min"), F.lit("PHYSICS_MODEL"), F.lit(0.5), s["knob"], detail=["direction"])
     # advice without a price column of its own still fits the common schema
     return advice.union_advice(risk.drop("value_usd").select("*", F.lit(None).cast("double").alias("value_usd")), link, plan, knob)
 
@@ -168,10 +167,10 @@ R.add(
     "advisories",
     advisories_query,
     with_(TEXT_BASE, f"""adv AS (
-  SELECT run_id, 'risk-' || {_ID} AS id, 'Off-spec risk warning' AS title, 'RISK_MODEL' AS source, prob AS confidence, {SENT['risk']} AS explanation, CAST(NULL AS DOUBLE) AS value_usd, 'known=' || known AS detail_text FROM k
+  SELECT run_id, 'risk-' || {_ID} AS id, 'Breach risk' AS title, 'RISK_MODEL' AS source, prob AS confidence, {SENT['risk']} AS explanation, CAST(NULL AS DOUBLE) AS value_usd, 'known=' || known AS detail_text FROM k
   UNION ALL SELECT run_id, 'corr-' || {_ID}, 'tag' || l_linenumber || ' -> basis_weight', 'CORRELATION_DISCOVERY', least(abs(r), 1e0), {SENT['link']}, NULL, 'known=' || known FROM k
-  UNION ALL SELECT run_id, 'opt-' || {_ID}, 'Recommended plan for ' || printf('%.1f', ramp) || ' min ramp', plan_source, 0.75e0, {SENT['plan']}, saved * 100e0, 'direction=' || direction FROM k
-  UNION ALL SELECT run_id, 'stab-' || {_ID}, 'Stabilize faster: ramp_min', 'PHYSICS_MODEL', 0.5e0, {SENT['knob']}, NULL, 'direction=' || direction FROM k)""",
+  UNION ALL SELECT run_id, 'opt-' || {_ID}, 'Plan instead of a ramp of ' || printf('%.1f', ramp) || ' min', plan_source, 0.75e0, {SENT['plan']}, saved * 100e0, 'direction=' || direction FROM k
+  UNION ALL SELECT run_id, 'stab-' || {_ID}, 'Settle sooner: ramp_min', 'PHYSICS_MODEL', 0.5e0, {SENT['knob']}, NULL, 'direction=' || direction FROM k)""",
           body=f"SELECT run_id, id, title, source, {_LBL} AS source_label, round(confidence, 6) AS confidence, explanation, round(value_usd, 4) AS value_usd, detail_text FROM adv"),
 )
 
@@ -245,12 +244,15 @@ R.add(
 )
 
 
+DELTAS = (0.0, -2.0, 2.0, 0.5, -1.0, 1.0, 3.0)
+
+
 def probes(spark: SparkSession, sf: str) -> DataFrame:
-    """Per part and return flag: line 1 is the baseline, lines 2 to 4 are probed
+    """Per part and return flag: line 1 is the baseline, the others are probed
     changes (delta by line number), the mean quantity is the settle time."""
-    delta = F.when(F.col("l_linenumber") == 1, 0.0).when(F.col("l_linenumber") == 2, -2.0).when(F.col("l_linenumber") == 3, 2.0).when(F.col("l_linenumber") == 4, 0.5)
+    delta = F.element_at(F.array(*[F.lit(x) for x in DELTAS]), F.pmod(F.col("l_linenumber") - 1, F.lit(len(DELTAS))).cast("int") + 1)
     return (
-        dt.read(spark, sf, "lineitem").where(F.col("l_linenumber") <= 4)
+        dt.read(spark, sf, "lineitem")
         .groupBy(F.col("l_partkey").alias("run_id"), F.col("l_returnflag").alias("parameter"), F.col("l_linenumber").alias("place"), delta.alias("delta"))
         .agg(F.avg("l_quantity").alias("_q"))
         .select("run_id", "parameter", "place", "delta", F.when(F.col("_q") < 40, F.col("_q") / 1.3).alias("settle_min"), (F.col("run_id") / 7.0).alias("base_value"))
@@ -258,14 +260,20 @@ def probes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sensitivities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = probes(spark, sf)
-    return advice.sensitivity(rows, 30.0).where(F.col("baseline_settle_min").isNotNull())
+    return advice.sensitivity(probes(spark, sf), 30.0)
 
 
+PROBES = f"p AS (SELECT l_partkey AS run_id, l_returnflag AS parameter, l_linenumber AS place, [{', '.join(d(x) for x in DELTAS)}][(l_linenumber - 1) % {len(DELTAS)} + 1] AS delta, avg(l_quantity) AS q FROM lineitem GROUP BY ALL)"
+R.add(
+    "sensitivity_rejects",
+    lambda spark, sf: advice.sensitivity_rejects(probes(spark, sf)),
+    with_(PROBES, body="""SELECT run_id, parameter, count(*) AS n_tries, CASE WHEN bool_or(delta = 0) THEN 'no probe' ELSE 'no baseline' END AS reason
+  FROM p GROUP BY ALL HAVING NOT (bool_or(delta = 0) AND bool_or(delta <> 0))"""),
+)
 R.add(
     "sensitivity_rank",
     lambda spark, sf: rounded(sensitivities(spark, sf)),
-    with_("p AS (SELECT l_partkey AS run_id, l_returnflag AS parameter, l_linenumber AS place, [0e0, -2e0, 2e0, 0.5e0][l_linenumber] AS delta, avg(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)",
+    with_(PROBES,
           "s AS (SELECT *, coalesce(CASE WHEN q < 40 THEN q / 1.3e0 END, 30e0) AS st FROM p)",
           "b AS (SELECT run_id, parameter, st AS bs FROM s WHERE delta = 0)",
           "x AS (SELECT s.*, bs, (st - bs) / nullif(delta, 0) AS slope FROM s JOIN b USING (run_id, parameter))",

@@ -134,12 +134,12 @@ OUTCOME = """outcome AS (SELECT *, breach_min IS NOT NULL AS breached, coalesce(
        arg_min(off, t_min) = 1 AS off_at_start FROM judged GROUP BY run_id) q)"""
 R.add(
     "alarm_on_delay",
-    lambda spark, sf: alarms.confirm(scored(spark, sf), CUT, DELAY, start=WARM).select("run_id", "sample_idx", "alarm"),
+    lambda spark, sf: alarms.confirm(scored(spark, sf), CUT, DELAY).select("run_id", "sample_idx", "alarm"),
     with_(BASE, SCORED, ALARM, body="SELECT run_id, sample_idx, alarm FROM judged"),
 )
 R.add(
     "early_warning",
-    lambda spark, sf: rounded(alarms.warning_outcomes(alarms.confirm(scored(spark, sf), CUT, DELAY, start=WARM))),
+    lambda spark, sf: rounded(alarms.warning_outcomes(alarms.confirm(scored(spark, sf), CUT, DELAY))),
     with_(BASE, SCORED, ALARM, OUTCOME, body="""SELECT run_id, breached, warned, round(warning_min, 6) AS warning_min, round(breach_min, 6) AS breach_min,
   round(CASE WHEN warned OR NOT breached THEN al END, 6) AS alarm_min, false_alarm, off_at_start FROM outcome"""),
 )
@@ -150,7 +150,7 @@ SUMMARY = """count(*) AS n_runs, count(*) FILTER (WHERE breached) AS n_breaching
 R.add(
     "early_warning_summary",
     lambda spark, sf: rounded(
-        alarms.warning_summary(alarms.warning_outcomes(alarms.confirm(scored(spark, sf), CUT, DELAY, start=WARM)))
+        alarms.warning_summary(alarms.warning_outcomes(alarms.confirm(scored(spark, sf), CUT, DELAY)))
     ),
     with_(BASE, SCORED, ALARM, OUTCOME, body=f"""SELECT {SUMMARY}, count(*) FILTER (WHERE off_at_start) AS n_off_at_start,
   round(quantile_cont(warning_min, 0.5), 6) AS median_warning_min, round(quantile_cont(warning_min, 0.25), 6) AS p25_warning_min,
@@ -184,15 +184,15 @@ def eval_sql(proba: str, thr: float, delay: int, tag: str = "") -> tuple[str, st
 _C, _B = eval_sql("proba", CUT, DELAY)
 R.add(
     "evaluate_model",
-    lambda spark, sf: rounded(alarms.evaluate(staged(scored(spark, sf)), CUT, DELAY, start=WARM)),
+    lambda spark, sf: rounded(alarms.evaluate(staged(scored(spark, sf)), CUT, DELAY)),
     with_(BASE, SCORED, _C, body=_B),
 )
 
 
 def compared(spark: SparkSession, sf: str) -> DataFrame:
     rows = staged(scored(spark, sf))
-    level = alarms.evaluate(rows, CUT, DELAY, start=WARM).withColumn("model", F.lit("level"))
-    peak = alarms.evaluate(rows.withColumn("proba", F.col("proba_peak")), CUT, 1, start=WARM).withColumn("model", F.lit("peak"))
+    level = alarms.evaluate(rows, CUT, DELAY).withColumn("model", F.lit("level"))
+    peak = alarms.evaluate(rows.withColumn("proba", F.col("proba_peak")), CUT, 1).withColumn("model", F.lit("peak"))
     return rounded(alarms.comparison(level.unionByName(peak)))
 
 
@@ -236,7 +236,7 @@ FLOOR = 0.5  # detection floor that the fixed scorers can reach
 
 
 def sweep_points(spark: SparkSession, sf: str) -> DataFrame:
-    return alarms.sweep(scored(spark, sf), start=WARM)
+    return alarms.sweep(scored(spark, sf))
 
 
 def model_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,7 +244,7 @@ def model_points(spark: SparkSession, sf: str) -> DataFrame:
     both = rows.withColumn("model", F.lit("level")).unionByName(
         rows.withColumn("proba", F.col("proba_peak")).withColumn("model", F.lit("peak"))
     )
-    return alarms.sweep(both, alarms.COARSE_THRESHOLDS, by=["model"], start=WARM)
+    return alarms.sweep(both, alarms.COARSE_THRESHOLDS, by=["model"])
 
 
 SWEEP = sweep_sql(alarms.FINE_THRESHOLDS, {"level": "proba"})
@@ -267,11 +267,18 @@ R.add(
           f"per AS (SELECT * FROM rp WHERE detection_rate >= {FLOOR} AND median_warning_min IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model ORDER BY {_KEY}) = 1)",
           body=f"SELECT model, threshold, delay, {', '.join(_PCOLS)} FROM per ORDER BY false_alarm_run_rate NULLS LAST, median_warning_min DESC, model LIMIT 1"),
 )
-CURRENT = 0.25
+CURRENT = 0.26  # between two points of the grid
+
+
+def retune_points(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(alarms.sweep(scored(spark, sf), alarms.RETUNE_THRESHOLDS, delays=(1,)))
+
+
+SWEEP3 = sweep_sql(alarms.RETUNE_THRESHOLDS, {"level": "proba"})
 R.add(
     "retune_threshold",
-    lambda spark, sf: rounded(alarms.retune(rounded(sweep_points(spark, sf)).where(F.col("delay") == 1), CURRENT)),
-    with_(BASE, SCORED, SWEEP, f"rp AS (SELECT threshold, {_PR} FROM points WHERE delay = 1)", f"cur AS (SELECT * FROM rp WHERE threshold = {d(CURRENT)})",
+    lambda spark, sf: rounded(alarms.retune(retune_points(spark, sf), CURRENT)),
+    with_(BASE, SCORED, SWEEP3, f"rp AS (SELECT threshold, {_PR} FROM points WHERE delay = 1)", f"cur AS (SELECT * FROM rp ORDER BY round(abs(threshold - {d(CURRENT)}), 9), threshold LIMIT 1)",
           f"""cand AS (SELECT rp.* FROM rp, cur WHERE rp.threshold <> cur.threshold AND rp.detection_rate >= cur.detection_rate - {d(alarms.DETECTION_SLACK)}
    AND rp.median_warning_min >= cur.median_warning_min ORDER BY rp.false_alarm_run_rate NULLS LAST, rp.threshold LIMIT 1)""",
           body="""SELECT cur.threshold AS current_threshold, cur.false_alarm_run_rate AS current_false_alarm_rate,

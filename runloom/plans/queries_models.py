@@ -158,7 +158,7 @@ QUERY_SETTINGS = {"random_forest": {"trees": 40, "depth": 8}, "boosted_trees": {
 def risk(name: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         rows, which, inputs = model_data(spark, sf)
-        _, _, result = models.fit_all(rows, which, inputs, [name], 0.5, WARM, QUERY_SETTINGS)
+        _, _, result = models.fit_all(rows, which, inputs, [name], 0.5, QUERY_SETTINGS)
         return rounded(result)
 
     return query
@@ -210,7 +210,7 @@ def live_state(spark: SparkSession, sf: str) -> DataFrame:
     train = splits.rows_of(rows, which, "train")
     model = models.fit(train, inputs, models.REGISTRY["logistic"])
     cursors = rows.select("run_id").distinct().select("run_id", F.explode(F.array(F.lit(3.0), F.lit(7.0))).alias("cursor"))
-    return rounded(live.live_state(rows, cursors, model, cone, threshold=0.5, delay=2, start=WARM))
+    return rounded(live.live_state(rows, cursors, model, cone, threshold=0.5, delay=2))
 
 
 R.add("live_state", live_state)

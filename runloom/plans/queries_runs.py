@@ -200,6 +200,19 @@ FROM s JOIN plans USING (run_id)"""),
 )
 
 
+def listed_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """A grade table that lacks one of the codes in use."""
+    return dt.grades(spark, sf).where(F.col("code") != "signup")
+
+
+R.add(
+    "grade_rejects",
+    lambda spark, sf: feat.grade_rejects(meta_rows(spark, sf), listed_grades(spark, sf)),
+    with_(EV, PLANS, body="""SELECT run_id, 'from_grade' AS "end", from_grade AS code FROM plans WHERE from_grade = 'signup'
+UNION ALL SELECT run_id, 'to_grade', to_grade FROM plans WHERE to_grade = 'signup'"""),
+)
+
+
 def setpoint_curve(spark: SparkSession, sf: str) -> DataFrame:
     g = dt.grades(spark, sf)
     names = ("basis_weight", "moisture", "ash")
@@ -241,7 +254,8 @@ def transition_context(spark: SparkSession, sf: str) -> DataFrame:
         lambda rows, w: rows.withColumn("from_grade", F.lag("event_type").over(w)),
         back=1,
     ).withColumnRenamed("event_type", "to_grade")
-    return w_rows.join(a, "from_grade").join(b, "to_grade").select(
+    # the first sample of a run has no grade before it
+    return w_rows.join(a, "from_grade", "left").join(b, "to_grade").select(
         "run_id", "sample_idx", "from_grade", "to_grade",
         *[c.alias(n) for n, c in series.transition_context("a_", "b_").items()],
     )
@@ -258,7 +272,7 @@ R.add(
     "transition_context",
     lambda spark, sf: rounded(transition_context(spark, sf)),
     with_(EV, GRADES, f"x AS (SELECT run_id, sample_idx, lag(event_type) OVER ({OW}) AS from_grade, event_type AS to_grade FROM ev)",
-          f"y AS (SELECT run_id, sample_idx, from_grade, to_grade, {TRANSITION_SQL} FROM x JOIN grades a ON a.code = from_grade JOIN grades b ON b.code = to_grade)",
+          f"y AS (SELECT run_id, sample_idx, from_grade, to_grade, {TRANSITION_SQL} FROM x LEFT JOIN grades a ON a.code = from_grade JOIN grades b ON b.code = to_grade)",
           body=f"SELECT run_id, sample_idx, from_grade, to_grade, {_r(*TRANSITION_COLS)} FROM y"),
 )
 R.add(

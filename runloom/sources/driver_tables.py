@@ -109,16 +109,21 @@ def run_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user and day, the summed value of each event type: five tags on a
-    dense day grid (days without an event are 0)."""
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    rows = read(spark, sf_dir, "events").select(
+    dense grid from the first to the last day of the log (days without an event
+    are 0)."""
+    events = read(spark, sf_dir, "events")
+    date = F.col("ts").cast("date")
+    ends = events.agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
+    first, last = F.lit(ends["first"]), F.lit(ends["last"])
+    day = F.datediff(date, first)
+    rows = events.select(
         F.col("user_id").alias("run_id"), day.alias("sample_idx"), "event_type", "value"
     )
     per_day = rows.groupBy("run_id", "sample_idx").agg(
         *[F.round(F.sum(F.when(F.col("event_type") == t, F.col("value")).otherwise(0.0)), 2).alias(t) for t in TYPES]
     )
     grid = rows.select("run_id").distinct().select(
-        "run_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("sample_idx")
+        "run_id", F.explode(F.sequence(F.lit(0), F.datediff(last, first))).alias("sample_idx")
     )
     return grid.join(per_day, ["run_id", "sample_idx"], "left").na.fill(0.0, list(TYPES))
 
@@ -130,14 +135,13 @@ def scores(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as ledger entries: a view surfaces advice, a purchase, error or
-    click answers it; one advisory per user and day."""
+    """Events as ledger entries: a view surfaces advice, any other event answers
+    it; one advisory per user and day."""
     k, kind = counter(), F.col("event_type")
     surfaced = kind == "view"
     sources = F.array(*[F.lit(s) for s in ("RISK_MODEL", "PHYSICS_MODEL", "CORRELATION_DISCOVERY", "RECIPE_LIMIT")])
     return (
         read(spark, sf_dir, "events")
-        .where(kind.isin("view", "purchase", "error", "click"))
         .select(
             F.col("event_id").cast("string").alias("entry_id"),
             F.when(surfaced, "surfaced").otherwise("response").alias("kind"),
@@ -146,7 +150,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(surfaced, F.element_at(sources, k % 4 + 1)).alias("source"),
             F.when(surfaced, k / 100.0).alias("confidence"),
             F.when(surfaced & (k % 5 != 0), F.col("value") * 10.0).alias("value_usd"),
-            F.when(kind == "purchase", "accepted").when(kind == "error", "rejected").when(kind == "click", "ignored").alias("decision"),
+            F.when(kind.isin("purchase", "signup"), "accepted").when(kind == "error", "rejected").when(kind == "click", "ignored").alias("decision"),
             F.when(~surfaced, F.concat(F.lit("answer\t of  "), kind, F.lit(" "), F.col("props"))).alias("note"),
             F.col("user_id").alias("run_id"),
             F.col("event_id").alias("seq"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,25 @@ META = T.StructType(
 FAULTS_BY_RUN = T.MapType(T.StringType(), T.ArrayType(FAULT))
 
 
+def bucket_of(run: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(run.cast("long")), F.lit(buckets)).cast("int")
+
+
+def read_run(spark: SparkSession, path: str, run_id: int, buckets: int = 64) -> DataFrame:
+    """Samples of one run of a corpus: only the folder of its bucket is opened.
+    ``buckets`` is the number the corpus was written with; an unknown id is an error."""
+    here = spark.read.parquet(f"{path}/samples").where(
+        (F.col("bucket") == bucket_of(F.lit(run_id), buckets)) & (F.col("run_id") == run_id)
+    )
+    if here.isEmpty():
+        raise KeyError(run_id)
+    return finite_or_null(here.drop("bucket"))
+
+
 def write_corpus(samples: DataFrame, meta: DataFrame, path: str, buckets: int = 64, mode: str = "errorifexists") -> None:
     """Samples as Parquet in folders by a hash of the run, so that one run is
     found without reading the rest; metadata as JSON lines."""
-    part = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
+    part = bucket_of(F.col("run_id"), buckets)
     # a long run is spread over several files of its folder
     spread = F.floor(F.col("sample_idx") / F.lit(1_000_000))
     (

@@ -58,12 +58,8 @@ def stream_alarms(
     row; ``delay=1`` means no on-delay.  ``scored``: run_id, sample_idx, proba."""
 
     def block(positions: np.ndarray, table: np.ndarray) -> dict[str, np.ndarray]:
-        raised = table[:, 0] >= threshold
-        streak = np.zeros(len(raised), dtype=int)
-        run = 0
-        for i, r in enumerate(raised):
-            run = run + 1 if r else 0
-            streak[i] = run
-        return {"alarm": streak >= delay}
+        place = np.arange(len(table))
+        last_quiet = np.maximum.accumulate(np.where(table[:, 0] >= threshold, -1, place))
+        return {"alarm": place - last_quiet >= delay}
 
     return ordered_stream(scored, ["proba"], max(delay - 1, 0), block, "alarm boolean", size=size, start=start, **gaps)
