@@ -49,6 +49,7 @@ REGION = 512
 FAN_OUT = 16
 CELLS_PER_BUCKET = 2_000_000
 SIFT_BLOCK = 2048
+FILTER_WORDS = 1 << 18
 SKETCH_BITS = 1024
 _GROWTH = 1.3
 _SLACK = 1.42
@@ -256,8 +257,20 @@ def set_payload(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 rows = [grams[offsets[i] : offsets[i + 1]].tobytes() for i in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(rows, pa.binary())], names=["id", "grams"])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("id", "text")
-    return texts.mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
+    texts = likely(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("id", "text")
+    return texts.mapInArrow(run, "id long, grams binary")
+
+
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows that ``wanted`` doesn't list, so that few texts
+    are shuffled for the exact join that follows.  The list is hashed to a bitmap of
+    FILTER_WORDS x 64 bits, the most that is ever broadcast; a longer list only lets
+    more rows through."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))
+    word, bit = (slot / 64).cast("long"), (slot % 64).cast("int")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    rows = docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return rows.where(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")).drop("_word", "_bit", "_bits")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -397,11 +410,15 @@ def _part_region(members: DataFrame, percent: int, block: int, level: int) -> Da
     return grouped(both, ["region", "chunk"], kernel, "region long, part long, id long, grams binary")
 
 
-def link_edges(members: DataFrame, percent: int, region: int = REGION, most_levels: int = 12) -> DataFrame:
-    """a, b: forest edges of all links inside regions.  ``members`` has region, id, grams
-    and size (the region's number of members)."""
-    edges = _join_small(members.where(F.col("size") <= region), percent)
-    large = staged(members.where(F.col("size") > region))
+def link_edges(met: DataFrame, payload: DataFrame, percent: int, region: int = REGION, most_levels: int = 12) -> DataFrame:
+    """a, b: forest edges of all links inside regions.  ``met`` has region and id,
+    ``payload`` id and grams."""
+    sized = staged(met.join(met.groupBy("region").agg(F.count("*").alias("size")), "region"))
+    edges = _join_small(sized.where(F.col("size") <= region).join(payload, "id"), percent)
+    beyond = sized.where(F.col("size") > region)
+    if beyond.isEmpty():
+        return edges
+    large = staged(beyond.join(payload, "id"))
     for level in range(most_levels):
         if large.isEmpty():
             return edges
@@ -433,8 +450,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, region: int
     met = staged(sift(inside.join(one.drop("doc_id"), "id"), percent))
     wanted = met.select("id").distinct().join(one.select("id", "doc_id"), "id")
     payload = staged(set_payload(docs, wanted, k))
-    members = met.join(met.groupBy("region").agg(F.count("*").alias("size")), "region").join(payload, "id")
-    labels = components(link_edges(members, percent, region))
+    labels = components(link_edges(met, payload, percent, region))
     labelled = sets.where("n_shingles > 0").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
