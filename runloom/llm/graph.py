@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from runloom.operators.stage import staged
 
+FILTER_WORDS = 1 << 18
+
 
 def components(edges: DataFrame) -> DataFrame:
     """id, label of every end of ``edges`` (columns a, b): the label is the smallest id
@@ -107,3 +109,15 @@ def in_blocks(rows: DataFrame, key: str, size: str, block: int, spread: str = "i
         .withColumn("hi", F.greatest("mine", "_other"))
         .drop("_n", "_other")
     )
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those that ``wanted`` doesn't list, so that few texts
+    are shuffled for the exact join that follows.  The list is hashed to a bitmap of
+    FILTER_WORDS x 64 bits, the most that is ever broadcast; a longer list only lets
+    more rows through."""
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    word, bit = (slot / 64).cast("long"), (slot % 64).cast("int")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    rows = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return rows.where(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")).drop("_word", "_bit", "_bits")

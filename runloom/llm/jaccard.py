@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.arrays import LOWER, chunks, mixed, span_hashes, words
-from runloom.llm.graph import Forest, components, grouped, in_blocks
+from runloom.llm.graph import Forest, components, grouped, in_blocks, likely
 from runloom.operators.stage import staged
 
 WORDS, PERCENT = 4, 85
@@ -49,7 +49,6 @@ REGION = 512
 FAN_OUT = 16
 CELLS_PER_BUCKET = 2_000_000
 SIFT_BLOCK = 2048
-FILTER_WORDS = 1 << 18
 SKETCH_BITS = 1024
 _GROWTH = 1.3
 _SLACK = 1.42
@@ -257,22 +256,10 @@ def set_payload(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 rows = [grams[offsets[i] : offsets[i + 1]].tobytes() for i in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(rows, pa.binary())], names=["id", "grams"])
 
-    texts = likely(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("id", "text")
+    texts = likely(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id").select("id", "text")
     return texts.mapInArrow(run, "id long, grams binary")
 
 
-def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows that ``wanted`` doesn't list, so that few texts
-    are shuffled for the exact join that follows.  The list is hashed to a bitmap of
-    FILTER_WORDS x 64 bits, the most that is ever broadcast; a longer list only lets
-    more rows through."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))
-    word, bit = (slot / 64).cast("long"), (slot % 64).cast("int")
-    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    rows = docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
-    return rows.where(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")).drop("_word", "_bit", "_bits")
-
-
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every left with every right set.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.arrays import mixed, powers
-from runloom.llm.graph import Forest, components, grouped, in_blocks
+from runloom.llm.graph import Forest, components, grouped, in_blocks, likely
 from runloom.operators.stage import staged
 
 EDITS = 2
@@ -223,7 +223,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame, short: int) -> DataFrame:
                 lines = [chunk.joined[s:e] for s, e in zip(chunk.start[at].tolist(), chunk.end[at].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(chunk.id[at].view(np.int64)), pa.array(lines, pa.string())], names=["id", "line"])
 
-    return docs.select("text").mapInArrow(run, "id long, line string").join(wanted, "id").dropDuplicates(["id"])
+    every = docs.select("text").mapInArrow(run, "id long, line string")
+    return likely(every, wanted, "id").join(wanted, "id").dropDuplicates(["id"])
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
