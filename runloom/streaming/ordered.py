@@ -38,16 +38,18 @@ def ordered_stream(
     ``block(positions, table)`` sees the history (at most ``back`` rows) followed by
     new rows and returns one array per output column for all of them.  ``start`` is
     the first position of every run.  ``time`` names an event-time column: a gap is
-    then given up once the watermark has passed it by ``wait``."""
+    then given up once the watermark has passed it by ``wait``, and the state of a key
+    is dropped once the watermark has passed its last sample and none waits."""
     names = ["sample_idx", *values]
     k = len(names)
     added = [part.split()[0] for part in output.split(",")]
 
     if time is not None:
-        stream = stream.withWatermark(time, wait)
+        # a sample delivered again must not start a finished segment anew
+        stream = stream.withWatermark(time, wait).dropDuplicatesWithinWatermark(["run_id", "sample_idx"])
     pos = F.col("sample_idx").cast("long")
     spread = F.sequence(F.floor(pos / F.lit(size)), F.floor((pos + back) / F.lit(size)))
-    keyed = stream.select("run_id", *names, *([time] if time else []), F.explode(spread).alias(SEG))
+    keyed = stream.select("run_id", *names, *([time, F.unix_millis(time).alias("_ms")] if time else []), F.explode(spread).alias(SEG))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, seg = key
@@ -58,12 +60,19 @@ def ordered_stream(
             waiting = np.array(waiting, dtype=float).reshape(-1, k)
         else:
             nxt, history, waiting = first, np.empty((0, k)), np.empty((0, k))
+        seen = 0
         if state.hasTimedOut:
+            if not len(waiting):
+                state.remove()
+                return
             fresh = waiting
-            if len(fresh):
-                nxt = int(fresh[:, 0].min())
+            nxt = int(fresh[:, 0].min())
         else:
-            parts = [b[names].to_numpy(dtype=float) for b in batches]
+            parts = []
+            for b in batches:
+                parts.append(b[names].to_numpy(dtype=float))
+                if time is not None and len(b):
+                    seen = max(seen, int(b["_ms"].max()))
             fresh = np.vstack([waiting, *parts])
         fresh = fresh[fresh[:, 0] >= nxt]
         fresh = fresh[np.unique(fresh[:, 0], return_index=True)[1]]
@@ -90,7 +99,8 @@ def ordered_stream(
             return
         state.update((nxt, [float(x) for x in history.ravel()], [float(x) for x in waiting.ravel()]))
         if time is not None:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 1)
+            # fires once the watermark, which lags by ``wait``, has passed the last sample
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), seen, 0) + 1)
 
     schema = "run_id long, sample_idx long, " + "".join(f"{v} double, " for v in values) + output
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout

@@ -52,7 +52,7 @@ def test_fit_compare_choose(spark, data):
     z = b + weights["risk"] * r.risk + weights["noise"] * r.noise
     assert r.proba == pytest.approx(1 / (1 + 2.718281828459045 ** -z), abs=1e-9)
     gated = live.recommend(live.risk_advice(scored.where("sample_idx = 5"), weights, b))
-    assert gated.where("confidence < 0.35").count() == 0 and "driven mainly by" in gated.first().explanation
+    assert gated.where("confidence < 0.35").count() == 0 and "drivers: " in gated.first().explanation
     path = staging_path(spark, "model")
     models.save_model(fitted["logistic"], path)
     assert models.score(models.load_model(path), df).first().proba == r.proba
