@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.functions.numeric import model_inputs, rounded
+from runloom.functions.numeric import model_inputs, narrow_doubles, rounded
 from runloom.operators import attribution, correlate, forecast, models, splits, targets
-from runloom.operators.stage import staged
+from runloom.operators.stage import staged, staging_path
 from runloom.plans import live
 from runloom.plans import queries_eval as qe
 from runloom.plans import queries_runs as qr
-from runloom.plans.oracle_base import BASE, DAY_TAGS, SCORED, TYPES, d, with_
+from runloom.plans.oracle_base import BASE, DAY_TAGS, EV, PLANS, SCORED, TYPES, d, with_
 from runloom.plans.registry import Registry
 from runloom.settings import ForecastSpec
 from runloom.sources import driver_tables as dt
@@ -214,4 +214,60 @@ def live_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 R.add("live_state", live_state)
-R.add("fingerprint", lambda spark, sf: files.fingerprint(dt.samples(spark, sf), config="driver tables"))
+R.add("fingerprint", lambda spark, sf: files.fingerprint(dt.samples(spark, sf).select("run_id", "sample_idx", "value"), config="driver tables"),
+      """WITH ids AS (SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY 1),
+p AS (SELECT CAST(sum(CAST('0x' || substr(md5(run_id || '|' || n), 1, 8) AS BIGINT)) AS BIGINT) AS ids, count(*) AS n_ids, CAST(sum(n) AS BIGINT) AS n_rows FROM ids)
+SELECT n_ids, n_rows, sha256(ids || '|' || n_ids || '|' || n_rows || '|run_id:bigint,sample_idx:bigint,value:double|driver tables') AS fingerprint FROM p""")
+
+# ---- what is written comes back -------------------------------------------
+
+
+def corpus_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path, meta = staging_path(spark, "corpus"), qr.meta_rows(spark, sf)
+    files.write_corpus(dt.samples(spark, sf), meta, path, buckets=8)
+    samples, plans = files.read_corpus(spark, path, meta.schema)
+    per_run = samples.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 3).alias("total"), F.max("sample_idx").alias("last_idx"))
+    return per_run.join(plans.select("run_id", "from_grade", "to_grade", "n_samples"), "run_id")
+
+
+R.add("corpus_round_trip", corpus_round_trip,
+      with_(EV, PLANS, body="""SELECT ev.run_id, count(*) AS n_rows, round(sum(value), 3) AS total, max(sample_idx) AS last_idx, any_value(from_grade) AS from_grade,
+  any_value(to_grade) AS to_grade, any_value(n_samples) AS n_samples FROM ev JOIN plans USING (run_id) GROUP BY ev.run_id"""))
+
+
+def run_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of the run with the smallest id, from its folder of a written corpus."""
+    path = staging_path(spark, "corpus")
+    files.write_corpus(dt.samples(spark, sf), qr.meta_rows(spark, sf), path, buckets=8)
+    first = spark.read.parquet(f"{path}/samples").agg(F.min("run_id")).first()[0]
+    return files.read_run(spark, path, first, buckets=8).select("run_id", "sample_idx", "value", "event_type")
+
+
+R.add("run_fetch", run_fetch, with_(EV, body="SELECT run_id, sample_idx, value, event_type FROM ev WHERE run_id = (SELECT min(run_id) FROM ev)"))
+
+
+def feature_cache(text: bool):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path, rows = staging_path(spark, "cache"), qr.feature_table(spark, sf)
+        files.write_features(rows, path, text)
+        back = files.read_features(spark, path, narrow_doubles(rows).schema if text else None)
+        return back.groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("y_breach").cast("long")).alias("n_positive"), F.sum(F.col("currently_off_spec").cast("long")).alias("n_off")
+        )
+
+    return query
+
+
+CACHED = with_(BASE, SCORED, body="SELECT run_id, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS n_positive, CAST(sum(off) AS BIGINT) AS n_off FROM scored GROUP BY run_id")
+R.add("feature_cache", feature_cache(False), CACHED)
+R.add("feature_cache_text", feature_cache(True), CACHED)
+
+
+def report_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = staging_path(spark, "report")
+    table = dt.read(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    files.write_report(table, path, ["event_type", "n"])
+    return spark.read.schema("event_type string, n long").option("header", True).csv(path)
+
+
+R.add("report_round_trip", report_round_trip, "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -143,7 +143,7 @@ def test_number_samples(spark):
     df = spark.sql(
         "SELECT id % 3 AS run_id, timestamp_seconds(1700000000 + (id * 7919) % 5000) AS ts, id FROM range(600)"
     )
-    got = number_samples(df, "run_id", "ts", ["id"], slice_s=300).collect()
+    got = number_samples(df, "run_id", "ts", ["id"], rows_per_slice=40).collect()
     for run in range(3):
         mine = sorted((r.ts, r.id, r.sample_idx) for r in got if r.run_id == run)
         assert [m[2] for m in mine] == list(range(len(mine)))
