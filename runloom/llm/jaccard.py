@@ -8,6 +8,7 @@ Jaccard distance d = 1 - similarity is a metric.  With r = 1 - threshold:
 2. Pivots and regions.  The first document of a cell (by set id, a hash) is its pivot.
    The documents that measure a pivot form its region; a document lies in the regions
    of all its cells' pivots, so linked documents share a region.
+   Regions with common members are merged, so that a set travels once.
 3. Small regions are joined in one task: documents within r of the pivot are one
    component; by the triangle inequality another document can only link to those whose
    distance to the pivot differs from its own by r at most, and only these are compared.
@@ -244,20 +245,21 @@ def region_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataF
     return met.groupBy("pivot", "id").agg(F.sum("shared").alias("shared"))
 
 
-def set_payload(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """id, grams: the shingle hashes of the sets of ``wanted`` (doc_id, id)."""
+def with_grams(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """region, id, size, grams: the shingle hashes of the sets of ``wanted`` (doc_id, id,
+    region, size), from the texts of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, offsets, grams in shingle_sets(batch.column(1), k):
-                ids = batch.column(0).to_numpy()[a : a + len(offsets) - 1]
+            for a, offsets, grams in shingle_sets(batch.column(0), k):
+                rest = pa.Table.from_batches([batch]).slice(a, len(offsets) - 1).select(["region", "id", "size"])
                 # a doc_id with several texts brings those along that aren't asked for
-                found = np.flatnonzero(set_ids(offsets, grams) == ids)
+                found = np.flatnonzero(set_ids(offsets, grams) == rest.column("id").to_numpy())
                 rows = [grams[offsets[i] : offsets[i + 1]].tobytes() for i in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(rows, pa.binary())], names=["id", "grams"])
+                yield from rest.take(pa.array(found)).append_column("grams", pa.array(rows, pa.binary())).to_batches()
 
-    texts = likely(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id").select("id", "text")
-    return texts.mapInArrow(run, "id long, grams binary")
+    texts = likely(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id").select("text", "region", "id", "size")
+    return texts.mapInArrow(run, "region long, id long, size long, grams binary")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -366,8 +368,8 @@ def _join_blocks(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def _part_region(members: DataFrame, percent: int, block: int, level: int) -> DataFrame:
-    """region, part, id, grams: members in the Voronoi regions of their region's new
-    pivots and in the windows of others."""
+    """region, part, id: members in the Voronoi regions of their region's new pivots and
+    in the windows of others."""
     radius = 1 - percent / 100
     pick = F.pmod(F.xxhash64("id", F.lit(100 + level)), F.col("size")) < FAN_OUT
     chunks_of = F.ceil(F.col("size") / block).cast("long")
@@ -388,26 +390,19 @@ def _part_region(members: DataFrame, percent: int, block: int, level: int) -> Da
             part = mixed(ids[p].view(np.uint64) ^ mixed(np.array([region], np.int64).view(np.uint64))).view(np.int64)[j]
         else:
             i, part = np.arange(len(x)), np.full(len(x), region)
-        grams = [sets[k].tobytes() for k in x[i]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(i), region)), pa.array(part), pa.array(ids[x[i]]), pa.array(grams, pa.binary())], names=["region", "part", "id", "grams"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), region)), pa.array(part), pa.array(ids[x[i]])], names=["region", "part", "id"])
 
     both = rows.unionByName(pivots).select("region", "chunk", "is_pivot", "id", "grams")
-    return grouped(both, ["region", "chunk"], kernel, "region long, part long, id long, grams binary")
+    return grouped(both, ["region", "chunk"], kernel, "region long, part long, id long")
 
 
-def link_edges(met: DataFrame, payload: DataFrame, percent: int, region: int = REGION, most_levels: int = 12) -> DataFrame:
-    """a, b: forest edges of all links inside regions.  ``met`` has region and id,
-    ``payload`` id and grams."""
-    sized = staged(met.join(met.groupBy("region").agg(F.count("*").alias("size")), "region"))
-    edges = _join_small(sized.where(F.col("size") <= region).join(payload, "id"), percent)
-    beyond = sized.where(F.col("size") > region)
-    if beyond.isEmpty():
-        return edges
-    large = staged(beyond.join(payload, "id"))
+def link_edges(small: DataFrame, large: DataFrame | None, percent: int, region: int = REGION, most_levels: int = 12) -> DataFrame:
+    """a, b: forest edges of all links inside regions.  Both inputs have region, id, size
+    (the region's number of members) and grams; the regions of ``large`` have more than
+    ``region`` members."""
+    edges = _join_small(small, percent)
     for level in range(most_levels):
-        if large.isEmpty():
+        if large is None or large.isEmpty():
             return edges
         parts = staged(_part_region(large, percent, region, level))
         sizes = parts.groupBy("region", "part").agg(F.count("*").alias("part_size"))
@@ -415,14 +410,23 @@ def link_edges(met: DataFrame, payload: DataFrame, percent: int, region: int = R
         judged = large.select("region", "size").distinct().join(work, "region")
         flat = staged(judged.where(F.col("work") > 0.7 * F.col("size").cast("double") * F.col("size")).select("region"))
         edges = edges.unionByName(_join_blocks(large.join(flat, "region"), percent, region))
-        parts = (
+        parted = (
             parts.join(flat, "region", "left_anti")
             .join(sizes, ["region", "part"])
+            .join(large.select("region", "id", "grams"), ["region", "id"])
             .select(F.col("part").alias("region"), "id", "grams", F.col("part_size").alias("size"))
         )
-        edges = edges.unionByName(_join_small(parts.where(F.col("size") <= region), percent))
-        large = staged(parts.where(F.col("size") > region))
-    return edges.unionByName(_join_blocks(large, percent, region))
+        edges = edges.unionByName(_join_small(parted.where(F.col("size") <= region), percent))
+        large = staged(parted.where(F.col("size") > region))
+    return edges if large is None else edges.unionByName(_join_blocks(large, percent, region))
+
+
+def merged_regions(met: DataFrame) -> DataFrame:
+    """id, region, size: one region per set, made of all regions that share members, so
+    that each set travels once."""
+    groups = components(met.select(F.col("id").alias("a"), F.xxhash64("region", F.lit("region")).alias("b")))
+    one = met.select("id").distinct().join(groups, "id").select("id", F.col("label").alias("region"))
+    return one.join(one.groupBy("region").agg(F.count("*").alias("size")), "region")
 
 
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, region: int = REGION) -> DataFrame:
@@ -435,9 +439,11 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, region: int
     inside = pairs.union(pairs.select("region", "region").distinct()).join(sizes, "region")
     one = sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("of")).select(F.col("set_id").alias("id"), "of.*")
     met = staged(sift(inside.join(one.drop("doc_id"), "id"), percent))
-    wanted = met.select("id").distinct().join(one.select("id", "doc_id"), "id")
-    payload = staged(set_payload(docs, wanted, k))
-    labels = components(link_edges(met, payload, percent, region))
+    wanted = staged(merged_regions(met).join(one.select("id", "doc_id"), "id").select("doc_id", "id", "region", "size"))
+    beyond = wanted.where(F.col("size") > region)
+    large = None if beyond.isEmpty() else staged(with_grams(docs, beyond, k))
+    small = with_grams(docs, wanted.where(F.col("size") <= region), k)
+    labels = components(link_edges(small, large, percent, region))
     labelled = sets.where("n_shingles > 0").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
