@@ -304,6 +304,14 @@ FROM customer WHERE (c_custkey % 3 = 0 OR c_acctbal >= 0) AND c_custkey % 450 >
 )
 
 
+R.add(
+    "economics_rejects",
+    lambda spark, sf: advice.overlay_economics(economics_updates(spark, sf))[1].select("c_custkey", "operating_days_per_year"),
+    """SELECT c_custkey, CAST(c_custkey % 450 AS DOUBLE) AS operating_days_per_year FROM customer
+WHERE NOT ((c_custkey % 3 = 0 OR c_acctbal >= 0) AND c_custkey % 450 > 0 AND c_custkey % 450 <= 366 AND c_custkey % 7 <> 0 AND c_nationkey > 0)""",
+)
+
+
 def broken_values(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")
     return dt.read(spark, sf, "events").select(
@@ -353,6 +361,8 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 R.add("response_rejects", lambda spark, sf: led.record_responses(answers(spark, sf), dt.ledger(spark, sf))[1].select("advisory_id", "seq", "reason"),
       with_(LEDGER, body="SELECT advisory_id, seq, CASE WHEN seq % 11 = 0 THEN 'unknown decision' ELSE 'never surfaced' END AS reason FROM ledger WHERE kind = 'response' AND (seq % 11 = 0 OR advisory_id NOT IN (SELECT advisory_id FROM ledger WHERE kind = 'surfaced'))"))
+R.add("response_accepts", lambda spark, sf: led.record_responses(answers(spark, sf), dt.ledger(spark, sf))[0].select("advisory_id", "seq", "kind", "decision"),
+      with_(LEDGER, body="SELECT advisory_id, seq, kind, decision FROM ledger WHERE kind = 'response' AND seq % 11 <> 0 AND advisory_id IN (SELECT advisory_id FROM ledger WHERE kind = 'surfaced')"))
 TRUST = """SELECT (SELECT count(DISTINCT advisory_id) FROM ledger WHERE kind = 'surfaced') AS n_surfaced, count(*) AS n_responded, round(count(*) FILTER (WHERE decision = 'accepted') / count(*)::DOUBLE, 6) AS acceptance_rate,
   round(avg(CASE WHEN decision = 'accepted' THEN confidence END), 6) AS mean_confidence_accepted, round(avg(CASE WHEN decision = 'rejected' THEN confidence END), 6) AS mean_confidence_rejected,
   round(coalesce(sum(CASE WHEN decision = 'accepted' THEN value_usd END), 0), 3) AS realized_value_usd FROM latest"""
