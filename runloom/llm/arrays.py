@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BYTES_PER_CHUNK = 4_000_000
+BYTES_PER_CHUNK = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACES = np.zeros(256, bool)
@@ -56,7 +56,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers_to(1 << max(22, int(n).bit_length()))
+    up, down = _powers_to(1 << max(20, int(n).bit_length()))
     return up[:n], down[:n]
 
 

@@ -48,7 +48,7 @@ from runloom.operators.stage import staged
 WORDS, PERCENT = 4, 85
 REGION = 512
 FAN_OUT = 16
-CELLS_PER_BUCKET = 2_000_000
+CELLS_PER_BUCKET = 500_000
 SIFT_BLOCK = 2048
 SKETCH_BITS = 1024
 _GROWTH = 1.3

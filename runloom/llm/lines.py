@@ -35,7 +35,7 @@ from runloom.operators.stage import staged
 
 EDITS = 2
 SHORT = 24
-CHARS_PER_CHUNK = 1_000_000
+CHARS_PER_CHUNK = 500_000
 KEYS_PER_BUCKET = 2_000_000
 BLOCK = 512
 SIFTED = 4096

@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-CHARS_PER_CHUNK = 2_000_000
+CHARS_PER_CHUNK = 500_000
 CACHED_WORDS = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3

@@ -40,7 +40,7 @@ SYMBOLS = 64
 _BORDER, _OTHER = 0, 60
 _LETTERS = {chr(97 + i): 1 + i for i in range(26)} | {chr(0xE0 + i): 27 + i for i in range(32)} | {"ß": 59}
 _LETTERS.pop("÷", None)
-CHARS_PER_CHUNK = 2_000_000
+CHARS_PER_CHUNK = 500_000
 
 #: What a symbol may stand for.
 LEET = {
