@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from runloom.functions.numeric import flag
 from runloom.functions.series import deviation_pct, out_of_band
 from runloom.operators.ordered import exact_percentiles
-from runloom.operators.segments import SEGMENT_ROWS, over_runs
+from runloom.operators.segments import SEG, SEGMENT_ROWS, over_runs, per_segment
 from runloom.settings import RunSpec
 
 
 def mark_settled(
-    samples: DataFrame, spec: RunSpec, value: str, target: Column, size: int = SEGMENT_ROWS
+    samples: DataFrame, spec: RunSpec, value: str, target: Column, size: int = SEGMENT_ROWS, constants: DataFrame | None = None
 ) -> DataFrame:
     """Add ``settled_here``: the last ``dwell`` samples all lay inside the
-    settle tolerance of the final target."""
+    settle tolerance of the final target.  ``constants`` (run_id, n_samples and more)
+    joins per-run values on (run, segment), where the samples already are."""
     inside = (F.abs(F.col(value) - target) <= target * spec.settle_tol_pct / 100.0).cast("int")
 
     def build(rows, w):
+        if constants is not None:
+            rows = rows.join(per_segment(constants, size), ["run_id", SEG], "left")
+        rows = rows.withColumn("_inside", inside)
         frame = w.rowsBetween(-(spec.dwell - 1), 0)
         held = (F.min("_inside").over(frame) == 1) & (F.count(F.lit(1)).over(frame) == spec.dwell)
         return rows.withColumn("settled_here", F.coalesce(held, F.lit(False))).drop("_inside")
 
-    return over_runs(samples.withColumn("_inside", inside), build, back=spec.dwell - 1, size=size)
+    return over_runs(samples, build, back=spec.dwell - 1, size=size)
 
 
 def settle_minutes(spec: RunSpec, start_min: Column) -> Column:
@@ -46,9 +50,10 @@ def run_labels(
     moisture: tuple[str, str] | None = ("moisture", "moisture_sp"),
     ash: tuple[str, str] | None = ("ash", "ash_sp"),
     size: int = SEGMENT_ROWS,
+    constants: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of outcome labels per run.  ``target`` and ``start_min`` are
-    per-run constants already joined to the samples."""
+    """One row of outcome labels per run.  ``target`` and ``start_min`` are per-run
+    constants, in the samples or in ``constants`` (run_id, n_samples and these)."""
     dev = deviation_pct(F.col(value), F.col(setpoint))
     off = out_of_band(dev, spec.band_pct)
     step = F.lit(spec.dt_s) / 60.0
@@ -70,7 +75,7 @@ def run_labels(
         if pair:
             wide = F.abs(F.col(pair[0]) - F.col(pair[1])) > band
             aggs.append(minutes(wide).alias(f"{name}_off_spec_min"))
-    marked = mark_settled(samples, spec, value, F.col(target), size)
+    marked = mark_settled(samples, spec, value, F.col(target), size, constants)
     return marked.groupBy("run_id").agg(*aggs).withColumn("settled", flag(F.col("settle_min").isNotNull()))
 
 

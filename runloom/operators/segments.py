@@ -39,6 +39,13 @@ def cut(
     )
 
 
+def per_segment(constants: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
+    """Per-run values repeated for every segment of the run (its last sample is
+    ``n_samples - 1``), to join without moving the samples."""
+    last = F.floor((F.col("n_samples") - 1) / F.lit(size))
+    return constants.withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("long"), last + 1))).drop("n_samples")
+
+
 def over_runs(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],

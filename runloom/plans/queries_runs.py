@@ -35,19 +35,10 @@ def meta_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def labelled_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide samples with the per-run constants the labels need."""
-    plans = meta_rows(spark, sf).join(
-        dt.grades(spark, sf).select(F.col("code").alias("to_grade"), F.col("basis_weight").alias("final_target")),
-        "to_grade",
-    )
-    return dt.wide_samples(spark, sf).join(
-        plans.select("run_id", "final_target", "plan_start_min"), "run_id"
-    )
-
-
 def run_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return lab.run_labels(labelled_samples(spark, sf), SPEC)
+    goals = dt.grades(spark, sf).select(F.col("code").alias("to_grade"), F.col("basis_weight").alias("final_target"))
+    constants = meta_rows(spark, sf).join(goals, "to_grade", "left").select("run_id", "n_samples", "final_target", "plan_start_min")
+    return lab.run_labels(dt.wide_samples(spark, sf), SPEC, constants=constants)
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
