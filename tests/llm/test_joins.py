@@ -155,3 +155,37 @@ def test_embeddings_recall_and_odd_vectors(spark):
     assert all(got[n + i].n_links == 0 and got[n + i].component_id == n + i and got[n + i].kept for i in range(len(odd)))
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("dims", [32, 64, 200])
+def test_embeddings_recall_does_not_fall_with_rows(dims):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4000, dims))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    off = rng.normal(size=v.shape)
+    off -= (off * v).sum(1, keepdims=True) * v
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    partner = vectors.COSINE * v + np.sqrt(1 - vectors.COSINE**2) * off  # at the threshold, the hardest pairs
+    for rows in (700, 10**6, 10**7, 10**8):
+        index = vectors.build(v, rows, vectors.COSINE)
+        x = index.codes(v) ^ index.codes(partner)
+        found = np.zeros(len(v), bool)
+        for t in index.tables:
+            found |= ((x[:, t.word] & np.uint64(t.mask)) == 0) & (np.bitwise_count(x[:, t.word]) <= t.far)
+        assert found.mean() >= 0.92, (dims, rows, found.mean())
+        if rows == 10**8:
+            assert min(t.mask.bit_count() for t in index.tables) >= 16  # keys are as long as so many rows need
+
+
+def test_embeddings_with_the_tables_of_many_rows(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = np.concatenate([c + rng.normal(size=(8, 64)) * 0.04 for c in centres])  # cosines about 0.9
+    frame = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame, block=64, planned_rows=10**8).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    true = (unit @ unit.T >= vectors.COSINE).sum(1) - 1
+    found = np.array([got[i] for i in range(len(v))])
+    assert (found <= true).all()
+    assert found.sum() >= 0.9 * true.sum() > 100
