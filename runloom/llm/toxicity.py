@@ -184,30 +184,39 @@ class Lines:
         return np.searchsorted(self.border, at, side="right") - 1
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of tokens and of runs of single characters that may hide a
-        word; SUSPICIOUS then looks closer."""
-        p, letter = self.points, self.letter
+        """Starts and ends of tokens, or of chains of single characters with the tokens
+        that they touch, that may hide a word.  Every match of SUSPICIOUS lies in one
+        span, and none reaches over a span's border."""
+        p = self.points
         code = np.minimum(p, 255).astype(np.uint8)
         code[p > 255] = 0
         leet, last, joint = _IS_LEET[code] | (p == 0x20AC), _IS_LAST[code], _IS_JOINT[code]
+        alnum, letter = _alnum()[p], _alnum()[p] & ~_decimal()[p]  # as the expression has them
         solid = ~_IS_SPACE[code]
         start = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
         end = np.flatnonzero(solid & ~np.r_[solid[1:], False]) + 1
         if not len(start):
             return start, end
-        after = lambda x, k: np.r_[x[k:], np.zeros(k, x.dtype)]
+        after = lambda x, k: np.r_[x[k:], np.zeros(min(k, len(x)), x.dtype)]
+        goes_on = alnum | last | (p == 95)
         same = letter & (p == after(p, 1))
         odd = leet & after(letter, 1)
-        odd |= letter & after(last, 1) & (~after(solid, 2) | (after(last, 2) & ~after(solid, 3)))
+        odd |= letter & after(last, 1) & (~after(goes_on, 2) | (after(last, 2) & ~after(goes_on, 3)))
         odd |= same & after(same, 1)
-        odd |= letter & after(joint, 1) & after(letter, 2) & after(joint, 3)
         token = np.unique(np.searchsorted(start, np.flatnonzero(odd), side="right") - 1)
-        lone = (end - start == 1) & (letter[start] | leet[start])
-        beside = lone[:-1] & lone[1:] & (start[1:] - end[:-1] <= 2) & (p[end[:-1]] == 32)
-        head = np.flatnonzero(beside & ~np.r_[False, beside[:-1]])
-        tail = np.flatnonzero(beside & ~np.r_[beside[1:], False]) + 1
+        single = np.flatnonzero(alnum & ~np.r_[False, alnum[:-1]] & ~after(alnum, 1))
+        linked = (np.diff(single) <= 3) & joint[single[:-1] + 1] & joint[single[1:] - 1]
+        head = np.flatnonzero(linked & ~np.r_[False, linked[:-1]])
+        tail = np.flatnonzero(linked & ~np.r_[linked[1:], False]) + 1
         long = tail - head >= 2
-        return np.r_[start[token], start[head[long]]], np.r_[end[token], end[tail[long]]]
+        first = np.r_[token, np.searchsorted(start, single[head[long]], side="right") - 1]
+        final = np.r_[token, np.searchsorted(start, single[tail[long]], side="right") - 1]
+        if not len(first):
+            return first, final
+        order = np.argsort(first, kind="stable")
+        first, final = first[order], np.maximum.accumulate(final[order])
+        new = np.flatnonzero(np.r_[True, first[1:] > final[:-1]])
+        return start[first[new]], end[final[np.r_[new[1:] - 1, len(final) - 1]]]
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(self.letter & ~np.r_[False, self.letter[:-1]])
@@ -234,6 +243,16 @@ def _letters() -> np.ndarray:
     return every
 
 
+@lru_cache(maxsize=1)
+def _alnum() -> np.ndarray:
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+@lru_cache(maxsize=1)
+def _decimal() -> np.ndarray:
+    return np.array([chr(c).isdecimal() for c in range(0x110000)])
+
+
 def read_lines(texts: list[str | None]) -> Iterator[tuple[int, int, Lines]]:
     """Stretches of whole texts of about CHARS_PER_CHUNK characters."""
     at = 0

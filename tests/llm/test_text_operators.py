@@ -213,6 +213,33 @@ def test_hidden_words_are_read():
     assert rng is not None
 
 
+def test_every_suspicious_match_lies_in_a_span():
+    rng = np.random.default_rng(12)
+    signs = list("aabbcdeilost1035$@!|+(*#%_.-  ,;)\n\xa0") + ["é", "²", "€", "٣", "日", "--", ". ", "- ", "ooo"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 40)))) for _ in range(4000)]
+    texts += ["a loser5, said", "an idiot$.", "(l0ser)", "i--d--i--o--t", "i. d. i. o. t", "so i- d- i- o- t!", "x", "", None, "a_b_c", "1 2 3"]
+    seen = 0
+    for a, _, lines in toxicity.read_lines(texts):
+        start, end = lines.spans()
+        assert (start[1:] >= end[:-1]).all()
+        spans = list(zip(start.tolist(), end.tolist()))
+        want = [(m.start(), m[0]) for m in toxicity.SUSPICIOUS.finditer(lines.joined)]
+        got = [(s + m.start(), m[0]) for s, e in spans for m in toxicity.SUSPICIOUS.finditer(lines.joined[s:e])]
+        assert got == want
+        seen += len(want)
+    assert seen > 2000
+
+
+def test_hidden_words_before_punctuation_and_with_wide_joints():
+    text = "you are such an idiot and many losers here say that " * 50
+    s = toxicity._symbol_table()[np.frombuffer(f"  {text}  ".encode("utf-32-le"), np.uint32)].astype(int)
+    cube = np.bincount((s[:-2] * 64 + s[1:-1]) * 64 + s[2:], minlength=64**3).reshape(64, 64, 64).astype(float)
+    model = toxicity.Model(-2.0, {w: 6.0 for w in ("idiot", "losers")})
+    restore = toxicity.Restorer(toxicity.char_costs(cube))
+    for hidden in ("loser5,", "loser$.", "i--d--i--o--t", "i. d. i. o. t", "i- d- i- o- t"):
+        assert model.scores([f"here is {hidden} again"], restore)[0] > 0.9, hidden
+
+
 def labelled(spark, make, column):
     rows = [(i, make(i), "s") for i in range(400)]
     labels = [(i, int(i % 3 == 0)) for i in range(400)]
