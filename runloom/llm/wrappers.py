@@ -1,16 +1,20 @@
 """Main text of web pages by inferred wrappers.
 
-Pages of a host share a template.  Each page becomes a stream of block tags and text
-blocks; like blocks in a row fold into one repeated group.  Streams of a host are
-aligned one after another: equal tags match, differing texts become slots, equal ones
+Pages of a host share templates.  Each page becomes a stream of block tags and text
+blocks; like blocks in a row fold into one repeated group.  Streams of a template
+are aligned one after another: equal tags match, differing texts become slots, equal ones
 stay constants, and what only one side has becomes optional.  The result is a
-union-free regular expression, the host's wrapper, with counts per group.  From it
-follows which groups are article: those in an ``article`` or ``main`` element; where a
-host has none, the container with the most slot text outside links, without constants.
-Groups in menus, headers, footers, asides, notices, adverts, forms and comments are
-never article.
+union-free regular expression, the template's wrapper, with counts per group.
 
-Tasks align the pages they hold, then partial wrappers of a host are merged in two
+A page's article is what its container holds outside menus, headers, footers, asides,
+notices, adverts, forms and comments.  The container is the page's ``article`` or
+``main`` element; where it has none, the element with the most text outside links.
+Pages of a host with one container share a template; no page is judged by another
+template.  The wrapper says what is the template's own text: a single group that every
+page of it has, with one text on at least DISTINCT pages of differing content.  Such
+lines go, unless they outweigh the slots, when the pages are copies of one article.
+
+Tasks align the pages they hold, then partial wrappers of a template are merged in two
 rounds (salted, then whole), so a host with a third of all pages is no hot group.
 
 Defined results: a null or empty page has an empty text; a null URL belongs to the
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html import unescape
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from runloom.llm.urls import host_path
 
 SALTS = 64
+DISTINCT = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,6 +62,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 MAIN = frozenset(("article", "main"))
+#: Elements within an article, never its container.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption details summary section address".split())
 BOILER = frozenset("nav footer aside form head button dialog menu".split())
 _ROLE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|related|notices?|cookies?|consent|banner|alert|popup|modal|newsletter|subscribe"
@@ -117,6 +125,7 @@ def blocks(html: str | None) -> list[Block]:
 def stream(page: list[Block]) -> list[dict]:
     """Groups of a page: like blocks in a row are one repeated group."""
     out: list[dict] = []
+    content = zlib.crc32("\n".join(text for _, text, _ in page).encode("utf-8", "surrogatepass"))
     for path, text, linked in page:
         key = "/".join(path)
         if out and out[-1]["key"] == key:
@@ -125,7 +134,7 @@ def stream(page: list[Block]) -> list[dict]:
             g["chars"] += len(text)
             g["linked"] += linked
         else:
-            out.append({"key": key, "rep": False, "opt": False, "const": text, "pages": 1, "chars": len(text), "linked": linked})
+            out.append({"key": key, "rep": False, "opt": False, "const": text, "pages": 1, "chars": len(text), "linked": linked, "seen": [content]})
     return out
 
 
@@ -145,6 +154,7 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
                         "pages": x["pages"] + y["pages"],
                         "chars": x["chars"] + y["chars"],
                         "linked": x["linked"] + y["linked"],
+                        "seen": sorted({*x["seen"], *y["seen"]})[:DISTINCT],
                     }
                 )
         else:
@@ -162,22 +172,31 @@ def _boiler(path: list[str]) -> bool:
     return False
 
 
-def article_keys(wrapper: list[dict]) -> list[str]:
-    """Keys of the groups that hold the article."""
-    paths = {g["key"]: g["key"].split("/") if g["key"] else [] for g in wrapper}
-    open_keys = [k for k, p in paths.items() if not _boiler(p)]
-    marked = [k for k in open_keys if any(s.partition(".")[0] in MAIN for s in paths[k])]
-    if marked:
-        return sorted(marked)
-    weight: dict[str, int] = {}
-    slots = [g for g in wrapper if g["key"] in open_keys and (g["const"] is None or g["pages"] == 1) and 2 * g["linked"] < g["chars"]]
-    for g in slots:
-        parent = "/".join(paths[g["key"]][:-1])
-        weight[parent] = weight.get(parent, 0) + g["chars"] - g["linked"]
+def article_blocks(page: list[Block]) -> tuple[str, list[Block]]:
+    """The page's container and the blocks in it that are no boilerplate."""
+    held = [x for x in page if not _boiler(list(x[0]))]
+    inner = [x for x in held if any(s.partition(".")[0] in MAIN for s in x[0])]
+    if inner:
+        first = inner[0][0]
+        return "/".join(first[: 1 + next(i for i, s in enumerate(first) if s.partition(".")[0] in MAIN)]), inner
+    weight: dict[tuple[str, ...], int] = {}
+    for path, text, linked in held:
+        while path and path[-1].partition(".")[0] in FLOW:
+            path = path[:-1]
+        if 2 * linked < len(text):
+            weight[path] = weight.get(path, 0) + len(text) - linked
     if not weight:
-        return []
+        return "", []
     best = max(weight, key=lambda k: (weight[k], k))
-    return sorted({g["key"] for g in slots if g["key"].startswith(best)})
+    return "/".join(best), [x for x in held if x[0][: len(best)] == best]
+
+
+def constants(wrapper: list[dict]) -> list[tuple[str, str]]:
+    """Key and text of the groups that are the template's own."""
+    own = [g for g in wrapper if g["const"] is not None and not g["rep"] and not g["opt"] and len(g["seen"]) >= DISTINCT]
+    if 2 * sum(g["chars"] for g in own) >= sum(g["chars"] for g in wrapper):
+        return []
+    return sorted({(g["key"], g["const"]) for g in own})
 
 
 def _merged(wrappers: list[str]) -> str:
@@ -187,64 +206,82 @@ def _merged(wrappers: list[str]) -> str:
     return json.dumps(out)
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper: the merged wrapper of every host.  ``pages`` has host and html."""
+def read_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, container, article: the blocks of every page's container."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [article_blocks(blocks(html)) for html in batch.column(3).to_pylist()]
+            article = pa.array([json.dumps([("/".join(p), t, n) for p, t, n in held]) for _, held in found], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([c for c, _ in found], pa.string()), article], names=["page_id", "url", "host", "container", "article"]
+            )
+
+    read = pages.select("page_id", "url", "host", "html")
+    return read.mapInArrow(run, "page_id long, url string, host string, container string, article string")
+
+
+def _article(text: str) -> list[Block]:
+    return [(tuple(p.split("/")) if p else (), t, n) for p, t, n in json.loads(text)]
+
+
+def infer(read: DataFrame) -> DataFrame:
+    """host, container, wrapper: the merged wrapper of every template."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes: dict[tuple, list[dict]] = {}
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                groups = stream(blocks(html))
-                shape = (host, *(g["key"] for g in groups))
+            for host, container, article in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                groups = stream(_article(article))
+                shape = (host or "", container, *(g["key"] for g in groups))
                 shapes[shape] = align(shapes[shape], groups) if shape in shapes else groups
-            hosts: dict[str, list[dict]] = {}
-            for (host, *_), groups in sorted(shapes.items()):
-                hosts[host] = align(hosts[host], groups) if host in hosts else groups
-            rows = [json.dumps(w) for w in hosts.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array(rows, pa.string())], names=["host", "wrapper"])
+            found: dict[tuple[str, str], list[dict]] = {}
+            for (host, container, *_), groups in sorted(shapes.items()):
+                at = (host, container)
+                found[at] = align(found[at], groups) if at in found else groups
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())],
+                names=["host", "container", "wrapper"],
+            )
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.iloc[:1].copy()
         out["wrapper"] = _merged(sorted(pdf["wrapper"]))
         return out
 
-    parts = pages.select("host", "html").mapInArrow(partial, "host string, wrapper string")
+    schema = "host string, container string, wrapper string, salt long"
+    parts = read.select("host", "container", "article").mapInArrow(partial, "host string, container string, wrapper string")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    salted = parts.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string, salt long")
-    return salted.groupBy("host").applyInPandas(merge, "host string, wrapper string, salt long").drop("salt")
+    salted = parts.groupBy("host", "container", "salt").applyInPandas(merge, schema)
+    return salted.groupBy("host", "container").applyInPandas(merge, schema).drop("salt")
 
 
-def main_text(html: str | None, article: frozenset[str]) -> str:
-    return "\n".join(text for path, text, _ in blocks(html) if "/".join(path) in article)
+def main_text(article: list[Block], own: frozenset[tuple[str, str]]) -> str:
+    kept = [text for path, text, _ in article if ("/".join(path), text) not in own]
+    return "\n".join(kept or [text for _, text, _ in article])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     host, _ = host_path(F.col("url"))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    read = read_pages(pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [json.dumps(article_keys(json.loads(w))) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "article"])
+            found = [json.dumps(constants(json.loads(w))) for w in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.string())], names=["host", "container", "own"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, frozenset[str]] = {}
         for batch in batches:
             texts = []
-            for html, article in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                article = article or "[]"
-                if article not in parsed:
-                    if len(parsed) > 10_000:
-                        parsed.clear()
-                    parsed[article] = frozenset(json.loads(article))
-                texts.append(main_text(html, parsed[article]))
+            for article, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                texts.append(main_text(_article(article), frozenset(map(tuple, json.loads(own or "[]")))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    chosen = infer(rows).mapInArrow(keys, "host string, article string")
-    # a page goes with its host's keys; hot hosts are split by the adaptive skew join
-    joined = rows.join(chosen, "host", "left").select("page_id", "url", "html", "article")
+    chosen = infer(read).mapInArrow(own_lines, "host string, container string, own string").where("own <> '[]'")
+    # a page goes with its template's lines; hot templates are split by the adaptive skew join
+    joined = read.join(chosen, ["host", "container"], "left").select("page_id", "url", "article", "own")
     return joined.mapInArrow(apply, "page_id long, url string, text string, n_chars long")

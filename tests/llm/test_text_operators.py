@@ -190,6 +190,19 @@ def test_wrappers_find_the_article(spark):
     assert got[200].text == got[201].text == "" and got[202].text == "broken < 3"
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_an_article_element_is_no_veto_on_other_pages(spark):
+    rows = [(i, None, f"<article><h1>T{i}</h1><p>Story {i} goes on<p>and ends {i}</p><h6>All rights stay here</h6></article>") for i in range(4)]
+    rows += [(10 + i, None, f"<div class=content><p>Other page {i}<p>goes on {i}</div>") for i in range(4)]
+    got = extracted(spark, rows)
+    for i in range(4):
+        assert got[i] == f"T{i}\nStory {i} goes on\nand ends {i}"  # the template's line is gone
+        assert got[10 + i] == f"Other page {i}\ngoes on {i}"
+
+
 def test_alignment_makes_slots_options_and_repeats():
     one = wrappers.stream(wrappers.blocks("<h1>A</h1><p>x</p><footer>same</footer>"))
     two = wrappers.stream(wrappers.blocks("<h1>B</h1><p>x</p><p>y</p><aside>ad</aside><footer>same</footer>"))
