@@ -203,6 +203,20 @@ def test_an_article_element_is_no_veto_on_other_pages(spark):
         assert got[10 + i] == f"Other page {i}\ngoes on {i}"
 
 
+def test_templates_and_copies_of_a_host(spark):
+    rows = [(i, "http://t.example/a", f"<div class=content><h1>Long {i}</h1><p>A much longer story number {i}</div>") for i in range(6)]
+    rows += [(10 + i, "http://t.example/b", f"<div class=entry><p>Short {i}</div>") for i in range(3)]
+    rows += [(20 + i, "http://copy.example/c", "<div class=content><h1>Title</h1><p>Only one paragraph</div>") for i in range(5)]
+    rows += [(30 + i, "http://d.example/c", f"<div class=content><h1>Title</h1><p>Only one paragraph</p><h6>{i}</h6></div>") for i in range(5)]
+    rows += [(40, "http://e.example/c", "<div class=content><p>Intro<blockquote><p>A quotation longer than all the rest</blockquote></div><div class=content2><p>no</div>")]
+    got = extracted(spark, rows)
+    assert [got[i] for i in range(6)] == [f"Long {i}\nA much longer story number {i}" for i in range(6)]
+    assert [got[10 + i] for i in range(3)] == [f"Short {i}" for i in range(3)]
+    assert all(got[20 + i] == "Title\nOnly one paragraph" for i in range(5))
+    assert all(got[30 + i] == f"Title\nOnly one paragraph\n{i}" for i in range(5))
+    assert got[40].startswith("Intro\nA quotation")
+
+
 def test_alignment_makes_slots_options_and_repeats():
     one = wrappers.stream(wrappers.blocks("<h1>A</h1><p>x</p><footer>same</footer>"))
     two = wrappers.stream(wrappers.blocks("<h1>B</h1><p>x</p><p>y</p><aside>ad</aside><footer>same</footer>"))
