@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import jaccard, lines, quality, toxicity, urls, vectors, winnow, wrappers
+from runloom.llm import jaccard, lines, nearest, phrases, quality, toxicity, urls, vectors, whiten, winnow, wrappers
 from runloom.llm.mixing import mix
 from runloom.llm.packing import pack
 from runloom.llm.tables import table
@@ -52,6 +52,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +77,9 @@ QUERIES = {
         op8_line_dedup,
         op9_source_mix,
         op10_quality_classifier,
+        op11_phrase_collocations,
+        op12_exact_top_k,
+        op13_embedding_whitening,
     )
 }
-ORACLES: dict[str, str] = {"op4_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filters": urls.ORACLE, "op11_phrase_collocations": phrases.ORACLE, "op12_exact_top_k": nearest.ORACLE}
