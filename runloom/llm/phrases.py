@@ -37,7 +37,7 @@ from runloom.operators.stage import staged
 LENGTHS, SUPPORT, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 NO_LANG = "und"
 
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 17
 BITS = 1 << 26
 LANGS = 4096
 
