@@ -144,8 +144,8 @@ def upper_bounds(q: list[np.ndarray], pivots: np.ndarray, pivot: np.ndarray, nea
 class Search:
     """The best k of some queries so far."""
 
-    def __init__(self, ids: np.ndarray, q: list[np.ndarray], least: np.ndarray, k: int):
-        self.ids, self.q, self.least = ids, q, least
+    def __init__(self, ids: np.ndarray, q: list[np.ndarray], least: np.ndarray, least_id: np.ndarray, k: int):
+        self.ids, self.q, self.least, self.least_id = ids, q, least, least_id  # what has to be beaten
         self.score = np.full((len(ids), k), NONE)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
@@ -162,7 +162,9 @@ class Search:
         exact = square * (q.astype(float) ** 2).sum(1).max(initial=0.0) < float(1 << 53) ** 2 / 4
         score = (q.astype(float) @ x.T.astype(float)).astype(np.int64) if exact else q @ x.T
         score[self.ids[active][:, None] == ids[None, :]] = NONE
-        hit = score >= np.maximum(np.maximum(self.least[active], self.score[active, -1]), NONE + 1)[:, None]
+        hit = score >= np.maximum(self.score[active, -1], NONE + 1)[:, None]
+        least, least_id = self.least[active, None], self.least_id[active, None]
+        hit &= (score > least) | ((score == least) & (ids[None, :] < least_id))
         some = np.flatnonzero(hit.any(1))
         if not len(some):
             return
@@ -216,7 +218,7 @@ def indexed(rows: DataFrame, pivots: np.ndarray, n_blocks: int, every: int, k: i
         best: list = [None] * len(ids)
         for a in range(0, len(asked), QUERY_BATCH):
             part = asked[a : a + QUERY_BATCH]
-            search = Search(ids[part], [x[i] for i in part], np.full(len(part), NONE), k)
+            search = Search(ids[part], [x[i] for i in part], np.full(len(part), NONE), np.zeros(len(part), np.int64), k)
             search.expand(annuli)
             for i, score, found in zip(part.tolist(), search.score, search.found):
                 real = score != NONE
@@ -236,7 +238,8 @@ def indexed(rows: DataFrame, pivots: np.ndarray, n_blocks: int, every: int, k: i
 
 
 def routed(queries: DataFrame, directory: pa.Table, pivots: np.ndarray, k: int) -> DataFrame:
-    """block, id, x, least: the other blocks that can still hold one of a query's best."""
+    """block, id, x, least, least_id: the other blocks that can still hold one of a query's
+    best, and the worst of those it has."""
     blocks, pivot, near, far, square = (directory.column(c).to_numpy() for c in ("block", "pivot", "near", "far", "square"))
     names, at = np.unique(blocks, return_inverse=True)
     order = np.argsort(at, kind="stable")
@@ -250,28 +253,28 @@ def routed(queries: DataFrame, directory: pa.Table, pivots: np.ndarray, k: int)
                 bound = np.maximum.reduceat(bound, starts, axis=1)
                 own = batch.column(0).to_numpy()
                 least = np.array([s[-1] if len(s) >= k else NONE for s in _lists(batch.column(3))])
+                least_id = np.array([b[-1] if len(b) >= k else 0 for b in _lists(batch.column(4))])
                 i, j = np.nonzero((bound >= least[:, None]) & (names[None, :] != own[:, None]))
                 take = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(names[j]), batch.column(1).take(take), batch.column(2).take(take), pa.array(least[i])], names=["block", "id", "x", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[j]), batch.column(1).take(take), batch.column(2).take(take), pa.array(least[i]), pa.array(least_id[i])], names=["block", "id", "x", "least", "least_id"])
 
-    return queries.select("block", "id", "x", "best_score").mapInArrow(run, "block long, id long, x array<long>, least long")
+    return queries.select("block", "id", "x", "best_score", "best_id").mapInArrow(run, "block long, id long, x array<long>, least long, least_id long")
 
 
 def searched(rows: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
     """query, score, id: what the queries find in the blocks they were sent to."""
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     sizes = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_PART).cast("long").alias("parts"))
-    columns = ["block", "part", "asks", "pivot", "dist", "id", "x", "least"]
-    none = F.lit(NONE + 1)
+    columns = ["block", "part", "asks", "pivot", "dist", "id", "x", "least", "least_id"]
     data = rows.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    data = data.withColumns({"asks": F.lit(False), "least": none}).select(*columns)
+    data = data.withColumns({"asks": F.lit(False), "least": F.lit(NONE), "least_id": F.lit(0).cast("long")}).select(*columns)
     asking = queries.join(sizes, "block").withColumns({"part": part, "asks": F.lit(True), "pivot": F.lit(0).cast("long"), "dist": F.lit(0.0)}).select(*columns)
 
     def answer(annuli: Annuli, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         for a in range(0, rows.num_rows, QUERY_BATCH):
             some = rows.slice(a, QUERY_BATCH)
             ids = some.column("id").to_numpy()
-            search = Search(ids, _lists(some.column("x")), some.column("least").to_numpy(), k)
+            search = Search(ids, _lists(some.column("x")), some.column("least").to_numpy(), some.column("least_id").to_numpy(), k)
             search.expand(annuli)
             real = search.score != NONE
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(search.score[real]), pa.array(search.found[real])], names=["query", "score", "id"])
