@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.models import input_stages
-from runloom.operators.ordered import shuffled_rank
+from runloom.operators.ordered import hash_position
 from runloom.operators.scores import ranking_scores
 from runloom.operators.splits import seeded_sample
 from runloom.operators.stage import staged
 
 RIDGE_ALPHA = 1.0
+BLOCK_ROWS = 512
+STEP = 7919  # places between the donors of one repeat and the next, round the block
 
 
 def linear_attribution(rows: DataFrame, weights: dict[str, float], intercept: float = 0.0) -> DataFrame:
@@ -88,36 +90,60 @@ def top_drivers(phi: Column, k: int = 8) -> Column:
     )
 
 
+def by_columns(scorer: Callable[[dict[str, Column]], Column], features: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """A scorer of frames from one of columns."""
+    return lambda rows: rows.withColumn("proba", scorer({f: F.col(f) for f in features}))
+
+
+def permuted_rows(
+    rows: DataFrame, ident: str, features: Sequence[str], repeats: int, seed: int = 0, y: str = "y_breach", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """feature, repeat, y and the features: all rows as they are (feature "", repeat 0),
+    and per feature and repeat all rows with that feature of another row.
+
+    Rows are dealt to blocks of about ``block_rows`` by a seeded hash of the id and
+    ordered by it; in repeat r each row's donor is a fixed number of places further on in
+    its block, round and round, so every row gives once.  One shuffle forms the blocks;
+    the permuted rows are made from them in place."""
+    md5 = hash_position(F.col(ident), F.lit(seed))
+    n_blocks = F.greatest(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(1)).cast("long")
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    member = F.struct(md5.alias("_md5"), F.col(ident).alias("_id"), F.col(y).alias("y"), *features)
+    block = F.conv(F.substring("_m._md5", 1, 15), 16, 10).cast("long") % n_blocks
+    blocks = (
+        rows.select(member.alias("_m")).withColumn("_n", n).groupBy(block.alias("_block")).agg(F.array_sort(F.collect_list("_m")).alias("_b"))
+    )
+    m = F.size("_b")
+    far = [1 + F.pmod(F.lit(r * STEP), F.greatest(m - 1, F.lit(1))) for r in range(1, repeats + 1)]
+    places = F.transform(
+        F.sequence(F.lit(0), m - 1),
+        lambda i: F.struct(F.get("_b", i).alias("own"), F.array(*[F.get("_b", F.pmod(i + d, m)) for d in far]).alias("donors")),
+    )
+    each = blocks.select(F.explode(places).alias("_p")).select("_p.*").withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats))))
+    which, repeat = F.pmod(F.col("_v") - 1, F.lit(len(features))), F.floor((F.col("_v") + (len(features) - 1)) / len(features)).cast("int")
+    each = each.select("own", F.get("donors", repeat - 1).alias("_d"), repeat.alias("repeat"), F.when(F.col("_v") > 0, which).alias("_w"))
+    values = [F.when(F.col("_w") == j, F.col("_d")[f]).otherwise(F.col("own")[f]).alias(f) for j, f in enumerate(features)]
+    name = F.coalesce(F.get(F.array(*[F.lit(f) for f in features]), F.col("_w")), F.lit(""))
+    return each.select(name.alias("feature"), "repeat", F.col("own.y").alias("y"), *values)
+
+
 def permutation_importance(
-    rows: DataFrame, ident: str, features: Sequence[str], scorer: Callable[[dict[str, Column]], Column],
-    repeats: int = 5, seed: int = 0, y: str = "y_breach", max_rows: int | None = None,
+    rows: DataFrame, ident: str, features: Sequence[str], score: Callable[[DataFrame], DataFrame], repeats: int = 5, seed: int = 0,
+    y: str = "y_breach", max_rows: int | None = None, digits: int = 4, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Drop in average precision when one feature is shuffled: mean and standard
-    deviation over repeats, on held-out rows.
+    deviation over repeats, on held-out rows.  ``score`` adds ``proba`` to rows with the
+    features, such as ``models.score`` of a fitted model or ``by_columns``.
 
-    Each repeat ranks the rows in another seeded order and joins that order to the
-    first one, which hands every row a stranger's feature values; the join is on the
-    unique rank, so it is never skewed.  Every (feature, repeat) ranks all rows
-    again; ``max_rows`` bounds that by a seeded sample."""
+    Rows travel once, into blocks of strangers.  Each task counts its positives and rows
+    by (feature, repeat, score rounded to ``digits``), so what is shuffled for the scores
+    is bounded by their number, whatever the number of rows.  ``max_rows`` takes a seeded
+    sample instead of all rows."""
     if max_rows is not None:
         rows = seeded_sample(rows, ident, max_rows, seed)
-    base = rows.select(ident, F.col(y).alias("y"), F.struct(*features).alias("own"))
-    first = staged(shuffled_rank(base, ident, seed))
-    own = {f: F.col("own")[f] for f in features}
-    variants = first.select("y", F.lit("").alias("feature"), F.lit(0).alias("repeat"), scorer(own).alias("p"))
-    for r in range(1, repeats + 1):
-        other = shuffled_rank(base.select(ident, F.col("own").alias("theirs")), ident, seed + r).select("rank", "theirs")
-        mixed = first.join(other, "rank")
-        tries = F.array(
-            *[
-                F.struct(F.lit(f).alias("feature"), scorer(own | {f: F.col("theirs")[f]}).alias("p"))
-                for f in features
-            ]
-        )
-        variants = variants.unionByName(
-            mixed.select("y", F.explode(tries).alias("_t")).select("y", "_t.feature", F.lit(r).alias("repeat"), "_t.p")
-        )
-    ap = staged(ranking_scores(variants, y="y", proba="p", by=["feature", "repeat"]).select("feature", "repeat", "average_precision"))
+    scored = score(permuted_rows(rows, ident, features, repeats, seed, y, block_rows))
+    cells = scored.groupBy("feature", "repeat", F.round("proba", digits).alias("p"), "y").agg(F.count(F.lit(1)).alias("_n"))
+    ap = staged(ranking_scores(cells, y="y", proba="p", by=["feature", "repeat"], n=F.col("_n")).select("feature", "repeat", "average_precision"))
     whole = ap.where(F.col("repeat") == 0).select("average_precision").scalar()
     drop = whole - F.col("average_precision")
     return (

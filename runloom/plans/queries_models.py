@@ -106,7 +106,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sample_idx ORDER BY abs(
 
 def permutation(spark: SparkSession, sf: str) -> DataFrame:
     rows = qe.in_spec(spark, sf).select(F.concat_ws("-", "run_id", "sample_idx").alias("key"), "y_breach", *WEIGHTS)
-    return attribution.permutation_importance(staged(rows), "key", list(WEIGHTS), linear_score, repeats=2)
+    return attribution.permutation_importance(staged(rows), "key", list(WEIGHTS), attribution.by_columns(linear_score, list(WEIGHTS)))
 
 
 _LS = "round(1e0 / (1e0 + exp(-({z}))), 4)"
@@ -116,10 +116,11 @@ def _z(swap: str | None) -> str:
     return d(INTERCEPT) + "".join(f" + {d(w)} * {'t' if f == swap else 'o'}.{f}" for f, w in WEIGHTS.items())
 
 
-PERM = "k AS (SELECT *, run_id || '-' || sample_idx AS key FROM xs WHERE off = 0),\n" + ",\n".join(
-    f"r{r} AS (SELECT *, row_number() OVER (ORDER BY md5(key || '|{r}'), key) AS rk FROM k)" for r in range(3)
-) + ",\nvariants AS (SELECT '' AS feature, 0 AS rep, y, " + _LS.format(z=_z(None)) + " AS p FROM r0 o" + "".join(
-    f" UNION ALL SELECT '{f}', {r}, o.y, {_LS.format(z=_z(f))} FROM r0 o JOIN r{r} t ON t.rk = o.rk" for r in (1, 2) for f in WEIGHTS
+PERM = f"""k AS (SELECT *, CAST('0x' || substr(h, 1, 15) AS BIGINT) % (SELECT greatest(CAST(ceil(count(*) / {attribution.BLOCK_ROWS}e0) AS BIGINT), 1) FROM xs WHERE off = 0) AS blk
+  FROM (SELECT *, run_id || '-' || sample_idx AS key, md5(run_id || '-' || sample_idx || '|0') AS h FROM xs WHERE off = 0) q),
+b AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY h, key) - 1 AS i, count(*) OVER (PARTITION BY blk) AS m FROM k),
+variants AS (SELECT '' AS feature, 0 AS rep, y, {_LS.format(z=_z(None))} AS p FROM b o""" + "".join(
+    f" UNION ALL SELECT '{f}', r.r, o.y, {_LS.format(z=_z(f))} FROM b o, range(1, 6) r(r), b t WHERE t.blk = o.blk AND t.i = (o.i + 1 + r.r * {attribution.STEP} % greatest(o.m - 1, 1)) % o.m" for f in WEIGHTS
 ) + """),
 st AS (SELECT feature, rep, p, sum(y) AS pos, count(*) AS c FROM variants GROUP BY ALL),
 cu AS (SELECT *, sum(pos) OVER w AS tp, sum(c) OVER w AS al FROM st WINDOW w AS (PARTITION BY feature, rep ORDER BY p DESC)),
@@ -185,16 +186,18 @@ def surrogate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 R.add("surrogate_attribution", surrogate)
-CONE = ForecastSpec(horizons_min=(0.5, 1.0, 2.0))
+CONE = ForecastSpec()  # 3 horizons x 3 quantiles
+#: a steeper rate and an earlier stop than the library's, for the shared tables' few rows
+CONE_SETTINGS = {"rounds": 40, "rate": 0.2, "patience": 4}
 
 
-def cone_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str], dict]:
+def cone_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str], forecast.Cone]:
     dev = qr.deviations(spark, sf).select(*KEYS, "bw_dev_pct")
     ahead = targets.forward_targets(dev, SPEC, CONE.horizons_min).drop("bw_dev_pct")
     rows = staged(qr.feature_table(spark, sf).join(ahead, KEYS))
     which = staged(splits.three_way_split(splits.run_strata(rows)))
-    inputs = ["bw_dev_pct", "bw_abs_dev_pct", "bw_dev_max_2min", "bw_dev_mean_2min", "bw_dev_std_2min", "bw_dev_roc_1min", "t_since_ramp_min"]
-    return rows, which, inputs, forecast.fit_cone(rows, which, inputs, CONE, rounds=10, depth=3)
+    inputs = model_inputs(rows)
+    return rows, which, inputs, forecast.fit_cone(rows, which, inputs, CONE, **CONE_SETTINGS)
 
 
 def forecast_cone(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +208,23 @@ def forecast_cone(spark: SparkSession, sf: str) -> DataFrame:
 R.add("forecast_cone", forecast_cone)
 
 
+def forecast_cone_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any fit: scored rows, order of the quantiles, coverage in reach."""
+    rows, which, _, cone = cone_rows(spark, sf)
+    out = staged(forecast.predict_cone(cone, splits.rows_of(rows, which, "test")).where(F.col("actual").isNotNull()))
+    ordered = F.bool_and((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90")))
+    covered = F.avg(((F.col("actual") >= F.col("q10")) & (F.col("actual") <= F.col("q90"))).cast("double"))
+    return out.groupBy("horizon_min").agg(F.count(F.lit(1)).alias("n"), ordered.alias("ordered"), covered.between(0.6, 0.95).alias("covers"))
+
+
+_AHEAD = "ahead AS (" + " UNION ALL ".join(
+    f"SELECT run_id, sample_idx, {d(h)} AS horizon_min, lead(dev, {SPEC.steps(h, at_least=0)}) OVER (PARTITION BY run_id ORDER BY sample_idx) AS actual FROM s" for h in CONE.horizons_min
+) + ")"
+R.add("forecast_cone_checks", forecast_cone_checks,
+      with_(*qe.STRATA_CTES, qe.SPLIT3, _AHEAD, body=f"""SELECT horizon_min, count(*) AS n, true AS ordered, true AS covers FROM ahead
+WHERE actual IS NOT NULL AND sample_idx >= {WARM} AND run_id IN (SELECT run_id FROM split3 WHERE split = 'test') GROUP BY 1"""))
+
+
 def live_state(spark: SparkSession, sf: str) -> DataFrame:
     rows, which, inputs, cone = cone_rows(spark, sf)
     train = splits.rows_of(rows, which, "train")

@@ -165,5 +165,45 @@ def test_permutation_ranks_the_used_feature(spark):
     rng = random.Random(8)
     data = [(str(i), rng.random(), rng.random()) for i in range(300)]
     df = spark.createDataFrame([(k, int(a > 0.6), a, b) for k, a, b in data], "key string, y_breach int, a double, b double")
-    out = {r.feature: r.importance for r in attribution.permutation_importance(df, "key", ["a", "b"], lambda x: x["a"] + F.lit(0.0) * x["b"], 2).collect()}
+    out = {r.feature: r.importance for r in attribution.permutation_importance(df, "key", ["a", "b"], attribution.by_columns(lambda x: x["a"] + F.lit(0.0) * x["b"], ["a", "b"]), 2).collect()}
     assert out["a"] > 0.2 and out["b"] == pytest.approx(0.0)
+
+
+def test_permuted_rows_permute_one_feature_at_a_time(spark):
+    n = 700
+    df = spark.createDataFrame([(f"k{i}", float(i), float(-i), i % 2) for i in range(n)], "key string, a double, b double, y_breach int")
+    out = attribution.permuted_rows(df, "key", ["a", "b"], 3, block_rows=64).toPandas()
+    assert len(out) == n * (1 + 2 * 3)
+    base = out[out.feature == ""]
+    assert (base.a == -base.b).all() and set(base.repeat) == {0}
+    donors = {}
+    for (feature, repeat), part in out[out.feature != ""].groupby(["feature", "repeat"]):
+        own, other = ("b", "a") if feature == "a" else ("a", "b")
+        assert sorted(part[feature]) == sorted(base[feature])  # every row gives once
+        assert sorted(part[own]) == sorted(base[own])
+        moved = (part.a != -part.b).mean()
+        assert moved > 0.98
+        key = -part.b if feature == "a" else part.a  # the row itself
+        given = part.a if feature == "a" else -part.b
+        donors[feature, repeat] = dict(zip(key, given))
+        assert abs(part[["a", "b"]].corr().iloc[0, 1]) < 0.15  # of strangers
+        assert (part.y == (key % 2)).all()
+    assert donors["a", 1] == donors["b", 1] and donors["a", 1] != donors["a", 2]
+
+
+def test_permutation_shuffles_once(spark):
+    """The permuted rows reach the score counts without an exchange of their own."""
+    df = spark.range(5000).select(F.col("id").alias("key"), F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 2).cast("int").alias("y_breach"))
+    rows = attribution.permuted_rows(df, "key", ["a", "b"], 5)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    ap = attribution.permutation_importance(df.withColumn("y_breach", (F.col("a") > 0.5).cast("int")), "key", ["a", "b"], attribution.by_columns(lambda x: x["a"], ["a", "b"]))
+    out = {r.feature: r for r in ap.collect()}
+    assert out["a"].importance == pytest.approx(0.5, abs=0.05) and out["a"].std < 0.03 and abs(out["b"].importance) < 1e-12
+
+
+def test_permutation_of_few_rows(spark):
+    one = spark.createDataFrame([("k", 1.0, 1)], "key string, a double, y_breach int")
+    score = attribution.by_columns(lambda x: x["a"], ["a"])
+    assert [r.importance for r in attribution.permutation_importance(one, "key", ["a"], score).collect()] == [0.0]
+    assert attribution.permutation_importance(one.limit(0), "key", ["a"], score).count() == 0

@@ -72,7 +72,7 @@ def test_boosted_trees_stop_on_held_out_runs(spark, data):
 def test_cone_covers(spark, data):
     df, which = data
     spec = ForecastSpec(horizons_min=(2.0,))
-    cone = forecast.fit_cone(df, which, ["bw_dev_pct", "noise"], spec, rounds=5, depth=3)
+    cone = forecast.fit_cone(df, which, ["bw_dev_pct", "noise"], spec, rounds=25, depth=3, rate=0.3, leaf=5)
     out = forecast.predict_cone(cone, df)
     assert out.where("q10 > q50 OR q50 > q90").count() == 0
     r = targets.forecast_scores(out).first()
