@@ -1,10 +1,11 @@
 """Running totals, ranks and exact percentiles without a one-task window.
 
-The input is staged once, since several passes read it.  Its rows are cut into cells of
-neighbouring values at approximate percentiles, so cells hold about as many rows
-whatever the spread of the values; each cell is summed on its own, and the small table
-of cell totals supplies the offset.  Cell numbers grow with the value, so the result is
-exact.  A group that fits one cell is one cell; nothing else depends on its size.
+Prefix sums over range partitions: rows are range-partitioned by (keys, position), and
+each partition is a cell; so there are as many cells as partitions, they hold about as
+many rows each whatever the spread of the values, and a group that holds most rows is
+just several cells.  The cells are staged once with their number, each is summed on its
+own, and the small table of cell totals supplies offset and total of the keys.  Cell
+numbers grow with the position, so the result is exact.
 """
 
 from __future__ import annotations
@@ -17,10 +18,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators.stage import staged
 
-ROWS_PER_CELL = 250_000
-CELLS, ACCURACY = 1024, 5000
-_ALL = "_rt_all"
-_POS, _N, _CELL, _MARKS = "_rt_pos", "_rt_n", "_rt_cell", "_rt_marks"
+_POS, _CELL = "_rt_pos", "_rt_cell"
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -33,54 +31,44 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(renamed, condition).drop(*[f"_r_{c}" for c in on])
 
 
+def in_cells(df: DataFrame, position: Column, keys: Sequence[str] = (), order_by: Sequence[Column] = (), cells: int | None = None) -> DataFrame:
+    """Rows by range of (keys, position, order_by), staged with the number of their cell.
+    Without ``cells`` the planner's partition size decides on their number."""
+    rows = df.withColumn(_POS, position.cast("double"))
+    by = [*[F.col(k) for k in keys], F.col(_POS), *order_by]
+    ranged = rows.repartitionByRange(cells, *by) if cells else rows.repartitionByRange(*by)
+    return staged(ranged.withColumn(_CELL, F.spark_partition_id()))
+
+
 def running_totals(
     df: DataFrame,
     position: Column,
     measures: Sequence[str],
     keys: Sequence[str] = (),
     order_by: Sequence[Column] = (),
-    rows_per_cell: int = ROWS_PER_CELL,
+    cells: int | None = None,
 ) -> DataFrame:
     """Add, per measure ``m``, ``m_upto`` = its sum over the rows of the same keys
     up to and including this row, ascending by ``position`` (ties by ``order_by``),
     and ``m_total`` = its sum over all rows of the keys.
 
     ``position`` is a non-null double that never decreases along the wanted order.
-    Rows with equal position and no ``order_by`` share the same total."""
-    rows = staged(df.withColumn(_POS, position.cast("double")))
-    keys, totals = list(keys), [f"{m}_total" for m in measures]
-
-    def running(within: list[str]):
-        w = W.partitionBy(*within).orderBy(_POS, *order_by)
-        return (w.rowsBetween if order_by else w.rangeBetween)(W.unboundedPreceding, 0)
-
-    if not keys:
-        keys = [_ALL]
-        rows = rows.withColumn(_ALL, F.lit(0))
-    own = [*df.columns, *[k for k in keys if k == _ALL]]
-
-    # Cell borders: every so many of the group's percentiles, at most CELLS - 1 of them.
-    marks = [i / CELLS for i in range(1, CELLS)]
-    spans = rows.groupBy(*keys).agg(
-        F.percentile_approx(_POS, marks, F.lit(ACCURACY)).alias(_MARKS), F.count(F.lit(1)).alias(_N),
-        *[F.sum(m).alias(f"{m}_total") for m in measures],
+    Rows with equal position and no ``order_by`` share the same total (and a cell, so
+    callers count equal values first)."""
+    keys, at = list(keys), [*keys, _CELL]
+    rows = in_cells(df, position, keys, order_by, cells)
+    sums = rows.groupBy(*at).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    before = group.orderBy(_CELL).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        *at,
+        *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_c_{m}") for m in measures],
+        *[F.sum(f"_t_{m}").over(group).alias(f"{m}_total") for m in measures],
     )
-    cells_of = F.least(F.ceil(F.col(_N) / F.lit(rows_per_cell)), F.lit(CELLS)).cast("int")
-    picked = F.transform(
-        F.filter(F.sequence(F.lit(0), cells_of), lambda i: (i > 0) & (i < cells_of)), lambda i: F.get(F.col(_MARKS), F.floor(i * CELLS / cells_of).cast("int") - 1)
-    )
-    spans = spans.select(*keys, F.array_distinct(picked).alias(_MARKS), *totals)
-    rows = _join(rows, spans, keys)
-    rows = rows.select(*own, *totals, _POS, F.size(F.filter(_MARKS, lambda b: b < F.col(_POS))).alias(_CELL))
-
-    at = [*keys, _CELL]
-    frame = W.partitionBy(*keys).orderBy(_CELL).rowsBetween(W.unboundedPreceding, -1)
-    cells = rows.groupBy(*at).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    offsets = cells.select(*at, *[F.coalesce(F.sum(f"_t_{m}").over(frame), F.lit(0)).alias(f"_c_{m}") for m in measures])
-    rows = _join(rows, offsets, at).repartition(*[F.col(c) for c in at])
-    inside = running(at)
+    w = W.partitionBy(*at).orderBy(_POS, *order_by)
+    inside = (w.rowsBetween if order_by else w.rangeBetween)(W.unboundedPreceding, 0)
     upto = [(F.sum(m).over(inside) + F.col(f"_c_{m}")).alias(f"{m}_upto") for m in measures]
-    return rows.select(*df.columns, *totals, *upto)
+    return _join(rows, offsets, at).select(*df.columns, *[f"{m}_total" for m in measures], *upto)
 
 
 def hash_position(*parts: Column) -> Column:
@@ -88,21 +76,18 @@ def hash_position(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
-def shuffled_rank(df: DataFrame, ident: str, seed: int, keys: Sequence[str] = (), name: str = "rank",
-                  rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def shuffled_rank(df: DataFrame, ident: str, seed: int, keys: Sequence[str] = (), name: str = "rank", cells: int | None = None) -> DataFrame:
     """1-based place of each row in a seeded, reproducible shuffle within keys."""
     rows = df.withColumn("_md5", hash_position(F.col(ident), F.lit(seed))).withColumn("_one", F.lit(1).cast("long"))
     # 13 hex digits are 52 bits: exact in a double and in md5 order
     position = F.conv(F.substring("_md5", 1, 13), 16, 10).cast("double")
-    ranked = running_totals(
-        rows, position, ["_one"], keys, [F.col("_md5"), F.col(ident)], rows_per_cell
-    )
+    ranked = running_totals(rows, position, ["_one"], keys, [F.col("_md5"), F.col(ident)], cells)
     return ranked.withColumnRenamed("_one_upto", name).drop("_md5", "_one", "_one_total")
 
 
 def exact_percentiles(
     df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), totals: dict[str, Column] | None = None,
-    rows_per_cell: int = ROWS_PER_CELL,
+    cells: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` (NULLs skipped), one row per
     keys, next to any additive ``totals`` (aggregates that may be summed again).
@@ -110,9 +95,7 @@ def exact_percentiles(
     keys, totals = list(keys), totals or {}
     counts = df.groupBy(*keys, value).agg(F.count(value).alias("_w"), *[c.alias(n) for n, c in totals.items()])
     # rows without a value weigh nothing; they only carry the totals
-    seen = running_totals(
-        counts, F.coalesce(F.col(value), F.lit(0.0)), ["_w", *totals], keys, rows_per_cell=rows_per_cell
-    )
+    seen = running_totals(counts, F.coalesce(F.col(value), F.lit(0.0)), ["_w", *totals], keys, cells=cells)
     picks = []
     for name, p in probs.items():
         rank = (F.col("_w_total") - 1) * F.lit(float(p))
@@ -129,6 +112,27 @@ def exact_percentiles(
     return out.select(*keys, *totals, *final)
 
 
+def first_by_hash(df: DataFrame, ident: str, n: int, seed: int, cells: int = 1 << 16) -> DataFrame:
+    """The ``n`` rows with the smallest md5 of id and seed, ties by id (all, if fewer).
+
+    Distributed bottom-k: one pass counts rows by the leading bits of the hash, in
+    ``cells`` cells; the cell in which the count passes ``n`` is the border.  A second
+    pass takes all rows before it, and only rows of the border cell are ranked."""
+    if cells & (cells - 1) or not 1 < cells <= 1 << 24:
+        raise ValueError("cells must be a power of two up to 2^24")
+    rows = df.withColumn("_md5", hash_position(F.col(ident), F.lit(seed)))
+    rows = rows.withColumn(_CELL, F.shiftright(F.conv(F.substring("_md5", 1, 6), 16, 10).cast("int"), 25 - cells.bit_length()))
+    upto = F.sum("_n").over(W.orderBy(_CELL).rowsBetween(W.unboundedPreceding, 0))  # one row a cell
+    counts = rows.groupBy(_CELL).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", upto)
+    border = counts.where(F.col("_upto") >= n).agg(F.min(F.struct(_CELL, (F.col("_upto") - F.col("_n")).alias("before"))).alias("b")).first().b
+    if border is None:
+        return rows.drop("_md5", _CELL)
+    near = staged(rows.where(F.col(_CELL) <= border[0]))
+    place = F.row_number().over(W.partitionBy(_CELL).orderBy("_md5", ident))
+    last = near.where(F.col(_CELL) == border[0]).withColumn("_place", place).where(F.col("_place") <= n - border["before"])
+    return near.where(F.col(_CELL) < border[0]).unionByName(last.drop("_place")).drop("_md5", _CELL)
+
+
 def number_samples(
     df: DataFrame, run: str, time: str, ties: Sequence[str] = (), name: str = "sample_idx", rows_per_slice: int = 1_000_000,
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.stage import staged
-from runloom.operators.ordered import exact_percentiles, hash_position, shuffled_rank
+from runloom.operators.ordered import exact_percentiles, first_by_hash, shuffled_rank
 
 SPLITS = ("train", "val", "test")
 
@@ -120,8 +120,7 @@ def split_summary(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 def seeded_sample(df: DataFrame, ident: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement: the first by md5 of id and seed."""
-    key = hash_position(F.col(ident), F.lit(seed))
-    return df.withColumn("_md5", key).orderBy("_md5", ident).limit(n).drop("_md5")
+    return first_by_hash(df, ident, n, seed)
 
 
 def sample_runs(df: DataFrame, n: int, seed: int) -> DataFrame:

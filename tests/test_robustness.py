@@ -57,17 +57,33 @@ def test_day_grid_follows_the_log(spark, tmp_path):
 def test_cells_follow_heavy_tails(spark):
     values = [10.0 ** (12 * i / 5000) for i in range(5000)] + [0.0] * 50
     frame = spark.createDataFrame([(v, 1) for v in values], "v double, n long").groupBy("v").agg(F.sum("n").alias("n"))
-    out = ordered.running_totals(frame, F.col("v"), ["n"], rows_per_cell=100)
+    out = ordered.running_totals(frame, F.col("v"), ["n"], cells=50)
     got = {r.v: r.n_upto for r in out.collect()}
     total = 0
     for v, n in sorted((r.v, r.n) for r in frame.collect()):
         total += n
         assert got[v] == total
-    marks = [i / ordered.CELLS for i in range(1, ordered.CELLS)]
-    cuts = frame.agg(F.percentile_approx("v", marks, F.lit(ordered.ACCURACY))).first()[0]
-    borders = sorted({cuts[-(-i * ordered.CELLS // 51) - 1] for i in range(1, 51)})
-    sizes = np.bincount(np.searchsorted(borders, sorted(got)))
-    assert sizes.max() <= 200
+    for cells in (10, 50):
+        sizes = [r["count"] for r in ordered.in_cells(frame, F.col("v"), cells=cells).groupBy("_rt_cell").count().collect()]
+        assert len(sizes) > cells * 0.9 and max(sizes) <= 2 * 5001 / cells
+
+
+def test_hot_group_is_many_cells(spark):
+    frame = spark.range(20_000).select(F.when(F.col("id") % 100 == 0, F.col("id") % 7).otherwise(3).alias("g"), (F.hash("id") % 1000).cast("double").alias("v"), "id")
+    frame = frame.withColumn("one", F.lit(1).cast("long"))
+    sizes = [r["count"] for r in ordered.in_cells(frame, F.col("v"), ["g"], [F.col("id")], 16).groupBy("_rt_cell").count().collect()]
+    assert max(sizes) <= 2 * 20_000 / 16
+    ranks = ordered.running_totals(frame, F.col("v"), ["one"], ["g"], [F.col("id")], 16)
+    per = ranks.groupBy("g").agg(F.count_distinct("one_upto").alias("d"), F.max("one_upto").alias("top"), F.max("one_total").alias("n")).collect()
+    assert len(per) == 7 and all(r.d == r.top == r.n for r in per)
+
+
+def test_bottom_k_equals_sort_and_limit(spark):
+    frame = spark.range(3000).select(F.concat(F.lit("k"), F.col("id") % 2500).alias("key"), "id")  # some keys repeat
+    for n, cells in ((1, 1 << 16), (700, 1 << 16), (700, 2), (700, 1 << 24), (2999, 64), (3000, 64), (5000, 64), (0, 64)):
+        got = sorted(r.key for r in ordered.first_by_hash(frame, "key", n, 4, cells).collect())
+        want = frame.withColumn("h", F.md5(F.concat_ws("|", "key", F.lit("4")))).orderBy("h", "key").limit(n)
+        assert got == sorted(r.key for r in want.collect()), (n, cells)
 
 
 def test_on_delay_counts_rows_of_the_run(spark):

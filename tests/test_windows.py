@@ -99,29 +99,29 @@ def test_run_labels(spark):
         assert got.first_breach_min == (pytest.approx(50 * 5 / 60) if off else None)
 
 
-@pytest.mark.parametrize("cell", [3, 40, 10**6])
-def test_running_totals(spark, cell):
+@pytest.mark.parametrize("cells", [130, 10, 1, None])
+def test_running_totals(spark, cells):
     rng = random.Random(1)
     # one group holds most rows, values crowd near zero with far outliers
     data = [(("a" if rng.random() < 0.8 else "b"), rng.random() ** 9 * 1000, rng.randint(1, 5)) for _ in range(400)]
     data += [("a", 1e9, 1), ("b", -1e9, 2)]
     df = spark.createDataFrame(data, "g string, v double, n long")
-    got = running_totals(df, F.col("v"), ["n"], ["g"], rows_per_cell=cell).collect()
+    got = running_totals(df, F.col("v"), ["n"], ["g"], cells=cells).collect()
     assert len(got) == len(data)
     for r in got:
         assert r.n_upto == sum(n for g, v, n in data if g == r.g and v <= r.v)
         assert r.n_total == sum(n for g, v, n in data if g == r.g)
-    flat = running_totals(df, F.col("v"), ["n"], rows_per_cell=cell).collect()
+    flat = running_totals(df, F.col("v"), ["n"], cells=cells).collect()
     for r in flat[:50]:
         assert r.n_upto == sum(n for _, v, n in data if v <= r.v)
 
 
-@pytest.mark.parametrize("cell", [4, 10**6])
-def test_percentiles_match_numpy(spark, cell):
+@pytest.mark.parametrize("cells", [75, None])
+def test_percentiles_match_numpy(spark, cells):
     rng = random.Random(2)
     data = [(i % 2, rng.choice([1.0, 2.0, rng.gauss(0, 50)])) for i in range(301)] + [(0, None)]
     df = spark.createDataFrame(data, "g int, v double")
-    out = exact_percentiles(df, "v", {"p25": 0.25, "p50": 0.5, "p95": 0.95}, ["g"], {"rows": F.count(F.lit(1))}, cell)
+    out = exact_percentiles(df, "v", {"p25": 0.25, "p50": 0.5, "p95": 0.95}, ["g"], {"rows": F.count(F.lit(1))}, cells)
     for r in out.collect():
         mine = [v for g, v in data if g == r.g and v is not None]
         assert r.p25 == pytest.approx(np.percentile(mine, 25))
@@ -132,7 +132,7 @@ def test_percentiles_match_numpy(spark, cell):
 
 def test_shuffled_rank_is_a_stable_permutation(spark):
     df = spark.range(200).select(F.col("id").alias("run_id"))
-    small = {r.run_id: r["rank"] for r in shuffled_rank(df, "run_id", 7, rows_per_cell=9).collect()}
+    small = {r.run_id: r["rank"] for r in shuffled_rank(df, "run_id", 7, cells=22).collect()}
     plain = {r.run_id: r["rank"] for r in shuffled_rank(df.repartition(3), "run_id", 7).collect()}
     assert small == plain and sorted(plain.values()) == list(range(1, 201))
     other = {r.run_id: r["rank"] for r in shuffled_rank(df, "run_id", 8).collect()}
