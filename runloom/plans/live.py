@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import text
-from runloom.operators import advice, alarms, attribution, forecast, models
+from runloom.operators import advice, attribution, forecast, models
 from runloom.operators.stage import staged
 from runloom.settings import Economics, SurfacePolicy
-from runloom.sources.runs import at_cursor
+from runloom.sources.slices import Frame, Slices
+
+
+def live_risk(
+    features: DataFrame | Slices, cursors: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, delay: int = 1,
+    fallback_first: bool = True,
+) -> DataFrame:
+    """As-of row of each (run, cursor) with ``proba`` and ``alarm``.  ``score`` sees only
+    the as-of rows and the ``delay - 1`` before each, at most cursors x delay rows.
+
+    The alarm honours the on-delay: the scores at the last ``delay`` positions reach the
+    threshold; ``delay=1`` turns that off.  Given stored slices, only the folders that
+    hold those rows are opened."""
+    store = features if isinstance(features, Slices) else Frame(features)
+    now = staged(store.at_cursor(cursors, fallback_first).select("run_id", "cursor", "sample_idx"))
+    back = F.sequence(F.greatest(F.col("sample_idx") - (delay - 1), F.lit(0)), F.col("sample_idx"))
+    asked = now.select("run_id", "cursor", F.col("sample_idx").alias("_now"), F.explode(back).alias("sample_idx"))
+    scored = staged(score(store.at_positions(asked.select("run_id", "sample_idx"))))
+    held = (
+        asked.join(scored.select("run_id", "sample_idx", "proba"), ["run_id", "sample_idx"])
+        .groupBy("run_id", "cursor", F.col("_now").alias("sample_idx"))
+        .agg(((F.count("proba") == delay) & (F.min("proba") >= threshold)).alias("alarm"))
+    )
+    return held.join(scored, ["run_id", "sample_idx"])
 
 
 def live_state(
-    features: DataFrame, cursors: DataFrame, model, cone: dict, threshold: float, delay: int = 1,
+    features: DataFrame | Slices, cursors: DataFrame, model, cone: forecast.Cone, threshold: float, delay: int = 1,
     fallback_first: bool = True,
 ) -> DataFrame:
-    """As-of row of each (run, cursor) with probability, alarm and cone.  The
-    alarm honours the on-delay; ``delay=1`` turns that off."""
-    scored = alarms.confirm(models.score(model, features), threshold, delay)
-    now = staged(at_cursor(scored, cursors, fallback_first).where(F.col("sample_idx").isNotNull()))
+    """As-of row of each (run, cursor) with probability, alarm and cone."""
+    now = staged(live_risk(features, cursors, lambda rows: models.score(model, rows), threshold, delay, fallback_first))
     long = forecast.predict_cone(cone, now, keys=("run_id", "cursor"))
     qs = [c for c in long.columns if c.startswith("q")]
     # one entry per horizon: bounded by the forecast spec

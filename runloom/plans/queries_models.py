@@ -15,7 +15,7 @@ from runloom.plans.oracle_base import BASE, DAY_TAGS, EV, PLANS, SCORED, TYPES,
 from runloom.plans.registry import Registry
 from runloom.settings import ForecastSpec
 from runloom.sources import driver_tables as dt
-from runloom.sources import files
+from runloom.sources import files, slices
 from runloom.sources.driver_tables import SPEC
 
 R = Registry()
@@ -225,14 +225,34 @@ R.add("forecast_cone_checks", forecast_cone_checks,
 WHERE actual IS NOT NULL AND sample_idx >= {WARM} AND run_id IN (SELECT run_id FROM split3 WHERE split = 'test') GROUP BY 1"""))
 
 
+CURSORS = (3.0, 7.0)
+
+
+def live_cursors(rows: DataFrame) -> DataFrame:
+    return rows.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(c) for c in CURSORS])).alias("cursor"))
+
+
 def live_state(spark: SparkSession, sf: str) -> DataFrame:
     rows, which, inputs, cone = cone_rows(spark, sf)
-    train = splits.rows_of(rows, which, "train")
-    model = models.fit(train, inputs, models.REGISTRY["logistic"])
-    cursors = rows.select("run_id").distinct().select("run_id", F.explode(F.array(F.lit(3.0), F.lit(7.0))).alias("cursor"))
-    return rounded(live.live_state(rows, cursors, model, cone, threshold=0.5, delay=2))
+    model = models.fit(splits.rows_of(rows, which, "train"), inputs, models.REGISTRY["logistic"])
+    return rounded(live.live_state(rows, live_cursors(rows), model, cone, threshold=0.5, delay=2))
+
+
+def live_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """The live state under the fixed scorer, read from stored slices."""
+    path = staging_path(spark, "slices")
+    rows = qe.scored(spark, sf).drop("proba", "proba_peak")
+    slices.write_slices(rows, path, slice_min=2.0, buckets=8)
+    stored = slices.Slices(spark, path)
+    found = live.live_risk(stored, live_cursors(stored.ends), lambda r: dt.scores(spark, sf, r), qe.CUT, 3)
+    return rounded(found.select("run_id", "cursor", "sample_idx", "bw_dev_pct", "proba", "alarm"))
 
 
+R.add("live_risk", live_risk,
+      with_(BASE, SCORED, body=f"""SELECT a.run_id, a.cursor, a.sample_idx, round(n.dev, 6) AS bw_dev_pct, n.proba,
+  (SELECT count(*) FROM scored p WHERE p.run_id = a.run_id AND p.sample_idx BETWEEN a.sample_idx - 2 AND a.sample_idx AND p.proba >= {d(qe.CUT)}) = 3 AS alarm
+FROM (SELECT run_id, cursor, coalesce(max(CASE WHEN t_min <= cursor THEN sample_idx END), min(sample_idx)) AS sample_idx
+      FROM scored, (VALUES {", ".join(f"({d(c)})" for c in CURSORS)}) v(cursor) GROUP BY ALL) a JOIN scored n ON n.run_id = a.run_id AND n.sample_idx = a.sample_idx"""))
 R.add("live_state", live_state)
 R.add("fingerprint", lambda spark, sf: files.fingerprint(dt.samples(spark, sf).select("run_id", "sample_idx", "value"), config="driver tables"),
       """WITH ids AS (SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY 1),
