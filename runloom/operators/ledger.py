@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.dims import DECISIONS
 from runloom.functions.numeric import ratio
+from runloom.sources.commits import Folder
 
 LEDGER = T.StructType(
     [
@@ -62,19 +66,29 @@ def record_responses(answers: DataFrame, log: DataFrame) -> tuple[DataFrame, Dat
     return good.select(LEDGER.fieldNames()), bad
 
 
-def append_ledger(entries: DataFrame, path: str) -> None:
-    """Add entries to the JSON Lines ledger."""
-    entries.write.mode("append").json(path)
+def append_ledger(entries: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Add entries to the JSON Lines ledger, all or none of them.
+
+    They are written aside and appear by one rename.  ``batch`` names the append: a
+    retried job, or a second writer of the same batch, adds nothing and gets False.
+    Without it every call is an append of its own."""
+    name = batch if batch is not None else uuid.uuid4().hex
+    if not re.fullmatch(r"[\w.-]+", name):
+        raise ValueError(f"a batch is named by letters, digits, _ . and -, not {name!r}")
+    folder = Folder(entries.sparkSession, path)
+    if folder.exists(f"commit-{name}"):
+        return False
+    hidden = folder.fresh()
+    entries.write.json(folder.at(hidden))
+    return folder.publish(hidden, f"commit-{name}")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All entries; blank lines are skipped, a ledger that does not exist yet is
     empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    if not Folder(spark, path).exists():
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).json(path)
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", True).json(path)
 
 
 def _last(log: DataFrame, kind: str, columns: list[str]) -> DataFrame:
