@@ -111,23 +111,29 @@ def portfolio_value(values: DataFrame, value: str = "value_usd", economics: Econ
 
 # ---- tried plans ----------------------------------------------------------
 
-def best_plan(
-    outcomes: DataFrame, run: str, order: Sequence[str], objective: str, feasible: Column, measures: Sequence[str],
-    baseline: str = "is_baseline",
+def _plans(
+    outcomes: DataFrame, run: str, order: Sequence[str], objective: str, feasible: Column, measures: Sequence[str], baseline: str
 ) -> DataFrame:
-    """Per run: the feasible outcome with the lowest objective (the earlier one
-    wins a tie) against the baseline; ``source`` tells whether the baseline itself
-    broke the recipe limit."""
     kept = F.struct(*order, *measures)
     is_base = F.col(baseline)
     best_key = F.when(feasible, F.struct(F.col(objective).alias("_o"), *order))
-    out = outcomes.groupBy(run).agg(
+    return outcomes.groupBy(run).agg(
         F.max_by(kept, F.when(is_base, F.lit(1))).alias("_base"),
         F.max(F.when(is_base, feasible.cast("int"))).alias("_base_ok"),
         F.min_by(F.when(feasible, kept), best_key).alias("_best"),
         F.count(F.lit(1)).alias("n_evaluations"),
     )
-    return out.where(F.col("_best").isNotNull()).select(
+
+
+def best_plan(
+    outcomes: DataFrame, run: str, order: Sequence[str], objective: str, feasible: Column, measures: Sequence[str],
+    baseline: str = "is_baseline",
+) -> DataFrame:
+    """Per run: the feasible outcome with the lowest objective (the earlier one
+    wins a tie) against the baseline; ``source`` tells whether the baseline itself
+    broke the recipe limit.  Runs without one of the two are in :func:`best_plan_rejects`."""
+    out = _plans(outcomes, run, order, objective, feasible, measures, baseline)
+    return out.where(F.col("_best").isNotNull() & F.col("_base").isNotNull()).select(
         run,
         *[F.col("_base")[m].alias(f"base_{m}") for m in measures],
         *[F.col("_best")[m].alias(f"best_{m}") for m in measures],
@@ -137,6 +143,18 @@ def best_plan(
     )
 
 
+def best_plan_rejects(
+    outcomes: DataFrame, run: str, order: Sequence[str], objective: str, feasible: Column, measures: Sequence[str],
+    baseline: str = "is_baseline",
+) -> DataFrame:
+    """Runs that :func:`best_plan` can't judge: without a baseline to compare with, or
+    without a feasible plan."""
+    base, best = F.col("_base").isNotNull(), F.col("_best").isNotNull()
+    out = _plans(outcomes, run, order, objective, feasible, measures, baseline).where(~(base & best))
+    reason = F.when(base, "no feasible plan").when(best, "no baseline").otherwise("no baseline and no feasible plan")
+    return out.select(run, "n_evaluations", reason.alias("reason"))
+
+
 def _tries(knob: str, lo: Column, hi: Column, n: int) -> Column:
     """``n`` evenly spaced values of one knob; just ``lo`` for an empty range."""
     step = (hi - lo) / float(max(n - 1, 1))

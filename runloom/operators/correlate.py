@@ -2,7 +2,7 @@
 
 Runs are cut into segments that carry the next ``max_lag`` samples, each segment is
 packed into one bounded row, and every task adds up the pair sums of its segments
-with matrix products.  Only tasks x pairs x lags partial rows are shuffled.
+by fast Fourier transforms, all lags at once.  Only tasks x pairs x lags partial rows are shuffled.
 """
 
 from __future__ import annotations
@@ -58,28 +58,41 @@ def _packed(samples: DataFrame, tags: Sequence[str], ahead: int, size: int) -> D
 
 
 def _pair_sums(batches: Iterator[pd.DataFrame], k: int, max_lag: int, center: np.ndarray) -> Iterator[pd.DataFrame]:
-    n = np.zeros(max_lag + 1)
+    """Sums of all pairs at all lags.  A segment carries the ``max_lag`` samples after its
+    own, so its circular cross-correlation at a length that leaves room for the lags is
+    the plain one (overlap-save): one transform a tag and one back a pair give all lags.
+    The one-sided sums are differences of running sums."""
+    lags = np.arange(max_lag + 1)
+    n = np.zeros(max_lag + 1, np.int64)
     sums = {name: np.zeros((max_lag + 1, k, k)) for name in ("sx", "sy", "sxx", "syy", "sxy")}
+
+    def running(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((1, k)), np.cumsum(x, axis=0)])
+
     for batch in batches:
         for flat, own, later in zip(batch["v"], batch["own"], batch["later"]):
             x = np.asarray(flat, dtype=float).reshape(-1, k) - center
-            for lag in range(max_lag + 1):
-                m = min(own, len(x) - lag)
-                if m <= 0 or (m <= 1 and not later):
-                    continue
-                a, b = x[:m], x[lag : lag + m]
-                n[lag] += m
-                sums["sx"][lag] += a.sum(0)[:, None]
-                sums["sy"][lag] += b.sum(0)[None, :]
-                sums["sxx"][lag] += (a * a).sum(0)[:, None]
-                sums["syy"][lag] += (b * b).sum(0)[None, :]
-                sums["sxy"][lag] += a.T @ b
+            m = np.minimum(own, len(x) - lags)
+            use = np.flatnonzero((m > 0) & ((m > 1) | bool(later)))
+            if not len(use):
+                continue
+            m, lag = m[use], lags[use]
+            n[use] += m
+            one, two = running(x), running(x * x)
+            sums["sx"][use] += one[m][:, :, None]
+            sums["sxx"][use] += two[m][:, :, None]
+            sums["sy"][use] += (one[lag + m] - one[lag])[:, None, :]
+            sums["syy"][use] += (two[lag + m] - two[lag])[:, None, :]
+            size = 1 << int(len(x) + max_lag).bit_length()
+            ahead = np.fft.rfft(x, size, axis=0)
+            here = np.conj(np.fft.rfft(x[:own], size, axis=0))
+            for i in range(k):  # one cause at a time bounds the memory
+                sums["sxy"][use, i] += np.fft.irfft(here[:, i : i + 1] * ahead, size, axis=0)[lag]
     i, j = np.nonzero(~np.eye(k, dtype=bool))
-    for lag in range(max_lag + 1):
-        if n[lag]:
-            out = {"ci": i, "ej": j, "lag": lag, "n": int(n[lag])}
-            out |= {name: s[lag][i, j] for name, s in sums.items()}
-            yield pd.DataFrame(out)
+    for lag in lags[n > 0].tolist():
+        out = {"ci": i, "ej": j, "lag": lag, "n": int(n[lag])}
+        out |= {name: s[lag][i, j] for name, s in sums.items()}
+        yield pd.DataFrame(out)
 
 
 def _center(samples: DataFrame, tags: Sequence[str]) -> np.ndarray:

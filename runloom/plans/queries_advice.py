@@ -178,14 +178,15 @@ R.add(
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of a part as tried plans; the first line is the baseline."""
+    """Lines of a part as tried plans; the first line is the baseline, unless its order
+    was returned, which leaves the part without one."""
     rows = dt.read(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("run_id"), "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice",
         (F.col("l_extendedprice") / F.col("l_quantity") / 99.7).alias("off_spec_minutes"), F.col("l_extendedprice").alias("max_abs_dev_pct"),
-        F.col("l_tax").alias("mean_abs_dev_pct"),
+        F.col("l_tax").alias("mean_abs_dev_pct"), (F.col("l_returnflag") == "R").alias("returned"),
     )
     first = rows.groupBy("run_id").agg(F.min(F.struct(*ORDER)).alias("_f"))
-    return rows.join(first, "run_id").withColumn("is_baseline", F.struct(*ORDER) == F.col("_f")).drop("_f")
+    return rows.join(first, "run_id").withColumn("is_baseline", (F.struct(*ORDER) == F.col("_f")) & ~F.col("returned")).drop("_f")
 
 
 ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -193,14 +194,24 @@ MEAS = ["off_spec_minutes", "max_abs_dev_pct", "mean_abs_dev_pct"]
 
 
 def best_plans(spark: SparkSession, sf: str) -> DataFrame:
-    return advice.best_plan(outcomes(spark, sf), "run_id", ORDER, "off_spec_minutes", F.col("l_quantity") >= 5, MEAS)
+    return advice.best_plan(outcomes(spark, sf), "run_id", ORDER, "off_spec_minutes", F.col("l_quantity") >= LEAST, MEAS)
 
 
-OUT = f"""o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {', '.join(ORDER)}) = 1 AS is_baseline FROM (
-  SELECT l_partkey AS run_id, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_extendedprice / l_quantity / 99.7e0 AS off_spec_minutes, l_extendedprice AS max_abs_dev_pct, l_tax AS mean_abs_dev_pct FROM lineitem) q),
-bp AS (SELECT b.run_id, {", ".join(f"b.{m} AS base_{m}, c.{m} AS best_{m}, b.{m} - c.{m} AS saved_{m}" for m in MEAS)},
-  (SELECT count(*) FROM o x WHERE x.run_id = b.run_id) AS n_evaluations, CASE WHEN b.l_quantity >= 5 THEN 'PHYSICS_MODEL' ELSE 'RECIPE_LIMIT' END AS source
-  FROM (SELECT * FROM o WHERE is_baseline) b JOIN (SELECT * FROM o WHERE l_quantity >= 5 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY off_spec_minutes, {', '.join(ORDER)}) = 1) c USING (run_id))"""
+def plan_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return advice.best_plan_rejects(outcomes(spark, sf), "run_id", ORDER, "off_spec_minutes", F.col("l_quantity") >= LEAST, MEAS)
+
+
+LEAST = 20  # quantity of a feasible plan
+OUT = f"""o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {', '.join(ORDER)}) = 1 AND l_returnflag <> 'R' AS is_baseline FROM (
+  SELECT l_partkey AS run_id, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_extendedprice / l_quantity / 99.7e0 AS off_spec_minutes, l_extendedprice AS max_abs_dev_pct, l_tax AS mean_abs_dev_pct FROM lineitem) q),
+tried AS (SELECT n.run_id, n.n_evaluations, b.l_quantity AS base_q, c.run_id IS NOT NULL AS has_best, b.run_id IS NOT NULL AS has_base,
+    {", ".join(f"b.{m} AS base_{m}, c.{m} AS best_{m}, b.{m} - c.{m} AS saved_{m}" for m in MEAS)}
+  FROM (SELECT run_id, count(*) AS n_evaluations FROM o GROUP BY run_id) n LEFT JOIN (SELECT * FROM o WHERE is_baseline) b USING (run_id)
+  LEFT JOIN (SELECT * FROM o WHERE l_quantity >= {LEAST} QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY off_spec_minutes, {', '.join(ORDER)}) = 1) c USING (run_id)),
+bp AS (SELECT * EXCLUDE (base_q, has_best, has_base), CASE WHEN base_q >= {LEAST} THEN 'PHYSICS_MODEL' ELSE 'RECIPE_LIMIT' END AS source FROM tried WHERE has_best AND has_base)"""
+R.add("best_plan_rejects", plan_rejects,
+      with_(OUT, body="""SELECT run_id, n_evaluations, CASE WHEN has_base THEN 'no feasible plan' WHEN has_best THEN 'no baseline' ELSE 'no baseline and no feasible plan' END AS reason
+  FROM tried WHERE NOT (has_best AND has_base)"""))
 R.add("best_plan", lambda spark, sf: rounded(best_plans(spark, sf)),
       with_(OUT, body="SELECT run_id, " + ", ".join(f"round({p}_{m}, 6) AS {p}_{m}" for m in MEAS for p in ("base", "best", "saved")) + ", n_evaluations, source FROM bp"))
 
@@ -216,7 +227,7 @@ def improvements(spark: SparkSession, sf: str) -> DataFrame:
 R.add(
     "improvement_summary",
     lambda spark, sf: rounded(advice.improvement_summary(improvements(spark, sf), "saved_off_spec_minutes", "value_usd"), 5),
-    with_(OUT, """v AS (SELECT saved_off_spec_minutes AS s, source, 0.75e0 * (greatest(base_off_spec_minutes - best_off_spec_minutes, 0e0) * ((400e0 + p_size) * 6e0 * (40e0 + p_partkey % 120) / 1e6) * 137e0) AS value FROM part LEFT JOIN bp ON run_id = p_partkey)""",
+    with_(OUT, """v AS (SELECT saved_off_spec_minutes AS s, source, CASE WHEN saved_off_spec_minutes IS NOT NULL THEN 0.75e0 END * (greatest(base_off_spec_minutes - best_off_spec_minutes, 0e0) * ((400e0 + p_size) * 6e0 * (40e0 + p_partkey % 120) / 1e6) * 137e0) AS value FROM part LEFT JOIN bp ON run_id = p_partkey)""",
           body="""SELECT count(s) AS n_evaluated, count(*) - count(s) AS n_skipped, count(*) FILTER (WHERE s > 1e-6) AS n_success, round(count(*) FILTER (WHERE s > 1e-6) / count(s)::DOUBLE, 5) AS success_rate,
   round(avg(s), 5) AS mean_saved, round(quantile_cont(s, 0.5), 5) AS median_saved, round(quantile_cont(s, 0.95), 5) AS p95_saved, round(max(s), 5) AS max_saved,
   round(avg(value), 5) AS mean_value_usd, round(quantile_cont(value, 0.5), 5) AS median_value_usd, round(quantile_cont(value, 0.95), 5) AS p95_value_usd, round(sum(value), 5) AS total_value_usd,

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.dims import ALL_TAGS, KNOWN_LOOPS, known_loops_table
 from runloom.functions.numeric import model_inputs, narrow_doubles, rounded
 from runloom.operators import attribution, correlate, forecast, models, splits, targets
 from runloom.operators.stage import staged, staging_path
 from runloom.plans import live
 from runloom.plans import queries_eval as qe
 from runloom.plans import queries_runs as qr
-from runloom.plans.oracle_base import BASE, DAY_TAGS, EV, PLANS, SCORED, TYPES, d, with_
+from runloom.plans.oracle_base import BASE, DAY_TAGS, EV, PLANS, SCORED, TYPES, WIDE, d, with_
 from runloom.plans.registry import Registry
 from runloom.settings import ForecastSpec
 from runloom.sources import driver_tables as dt
@@ -65,6 +66,26 @@ R.add("mutual_information",
       lambda spark, sf: rounded(correlate.mutual_information(dt.day_tags(spark, sf), TYPES, staged(links(spark, sf)), BINS)),
       with_(DAY_TAGS, LONG, PAIRS, MI, body="SELECT cause, effect, lag, round(v, 6) AS mutual_information FROM mi"))
 
+# ---- discovered links of all tags at all lags ------------------------------
+WIDE_LAGS, WIDE_MIN_R, WIDE_BINS = 36, 0.35, 12
+WIDE_LONG = "series AS (" + " UNION ALL ".join(f"SELECT run_id, sample_idx, '{t}' AS tag, {t} AS value FROM wide" for t in ALL_TAGS) + ")"
+R.add("discovered_links",
+      lambda spark, sf: correlate.discover(dt.wide_samples(spark, sf), ALL_TAGS, WIDE_LAGS, WIDE_MIN_R, known_loops_table(spark), SPEC.step_min),
+      with_(BASE, WIDE, WIDE_LONG,
+            "ends AS (SELECT tag, min(value) AS lo, max(value) AS hi, avg(value) AS mid FROM series GROUP BY tag)",
+            f"""corrs AS (SELECT c.tag AS cause, e.tag AS effect, l.lag, corr(c.value - cm.mid, e.value - em.mid) AS r, count(*) AS n
+  FROM series c JOIN ends cm ON cm.tag = c.tag, range(0, {WIDE_LAGS + 1}) l(lag), series e JOIN ends em ON em.tag = e.tag
+  WHERE e.run_id = c.run_id AND e.sample_idx = c.sample_idx + l.lag AND e.tag <> c.tag GROUP BY ALL)""",
+            f"best AS (SELECT * FROM (SELECT * FROM corrs WHERE r <> 0 QUALIFY row_number() OVER (PARTITION BY cause, effect ORDER BY round(abs(r), 12) DESC, lag) = 1) q WHERE abs(r) >= {WIDE_MIN_R})",
+            f"""cells AS (SELECT b.cause, b.effect, b.lag, least(floor((x.value - c.lo) / (c.hi - c.lo) * {WIDE_BINS}), {WIDE_BINS - 1}) AS bx, least(floor((y.value - e.lo) / (e.hi - e.lo) * {WIDE_BINS}), {WIDE_BINS - 1}) AS byy, count(*) AS c
+  FROM best b JOIN series x ON x.tag = b.cause JOIN series y ON y.tag = b.effect AND y.run_id = x.run_id AND y.sample_idx = x.sample_idx + b.lag
+  JOIN ends c ON c.tag = b.cause JOIN ends e ON e.tag = b.effect GROUP BY ALL)""",
+            """mi AS (SELECT cause, effect, sum(c / n::DOUBLE * ln(c * n / (cx * cy)::DOUBLE)) AS v FROM (
+  SELECT *, sum(c) OVER (PARTITION BY cause, effect) AS n, sum(c) OVER (PARTITION BY cause, effect, bx) AS cx, sum(c) OVER (PARTITION BY cause, effect, byy) AS cy FROM cells) q GROUP BY ALL)""",
+            f"known AS (SELECT * FROM (VALUES {', '.join(repr(x) for x in sorted({*KNOWN_LOOPS, *((e, c) for c, e in KNOWN_LOOPS)}))}) v(cause, effect))",
+            body=f"""SELECT cause, effect, round(lag * {d(SPEC.step_min)}, 3) AS best_lag_min, round_even(r, 4) AS correlation, round_even(v, 4) AS mutual_information, n AS n_samples,
+  (cause, effect) IN (SELECT (cause, effect) FROM known) AS is_known, (cause, effect) NOT IN (SELECT (cause, effect) FROM known) AS novel, 'CORRELATION_DISCOVERY' AS source FROM best JOIN mi USING (cause, effect)"""))
+
 # ---- attribution of a fixed linear scorer ---------------------------------
 WEIGHTS = {"bw_abs_dev_pct": 0.0171, "bw_dev_max_2min": 0.0063, "t_min": -0.0513}
 INTERCEPT = -1.9

@@ -70,6 +70,16 @@ def test_best_plan(spark):
     assert r.best_off_spec_minutes == 2.0 and r.saved_off_spec_minutes == 6.0 and r.n_evaluations == 4 and r.source == "RECIPE_LIMIT"
 
 
+def test_every_run_is_planned_or_rejected(spark):
+    rows = [(1, 0, True, 8.0, 3.0), (1, 1, False, 2.0, 9.0), (2, 0, True, 5.0, 1.0), (2, 1, False, 1.0, 2.0), (3, 0, False, 5.0, 9.0), (4, 0, False, 5.0, 1.0), (5, 0, None, 5.0, 9.0)]
+    df = spark.createDataFrame(rows, "run_id long, n int, is_baseline boolean, off_spec_minutes double, ramp double")
+    rule = ("run_id", ["n"], "off_spec_minutes", F.col("ramp") >= 5, ["off_spec_minutes", "ramp"])
+    plans, rejects = advice.best_plan(df, *rule).collect(), advice.best_plan_rejects(df, *rule).collect()
+    assert [r.run_id for r in plans] == [1] and plans[0].base_off_spec_minutes == 8.0
+    assert {r.run_id: r.reason for r in rejects} == {2: "no feasible plan", 3: "no baseline", 4: "no baseline and no feasible plan", 5: "no baseline"}
+    assert {r.run_id: r.n_evaluations for r in rejects}[2] == 2
+
+
 def test_economics(spark):
     rows = [(1, -50000.0, None), (2, None, 400.0), (3, 10.0, 300.0), (4, float("nan"), None), (5, None, None)]
     df = spark.createDataFrame(rows, "id int, net_margin_per_tonne double, operating_days_per_year double")

@@ -207,3 +207,19 @@ def test_permutation_of_few_rows(spark):
     score = attribution.by_columns(lambda x: x["a"], ["a"])
     assert [r.importance for r in attribution.permutation_importance(one, "key", ["a"], score).collect()] == [0.0]
     assert attribution.permutation_importance(one.limit(0), "key", ["a"], score).count() == 0
+
+
+def test_fourier_sums_equal_plain_ones(spark):
+    """Many lags, runs shorter and longer than a segment."""
+    rng = np.random.default_rng(3)
+    tags = ["stock_flow", "caliper", "ash"]
+    runs_ = {r: rng.normal(size=(n, 3)).cumsum(axis=0) + [500.0, 0.01, -30.0] for r, n in enumerate((1, 2, 3, 40, 41, 130, 300))}
+    df = spark.createDataFrame([(r, i, *map(float, v)) for r, x in runs_.items() for i, v in enumerate(x)], "run_id long, sample_idx int, stock_flow double, caliper double, ash double")
+    max_lag = 50
+    got = {(r.cause, r.effect, r.lag): (r.n_samples, r.correlation) for r in correlate.pair_correlations(df, tags, max_lag, size=64).collect()}
+    assert len(got) == 6 * (max_lag + 1)
+    for (c, e, lag), (n, r) in got.items():
+        i, j = tags.index(c), tags.index(e)
+        parts = [(x[: len(x) - lag, i], x[lag:, j]) for x in runs_.values() if len(x) - lag > 1]
+        x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        assert n == len(x) and r == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
