@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -426,6 +428,50 @@ R.add(
     with_(EV, PLANS, body="SELECT DISTINCT from_grade, to_grade FROM plans"),
 )
 
+# ---- one held-out look at the re-tuned threshold ---------------------------
+
+
+def retune_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold chosen on validation runs, once against test runs: it is adopted if
+    it holds there, else the current one stays."""
+    rows = staged(scored(spark, sf))
+    which = staged(splits.three_way_split(splits.run_strata(split_rows_base(spark, sf))))
+    points = rounded(alarms.sweep(splits.rows_of(rows, which, "val"), alarms.RETUNE_THRESHOLDS, delays=(1,)))
+    choice = alarms.retune(points, CURRENT).first()
+    candidate = choice.chosen_threshold if choice.changed else CURRENT
+    test = staged(rounded(alarms.sweep(splits.rows_of(rows, which, "test"), sorted({CURRENT, candidate}), delays=(1,))))
+    at = lambda t: test.where(F.col("threshold") == F.lit(t))
+    out = alarms.confirm_retune(at(CURRENT), at(candidate))
+    return out.select(
+        F.lit(CURRENT).alias("current_threshold"), F.lit(candidate).alias("candidate_threshold"), F.lit(bool(choice.changed)).alias("changed"), "*",
+        F.when(F.col("adopt"), F.lit(candidate)).otherwise(F.lit(CURRENT)).alias("next_threshold"),
+    )
+
+
+def _of_split(which: str) -> str:
+    """The sweep of one split's runs, its parts named after the split."""
+    names = re.sub(r"\b(held|pts|points)\b(?= AS \(|,|\n|$)", rf"\1_{which}", sweep_sql((*alarms.RETUNE_THRESHOLDS, CURRENT), {"level": "proba"}))
+    names = names.replace("FROM held,", f"FROM held_{which},").replace("FROM pts ", f"FROM pts_{which} ").replace("FROM scored", f"FROM scored_{which}")
+    return f"scored_{which} AS (SELECT * FROM scored WHERE run_id IN (SELECT run_id FROM split3 WHERE split = '{which}')),\n{names}"
+
+
+_SEEN = ("detection_rate", "median_warning_min", "false_alarm_run_rate")
+R.add(
+    "retune_check",
+    lambda spark, sf: rounded(retune_check(spark, sf)),
+    with_(*STRATA_CTES, SPLIT3, _of_split("val"), _of_split("test"),
+          f"rp AS (SELECT threshold, {_PR} FROM points_val WHERE delay = 1 AND threshold <> {d(CURRENT)})", f"tp AS (SELECT threshold, {_PR} FROM points_test WHERE delay = 1)",
+          f"cur AS (SELECT * FROM rp ORDER BY round(abs(threshold - {d(CURRENT)}), 9), threshold LIMIT 1)",
+          f"""cand AS (SELECT rp.* FROM rp, cur WHERE rp.threshold <> cur.threshold AND rp.detection_rate >= cur.detection_rate - {d(alarms.DETECTION_SLACK)}
+   AND rp.median_warning_min >= cur.median_warning_min ORDER BY rp.false_alarm_run_rate NULLS LAST, rp.threshold LIMIT 1)""",
+          f"ch AS (SELECT coalesce(b.threshold, {d(CURRENT)}) AS t, b.threshold IS NOT NULL AS changed FROM cur LEFT JOIN cand b ON b.false_alarm_run_rate < cur.false_alarm_run_rate)",
+          f"""j AS (SELECT ch.t, ch.changed, {", ".join(f"b.{c} AS before_{c}, a.{c} AS after_{c}" for c in _SEEN)},
+   coalesce(a.false_alarm_run_rate < b.false_alarm_run_rate AND a.detection_rate >= b.detection_rate - {d(alarms.DETECTION_SLACK)} AND a.median_warning_min >= b.median_warning_min, false) AS adopt
+   FROM ch, tp a, tp b WHERE a.threshold = ch.t AND b.threshold = {d(CURRENT)})""",
+          body=f"""SELECT {d(CURRENT)} AS current_threshold, t AS candidate_threshold, changed, {", ".join(f"before_{c}, after_{c}" for c in _SEEN)}, adopt,
+  CASE WHEN adopt THEN t ELSE {d(CURRENT)} END AS next_threshold FROM j"""),
+)
+
 # ---- forecast scores ------------------------------------------------------
 HZ = (0.5, 1.0, 2.0)
 
