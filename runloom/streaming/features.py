@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from runloom.dims import ALL_TAGS, SETPOINT_TAGS
 from runloom.functions.numeric import finite_or_null
 from runloom.operators import features as feat
 from runloom.operators.segments import SEGMENT_ROWS
+from runloom.operators.stage import discard, staged
 from runloom.settings import RunSpec
+from runloom.sources.commits import Folder
 from runloom.streaming.ordered import ordered_stream
 
 
-def stream_features(
-    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS, **gaps,
-) -> DataFrame:
-    """The feature table of a sample stream, without the forward labels, which
-    need samples that have not come yet.  ``meta`` and ``grades`` are static."""
+def windowed_stream(samples: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS, stamp: str | None = None, **gaps) -> DataFrame:
+    """Samples past the warm-up with rates and trailing statistics, all that the features
+    need of a run's past.  ``stamp`` names a timestamp column to carry along."""
     values = ["t_min", *ALL_TAGS, *SETPOINT_TAGS, "bw_dev_pct", "bw_abs_dev_pct"]
     at = {v: i for i, v in enumerate(values)}
     steps = {which: (spec.steps(m), m, tags) for which, (m, tags) in feat.LOOKBACKS.items()}
@@ -41,16 +42,82 @@ def stream_features(
         return out
 
     output = ", ".join(f"{name} double" for name in [*feat.RATES, *feat.TRAILING])
-    rows = ordered_stream(feat.with_deviation(samples), values, wide, block, output, size=size, **gaps)
-    context = feat.run_context(meta, grades)
+    rows = feat.with_deviation(samples)
+    if stamp is not None:
+        # micros of our time are exact in a double
+        rows, values = rows.withColumn("_us", F.unix_micros(F.col(stamp).cast("timestamp")).cast("double")), [*values, "_us"]
+    out = finite_or_null(ordered_stream(rows, values, wide, block, output, size=size, **gaps)).where(F.col("sample_idx") >= spec.warmup)
+    return out.withColumn("_us", F.timestamp_micros(F.col("_us").cast("long"))).withColumnRenamed("_us", stamp) if stamp is not None else out
+
+
+def stream_features(
+    samples: DataFrame, meta: DataFrame, grades: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS, **gaps,
+) -> DataFrame:
+    """The feature table of a sample stream, without the forward labels, which
+    need samples that have not come yet.  ``meta`` and ``grades`` are static; a run that
+    ``meta`` lacks stops the stream with its name, as it stops the batch.  Where metadata
+    comes as a stream, maybe after the samples, use :func:`match_metadata`."""
+    rows = windowed_stream(samples, spec, size, **gaps)
+    context = feat.run_context(meta, grades).withColumn("_known", F.lit(True))
+    told = F.raise_error(F.concat(F.lit("unknown run: "), F.col("run_id").cast("string"))).cast("long")
     return (
-        finite_or_null(rows)
-        .where(F.col("sample_idx") >= spec.warmup)
-        .join(context, "run_id")
+        rows.join(context, "run_id", "left")
+        .withColumn("run_id", F.when(F.col("_known"), F.col("run_id")).otherwise(told))
         .select(*feat.IDENTIFIERS, *feat.as_columns(feat.feature_expressions(spec)))
     )
 
 
+META_COLUMNS = ("from_grade", "to_grade", "primary_cause", "plan_ramp_min", "plan_lead_scale", "plan_tau_c_scale", "plan_trim_enabled", "plan_start_min")
+
+
+def match_metadata(windowed: DataFrame, meta: DataFrame, time: str, meta_time: str, wait: str = "10 minutes", span: str = "1 hour") -> DataFrame:
+    """Rows of :func:`windowed_stream` (read back as a stream) with their run's metadata
+    in ``_meta``, whichever comes first.
+
+    An outer join of the two streams: rows wait for metadata stamped within ``span`` of
+    them.  Once the watermark, which lags by ``wait``, says that none can come any more,
+    a row goes on with ``_meta`` null.  Of repeated metadata of a run the first counts.
+    Rows without a run_id match nothing; they may serve as heartbeats of a quiet source."""
+    right = (
+        meta.select(F.col("run_id").alias("_run"), F.col(meta_time).alias("_at"), F.struct(*META_COLUMNS).alias("_meta"))
+        .withWatermark("_at", wait).dropDuplicatesWithinWatermark(["_run"])
+    )
+    near = F.expr(f"_at BETWEEN `{time}` - INTERVAL {span} AND `{time}` + INTERVAL {span}")
+    return windowed.withWatermark(time, wait).join(right, (F.col("run_id") == F.col("_run")) & near, "left_outer").drop("_run", "_at")
+
+
+def track_features(matched: DataFrame, grades: DataFrame, spec: RunSpec, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the features of matched rows under ``path``/features and the others, with
+    run, number of rows and reason, under ``path``/rejects.  Batches appear whole and by
+    number, so a repeated batch adds nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = staged(batch.where(F.col("run_id").isNotNull()))
+        meta = rows.where(F.col("_meta").isNotNull()).groupBy("run_id").agg(F.first("_meta").alias("_m")).select("run_id", "_m.*")
+        meta = staged(meta)
+        strange = staged(feat.grade_rejects(meta, grades).select("run_id").distinct())
+        context = feat.run_context(meta.join(strange, "run_id", "left_anti"), grades)
+        features = rows.drop("_meta").join(context, "run_id").select(*feat.IDENTIFIERS, *feat.as_columns(feat.feature_expressions(spec)))
+        reason = F.when(F.col("_meta").isNull(), "no metadata").otherwise("unknown grade")
+        lost = rows.join(strange.withColumn("_s", F.lit(True)), "run_id", "left").where(F.col("_meta").isNull() | F.col("_s").isNotNull())
+        lost = lost.groupBy("run_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+        for name, table in (("features", features), ("rejects", lost)):
+            folder = Folder(spark, f"{path}/{name}")
+            hidden = folder.fresh()
+            table.write.parquet(folder.at(hidden))
+            folder.publish(hidden, f"batch-{number}")
+        for table in (rows, meta, strange):
+            discard(table)
+
+    return matched.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_tracked(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``features`` or ``rejects`` of :func:`track_features`."""
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{name}")
+
+
 def stream_alarms(
     scored: DataFrame, threshold: float, delay: int, start: int = 0, size: int = SEGMENT_ROWS, **gaps
 ) -> DataFrame:
