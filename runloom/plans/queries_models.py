@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from runloom.dims import ALL_TAGS, KNOWN_LOOPS, known_loops_table
 from runloom.functions.numeric import model_inputs, narrow_doubles, rounded
-from runloom.operators import attribution, correlate, forecast, models, splits, targets
+from runloom.operators import advice, attribution, correlate, forecast, models, splits, targets
+from runloom.operators import ledger as led
 from runloom.operators.stage import staged, staging_path
 from runloom.plans import live
+from runloom.plans import queries_advice as qa
 from runloom.plans import queries_eval as qe
 from runloom.plans import queries_runs as qr
 from runloom.plans.oracle_base import BASE, DAY_TAGS, EV, PLANS, SCORED, TYPES, WIDE, d, with_
 from runloom.plans.registry import Registry
-from runloom.settings import ForecastSpec
+from runloom.settings import Economics, ForecastSpec, SurfacePolicy
 from runloom.sources import driver_tables as dt
 from runloom.sources import files, slices
 from runloom.sources.driver_tables import SPEC
@@ -275,6 +277,39 @@ R.add("live_risk", live_risk,
 FROM (SELECT run_id, cursor, coalesce(max(CASE WHEN t_min <= cursor THEN sample_idx END), min(sample_idx)) AS sample_idx
       FROM scored, (VALUES {", ".join(f"({d(c)})" for c in CURSORS)}) v(cursor) GROUP BY ALL) a JOIN scored n ON n.run_id = a.run_id AND n.sample_idx = a.sample_idx"""))
 R.add("live_state", live_state)
+
+# ---- the chain from live state to recorded advice --------------------------
+ASK_AT = 7.0
+
+
+def recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk at the cursor and the best tried plan of every run, ranked and gated
+    together, recorded in a ledger and read back from it."""
+    rows = qe.scored(spark, sf).drop("proba", "proba_peak")
+    cursors = dt.read(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.lit(ASK_AT).alias("cursor")).distinct()
+    now = live.live_risk(rows, cursors, lambda r: dt.scores(spark, sf, r), qe.CUT)
+    risk = live.risk_advice(staged(now.select(*KEYS, *WEIGHTS, "proba")), WEIGHTS, INTERCEPT)
+    part = dt.read(spark, sf, "part").select(F.col("p_partkey").alias("run_id"), (F.lit(40.0) + F.col("p_partkey") % 120).alias("basis_weight"), (F.lit(400.0) + F.col("p_size")).alias("machine_speed"))
+    best = qa.best_plans(spark, sf).join(part, "run_id").withColumns({
+        "base_ramp_min": F.col("base_max_abs_dev_pct") / 1e4, "best_ramp_min": F.col("best_max_abs_dev_pct") / 1e4, "best_lead_scale": F.lit(1.0) + F.col("best_mean_abs_dev_pct"),
+        "best_tau_c_scale": F.lit(1.0) - F.col("best_mean_abs_dev_pct"), "min_ramp_min": F.lit(4.0), "binding_actuator": F.lit("machine_speed"),
+    })
+    shown = live.recommend(risk, live.plan_advice(best))
+    path = staging_path(spark, "ledger")
+    led.append_ledger(led.record_surfaced(shown, F.lit(ASK_AT), F.col("place").cast("long")), path, "asked-once")
+    back = led.read_ledger(spark, path)
+    return rounded(back.select("run_id", F.col("advisory_id").alias("id"), F.col("seq").alias("place"), "source", "confidence", "value_usd"), 4)
+
+
+R.add("recommendations", recommendations,
+      with_(BASE, SCORED, qa.OUT, f"""risk AS (SELECT run_id, 'risk-' || run_id || '-' || sample_idx AS id, 'RISK_MODEL' AS source, proba AS confidence, CAST(NULL AS DOUBLE) AS value_usd
+  FROM scored JOIN (SELECT run_id, coalesce(max(CASE WHEN t_min <= {d(ASK_AT)} THEN sample_idx END), min(sample_idx)) AS sample_idx FROM scored GROUP BY run_id) a USING (run_id, sample_idx)),
+plan AS (SELECT run_id, 'opt-' || run_id AS id, source, {d(advice.TWIN_CONFIDENCE)} AS confidence,
+   {d(advice.TWIN_CONFIDENCE)} * (greatest(base_off_spec_minutes - best_off_spec_minutes, 0e0) * ((400e0 + p_size) * 6e0 * (40e0 + p_partkey % 120) / 1e6) * {d(Economics().per_tonne)}) AS value_usd
+  FROM bp JOIN part ON p_partkey = run_id WHERE saved_off_spec_minutes > 1e-6),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value_usd DESC NULLS LAST, confidence DESC, id) AS place FROM (SELECT * FROM risk UNION ALL SELECT * FROM plan) u
+  WHERE confidence >= {d(SurfacePolicy().min_confidence)} AND (value_usd IS NULL OR value_usd >= {d(SurfacePolicy().min_value_usd)}))""",
+            body=f"SELECT run_id, id, place, source, round(confidence, 4) AS confidence, round(value_usd, 4) AS value_usd FROM ranked WHERE place <= {SurfacePolicy().max_shown}"))
 R.add("fingerprint", lambda spark, sf: files.fingerprint(dt.samples(spark, sf).select("run_id", "sample_idx", "value"), config="driver tables"),
       """WITH ids AS (SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY 1),
 p AS (SELECT CAST(sum(CAST('0x' || substr(md5(run_id || '|' || n), 1, 8) AS BIGINT)) AS BIGINT) AS ids, count(*) AS n_ids, CAST(sum(n) AS BIGINT) AS n_rows FROM ids)

@@ -13,7 +13,7 @@ from runloom.operators import advice, targets
 from runloom.operators import features as feat
 from runloom.operators.stage import staging_path
 from runloom.settings import PlanBounds, RunSpec
-from runloom.streaming.features import stream_alarms, stream_features
+from runloom.streaming.features import match_metadata, read_tracked, stream_alarms, stream_features, track_features, windowed_stream
 
 SPEC = RunSpec()
 LEVEL = {"stock_flow": 40.0, "filler_flow": 0.5, "steam_pressure": 500.0, "machine_speed": 700.0, "retention_aid": 250.0,
@@ -80,6 +80,54 @@ def test_stream_equals_batch(spark):
             assert a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-9) if isinstance(b[c], float) else b[c]), c
 
 
+def test_stream_stops_at_a_run_without_static_metadata(spark):
+    samples = wide_run(spark, 40, 7, 1)
+    path = staging_path(spark, "src")
+    samples.write.parquet(path)
+    live = stream_features(spark.readStream.schema(samples.schema).parquet(path), meta(spark, (1,)), grades_table(spark), SPEC)
+    out, check = staging_path(spark, "out"), staging_path(spark, "check")
+    with pytest.raises(Exception, match="unknown run: 7"):
+        live.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_late_metadata_and_rejects(spark):
+    """Metadata after the samples, metadata of an unknown grade, and none at all."""
+    samples = wide_run(spark, 60, 1, 1).union(wide_run(spark, 50, 2, 2)).union(wide_run(spark, 40, 3, 3))
+    samples = samples.withColumn("ts", F.timestamp_seconds(F.col("t_min") * 60 + 1_000_000))
+    source, sink, rows, told, out, check = (staging_path(spark, n) for n in ("src", "sink", "rows", "told", "out", "check"))
+    samples.write.parquet(source)
+    window = windowed_stream(spark.readStream.schema(samples.schema).parquet(source), SPEC, stamp="ts")
+    window.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{check}-1").trigger(availableNow=True).start().awaitTermination()
+    spark.read.parquet(sink).write.parquet(rows)
+    known = meta(spark, (1,)).union(meta(spark, (2,)).withColumn("to_grade", F.lit("nobody's"))).withColumn("recorded", F.timestamp_seconds(F.lit(1_000_500)))
+    ahead = spark.read.parquet(rows)
+
+    def run(files=100):
+        matched = match_metadata(
+            spark.readStream.schema(ahead.schema).option("maxFilesPerTrigger", files).parquet(rows),
+            spark.readStream.schema(known.schema).option("maxFilesPerTrigger", files).parquet(told), "ts", "recorded",
+        )
+        track_features(matched, grades_table(spark), SPEC, out, f"{check}-2").awaitTermination()
+
+    known.limit(0).write.parquet(told)
+    run()
+    assert read_tracked(spark, out, "features").count() == 0 == read_tracked(spark, out, "rejects").count()
+    known.union(known).write.mode("append").parquet(told)  # told twice
+    run()
+    for s in (2_000_000, 3_000_000):
+        late = {"run_id": F.lit(None).cast("long")}
+        ahead.limit(1).withColumns(late | {"ts": F.timestamp_seconds(F.lit(s))}).write.mode("append").parquet(rows)
+        known.limit(1).withColumns(late | {"recorded": F.timestamp_seconds(F.lit(s))}).write.mode("append").parquet(told)
+    run(1)
+    got = read_tracked(spark, out, "features")
+    want = feat.wide_features(samples.where("run_id = 1"), meta(spark, (1,)), grades_table(spark), SPEC).drop("y_breach", "y_time_to_breach_min")
+    assert got.count() == want.count() == 60 - SPEC.warmup and got.select("run_id").distinct().count() == 1
+    for a, b in zip(got.orderBy("sample_idx").collect(), want.orderBy("sample_idx").collect()):
+        assert all(a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-9) if isinstance(b[c], float) else b[c]) for c in want.columns)
+    rejects = {r.run_id: (r.reason, r.n) for r in read_tracked(spark, out, "rejects").groupBy("run_id", "reason").agg(F.sum("n_rows").alias("n")).collect()}
+    assert rejects == {2: ("unknown grade", 50 - SPEC.warmup), 3: ("no metadata", 40 - SPEC.warmup)}
+
+
 def test_stream_gap_is_given_up_after_the_watermark(spark):
     rows = [(1, i, 0.9, i * 60) for i in (0, 1, 3, 4)] + [(2, i, 0.1, 90_000 + i) for i in range(2)] + [(2, 2, 0.1, 200_000)]
     df = spark.createDataFrame(rows, "run_id long, sample_idx int, proba double, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
