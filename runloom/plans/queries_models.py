@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from runloom.plans.oracle_base import BASE, DAY_TAGS, EV, PLANS, SCORED, TYPES,
 from runloom.plans.registry import Registry
 from runloom.settings import Economics, ForecastSpec, SurfacePolicy
 from runloom.sources import driver_tables as dt
-from runloom.sources import files, slices
+from runloom.sources import buckets, files, slices
 from runloom.sources.driver_tables import SPEC
 
 R = Registry()
@@ -331,6 +333,25 @@ R.add("corpus_round_trip", corpus_round_trip,
   any_value(to_grade) AS to_grade, any_value(n_samples) AS n_samples FROM ev JOIN plans USING (run_id) GROUP BY ev.run_id"""))
 
 
+def bucketed_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Splits and strata meet the samples of a bucketed corpus; per split what they hold."""
+    name = f"corpus_{uuid.uuid4().hex}"
+    buckets.write_bucketed(dt.samples(spark, sf).select(*KEYS, "value", "event_type"), name, staging_path(spark, "bucketed"), BUCKETS)
+    strata = staged(splits.run_strata(qe.split_rows_base(spark, sf)))
+    n = dt.run_plans(spark, sf).select("run_id", "n_samples")
+    of_runs = staged(splits.three_way_split(strata).join(strata.select("run_id", "ever_off_spec"), "run_id").join(n, "run_id"))
+    joined = buckets.with_runs(spark.table(name), of_runs)
+    per_run = joined.groupBy("run_id", "split", "ever_off_spec").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    return per_run.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.sum("n").alias("n_rows"), F.sum(F.col("ever_off_spec").cast("long")).alias("n_off_spec"), F.round(F.sum("v"), 2).alias("total"))
+
+
+BUCKETS = 16
+R.add("bucketed_corpus", bucketed_corpus,
+      with_(*qe.STRATA_CTES, qe.SPLIT3, body="""SELECT split, count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(ever_off_spec) AS BIGINT) AS n_off_spec, round(sum(v), 2) AS total
+FROM (SELECT run_id, count(*) AS n, sum(value) AS v FROM ev GROUP BY run_id) r JOIN split3 USING (run_id) JOIN strata USING (run_id) GROUP BY split"""))
+
+
 def run_fetch(spark: SparkSession, sf: str) -> DataFrame:
     """Samples of the run with the smallest id, from its folder of a written corpus."""
     path = staging_path(spark, "corpus")
