@@ -33,6 +33,24 @@ def char_classes() -> np.ndarray:
     return out
 
 
+class Grown:
+    """An array that takes new values at its end; it doubles when it is full."""
+
+    def __init__(self, kind: type):
+        self._room, self._n = np.empty(1024, kind), 0
+
+    def extend(self, values: Sequence[int]) -> None:
+        n = self._n + len(values)
+        if n > len(self._room):
+            self._room = np.concatenate([self._room[: self._n], np.empty(max(n, 2 * len(self._room)) - self._n, self._room.dtype)])
+        self._room[self._n : n] = values
+        self._n = n
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._room[: self._n]
+
+
 class BatchEncoder:
     """Ids of a byte-level vocabulary; equal to encoding each text with the tokenizer."""
 
@@ -55,8 +73,9 @@ class BatchEncoder:
 
     def _reset(self) -> None:
         self._at: dict[int, int] = {}
-        self._ids: list[int] = []
-        self._start: list[int] = [0]
+        self._ids = Grown(np.uint32)
+        self._start = Grown(np.int64)
+        self._start.extend([0])
 
     def _powers(self, n: int) -> None:
         if len(self._power) < n:
@@ -117,14 +136,17 @@ class BatchEncoder:
         if len(self._at) + len(distinct) > CACHED_WORDS:
             self._reset()
         place = np.empty(len(distinct), np.int64)
+        known, fresh, ends, before = len(self._start.values) - 1, [], [], len(self._ids.values)
         for i, (h, s) in enumerate(zip(distinct.tolist(), sample.tolist())):
             k = self._at.get(h)
             if k is None:
-                k = self._at[h] = len(self._start) - 1
-                self._ids += self._words.encode_ordinary(joined[at[s] : end[s]])
-                self._start.append(len(self._ids))
+                k = self._at[h] = known + len(ends)
+                fresh += self._words.encode_ordinary(joined[at[s] : end[s]])
+                ends.append(before + len(fresh))
             place[i] = k
-        starts, flat = np.array(self._start, np.int64), np.array(self._ids, np.uint32)
+        self._ids.extend(fresh)
+        self._start.extend(ends)
+        starts, flat = self._start.values, self._ids.values
         word = place[inverse]
         length = starts[word + 1] - starts[word]
         upto = np.zeros(len(word) + 1, np.int64)

@@ -33,6 +33,48 @@ def test_ids_equal_the_tokenizer():
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_over_many_stretches_and_resets(monkeypatch):
+    """Small stretches and a small cache: words are kept, added and forgotten."""
+    import random
+
+    from runloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHARS_PER_CHUNK", 300)
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 90)
+    rng = random.Random(3)
+    texts = [" ".join(f"wö{rng.randint(0, 150)}x" for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    encoder = public_encoder()
+    got = list(encoder.encode(texts))
+    assert [g.tolist() for g in got] == [encoder._whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_takes_about_the_least_sequences(spark):
+    """No more than 1 % over the lower bound on one partition, and no more than a plain
+    best fit over all pieces plus the bins it keeps open."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(["word"] * rng.choice([3, 40, 200, 500, 700, 900, 1400])), "s") for i in range(1500)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    least = -(-sum(r.length for r in got) // packing.SEQUENCE)
+    used = len({r.sequence_id for r in got})
+    free = []  # plain best fit, the longest first
+    for r in sorted((r for r in got), key=lambda r: -r.length):
+        fits = [i for i, f in enumerate(free) if f >= r.length]
+        if fits:
+            free[min(fits, key=lambda i: free[i])] -= r.length
+        else:
+            free.append(packing.SEQUENCE - r.length)
+    assert least <= used <= max(1.01 * least, len(free))
+
+
+def test_packing_of_nothing_and_of_repeats(spark):
+    assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
+    twice = spark.createDataFrame([(7, "one two", "a"), (7, "one two", "a")], DOCS)
+    rows = packing.pack(twice.withColumns({"piece": F.lit("x"), "offset": F.lit(1)})).collect()
+    assert len(rows) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == 2
+
+
 def test_packing_is_gapless_and_tight(docs):
     rows = packing.pack(docs).collect()
     by_doc = Counter(r.doc_id for r in rows)
