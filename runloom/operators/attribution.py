@@ -50,12 +50,14 @@ def surrogate_attribution(
     seeded sample instead of all rows."""
     if max_rows is not None:
         scored = seeded_sample(scored, ident, max_rows, seed)
-    n = scored.count()
+    # the solver scales the label to a deviation of one, and so the penalty by its inverse
+    n, spread = scored.agg(F.count(F.lit(1)), F.stddev_pop(proba)).first()
+    penalty = RIDGE_ALPHA / max(n, 1) * (spread or 1.0)
     model = Pipeline(
         stages=[
             *input_stages(features),
             StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True),
-            LinearRegression(featuresCol="z", labelCol=proba, elasticNetParam=0.0, regParam=RIDGE_ALPHA / max(n, 1), standardization=False),
+            LinearRegression(featuresCol="z", labelCol=proba, elasticNetParam=0.0, regParam=penalty, standardization=False),
         ]
     ).fit(scored)
     ridge = model.stages[-1]

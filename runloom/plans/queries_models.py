@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.dims import ALL_TAGS, KNOWN_LOOPS, known_loops_table
-from runloom.functions.numeric import model_inputs, narrow_doubles, rounded
+from runloom.functions.numeric import NOT_INPUTS, model_inputs, narrow_doubles, rounded
 from runloom.operators import advice, attribution, correlate, forecast, models, splits, targets
 from runloom.operators import ledger as led
 from runloom.operators.stage import staged, staging_path
@@ -20,7 +20,7 @@ from runloom.plans.oracle_base import BASE, DAY_TAGS, EV, PLANS, SCORED, TYPES,
 from runloom.plans.registry import Registry
 from runloom.settings import Economics, ForecastSpec, SurfacePolicy
 from runloom.sources import driver_tables as dt
-from runloom.sources import buckets, files, slices
+from runloom.sources import buckets, files, runs, slices
 from runloom.sources.driver_tables import SPEC
 
 R = Registry()
@@ -195,6 +195,12 @@ R.add("risk_gbt", risk("boosted_trees"))
 R.add("risk_logit", risk("logistic"))
 
 
+def inputs_table(rows: DataFrame) -> DataFrame:
+    """Names of the columns that may feed a model."""
+    names = model_inputs(rows)
+    return rows.limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"))
+
+
 def importance(spark: SparkSession, sf: str) -> DataFrame:
     rows, which, inputs = model_data(spark, sf)
     model = models.fit(splits.rows_of(rows, which, "train"), inputs, models.REGISTRY["random_forest"], **QUERY_SETTINGS["random_forest"])
@@ -204,13 +210,67 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
 R.add("native_importance", importance)
 
 
+def model_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any fitted alarm model: rows and positives it saw and scored,
+    probabilities in [0, 1], importances (where it has them) that add up to one."""
+    rows, which, inputs = model_data(spark, sf)
+    train, val = (staged(splits.rows_of(rows, which, s)) for s in ("train", "val"))
+    seen = train.agg(F.count(F.lit(1)).alias("n_train"), F.sum("y_breach").alias("pos_train"))
+    out = None
+    for name, spec in models.REGISTRY.items():
+        if spec.missing():
+            continue
+        model = models.fit(train, inputs, spec, **QUERY_SETTINGS[name])
+        weight = models.native_importance(model, inputs, spark)
+        total = weight.agg(F.sum("importance")).first()[0] if weight is not None else None
+        part = models.score(model, val).agg(
+            F.lit(name).alias("model"), F.lit(spec.family).alias("family"), F.count("proba").alias("n_scored"), F.bool_and(F.col("proba").between(0.0, 1.0)).alias("in_range"),
+            F.lit(total is None or abs(total - 1.0) < 1e-9).alias("importance_is_whole"),
+            (F.avg(F.when(F.col("y_breach") == 1, F.col("proba"))) > F.avg(F.when(F.col("y_breach") == 0, F.col("proba")))).alias("parts_classes"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.crossJoin(seen)  # one row a model, one row
+
+
+R.add("model_checks", model_checks,
+      with_(*qe.STRATA_CTES, qe.SPLIT3, "r AS (SELECT y, split FROM scored JOIN split3 USING (run_id))", body="""SELECT model, family, (SELECT count(*) FROM r WHERE split = 'val') AS n_scored, true AS in_range, true AS importance_is_whole, true AS parts_classes,
+  (SELECT count(*) FROM r WHERE split = 'train') AS n_train, (SELECT CAST(sum(y) AS BIGINT) FROM r WHERE split = 'train') AS pos_train
+FROM (VALUES ('random_forest', 'trees'), ('boosted_trees', 'trees'), ('logistic', 'linear')) m(model, family)"""))
+R.add("model_inputs", lambda spark, sf: inputs_table(qr.feature_table(spark, sf)),
+      f"""SELECT column_name AS feature FROM (DESCRIBE {qr.R.oracles["features_wide"]}) WHERE column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE')
+  AND column_name NOT IN ({", ".join(repr(c) for c in NOT_INPUTS)})""")
+
+
 def surrogate(spark: SparkSession, sf: str) -> DataFrame:
     scored = qe.scored(spark, sf).select(*KEYS, *WEIGHTS, "proba")
     out = attribution.surrogate_attribution(staged(scored), list(WEIGHTS))
     return rounded(attribution.attribution_long(out, [*KEYS, "base", "exact"]))
 
 
-R.add("surrogate_attribution", surrogate)
+def _ridge_sql() -> str:
+    """The ridge fit in closed form, for three standardised features: Cramer's rule."""
+    names = list(WEIGHTS)
+    z = [f"({f} - (SELECT avg({f}) FROM xs)) / (SELECT stddev_samp({f}) FROM xs)" for f in names]
+    a = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    cell = lambda i, j, col: f"v{i}" if j == col else a(i, j)
+
+    def det(col: int | None) -> str:
+        m = [[cell(i, j, col) for j in range(3)] for i in range(3)]
+        return " + ".join(f"{m[0][j]} * ({m[1][(j + 1) % 3]} * {m[2][(j + 2) % 3]} - {m[1][(j + 2) % 3]} * {m[2][(j + 1) % 3]})" for j in range(3))
+
+    sums = [f"sum(z{i} * z{j}) + {d(attribution.RIDGE_ALPHA) if i == j else '0e0'} AS m{i}{j}" for i in range(3) for j in range(i, 3)]
+    sums += [f"sum(z{i} * (proba - (SELECT avg(proba) FROM zs))) AS v{i}" for i in range(3)]
+    return ",\n".join([
+        "xs AS (SELECT run_id, sample_idx, abs(dev) AS bw_abs_dev_pct, max2 AS bw_dev_max_2min, t_min, proba FROM scored)",
+        f"zs AS (SELECT run_id, sample_idx, proba, {', '.join(f'{e} AS z{i}' for i, e in enumerate(z))} FROM xs)",
+        f"ms AS (SELECT avg(proba) AS base, {', '.join(sums)} FROM zs)",
+        f"beta AS (SELECT base, {', '.join(f'({det(i)}) / ({det(None)}) AS b{i}' for i in range(3))} FROM ms)",
+    ])
+
+
+R.add("surrogate_attribution", surrogate,
+      with_(BASE, SCORED, _ridge_sql(), body=" UNION ALL ".join(
+          f"SELECT run_id, sample_idx, round(base, 6) AS base, false AS exact, '{f}' AS feature, round(b{i} * z{i}, 6) AS phi FROM zs, beta" for i, f in enumerate(WEIGHTS))))
 CONE = ForecastSpec()  # 3 horizons x 3 quantiles
 #: a steeper rate and an earlier stop than the library's, for the shared tables' few rows
 CONE_SETTINGS = {"rounds": 40, "rate": 0.2, "patience": 4}
@@ -352,6 +412,24 @@ R.add("bucketed_corpus", bucketed_corpus,
 FROM (SELECT run_id, count(*) AS n, sum(value) AS v FROM ev GROUP BY run_id) r JOIN split3 USING (run_id) JOIN strata USING (run_id) GROUP BY split"""))
 
 
+def source_interface(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each run through the batch and the streamed source of one corpus."""
+    path, out, check = (staging_path(spark, n) for n in ("runs", "sink", "progress"))
+    dt.samples(spark, sf).select(*KEYS, "t_min", "value").repartition(4, "run_id").write.parquet(f"{path}/samples")
+    qr.meta_rows(spark, sf).write.parquet(f"{path}/run_meta")
+    batch, stream = runs.ParquetRuns(path), runs.StreamedRuns(path)
+    query = stream.samples(spark).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True)
+    query.start().awaitTermination()
+    count = lambda rows, name: rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.round(F.sum("value"), 3).alias(f"total_{name}"))
+    streamed = spark.read.schema(batch.samples(spark).schema).parquet(out)
+    both = count(batch.samples(spark), "batch").join(count(streamed, "stream"), "run_id", "full_outer")
+    return both.join(stream.meta(spark).select("run_id", "from_grade"), "run_id")
+
+
+R.add("source_interface", source_interface,
+      with_(EV, PLANS, body="SELECT ev.run_id, count(*) AS n_batch, round(sum(value), 3) AS total_batch, count(*) AS n_stream, round(sum(value), 3) AS total_stream, any_value(from_grade) AS from_grade FROM ev JOIN plans USING (run_id) GROUP BY ev.run_id"))
+
+
 def run_fetch(spark: SparkSession, sf: str) -> DataFrame:
     """Samples of the run with the smallest id, from its folder of a written corpus."""
     path = staging_path(spark, "corpus")
