@@ -11,7 +11,7 @@ well: three steps for w = 8.
 
 Defined results: a null text is an empty one and has an empty fingerprint; with fewer
 than k words, all words together are the one hash; with fewer than w hashes, all of
-them are the one window.  Two empty fingerprints are alike (1), an empty one is unlike
+them are the one window.  A null doc_id comes last in the order, equal ids go by text.  Two empty fingerprints are alike (1), an empty one is unlike
 any other (0).  Repeated rows repeat; extra columns are ignored or carried.
 """
 
@@ -86,8 +86,8 @@ def likeness(a: str, b: str) -> Column:
 
 
 def with_next(docs: DataFrame, values: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Add ``next_<value>`` from the next row by descending doc_id (ties by text; after
-    the last row the first).  ``docs`` has doc_id and text; ``derive`` adds further
+    """Add ``next_<value>`` from the next row by descending doc_id (null last, ties by
+    text; after the last row the first).  ``docs`` has doc_id and text; ``derive`` adds further
     values behind the shuffle, so that only texts travel.
 
     Ids are cut into cells at their approximate percentiles (a bounded list), large
@@ -100,32 +100,35 @@ def with_next(docs: DataFrame, values: list[str], derive: Callable[[DataFrame],
     points = [i / cells for i in range(1, cells)]
     found = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", points or [0.5], F.lit(10_000)).alias("cut")).first()
     cuts = sorted({*(found.cut or [])[: len(points)]} - {found.lo})
-    bounds = [found.lo or 0, *cuts, (found.hi or 0) + 1]
+    bounds = [found.lo or 0, *cuts, found.hi or 0]
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    cell = F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
-    low, high = F.get(edges, F.col("_cell") - 1), F.get(edges, F.col("_cell"))
-    sub = F.floor((F.col("doc_id") - low) * steps / (high - low))
+    cell = F.size(F.filter(F.slice(edges, F.lit(1), F.lit(len(bounds) - 1)), lambda b: b <= F.col("doc_id")))
+    low, high = F.get(edges, F.col("_cell") - 1).cast("double"), F.get(edges, F.col("_cell")).cast("double")
+    # doubles: ids may lie further apart than a long reaches; rounding keeps the order
+    sub = F.floor((F.col("doc_id").cast("double") - low) * steps / F.greatest(high - low, F.lit(1.0)))
 
     def celled(df: DataFrame) -> DataFrame:
         df = df.withColumn("_cell", cell)
-        return df.withColumn("_cell", F.col("_cell") * F.lit(steps).cast("long") + sub)
+        return df.withColumn("_cell", F.coalesce(F.col("_cell") * F.lit(steps).cast("long") + sub, F.lit(-1).cast("long")))
 
     down = W.orderBy(F.col("_cell").desc())
     top = celled(ids).groupBy("_cell").agg(F.max("doc_id").alias("_top"))
     chain = staged(
         top.withColumn("_first", F.max("_top").over(W.partitionBy())).select(
-            "_cell", "_top", F.coalesce(F.lead("_top").over(down), F.col("_first")).alias("_next_top")
+            "_cell", "_top", F.when(F.lead("_cell").over(down).isNull(), F.col("_first")).otherwise(F.lead("_top").over(down)).alias("_next_top")
         )
     )
     by_text = W.partitionBy("doc_id").orderBy("text")
     heads = (
-        docs.join(chain.select(F.col("_top").alias("doc_id")), "doc_id")
+        docs.join(chain.select("_top"), F.col("doc_id").eqNullSafe(F.col("_top")))
+        .drop("_top")
         .withColumn("_rank", F.row_number().over(by_text))
         .where("_rank = 1")
         .transform(derive)
         .select(F.col("doc_id").alias("_next_top"), *[F.col(v).alias(f"_head_{v}") for v in values])
-        .join(chain.select("_cell", "_next_top"), "_next_top")
-        .drop("_next_top")
+        .withColumnRenamed("_next_top", "_head")
+        .join(chain.select("_cell", "_next_top"), F.col("_head").eqNullSafe(F.col("_next_top")))
+        .drop("_next_top", "_head")
     )
     inside = W.partitionBy("_cell").orderBy(F.col("doc_id").desc(), "text")
     rows = celled(docs).repartition("_cell").transform(derive)
