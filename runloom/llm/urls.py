@@ -3,13 +3,16 @@
 Listed entries are canonical ``host/path`` strings; each is a rule for its host, all
 its subdomains and every path that starts with its path.  A URL is tested through its
 keys: every suffix of its host at a dot with every prefix of its path whose length some
-rule has (a bounded list).  The filter is a table of 512-bit blocks, one block and
+rule has, so it has no more keys a suffix than its path has characters.  The different
+lengths, no more than the longest listed path has characters, are all that the driver
+gets of a list.  The filter is a table of 512-bit blocks, one block and
 eight bits per entry, so a key reads one block.  Keys whose bits are all set go to a
 hash join with the listed entries, which removes the false positives; the longest rule
 wins.  Without a rule a URL is allowed.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no
-rule; equal URLs get equal verdicts; an empty list allows all; rows repeat as they come.
+rule; equal URLs get equal verdicts; an empty list allows all; an empty table gives no
+rows; rows repeat as they come; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ RULES = (
 )
 DEFAULT = "allow"
 BITS, PER_KEY, ENTRIES_PER_BLOCK = 512, 8, 32
-MAX_LENGTHS = 64
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -77,8 +79,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     rule_path and rule_verdict; its host and path together are unique."""
     listed = rules.withColumn("key", F.concat("rule_host", F.lit("\n"), "rule_path")).dropDuplicates(["key"])
     facts = listed.agg(F.count("*").alias("n"), F.collect_set(F.char_length("rule_path")).alias("lengths")).first()
-    if len(facts.lengths) > MAX_LENGTHS:
-        raise ValueError(f"rules have {len(facts.lengths)} different path lengths; at most {MAX_LENGTHS} can be tested")
     blocks = 1 + facts.n // ENTRIES_PER_BLOCK
     host, path = host_path(F.col("url"))
     # rows of one page stay apart even if they are equal
