@@ -16,7 +16,9 @@ under SHORT characters are left alone: they are common by chance.
 
 Defined results: a null text is an empty one; a document that loses all lines has an
 empty text; repeated rows of one doc_id count as its copies and keep what the first
-keeps; an empty table gives no rows; other columns are kept by ``remove_repeats``.
+keeps; a row without doc_id has no place in the order: it keeps its lines and takes none
+from others; an empty table gives no rows; other columns are kept by ``remove_repeats``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -269,11 +271,10 @@ def occurrences(docs: DataFrame, short: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
             for a, chunk in read_chunks(batch.column(1).to_pylist()):
                 long = np.flatnonzero(chunk.end - chunk.start >= short)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[a + chunk.row[long]]), pa.array(chunk.number[long]), pa.array(chunk.id[long].view(np.int64))],
+                    [batch.column(0).take(pa.array(a + chunk.row[long])), pa.array(chunk.number[long]), pa.array(chunk.id[long].view(np.int64))],
                     names=["doc_id", "number", "id"],
                 )
 
@@ -282,25 +283,25 @@ def occurrences(docs: DataFrame, short: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, edits: int = EDITS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """``docs`` with repeated lines removed, and n_lines and n_removed added."""
-    labels = staged(line_classes(docs, edits, short, block))
-    lines = staged(occurrences(docs, short))
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    labels = staged(line_classes(named, edits, short, block))
+    lines = staged(occurrences(named, short))
     place = F.struct("doc_id", "number")
     per_line = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     per_line = staged(per_line.join(labels, "id", "left").select("id", "first", "n", F.coalesce("label", "id").alias("label")))
     firsts = per_line.groupBy("label").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1)
     repeated = per_line.select("id", "label").join(firsts, "label").select("id", "kept")
     gone = lines.join(repeated, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("number") != F.col("kept.number")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("number").alias("_gone"))
-    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    stay = F.filter(F.col("_lines"), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
-    return (
-        docs.drop("n_lines", "n_removed")
-        .join(gone, "doc_id", "left")
-        .withColumn("_lines", split)
-        .select(
-            *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-            F.size("_lines").cast("long").alias("n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        )
+    gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("number").alias("_gone"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # the rows travel as one column, whatever theirs are named
+    rows = docs.select(F.col("doc_id").alias("_of"), F.struct(*[F.col(c) for c in own]).alias("_row")).join(gone, F.col("_of") == F.col("_doc"), "left")
+    whole = F.coalesce(F.col("_row.text"), F.lit(""))
+    rows = rows.withColumn("_lines", F.split(whole, "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i.cast("int"))), "\n"))
+    return rows.select(
+        *[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in own],
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
