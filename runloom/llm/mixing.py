@@ -12,8 +12,10 @@ sums over cells (by hash of the document, by stretch of slots) plus the offset o
 cells before.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a
-source of its own, last in order; repeated rows are separate documents; an empty
-table gives an empty result; other columns are ignored.
+source of its own, last in order; rows without doc_id take part like others (among
+those of one size and source, which of them is taken how often is open, since nothing
+tells them apart); repeated rows are separate documents; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -179,10 +181,11 @@ def mix(
     taken = (
         block_pieces(placed, block_words, max_uses)
         .join(slots, ["src", "block"])
-        .groupBy("src", "doc_id", "start", "size")
+        .groupBy("src", "start", "size")
         .agg(F.sum("words").alias("taken"))
     )
+    # of the rows with words no two begin at one place of their source's line
     return (
-        placed.join(taken, ["src", "doc_id", "start", "size"], "left")
+        placed.join(taken, ["src", "start", "size"], "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
