@@ -26,4 +26,4 @@ def test_stages_on_odd_rows(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(q.split("_")[0][2:]) for q in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
