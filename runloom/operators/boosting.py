@@ -4,7 +4,7 @@ All (target, quantile) models grow side by side.  A round of depth D takes D + 1
 over the staged, binned rows.  In a pass a task counts, per model, node, feature and bin,
 its rows and those above their prediction: the pinball gradient has two values, so these
 whole numbers are the whole gradient histogram, and their sums don't depend on the order
-of tasks.  The counts are added up by (model, node, feature), each such cell finds its
+of tasks (bin edges are approximate percentiles, the only part that can vary a little).  The counts are added up by (model, node, feature), each such cell finds its
 best cut, and the driver gets one split a node.  The last pass counts residuals of every
 leaf in buckets of RATIO; such sketches add up exactly, and the leaf becomes the
 quantile of its residuals to half a bucket.
