@@ -12,11 +12,16 @@ Jaccard distance d = 1 - similarity is a metric.  With r = 1 - threshold:
 3. Small regions are joined in one task: documents within r of the pivot are one
    component; by the triangle inequality another document can only link to those whose
    distance to the pivot differs from its own by r at most, and only these are compared.
-4. Large regions are cut into Voronoi regions of some of their members as new pivots.
-   A document also enters the region of each pivot q with d(x, q) <= d(x, nearest) + 2 r:
-   the window that a partner of its can be in.  The parts are joined in the same way.
-   Where windows hold nearly everybody (pivots do not part the region), the region is
-   compared in pairs of blocks instead; the result is the same.
+4. Large regions (by sets or by shingles) measure some of their members as new pivots:
+   those with the most likely partners, and some by hash.  Links with a pivot are found
+   there, and pivots are done.  The others fall into the pivots' Voronoi regions; a
+   document also enters the region of each pivot q with d(x, q) <= d(x, nearest) + 2 r:
+   the window that a partner of its can be in.  Only those go on that can link to one
+   not yet known to be in their component: some such document's distance to q differs
+   from theirs by r at most.  Around a pivot near to all, nobody is left.
+   What is left is joined in the same way: in one task where it is small, else by parts.
+   Where windows hold nearly everybody (pivots do not part the region), it is compared
+   in pairs of blocks instead; the result is the same.
 
 Before any set travels, a sketch (parities of the shingles in 1024 slots, which differ in
 at most as many slots as the sets differ in shingles) and the sizes tell who can have a
@@ -26,9 +31,11 @@ Only edges of a spanning forest leave a task, never all pairs of a group.  Equal
 are one member, whatever the number of their documents.
 
 Defined results: a null text or one without words has an empty set, which links with
-nothing; with fewer than ``k`` words the whole sequence is the one shingle; repeated
-rows (one doc_id) are one document; an empty table gives no rows; other columns are
-ignored.
+nothing; with fewer than ``k`` words the whole sequence is the one shingle; every row
+gives a row, and rows of one doc_id with differing texts are linked by their texts only;
+rows without doc_id link like others, and their component_id is the smallest doc_id that
+they reach, null if there is none; texts of any length are read whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +45,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.llm.arrays import LOWER, chunks, mixed, span_hashes, words
 from runloom.llm.graph import Forest, components, grouped, in_blocks, likely
-from runloom.operators.stage import staged
+from runloom.operators.stage import discard, staged
 
 WORDS, PERCENT = 4, 85
-REGION = 512
-FAN_OUT = 16
+#: Most sets, and about the most shingles, that a task holds of a region or of a block.
+REGION, REGION_SHINGLES = 2048, 2_000_000
+#: Pivots of a large region: by number of likely partners, and by hash.
+HUBS, FAN_OUT = 8, 8
+STEPS = 8
+#: More sets than this can't each hold a thousandth of all documents.
+HOT_SHARE = 1000
 CELLS_PER_BUCKET = 500_000
 SIFT_BLOCK = 2048
 SKETCH_BITS = 1024
+MEMBERS = ("region", "id", "size", "weight", "partners")
+PARTED = ("region", "part", "id", "label", "step", "n_shingles", "partners")
 _GROWTH = 1.3
 _SLACK = 1.42
 
@@ -152,31 +167,36 @@ def sketches(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set_id, n_shingles, sketch."""
+    """doc_id, row_key, set_id, n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, offsets, grams in shingle_sets(batch.column(1), k):
+            for a, offsets, grams in shingle_sets(batch.column(2), k):
                 n = len(offsets) - 1
                 sketch = [r.tobytes() for r in sketches(offsets, grams)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(set_ids(offsets, grams)), pa.array(np.diff(offsets)), pa.array(sketch, pa.binary())],
-                    names=["doc_id", "set_id", "n_shingles", "sketch"],
+                    [
+                        *(batch.column(c).slice(a, n) for c in (0, 1)),
+                        pa.array(set_ids(offsets, grams)),
+                        pa.array(np.diff(offsets)),
+                        pa.array(sketch, pa.binary()),
+                    ],
+                    names=["doc_id", "row_key", "set_id", "n_shingles", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n_shingles long, sketch binary")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, set_id long, n_shingles long, sketch binary")
 
 
 def sift(members: DataFrame, percent: int, block: int = SIFT_BLOCK) -> DataFrame:
-    """region, id of the members (region, id, size, n_shingles, sketch) that may have a
-    partner in their region, by sizes and sketches."""
+    """region, id, partners: the members (region, id, size, n_shingles, sketch) that may
+    have a partner in their region, by sizes and sketches, with the number of these."""
 
     def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
         mine, lo, hi = table.column("mine").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         n = table.column("n_shingles").to_numpy()
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
         left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        keep = np.zeros(len(n), bool)
+        partners = np.zeros(len(n), np.int64)
         for s in range(0, len(left), 64) if len(right) else ():
             part = left[s : s + 64]
             differ = np.zeros((len(part), len(right)), np.int64)
@@ -185,16 +205,15 @@ def sift(members: DataFrame, percent: int, block: int = SIFT_BLOCK) -> DataFrame
             a, b = n[part][:, None], n[right][None, :]
             may = ((100 + percent) * differ <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
             may &= part[:, None] != right[None, :]
-            keep[part[may.any(1)]] = True
-            keep[right[may.any(0)]] = True
-        yield table.select(["region", "id"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else _empty("region", "id")
+            partners[part] += may.sum(1)
+            if lo != hi:
+                partners[right] += may.sum(0)
+        found = table.select(["region", "id"]).append_column("partners", pa.array(partners)).filter(pa.array(partners > 0))
+        yield from found.combine_chunks().to_batches()
 
     rows = in_blocks(members, "region", "size", block).select("region", "lo", "hi", "mine", "id", "n_shingles", "sketch")
-    return grouped(rows, ["region", "lo", "hi"], kernel, "region long, id long").distinct()
-
-
-def _empty(*names: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], pa.int64()) for _ in names], names=list(names))
+    found = grouped(rows, ["region", "lo", "hi"], kernel, "region long, id long, partners long")
+    return found.groupBy("region", "id").agg(F.sum("partners").alias("partners"))
 
 
 def region_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -240,26 +259,26 @@ def region_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataF
         pair, shared = np.unique(np.stack([pivot[other], ids[other]], 1), axis=0, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(shared)], names=["pivot", "id", "shared"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket long, names binary, uses binary, cells binary")
+    packed = docs.select("row_key", "text").mapInArrow(pack, "bucket long, names binary, uses binary, cells binary")
     met = grouped(packed, ["bucket"], meet, "pivot long, id long, shared long")
     return met.groupBy("pivot", "id").agg(F.sum("shared").alias("shared"))
 
 
 def with_grams(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """region, id, size, grams: the shingle hashes of the sets of ``wanted`` (doc_id, id,
-    region, size), from the texts of their documents."""
+    """MEMBERS and grams: the shingle hashes of the sets of ``wanted`` (MEMBERS and the
+    row_key of a document), from the texts of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, offsets, grams in shingle_sets(batch.column(0), k):
-                rest = pa.Table.from_batches([batch]).slice(a, len(offsets) - 1).select(["region", "id", "size"])
-                # a doc_id with several texts brings those along that aren't asked for
+                rest = pa.Table.from_batches([batch]).slice(a, len(offsets) - 1).select(list(MEMBERS))
+                # a row_key with several texts brings those along that aren't asked for
                 found = np.flatnonzero(set_ids(offsets, grams) == rest.column("id").to_numpy())
                 rows = [grams[offsets[i] : offsets[i + 1]].tobytes() for i in found]
                 yield from rest.take(pa.array(found)).append_column("grams", pa.array(rows, pa.binary())).to_batches()
 
-    texts = likely(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id").select("text", "region", "id", "size")
-    return texts.mapInArrow(run, "region long, id long, size long, grams binary")
+    texts = likely(docs.select("row_key", "text"), wanted, "row_key").join(wanted, "row_key").select("text", *MEMBERS)
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in MEMBERS) + ", grams binary")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -334,21 +353,32 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _distinct(table: pa.Table) -> pa.Table:
+    """One row per set: repeated rows of a document bring its set several times."""
+    return table.take(pa.array(np.sort(np.unique(table.column("id").to_numpy(), return_index=True)[1])))
+
+
 def _sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return table.column("id").to_numpy(), [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
 
 
+def _blocks(region: int, shingles: int) -> Column:
+    """Number of parts of a region of ``size`` sets with ``weight`` shingles."""
+    return F.greatest(F.ceil(F.col("size") / region), F.ceil(F.col("weight") / shingles), F.lit(1)).cast("long")
+
+
 def _join_small(members: DataFrame, percent: int) -> DataFrame:
     def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield _edge_batch(join_region(*_sets(table), percent))
+        yield _edge_batch(join_region(*_sets(_distinct(table)), percent))
 
     return grouped(members.select("region", "id", "grams"), ["region"], kernel, "a long, b long")
 
 
-def _join_blocks(members: DataFrame, percent: int, block: int) -> DataFrame:
+def _join_blocks(members: DataFrame, percent: int, region: int, shingles: int) -> DataFrame:
     """Links of regions that pivots do not part, in pairs of blocks."""
 
     def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = _distinct(table)
         ids, sets = _sets(table)
         mine = table.column("mine").to_numpy()
         size, forest, edges = np.array([len(s) for s in sets]), Forest(len(ids)), []
@@ -363,92 +393,162 @@ def _join_blocks(members: DataFrame, percent: int, block: int) -> DataFrame:
                         edges.append((int(ids[part[i]]), int(ids[right[j]])))
         yield _edge_batch(edges)
 
-    rows = in_blocks(members, "region", "size", block)
+    rows = in_blocks(members.withColumn("blocks", _blocks(region, shingles)), "region", "blocks", 1)
     return grouped(rows.select("region", "lo", "hi", "mine", "id", "grams"), ["region", "lo", "hi"], kernel, "a long, b long")
 
 
-def _part_region(members: DataFrame, percent: int, block: int, level: int) -> DataFrame:
-    """region, part, id: members in the Voronoi regions of their region's new pivots and
-    in the windows of others."""
+def _part_region(members: DataFrame, percent: int, region: int, shingles: int, level: int) -> DataFrame:
+    """region, part, id, label, step, n_shingles, partners: members in the Voronoi regions
+    of their region's new pivots and in the windows of others.
+
+    ``label`` is the smallest known member of a member's component, ``step`` its distance
+    to the part's pivot in STEPS-ths of the radius.  Rows with a negative step are links
+    of ``id`` with the pivot that ``part`` names."""
     radius = 1 - percent / 100
-    pick = F.pmod(F.xxhash64("id", F.lit(100 + level)), F.col("size")) < FAN_OUT
-    chunks_of = F.ceil(F.col("size") / block).cast("long")
-    rows = members.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(level)), chunks_of)).withColumn("is_pivot", F.lit(False))
-    pivots = members.where(pick).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks_of - 1))).withColumn("is_pivot", F.lit(True))
+    width = max(radius, 0.01) / STEPS
+    members = members.withColumn("blocks", _blocks(region, shingles))
+    lean = members.select("region", "id", "size", "partners")
+    rank = F.row_number().over(W.partitionBy("region").orderBy(F.desc("partners"), "id"))
+    hubs = lean.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("region", "id")
+    spread = lean.where(F.pmod(F.xxhash64("id", F.lit(100 + level)), F.col("size")) < FAN_OUT).select("region", "id")
+    chosen = staged(hubs.union(spread).distinct())
+    rows = members.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(level)), F.col("blocks"))).withColumn("is_pivot", F.lit(False))
+    pivots = (
+        members.join(chosen, ["region", "id"])
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("is_pivot", F.lit(True))
+    )
 
     def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
         is_pivot = table.column("is_pivot").to_numpy(zero_copy_only=False)
-        ids, sets = _sets(table)
-        p, x = np.flatnonzero(is_pivot), np.flatnonzero(~is_pivot)
-        region = table.column("region")[0].as_py()
-        if not len(x):
+        heads = _distinct(table.filter(pa.array(is_pivot)))
+        rest = table.filter(pa.array(~is_pivot))
+        rest = _distinct(rest.filter(pa.array(~np.isin(rest.column("id").to_numpy(), heads.column("id").to_numpy()))))
+        (head, head_sets), (ids, sets) = _sets(heads), _sets(rest)
+        head_size, size = (np.array([len(s) for s in both], np.int64) for both in (head_sets, sets))
+        group = table.column("region")[0].as_py()
+
+        def out(part, x, label, step, n, partners):
+            arrays = [np.full(len(x), group), part, x, label, step, n, partners]
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in arrays], names=list(PARTED))
+
+        forest, pairs = Forest(len(head)), []
+        order = np.argsort(head)  # roots are the smallest ids
+        both = [head_sets[i] for i in order]
+        for i, j in zip(*np.nonzero(np.triu(_linked(_overlaps(both, both), head_size[order], head_size[order], percent), 1))):
+            if forest.join(int(i), int(j)):
+                pairs.append((head[order[i]], head[order[j]]))
+        known = np.zeros(len(head), np.int64)
+        known[order] = [head[order[forest.root(i)]] for i in range(len(head))]
+        a, b = (np.array([p[i] for p in pairs], np.int64) for i in (1, 0))
+        yield out(b, a, b, np.full(len(a), -1), *[np.zeros(len(a))] * 2)
+        if not len(ids):
             return
-        if len(p):
-            size = np.array([len(s) for s in sets])
-            d = _distance(_overlaps([sets[i] for i in x], [sets[i] for i in p]), size[x], size[p])
-            i, j = np.nonzero(d <= d.min(1, keepdims=True) + 2 * radius + 1e-9)
-            part = mixed(ids[p].view(np.uint64) ^ mixed(np.array([region], np.int64).view(np.uint64))).view(np.int64)[j]
-        else:
-            i, part = np.arange(len(x)), np.full(len(x), region)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), region)), pa.array(part), pa.array(ids[x[i]])], names=["region", "part", "id"])
-
-    both = rows.unionByName(pivots).select("region", "chunk", "is_pivot", "id", "grams")
-    return grouped(both, ["region", "chunk"], kernel, "region long, part long, id long")
-
-
-def link_edges(small: DataFrame, large: DataFrame | None, percent: int, region: int = REGION, most_levels: int = 12) -> DataFrame:
-    """a, b: forest edges of all links inside regions.  Both inputs have region, id, size
-    (the region's number of members) and grams; the regions of ``large`` have more than
-    ``region`` members."""
+        inter = _overlaps(sets, head_sets)
+        link, d = _linked(inter, size, head_size, percent), _distance(inter, size, head_size)
+        i, j = np.nonzero(link)
+        yield out(head[j], ids[i], ids[i], np.full(len(i), -1), *[np.zeros(len(i))] * 2)
+        label = np.where(link.any(1), known[link.argmax(1)], ids)
+        i, j = np.nonzero(d <= d.min(1, keepdims=True) + 2 * radius + 1e-9)
+        part = mixed(head.view(np.uint64) ^ mixed(np.array([group], np.int64).view(np.uint64))).view(np.int64)[j]
+        yield out(part, ids[i], label[i], d[i, j] // width, size[i], rest.column("partners").to_numpy()[i])
+
+    columns = ["region", "chunk", "is_pivot", "id", "partners", "grams"]
+    both = rows.select(*columns).unionByName(pivots.select(*columns))
+    return grouped(both, ["region", "chunk"], kernel, ", ".join(f"{c} long" for c in PARTED))
+
+
+def _undecided(parts: DataFrame) -> DataFrame:
+    """Rows of ``parts`` that can link to a member of another label: one is within the
+    radius (and the steps' width) of their own distance to the part's pivot."""
+    per_step = parts.groupBy("region", "part", "step").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    reach = W.partitionBy("region", "part").orderBy("step").rangeBetween(-STEPS - 1, STEPS + 1)
+    per_step = per_step.select("region", "part", "step", F.min("least").over(reach).alias("least"), F.max("most").over(reach).alias("most"))
+    return parts.join(per_step.where("least < most"), ["region", "part", "step"]).select("region", "part", "id", "n_shingles", "partners")
+
+
+def link_edges(
+    small: DataFrame, large: DataFrame | None, percent: int, region: int = REGION, shingles: int = REGION_SHINGLES, most_levels: int = 12
+) -> DataFrame:
+    """a, b: forest edges of all links inside regions.  Both inputs have MEMBERS (region,
+    id, partners, and the region's size and weight in shingles) and grams; the regions of
+    ``large`` have more than ``region`` members or ``shingles`` shingles."""
     edges = _join_small(small, percent)
+    fits = (F.col("size") <= region) & (F.col("weight") <= shingles)
+    sums = [F.count("*").alias("size"), F.sum("n_shingles").alias("weight")]
     for level in range(most_levels):
         if large is None or large.isEmpty():
             return edges
-        parts = staged(_part_region(large, percent, region, level))
-        sizes = parts.groupBy("region", "part").agg(F.count("*").alias("part_size"))
-        work = sizes.groupBy("region").agg(F.sum(F.col("part_size").cast("double") * F.col("part_size")).alias("work"))
-        judged = large.select("region", "size").distinct().join(work, "region")
-        flat = staged(judged.where(F.col("work") > 0.7 * F.col("size").cast("double") * F.col("size")).select("region"))
-        edges = edges.unionByName(_join_blocks(large.join(flat, "region"), percent, region))
-        parted = (
-            parts.join(flat, "region", "left_anti")
-            .join(sizes, ["region", "part"])
-            .join(large.select("region", "id", "grams"), ["region", "id"])
-            .select(F.col("part").alias("region"), "id", "grams", F.col("part_size").alias("size"))
-        )
-        edges = edges.unionByName(_join_small(parted.where(F.col("size") <= region), percent))
-        large = staged(parted.where(F.col("size") > region))
-    return edges if large is None else edges.unionByName(_join_blocks(large, percent, region))
+        found = staged(_part_region(large, percent, region, shingles, level))
+        edges = edges.unionByName(found.where("step < 0").select(F.col("id").alias("a"), F.col("part").alias("b")))
+        left = staged(_undecided(found.where("step >= 0")))
+        if left.isEmpty():
+            return edges
+        sets = large.select("region", "id", "grams")
+        parts = left.groupBy("region", "part").agg(*sums)
+        work = parts.groupBy("region").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("work"))
+        rest = left.select("region", "id", "n_shingles", "partners").distinct()
+        judged = rest.groupBy("region").agg(*sums).join(work, "region")
+        together = fits | (F.col("work") > 0.7 * F.col("size").cast("double") * F.col("size"))
+        judged = staged(judged.withColumn("together", together))
+        whole = staged(rest.join(judged.where("together"), "region").select(*MEMBERS)).join(sets, ["region", "id"])
+        edges = edges.unionByName(_join_small(whole.where(fits), percent))
+        edges = edges.unionByName(_join_blocks(whole.where(~fits), percent, region, shingles))
+        apart = left.join(judged.where("not together").select("region"), "region").join(parts, ["region", "part"])
+        apart = staged(apart.select("region", "part", "id", "size", "weight", "partners"))
+        parted = apart.join(sets, ["region", "id"]).drop("region").withColumnRenamed("part", "region").select(*MEMBERS, "grams")
+        edges = edges.unionByName(_join_small(parted.where(fits), percent))
+        large = staged(parted.where(~fits))
+    return edges if large is None else edges.unionByName(_join_blocks(large, percent, region, shingles))
 
 
 def merged_regions(met: DataFrame) -> DataFrame:
-    """id, region, size: one region per set, made of all regions that share members, so
-    that each set travels once."""
+    """id, region, size, weight, partners: one region per set, made of all regions that
+    share members, so that each set travels once.  ``met`` has n_shingles."""
     groups = components(met.select(F.col("id").alias("a"), F.xxhash64("region", F.lit("region")).alias("b")))
-    one = met.select("id").distinct().join(groups, "id").select("id", F.col("label").alias("region"))
-    return one.join(one.groupBy("region").agg(F.count("*").alias("size")), "region")
+    one = met.groupBy("id").agg(F.sum("partners").alias("partners"), F.first("n_shingles").alias("n_shingles"))
+    one = one.join(groups, "id").withColumnRenamed("label", "region")
+    return one.join(one.groupBy("region").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")), "region").drop("n_shingles")
+
 
+def _classed(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents by their set's component.
 
-def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, region: int = REGION) -> DataFrame:
+    Smallest ids are taken per set, then per label.  Sets of over a HOT_SHARE-th of all
+    documents, fewer than HOT_SHARE, are broadcast; the others go by a plain join."""
+    total = sets.count()
+    per_set = sets.groupBy("set_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    per_set = per_set.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    per_set = staged(per_set)
+    per_label = per_set.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = staged(per_set.join(per_label, "label").select("set_id", "component_id", (F.col("n") * HOT_SHARE > total).alias("hot")))
+    hot = F.broadcast(named.where("hot").drop("hot"))
+    lean = sets.select("doc_id", "set_id", "n_shingles")
+    out = lean.join(hot, "set_id").unionByName(lean.join(hot, "set_id", "left_anti").join(named.where("not hot").drop("hot"), "set_id"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, region: int = REGION, shingles: int = REGION_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row_key"), "text")
     sets = staged(document_sets(docs, k))
-    shingles = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = 1 << max(6, math.ceil(math.log2(1 + shingles / CELLS_PER_BUCKET)))
+    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = 1 << max(6, math.ceil(math.log2(1 + total / CELLS_PER_BUCKET)))
     pairs = staged(region_members(docs, k, percent, buckets).select(F.col("pivot").alias("region"), "id"))
     sizes = pairs.groupBy("region").agg((F.count("*") + 1).alias("size"))
     inside = pairs.union(pairs.select("region", "region").distinct()).join(sizes, "region")
-    one = sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("of")).select(F.col("set_id").alias("id"), "of.*")
-    met = staged(sift(inside.join(one.drop("doc_id"), "id"), percent))
-    wanted = staged(merged_regions(met).join(one.select("id", "doc_id"), "id").select("doc_id", "id", "region", "size"))
-    beyond = wanted.where(F.col("size") > region)
+    one = sets.groupBy("set_id").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "row_key", "n_shingles", "sketch")).alias("of"))
+    one = one.select(F.col("set_id").alias("id"), "of.*")
+    met = staged(sift(inside.join(one.select("id", "n_shingles", "sketch"), "id"), percent))
+    discard(pairs)
+    keys = one.select("id", "row_key", "n_shingles")
+    wanted = staged(merged_regions(met.join(keys.drop("row_key"), "id")).join(keys.drop("n_shingles"), "id"))
+    fits = (F.col("size") <= region) & (F.col("weight") <= shingles)
+    beyond = wanted.where(~fits)
     large = None if beyond.isEmpty() else staged(with_grams(docs, beyond, k))
-    small = with_grams(docs, wanted.where(F.col("size") <= region), k)
-    labels = components(link_edges(small, large, percent, region))
-    labelled = sets.where("n_shingles > 0").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
-    labelled = labelled.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return (
-        labelled.join(smallest, "label")
-        .select("doc_id", "n_shingles", "component_id")
-        .unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    small = with_grams(docs, wanted.where(fits), k)
+    labels = components(link_edges(small, large, percent, region, shingles))
+    if large is not None:
+        discard(large)
+    found = _classed(sets.where("n_shingles > 0").select("doc_id", "set_id", "n_shingles"), labels)
+    return found.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

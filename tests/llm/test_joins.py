@@ -56,6 +56,35 @@ def test_classes_equal_brute_force(spark, k, percent, region):
     assert got == brute_classes(texts, k, percent)
 
 
+@pytest.mark.parametrize(("region", "shingles"), [(64, 10**6), (10**6, 3000)])
+@pytest.mark.parametrize("hub", [True, False])
+def test_large_groups_equal_brute_force(spark, region, shingles, hub):
+    """A group around one text, or round no text: many pairs at the very border."""
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base)] if hub else []
+    for _ in range(300):
+        copy = list(base)
+        for at in rng.sample(range(3, 117), rng.choice([1, 2, 2, 3, 4])):
+            copy[at] = f"x{next(fresh)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, 4, 85, region, shingles).collect()}
+    assert got == brute_classes(texts, 4, 85)
+
+
+def test_classes_of_rows_without_ids_and_of_repeated_rows(spark):
+    base = " ".join(f"u{i}" for i in range(200))
+    near, alone, other = base + " more", "quite another text of a few words", "nobody names this text either way"
+    long = " ".join(f"v{i % 5003}" for i in range(60_000))
+    rows = [(None, base), (9, near), (None, near), (4, alone), (4, alone), (4, near), (7, alone), (None, other), (None, other + " x"), (None, None), (None, ""), (5, long), (6, long)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], DOCS + ", region int, id int, n_shingles int").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()), key=str)
+    want = [(None, 197, 4), (9, 198, 4), (None, 198, 4), (4, 4, 4), (4, 4, 4), (4, 198, 4), (7, 4, 4), (None, 3, None), (None, 4, None), (None, 0, None), (None, 0, None), (5, 5003, 5), (6, 5003, 5)]
+    assert got == sorted(want, key=str)
+
+
 def test_classes_of_nothing(spark):
     assert jaccard.classes(spark.createDataFrame([], DOCS)).count() == 0
 
