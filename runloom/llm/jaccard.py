@@ -19,6 +19,8 @@ Jaccard distance d = 1 - similarity is a metric.  With r = 1 - threshold:
    the window that a partner of its can be in.  Only those go on that can link to one
    not yet known to be in their component: some such document's distance to q differs
    from theirs by r at most.  Around a pivot near to all, nobody is left.
+   Their sets go on as differences from what most pivots hold, since two sets differ
+   by just what their differences from any third set differ by: near copies are short.
    What is left is joined in the same way: in one task where it is small, else by parts.
    Where windows hold nearly everybody (pivots do not part the region), it is compared
    in pairs of blocks instead; the result is the same.
@@ -64,8 +66,9 @@ HOT_SHARE = 1000
 CELLS_PER_BUCKET = 500_000
 SIFT_BLOCK = 2048
 SKETCH_BITS = 1024
-MEMBERS = ("region", "id", "size", "weight", "partners")
-PARTED = ("region", "part", "id", "label", "step", "n_shingles", "partners")
+MEMBERS = ("region", "id", "size", "weight", "partners", "n_shingles")
+PARTED = ("region", "part", "id", "label", "step", "n_shingles", "partners", "length")
+LINK, SET = -1, -2
 _GROWTH = 1.3
 _SLACK = 1.42
 
@@ -312,6 +315,13 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets of ``a`` and ``b`` shingles, given by their
+    differences from one third set."""
+    more_a, more_b = (n - np.array([len(s) for s in sets], np.int64) for n, sets in ((a, left), (b, right)))
+    return _overlaps(left, right) + (more_a[:, None] + more_b[None, :]) / 2
+
+
 def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     inter = np.rint(inter).astype(np.int64)
     return 100 * inter >= percent * (a[:, None] + b[None, :] - inter)
@@ -321,11 +331,12 @@ def _distance(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - inter / np.maximum(a[:, None] + b[None, :] - inter, 1)
 
 
-def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Forest edges of the links within one region."""
-    size, radius = np.array([len(s) for s in sets]), 1 - percent / 100
+def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int, size: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Forest edges of the links within one region.  Where ``sets`` are differences from
+    a third set, ``size`` tells the sets' own sizes."""
+    size, radius = np.array([len(s) for s in sets]) if size is None else size, 1 - percent / 100
     p = int(np.argmin(ids))
-    inter = _overlaps([sets[p]], sets)
+    inter = _common([sets[p]], sets, size[[p]], size)
     inner = _linked(inter, size[[p]], size, percent)[0]
     inner[p] = True
     edges = [(int(ids[i]), int(ids[p])) for i in np.flatnonzero(inner) if i != p]
@@ -341,7 +352,7 @@ def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     others = np.concatenate([outer, near])
     for s in range(0, len(outer), 256):
         mine = outer[s : s + 256]
-        hit = _linked(_overlaps([sets[i] for i in mine], [sets[i] for i in others]), size[mine], size[others], percent)
+        hit = _linked(_common([sets[i] for i in mine], [sets[i] for i in others], size[mine], size[others]), size[mine], size[others], percent)
         hit &= np.abs(d[mine][:, None] - d[others][None, :]) <= radius + 1e-9
         for i, j in zip(*np.nonzero(hit)):
             if forest.join(int(mine[i]), int(others[j])):
@@ -369,9 +380,10 @@ def _blocks(region: int, shingles: int) -> Column:
 
 def _join_small(members: DataFrame, percent: int) -> DataFrame:
     def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield _edge_batch(join_region(*_sets(_distinct(table)), percent))
+        table = _distinct(table)
+        yield _edge_batch(join_region(*_sets(table), percent, table.column("n_shingles").to_numpy()))
 
-    return grouped(members.select("region", "id", "grams"), ["region"], kernel, "a long, b long")
+    return grouped(members.select("region", "id", "n_shingles", "grams"), ["region"], kernel, "a long, b long")
 
 
 def _join_blocks(members: DataFrame, percent: int, region: int, shingles: int) -> DataFrame:
@@ -381,29 +393,30 @@ def _join_blocks(members: DataFrame, percent: int, region: int, shingles: int) -
         table = _distinct(table)
         ids, sets = _sets(table)
         mine = table.column("mine").to_numpy()
-        size, forest, edges = np.array([len(s) for s in sets]), Forest(len(ids)), []
+        size, forest, edges = table.column("n_shingles").to_numpy(), Forest(len(ids)), []
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
         if len(left) and len(right):
             for s in range(0, len(left), 256):
                 part = left[s : s + 256]
-                hit = _linked(_overlaps([sets[i] for i in part], [sets[i] for i in right]), size[part], size[right], percent)
+                hit = _linked(_common([sets[i] for i in part], [sets[i] for i in right], size[part], size[right]), size[part], size[right], percent)
                 for i, j in zip(*np.nonzero(hit)):
                     if forest.join(int(part[i]), int(right[j])):
                         edges.append((int(ids[part[i]]), int(ids[right[j]])))
         yield _edge_batch(edges)
 
     rows = in_blocks(members.withColumn("blocks", _blocks(region, shingles)), "region", "blocks", 1)
-    return grouped(rows.select("region", "lo", "hi", "mine", "id", "grams"), ["region", "lo", "hi"], kernel, "a long, b long")
+    return grouped(rows.select("region", "lo", "hi", "mine", "id", "n_shingles", "grams"), ["region", "lo", "hi"], kernel, "a long, b long")
 
 
 def _part_region(members: DataFrame, percent: int, region: int, shingles: int, level: int) -> DataFrame:
-    """region, part, id, label, step, n_shingles, partners: members in the Voronoi regions
-    of their region's new pivots and in the windows of others.
+    """PARTED and grams: members in the Voronoi regions of their region's new pivots and
+    in the windows of others.
 
     ``label`` is the smallest known member of a member's component, ``step`` its distance
-    to the part's pivot in STEPS-ths of the radius.  Rows with a negative step are links
-    of ``id`` with the pivot that ``part`` names."""
+    to the part's pivot in STEPS-ths of the radius.  Rows with step LINK are links of
+    ``id`` with the pivot that ``part`` names; rows with step SET, one a member, have its
+    grams as the difference, of ``length`` shingles, from those that most pivots hold."""
     radius = 1 - percent / 100
     width = max(radius, 0.01) / STEPS
     members = members.withColumn("blocks", _blocks(region, shingles))
@@ -425,37 +438,41 @@ def _part_region(members: DataFrame, percent: int, region: int, shingles: int, l
         rest = table.filter(pa.array(~is_pivot))
         rest = _distinct(rest.filter(pa.array(~np.isin(rest.column("id").to_numpy(), heads.column("id").to_numpy()))))
         (head, head_sets), (ids, sets) = _sets(heads), _sets(rest)
-        head_size, size = (np.array([len(s) for s in both], np.int64) for both in (head_sets, sets))
+        head_size, size = (t.column("n_shingles").to_numpy() for t in (heads, rest))
         group = table.column("region")[0].as_py()
 
-        def out(part, x, label, step, n, partners):
-            arrays = [np.full(len(x), group), part, x, label, step, n, partners]
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in arrays], names=list(PARTED))
+        def out(x, step, part=0, label=0, n=0, partners=0, length=0, grams=None):
+            ints = [np.broadcast_to(np.asarray(v, np.int64), len(x)) for v in (group, part, x, label, step, n, partners, length)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, ints), pa.array(grams or [None] * len(x), pa.binary())], names=[*PARTED, "grams"])
 
         forest, pairs = Forest(len(head)), []
         order = np.argsort(head)  # roots are the smallest ids
         both = [head_sets[i] for i in order]
-        for i, j in zip(*np.nonzero(np.triu(_linked(_overlaps(both, both), head_size[order], head_size[order], percent), 1))):
+        for i, j in zip(*np.nonzero(np.triu(_linked(_common(both, both, head_size[order], head_size[order]), head_size[order], head_size[order], percent), 1))):
             if forest.join(int(i), int(j)):
                 pairs.append((head[order[i]], head[order[j]]))
         known = np.zeros(len(head), np.int64)
         known[order] = [head[order[forest.root(i)]] for i in range(len(head))]
-        a, b = (np.array([p[i] for p in pairs], np.int64) for i in (1, 0))
-        yield out(b, a, b, np.full(len(a), -1), *[np.zeros(len(a))] * 2)
+        yield out(np.array([b for _, b in pairs], np.int64), LINK, np.array([a for a, _ in pairs], np.int64))
         if not len(ids):
             return
-        inter = _overlaps(sets, head_sets)
+        inter = _common(sets, head_sets, size, head_size)
         link, d = _linked(inter, size, head_size, percent), _distance(inter, size, head_size)
         i, j = np.nonzero(link)
-        yield out(head[j], ids[i], ids[i], np.full(len(i), -1), *[np.zeros(len(i))] * 2)
+        yield out(ids[i], LINK, head[j])
         label = np.where(link.any(1), known[link.argmax(1)], ids)
         i, j = np.nonzero(d <= d.min(1, keepdims=True) + 2 * radius + 1e-9)
         part = mixed(head.view(np.uint64) ^ mixed(np.array([group], np.int64).view(np.uint64))).view(np.int64)[j]
-        yield out(part, ids[i], label[i], d[i, j] // width, size[i], rest.column("partners").to_numpy()[i])
-
-    columns = ["region", "chunk", "is_pivot", "id", "partners", "grams"]
+        gram, holders = np.unique(np.concatenate(head_sets), return_counts=True)
+        most = gram[2 * holders > len(head)]
+        short = [np.setxor1d(g, most, assume_unique=True) for g in sets]
+        length = np.array([len(g) for g in short])
+        yield out(ids[i], d[i, j] // width, part, label[i], size[i], rest.column("partners").to_numpy()[i], length[i])
+        yield out(ids, SET, grams=[g.tobytes() for g in short])
+
+    columns = ["region", "chunk", "is_pivot", "id", "partners", "n_shingles", "grams"]
     both = rows.select(*columns).unionByName(pivots.select(*columns))
-    return grouped(both, ["region", "chunk"], kernel, ", ".join(f"{c} long" for c in PARTED))
+    return grouped(both, ["region", "chunk"], kernel, ", ".join(f"{c} long" for c in PARTED) + ", grams binary")
 
 
 def _undecided(parts: DataFrame) -> DataFrame:
@@ -464,30 +481,30 @@ def _undecided(parts: DataFrame) -> DataFrame:
     per_step = parts.groupBy("region", "part", "step").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     reach = W.partitionBy("region", "part").orderBy("step").rangeBetween(-STEPS - 1, STEPS + 1)
     per_step = per_step.select("region", "part", "step", F.min("least").over(reach).alias("least"), F.max("most").over(reach).alias("most"))
-    return parts.join(per_step.where("least < most"), ["region", "part", "step"]).select("region", "part", "id", "n_shingles", "partners")
+    return parts.join(per_step.where("least < most"), ["region", "part", "step"]).select("region", "part", "id", "n_shingles", "partners", "length")
 
 
 def link_edges(
     small: DataFrame, large: DataFrame | None, percent: int, region: int = REGION, shingles: int = REGION_SHINGLES, most_levels: int = 12
 ) -> DataFrame:
     """a, b: forest edges of all links inside regions.  Both inputs have MEMBERS (region,
-    id, partners, and the region's size and weight in shingles) and grams; the regions of
+    id, partners, n_shingles, and the region's size and weight in shingles) and grams; the regions of
     ``large`` have more than ``region`` members or ``shingles`` shingles."""
     edges = _join_small(small, percent)
     fits = (F.col("size") <= region) & (F.col("weight") <= shingles)
-    sums = [F.count("*").alias("size"), F.sum("n_shingles").alias("weight")]
+    sums = [F.count("*").alias("size"), F.sum("length").alias("weight")]
     for level in range(most_levels):
         if large is None or large.isEmpty():
             return edges
         found = staged(_part_region(large, percent, region, shingles, level))
-        edges = edges.unionByName(found.where("step < 0").select(F.col("id").alias("a"), F.col("part").alias("b")))
+        edges = edges.unionByName(found.where(F.col("step") == LINK).select(F.col("id").alias("a"), F.col("part").alias("b")))
         left = staged(_undecided(found.where("step >= 0")))
         if left.isEmpty():
             return edges
-        sets = large.select("region", "id", "grams")
+        sets = found.where(F.col("step") == SET).select("region", "id", "grams")
         parts = left.groupBy("region", "part").agg(*sums)
         work = parts.groupBy("region").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("work"))
-        rest = left.select("region", "id", "n_shingles", "partners").distinct()
+        rest = left.select("region", "id", "n_shingles", "partners", "length").distinct()
         judged = rest.groupBy("region").agg(*sums).join(work, "region")
         together = fits | (F.col("work") > 0.7 * F.col("size").cast("double") * F.col("size"))
         judged = staged(judged.withColumn("together", together))
@@ -495,7 +512,7 @@ def link_edges(
         edges = edges.unionByName(_join_small(whole.where(fits), percent))
         edges = edges.unionByName(_join_blocks(whole.where(~fits), percent, region, shingles))
         apart = left.join(judged.where("not together").select("region"), "region").join(parts, ["region", "part"])
-        apart = staged(apart.select("region", "part", "id", "size", "weight", "partners"))
+        apart = staged(apart.select("region", "part", "id", "size", "weight", "partners", "n_shingles"))
         parted = apart.join(sets, ["region", "id"]).drop("region").withColumnRenamed("part", "region").select(*MEMBERS, "grams")
         edges = edges.unionByName(_join_small(parted.where(fits), percent))
         large = staged(parted.where(~fits))
@@ -508,7 +525,7 @@ def merged_regions(met: DataFrame) -> DataFrame:
     groups = components(met.select(F.col("id").alias("a"), F.xxhash64("region", F.lit("region")).alias("b")))
     one = met.groupBy("id").agg(F.sum("partners").alias("partners"), F.first("n_shingles").alias("n_shingles"))
     one = one.join(groups, "id").withColumnRenamed("label", "region")
-    return one.join(one.groupBy("region").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")), "region").drop("n_shingles")
+    return one.join(one.groupBy("region").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight")), "region")
 
 
 def _classed(sets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -74,6 +74,16 @@ def test_large_groups_equal_brute_force(spark, region, shingles, hub):
     assert got == brute_classes(texts, 4, 85)
 
 
+def test_intersections_from_differences():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 90, 60).astype(np.uint64)) for _ in range(12)]
+    third = np.unique(rng.integers(0, 120, 70).astype(np.uint64))
+    size = np.array([len(s) for s in sets])
+    short = [np.setxor1d(s, third) for s in sets]
+    got = jaccard._common(short[:5], short, size[:5], size)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:5]]
+
+
 def test_classes_of_rows_without_ids_and_of_repeated_rows(spark):
     base = " ".join(f"u{i}" for i in range(200))
     near, alone, other = base + " more", "quite another text of a few words", "nobody names this text either way"
