@@ -25,9 +25,11 @@ Jaccard distance d = 1 - similarity is a metric.  With r = 1 - threshold:
    Where windows hold nearly everybody (pivots do not part the region), it is compared
    in pairs of blocks instead; the result is the same.
 
-Before any set travels, a sketch (parities of the shingles in 1024 slots, which differ in
-at most as many slots as the sets differ in shingles) and the sizes tell who can have a
-partner in a region at all; the others leave it.
+Before any set travels, a sketch (parities of the shingles in at least as many slots as
+the set has shingles; two sketches, the wider folded to the other's width, differ in at
+most as many slots as the sets differ in shingles) and the sizes tell who can have a
+partner in a region at all; the others leave it.  A sketch is a 32nd of its set at most,
+or 128 bytes.
 
 Only edges of a spanning forest leave a task, never all pairs of a group.  Equal sets
 are one member, whatever the number of their documents.
@@ -44,6 +46,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +68,9 @@ STEPS = 8
 HOT_SHARE = 1000
 CELLS_PER_BUCKET = 500_000
 SIFT_BLOCK = 2048
-SKETCH_BITS = 1024
+#: Least and most slots of a sketch; sets of more shingles have the next power of two.
+#: The most bounds a task's memory; longer sets only pass more easily.
+SKETCH_BITS, MOST_BITS = 1024, 1 << 17
 MEMBERS = ("region", "id", "size", "weight", "partners", "n_shingles")
 PARTED = ("region", "part", "id", "label", "step", "n_shingles", "partners", "length")
 LINK, SET = -1, -2
@@ -160,13 +165,27 @@ def cells(offsets: np.ndarray, grams: np.ndarray, percent: int) -> tuple[np.ndar
     return np.concatenate(out_row), np.concatenate(out_cell)
 
 
-def sketches(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Per set, one bit per slot: is the number of its shingles there odd?"""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    slot = (mixed(grams + np.uint64(5)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(row * SKETCH_BITS + slot, minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def sketches(offsets: np.ndarray, grams: np.ndarray) -> list[bytes]:
+    """Per set, one bit per slot: is the number of its shingles there odd?
+
+    Short of a slot per shingle the parities of long sets would be coin tosses, and
+    any two of them would pass for near."""
+    size = np.diff(offsets)
+    bits = np.left_shift(1, np.ceil(np.log2(np.clip(size, SKETCH_BITS, MOST_BITS))).astype(np.int64))
+    base = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(bits, out=base[1:])
+    slot = (mixed(grams + np.uint64(5)) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(base[:-1], size) + slot, minlength=base[-1]) & 1
+    flat = np.packbits(odd.astype(np.uint8))
+    return [flat[a // 8 : b // 8].tobytes() for a, b in zip(base[:-1], base[1:])]
+
+
+def _folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (a row each) as they would be with ``width`` words."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -176,13 +195,12 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for a, offsets, grams in shingle_sets(batch.column(2), k):
                 n = len(offsets) - 1
-                sketch = [r.tobytes() for r in sketches(offsets, grams)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(a, n) for c in (0, 1)),
                         pa.array(set_ids(offsets, grams)),
                         pa.array(np.diff(offsets)),
-                        pa.array(sketch, pa.binary()),
+                        pa.array(sketches(offsets, grams), pa.binary()),
                     ],
                     names=["doc_id", "row_key", "set_id", "n_shingles", "sketch"],
                 )
@@ -197,20 +215,26 @@ def sift(members: DataFrame, percent: int, block: int = SIFT_BLOCK) -> DataFrame
     def kernel(table: pa.Table) -> Iterator[pa.RecordBatch]:
         mine, lo, hi = table.column("mine").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         n = table.column("n_shingles").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
-        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+        sketch = [np.frombuffer(b, np.uint64) for b in table.column("sketch").to_pylist()]
+        width = np.array([len(b) for b in sketch])
         partners = np.zeros(len(n), np.int64)
-        for s in range(0, len(left), 64) if len(right) else ():
-            part = left[s : s + 64]
-            differ = np.zeros((len(part), len(right)), np.int64)
-            for w in range(bits.shape[1]):
-                differ += np.bitwise_count(bits[part, w][:, None] ^ bits[right, w][None, :])
-            a, b = n[part][:, None], n[right][None, :]
-            may = ((100 + percent) * differ <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            may &= part[:, None] != right[None, :]
-            partners[part] += may.sum(1)
-            if lo != hi:
-                partners[right] += may.sum(0)
+        sides = [{w: np.flatnonzero((mine == side) & (width == w)) for w in np.unique(width)} for side in (lo, hi)]
+        for (wide, left), (other, right) in product(*(side.items() for side in sides)):
+            # sizes alone part sets whose widths are further apart than sizes of partners
+            if not len(left) or not len(right) or 100 * n[left].max() < percent * n[right].min() or 100 * n[right].max() < percent * n[left].min():
+                continue
+            a, b = (_folded(np.stack([sketch[i] for i in rows]), min(wide, other)) for rows in (left, right))
+            for s in range(0, len(left), 64):
+                part = left[s : s + 64]
+                differ = np.zeros((len(part), len(right)), np.int64)
+                for w in range(a.shape[1]):
+                    differ += np.bitwise_count(a[s : s + 64, w][:, None] ^ b[:, w][None, :])
+                x, y = n[part][:, None], n[right][None, :]
+                may = ((100 + percent) * differ <= (100 - percent) * (x + y)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+                may &= part[:, None] != right[None, :]
+                partners[part] += may.sum(1)
+                if lo != hi:
+                    partners[right] += may.sum(0)
         found = table.select(["region", "id"]).append_column("partners", pa.array(partners)).filter(pa.array(partners > 0))
         yield from found.combine_chunks().to_batches()
 
