@@ -84,6 +84,35 @@ def test_intersections_from_differences():
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:5]]
 
 
+def test_sketches_of_any_width_bound_the_difference():
+    rng = np.random.default_rng(3)
+    whole = np.unique(rng.integers(0, 1 << 63, 9000).astype(np.uint64))
+    sets = [whole[:n] for n in (0, 3, 900, 1024, 1025, 1150, 4000, 4200, 8100, 8300)] + [whole[4500:8600]]
+    offsets = np.cumsum([0] + [len(s) for s in sets])
+    found = [np.frombuffer(b, np.uint64) for b in jaccard.sketches(offsets, np.concatenate(sets))]
+    assert [len(f) * 64 for f in found] == [1024] * 4 + [2048] * 2 + [4096, 8192, 8192, 16384, 8192]
+    for (a, x), (b, y) in itertools.combinations(zip(sets, found), 2):
+        width = min(len(x), len(y))
+        differ = int(np.bitwise_count(jaccard._folded(x[None], width) ^ jaccard._folded(y[None], width)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+    # long sets without a shingle in common don't pass for near
+    assert 185 * int(np.bitwise_count(found[6][:] ^ jaccard._folded(found[10][None], 64)[0]).sum()) > 15 * (4000 + 4100)
+
+
+def test_sift_keeps_every_linked_set_across_widths(spark):
+    rng = np.random.default_rng(4)
+    whole = np.unique(rng.integers(0, 1 << 63, 2600).astype(np.uint64))
+    other = np.unique(rng.integers(0, 1 << 63, 2048).astype(np.uint64))
+    sets = [whole[:2000], whole[:2200], whole[200:2300], other, whole[:1000], whole[:1100]]
+    offsets = np.cumsum([0] + [len(s) for s in sets])
+    names = jaccard.sketches(offsets, np.concatenate(sets))
+    rows = [(1, i, len(sets), len(s), bytearray(b)) for i, (s, b) in enumerate(zip(sets, names))]
+    members = spark.createDataFrame(rows, "region long, id long, size long, n_shingles long, sketch binary")
+    for block in (2, 2048):
+        found = {r.id for r in jaccard.sift(members, 85, block).collect()}
+        assert found == {0, 1, 2, 4, 5}
+
+
 def test_classes_of_rows_without_ids_and_of_repeated_rows(spark):
     base = " ".join(f"u{i}" for i in range(200))
     near, alone, other = base + " more", "quite another text of a few words", "nobody names this text either way"
