@@ -54,7 +54,7 @@ SUSPICIOUS = re.compile(
     rf"|(?<!\w)[0-9@$!|€£(]{{1,2}}{_L}{{2,}}[0-9@$+]{{0,2}}(?!\w)"
     rf"|(?<!\w){_L}{{2,}}[0-9@$+]{{1,2}}(?![\w@$+])"
     rf"|(?<![^\W_])(?:[^\W_][ .\-_*]{{1,2}}){{2,}}[^\W_](?![^\W_])"
-    rf"|{_L}*({_L})\1\1{_L}*"
+    rf"|(?<!{_L}){_L}*({_L})\1\1{_L}*"  # once per run of letters: no match ends inside one
 )
 WORD = re.compile(rf"{_L}+")
 _SUBSTITUTED, _MASKED, _DROPPED, _JOINED, _SPLIT, _SHORTENED = 0.7, 2.0, 9.0, 0.3, 1.0, 0.5

@@ -2,11 +2,12 @@
 operator, and lists without a bound."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.llm import lines, mixing, urls, winnow
+from runloom.llm import lines, mixing, toxicity, urls, winnow
 
 ENDS = (-(2**63), 2**63 - 1)
 
@@ -75,3 +76,12 @@ def test_mix_is_the_same_however_rows_lie(spark):
     frame = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"), (F.col("id") % 4).cast("string").alias("source"))
     a, b = (sorted(mixing.mix(frame.repartition(n), block_words=64).collect()) for n in (1, 7))
     assert a == b
+
+
+def test_long_runs_of_letters_are_sifted_once():
+    run = "abcdefghij" * 20_000
+    for text, hidden in ((f"{run} b4d", ["b4d"]), (f"{run}_1 b4d", ["b4d"]), (f"{run}zzz", [f"{run}zzz"]), ("a" * 200_000, ["a" * 200_000])):
+        begun = time.monotonic()
+        assert [m[0] for m in toxicity.SUSPICIOUS.finditer(text)] == hidden
+        assert time.monotonic() - begun < 10
+    assert [m[0] for m in toxicity.SUSPICIOUS.finditer("_booo 1soo0 sooo_x fffa-bbb 3zzz")] == ["booo", "1soo0", "sooo", "fffa", "bbb", "3zzz"]
