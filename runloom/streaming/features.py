@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +19,17 @@ from runloom.sources.commits import Folder
 from runloom.streaming.ordered import ordered_stream
 
 
+class _Trailing(BaseIndexer):
+    """Windows from the given first rows up to each row."""
+
+    def __init__(self, first: np.ndarray):
+        super().__init__()
+        self.first = first
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.first.astype(np.int64), np.arange(1, num_values + 1, dtype=np.int64)
+
+
 def windowed_stream(samples: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS, stamp: str | None = None, **gaps) -> DataFrame:
     """Samples past the warm-up with rates and trailing statistics, all that the features
     need of a run's past.  ``stamp`` names a timestamp column to carry along."""
@@ -26,16 +38,17 @@ def windowed_stream(samples: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS,
     steps = {which: (spec.steps(m), m, tags) for which, (m, tags) in feat.LOOKBACKS.items()}
     wide = spec.steps(2.0)
 
-    def block(positions: np.ndarray, table: np.ndarray) -> dict[str, np.ndarray]:
+    def block(positions: np.ndarray, table: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
         out = {}
         row = np.arange(len(table))
         for which, (n, minutes, tags) in steps.items():
-            past = np.where(positions >= n, row - n, 0).clip(0)
+            past = np.maximum(np.where(positions >= n, row - n, 0), begins)
             for tag in tags:
                 x = table[:, at[tag]]
                 out[f"_{which}_{tag}"] = (x - x[past]) / minutes
-        dev = pd.Series(table[:, at["bw_dev_pct"]]).rolling(wide, min_periods=1)
-        high = pd.Series(table[:, at["bw_abs_dev_pct"]]).rolling(wide, min_periods=1)
+        trailing = _Trailing(np.maximum(row - wide + 1, begins))
+        dev = pd.Series(table[:, at["bw_dev_pct"]]).rolling(trailing, min_periods=1)
+        high = pd.Series(table[:, at["bw_abs_dev_pct"]]).rolling(trailing, min_periods=1)
         out["bw_dev_max_2min"] = high.max().to_numpy()
         out["bw_dev_mean_2min"] = dev.mean().to_numpy()
         out["bw_dev_std_2min"] = np.nan_to_num(dev.std().to_numpy())
@@ -46,7 +59,7 @@ def windowed_stream(samples: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS,
     if stamp is not None:
         # micros of our time are exact in a double
         rows, values = rows.withColumn("_us", F.unix_micros(F.col(stamp).cast("timestamp")).cast("double")), [*values, "_us"]
-    out = finite_or_null(ordered_stream(rows, values, wide, block, output, size=size, **gaps)).where(F.col("sample_idx") >= spec.warmup)
+    out = finite_or_null(ordered_stream(rows, values, wide, block, output, size=size, many=True, **gaps)).where(F.col("sample_idx") >= spec.warmup)
     return out.withColumn("_us", F.timestamp_micros(F.col("_us").cast("long"))).withColumnRenamed("_us", stamp) if stamp is not None else out
 
 
@@ -124,9 +137,10 @@ def stream_alarms(
     """``alarm`` once the score has reached the threshold ``delay`` times in a
     row; ``delay=1`` means no on-delay.  ``scored``: run_id, sample_idx, proba."""
 
-    def block(positions: np.ndarray, table: np.ndarray) -> dict[str, np.ndarray]:
+    def block(positions: np.ndarray, table: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
         place = np.arange(len(table))
-        last_quiet = np.maximum.accumulate(np.where(table[:, 0] >= threshold, -1, place))
+        # the row before a run is as good as quiet
+        last_quiet = np.maximum.accumulate(np.where(table[:, 0] >= threshold, begins - 1, place))
         return {"alarm": place - last_quiet >= delay}
 
-    return ordered_stream(scored, ["proba"], max(delay - 1, 0), block, "alarm boolean", size=size, start=start, **gaps)
+    return ordered_stream(scored, ["proba"], max(delay - 1, 0), block, "alarm boolean", size=size, start=start, many=True, **gaps)

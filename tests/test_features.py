@@ -143,6 +143,20 @@ def test_stream_gap_is_given_up_after_the_watermark(spark):
     assert [r.alarm for r in got][:2] == [False, True]
 
 
+def test_runs_share_buckets_in_a_stream(spark):
+    """Python is called per bucket: 30 open runs leave two rows of state, not 30."""
+    df = spark.range(30 * 25).select((F.col("id") % 30).alias("run_id"), F.floor(F.col("id") / 30).alias("sample_idx"))
+    df = df.withColumn("proba", F.when(F.col("sample_idx") % 7 >= F.col("run_id") % 5, 0.9).when(F.col("run_id") % 3 != 0, 0.1))
+    path, out, check = (staging_path(spark, n) for n in ("src", "out", "check"))
+    df.repartition(3, F.xxhash64("sample_idx")).write.parquet(path)
+    live = stream_alarms(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), 0.5, 3, buckets=2)
+    query = live.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.run_id, r.sample_idx): r.alarm for r in spark.read.schema(live.schema).parquet(out).collect()}
+    assert got == {(r, i): all(j >= 0 and j % 7 >= r % 5 for j in range(i - 2, i + 1)) for r in range(30) for i in range(25)}
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 2
+
+
 def test_forward_targets(spark):
     x = spark.createDataFrame([(1, i, float(i * i)) for i in range(40)], "run_id long, sample_idx int, bw_dev_pct double")
     for size in (6, 8192):
