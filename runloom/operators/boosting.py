@@ -4,7 +4,8 @@ All (target, quantile) models grow side by side.  A round of depth D takes D + 1
 over the staged, binned rows.  In a pass a task counts, per model, node, feature and bin,
 its rows and those above their prediction: the pinball gradient has two values, so these
 whole numbers are the whole gradient histogram, and their sums don't depend on the order
-of tasks (bin edges are approximate percentiles, the only part that can vary a little).  The counts are added up by (model, node, feature), each such cell finds its
+of tasks (bin edges are approximate percentiles, the only part that can vary a little).
+The counts are added up by (model, node), a row a task and node, each node finds its
 best cut, and the driver gets one split a node.  The last pass counts residuals of every
 leaf in buckets of RATIO; such sketches add up exactly, and the leaf becomes the
 quantile of its residuals to half a bucket.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from runloom.operators.stage import discard, staged
 
 BINS = 32
-RESTAGE = 10
+RESTAGE = 2
 ACCURACY = 2000
+CHUNK = 4096
 #: width of a residual bucket and the size below which a residual is nothing
 RATIO, NOTHING, MOST = 1.02, 1e-9, 2500
 STAY = 255  # a cut that no bin passes: the node is not split
@@ -50,10 +52,11 @@ class Tree:
 
     def leaf(self, x: np.ndarray, m: int, levels: int) -> np.ndarray:
         """Place of every row among the nodes of a level."""
-        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        at, rows, flat = np.zeros(len(x), np.int64), np.arange(len(x)) * x.shape[1], x.reshape(-1)
+        feature, cut = self.feature[m].astype(np.int64), self.cut[m]
         for level in range(levels):
-            node = at + (1 << level) - 1
-            at = 2 * at + (x[rows, self.feature[m, node]] > self.cut[m, node])
+            node = at + ((1 << level) - 1)
+            at = 2 * at + (flat.take(rows + feature.take(node)) > cut.take(node))
         return at
 
     @property
@@ -166,60 +169,73 @@ def splits(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = (1 << level) * d * width
         total = {m: np.zeros(size, np.int64) for m in active}
-        loss = {m: np.zeros(width) for m in active}
+        loss = {m: np.zeros(2) for m in active}
+        starts = np.arange(d, dtype=np.int64) * width
+        groups = [(t, [m for m in active if of[m] == t]) for t in sorted({int(of[m]) for m in active})]
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y, held, f = _opened(batch, pending)
-            columns = np.arange(d, dtype=np.int64)
-            for m in active:
-                gap = y[:, of[m]] - f[:, m]
-                real = ~np.isnan(gap)
-                use = real & ~held
-                at = tree.leaf(x[use], m, level)
-                slot = ((at[:, None] * d + columns) * bins + x[use]) * 2 + (gap[use] > 0)[:, None]
-                total[m] += np.bincount(slot.ravel(), minlength=size)
-                if level == 0:
-                    g = gap[real & held]
-                    loss[m][0] += np.maximum(quantile[m] * g, (quantile[m] - 1) * g).sum()
-                    loss[m][1] += len(g)
+            # a few rows at a time, so that their cells stay in the processor's cache
+            for lo in range(0, len(x), CHUNK):
+                few = slice(lo, lo + CHUNK)
+                places = x[few].astype(np.int64)
+                places *= 2
+                places += starts
+                for of_target, shared in groups:
+                    gap = y[few, of_target, None] - f[few, shared]
+                    real = ~np.isnan(gap[:, 0])
+                    use = real & ~held[few]
+                    if level == 0:
+                        g = gap[real & held[few]]
+                        for i, m in enumerate(shared):
+                            loss[m][0] += np.maximum(quantile[m] * g[:, i], (quantile[m] - 1) * g[:, i]).sum()
+                            loss[m][1] += len(g)
+                    every = use.all()
+                    slots, gap, z = (places, gap, x[few]) if every else (places[use], gap[use], x[few][use])
+                    for i, m in enumerate(shared):
+                        at = tree.leaf(z, m, level) * (d * width)
+                        total[m] += np.bincount((slots + (at + (gap[:, i] > 0))[:, None]).ravel(), minlength=size)
         for m in active:
-            cells = total[m].reshape(-1, width)
-            some = np.flatnonzero(cells.any(1))
-            parts = [(some // d, some % d, cells[some].astype(float))] + [(np.array([-1]), np.array([0]), loss[m][None, :])] * (level == 0)
-            for node, feature, counts in parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(node), m, np.int32)), pa.array(node.astype(np.int32)), pa.array(feature.astype(np.int32)), _lists(counts)],
-                    names=["model", "node", "feature", "counts"],
-                )
+            # a row a node; what a task counts of a cell fits an int
+            cells = total[m].reshape(-1, d * width)
+            node = np.flatnonzero(cells.any(1))
+            seen = [loss[m][0], float(loss[m][1])]
+            if level == 0:
+                node, cells = np.append(node, -1), np.vstack([cells, np.zeros((1, d * width), np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(node), m, np.int32)), pa.array(node.astype(np.int32)), _lists(cells[node].astype(np.int32)), _lists(np.tile(seen, (len(node), 1)))],
+                names=["model", "node", "counts", "loss"],
+            )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[tuple, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
-                for key, counts in zip(keys, _matrix(batch.column(3))):
-                    cells[key] = cells.get(key, 0) + counts
+                keys = zip(*(batch.column(i).to_pylist() for i in range(2)))
+                for key, counts, loss in zip(keys, _matrix(batch.column(2)), _matrix(batch.column(3))):
+                    cells[key] = cells.get(key, 0) + (counts.astype(np.int64) if key[1] >= 0 else loss)
         out = []
-        for (m, node, feature), counts in cells.items():
+        for (m, node), counts in cells.items():
             if node < 0:
-                out.append((m, node, feature, 0, counts[0] / counts[1] if counts[1] else 0.0))
+                out.append((m, node, 0, 0, counts[0] / counts[1] if counts[1] else 0.0))
                 continue
-            n, above = counts.reshape(bins, 2).sum(1).cumsum(), counts[1::2].cumsum()
+            both = counts.reshape(d, bins, 2).astype(float)
+            n, above = both.sum(2).cumsum(1), both[:, :, 1].cumsum(1)
             g = above - (1 - quantile[m]) * n
             side = lambda g, n: g * g / (n + l2)
-            gain = side(g, n) + side(g[-1] - g, n[-1] - n) - side(g[-1], n[-1])
-            gain[(n < leaf) | (n[-1] - n < leaf)] = -1.0
-            best = int(gain.argmax())
-            out.append((m, node, feature, best, float(gain[best])))
+            gain = side(g, n) + side(g[:, -1:] - g, n[:, -1:] - n) - side(g[:, -1:], n[:, -1:])
+            gain[(n < leaf) | (n[:, -1:] - n < leaf)] = -1.0
+            # the first feature of equal ones
+            feature, best = divmod(int(gain.argmax()), bins)
+            out.append((m, node, feature, best, float(gain[feature, best])))
         columns = list(zip(*out)) or [()] * 5
         kinds = [pa.int32()] * 4 + [pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["model", "node", "feature", "cut", "gain"])
 
-    cells = rows.mapInArrow(count, "model int, node int, feature int, counts array<double>").repartition("model", "node", "feature")
-    best = cells.mapInArrow(cut, "model int, node int, feature int, cut int, gain double")
-    found = best.groupBy("model", "node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("minus"), "cut")).alias("b")).collect()
-    return [(r.model, r.node, -r.b.minus, r.b.cut, r.b.gain) for r in found if r.node >= 0], {r.model: r.b.gain for r in found if r.node < 0}
+    cells = rows.mapInArrow(count, "model int, node int, counts array<int>, loss array<double>").repartition("model", "node")
+    found = cells.mapInArrow(cut, "model int, node int, feature int, cut int, gain double").collect()
+    return [(r.model, r.node, r.feature, r.cut, r.gain) for r in found if r.node >= 0], {r.model: r.gain for r in found if r.node < 0}
 
 
 def leaf_quantiles(rows: DataFrame, model: QuantileModel, of: np.ndarray, pending: Sequence[Tree], tree: Tree, active: Sequence[int]) -> list:

@@ -118,3 +118,18 @@ def test_constant_and_missing_inputs(spark):
     model = boosting.fit_quantiles(df, ["a", "b"], ["y"], [0.5], "held", rounds=2, depth=2, leaf=5)
     out = boosting.predict_quantiles(model, df, ["y"], lambda t, q: "p")
     assert out.count() == 80 and out.agg(F.max(F.abs(F.col("p") - 40))).first()[0] < 4
+
+
+def test_a_pass_shuffles_a_row_a_node(spark, monkeypatch):
+    """Not one a node and feature; more rows than a chunk, one target with gaps."""
+    names = [f"x{i}" for i in range(12)]
+    rows = spark.range(0, 9000, 1, 2).select(*[F.rand(i).alias(n) for i, n in enumerate(names)], F.rand(40).alias("a"), F.when(F.rand(41) > 0.3, F.rand(42)).alias("b"), F.lit(False).alias("held"))
+    model = boosting.QuantileModel(names, boosting.bin_edges(rows, names, 8), [("a", 0.5), ("b", 0.5)])
+    data = boosting.staged(boosting.binned(rows, model, ["a", "b"], "held"))
+    sent = []
+    plain = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: sent.append(self) or plain(self, *a))
+    found, _ = boosting.splits(data, model, np.array([0, 1]), [], boosting.Tree.empty(2, 2), 0, [0, 1], 8, 5, 1.0)
+    assert len(found) == 2 and sent[0].count() <= data.rdd.getNumPartitions() * 2 * 2
+    totals = sent[0].where("node >= 0").select("model", F.aggregate("counts", F.lit(0), lambda x, y: x + y).alias("n")).groupBy("model").agg(F.sum("n")).collect()
+    assert dict(map(tuple, totals)) == {0: 12 * 9000, 1: 12 * rows.where("b IS NOT NULL").count()}
