@@ -59,23 +59,24 @@ SPAN, LOST = "400 days", 7  # metadata of every LOST-th run never comes
 def late_metadata(spark: SparkSession, sf: str, what: str) -> DataFrame:
     """Samples first, then metadata, as streams; two heartbeats at the end, a batch each,
     move the watermark past the wait."""
-    live = dt.wide_samples(spark, sf).join(dt.samples(spark, sf).select("run_id", "sample_idx", F.col("ts").cast("timestamp").alias("ts")), ["run_id", "sample_idx"])
-    live = staged(live)
-    paths = {n: staging_path(spark, n) for n in ("sink", "windowed", "meta", "tracked", "check")}
+    live = dt.wide_samples(spark, sf, "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    paths = {n: staging_path(spark, n) for n in ("sink", "beats", "meta", "tracked", "check")}
     query = sfeat.windowed_stream(as_stream(live), SPEC, stamp="ts").writeStream.format("parquet").option("path", paths["sink"])
     query.option("checkpointLocation", f"{paths['check']}-1").trigger(availableNow=True).start().awaitTermination()
-    # a folder without the sink's file list takes the heartbeats, too
-    spark.read.parquet(paths["sink"]).write.parquet(paths["windowed"])
-    windowed = spark.read.parquet(paths["windowed"])
+    windowed = spark.read.parquet(paths["sink"])
+    pending = windowed.select("run_id", "sample_idx", "ts")
     meta = qr.meta_rows(spark, sf).select("run_id", *sfeat.META_COLUMNS).withColumn("recorded", F.to_timestamp(F.lit("2024-06-01")))
     meta = staged(meta)
 
     def run(files: int = 1000) -> None:
-        rows = spark.readStream.schema(windowed.schema).option("maxFilesPerTrigger", files).parquet(paths["windowed"])
-        told = spark.readStream.schema(meta.schema).option("maxFilesPerTrigger", files).parquet(paths["meta"])
-        matched = sfeat.match_metadata(rows, told, "ts", "recorded", span=SPAN)
-        sfeat.track_features(matched, dt.grades(spark, sf), SPEC, paths["tracked"], f"{paths['check']}-2").awaitTermination()
+        def read(schema, path):
+            return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
+        rows = read(pending.schema, paths["sink"]).unionByName(read(pending.schema, paths["beats"]))
+        matched = sfeat.match_stretches(rows, read(meta.schema, paths["meta"]), "ts", "recorded", span=SPAN)
+        sfeat.track_features(matched, dt.grades(spark, sf), SPEC, paths["tracked"], f"{paths['check']}-2", stored=windowed).awaitTermination()
+
+    pending.limit(0).write.parquet(paths["beats"])
     meta.limit(0).write.parquet(paths["meta"])
     run()  # nothing matches yet
     meta.where(F.col("run_id") % LOST != 0).write.mode("append").parquet(paths["meta"])
@@ -83,7 +84,7 @@ def late_metadata(spark: SparkSession, sf: str, what: str) -> DataFrame:
     for day in ("2040-01-01", "2050-01-01"):
         at = F.to_timestamp(F.lit(day))
         no_run = F.lit(None).cast("long")
-        windowed.limit(1).withColumns({"run_id": no_run, "ts": at}).write.mode("append").parquet(paths["windowed"])
+        pending.limit(1).withColumns({"run_id": no_run, "ts": at}).write.mode("append").parquet(paths["beats"])
         meta.limit(1).withColumns({"run_id": no_run, "recorded": at}).write.mode("append").parquet(paths["meta"])
     run(1)
     return sfeat.read_tracked(spark, paths["tracked"], what)

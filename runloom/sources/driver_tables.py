@@ -62,11 +62,11 @@ def tag_expr(tag: str) -> Column:
     return F.expr(f"{NOMINAL[tag]}D * (1D + {a!r}D * (value - 50D) + {b!r}D * (k - 50))")
 
 
-def wide_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 22-series sample table."""
+def wide_samples(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """The 22-series sample table, with the event columns to ``keep``."""
     return samples(spark, sf_dir).select(
         "run_id", "sample_idx", "t_min", *[tag_expr(t).alias(t) for t in ALL_TAGS],
-        F.col("sp").alias("basis_weight_sp"), F.lit(6.0).alias("moisture_sp"), F.lit(12.0).alias("ash_sp"),
+        F.col("sp").alias("basis_weight_sp"), F.lit(6.0).alias("moisture_sp"), F.lit(12.0).alias("ash_sp"), *keep,
     )
 
 

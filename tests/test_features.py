@@ -13,7 +13,7 @@ from runloom.operators import advice, targets
 from runloom.operators import features as feat
 from runloom.operators.stage import staging_path
 from runloom.settings import PlanBounds, RunSpec
-from runloom.streaming.features import match_metadata, read_tracked, stream_alarms, stream_features, track_features, windowed_stream
+from runloom.streaming.features import match_metadata, match_stretches, read_tracked, stream_alarms, stream_features, track_features, windowed_stream
 
 SPEC = RunSpec()
 LEVEL = {"stock_flow": 40.0, "filler_flow": 0.5, "steam_pressure": 500.0, "machine_speed": 700.0, "retention_aid": 250.0,
@@ -128,6 +128,56 @@ def test_late_metadata_and_rejects(spark):
     assert rejects == {2: ("unknown grade", 50 - SPEC.warmup), 3: ("no metadata", 40 - SPEC.warmup)}
 
 
+def test_stored_rows_wait_as_stretches(spark):
+    """Late metadata of some rows of a run only, of an unknown grade, and none; the state
+    of the join holds an entry per run, not its rows."""
+    samples = wide_run(spark, 60, 1, 1).union(wide_run(spark, 50, 2, 2)).union(wide_run(spark, 40, 3, 3)).union(wide_run(spark, 30, 4, 4))
+    samples = samples.withColumn("ts", F.timestamp_seconds(F.col("t_min") * 60 + 1_000_000))
+    source, sink, beats, told, out, check = (staging_path(spark, n) for n in ("src", "sink", "beats", "told", "out", "check"))
+    samples.write.parquet(source)
+    window = windowed_stream(spark.readStream.schema(samples.schema).parquet(source), SPEC, stamp="ts")
+    window.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{check}-1").trigger(availableNow=True).start().awaitTermination()
+    # stamped 98 s after the first sample: within 60 s of those from 38 s on, sample 8 is the first
+    known = meta(spark, (1,)).union(meta(spark, (2,)).withColumn("to_grade", F.lit("nobody's"))).withColumn("recorded", F.timestamp_seconds(F.lit(1_000_098)))
+    known = known.union(meta(spark, (4,)).withColumn("recorded", F.timestamp_seconds(F.lit(1_000_030))))
+    stored = spark.read.parquet(sink)
+    pending = stored.select("run_id", "sample_idx", "ts")
+
+    def run(files=100):
+        read = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+        rows = read(pending.schema, sink).unionByName(read(pending.schema, beats))
+        matched = match_stretches(rows, read(known.schema, told), "ts", "recorded", span="60 seconds")
+        query = track_features(matched, grades_table(spark), SPEC, out, f"{check}-2", stored=stored)
+        query.awaitTermination()
+        return max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+
+    pending.limit(0).write.parquet(beats)
+    known.limit(0).write.parquet(told)
+    assert run() < 30  # of 180 rows
+    assert read_tracked(spark, out, "features").count() == 0 == read_tracked(spark, out, "rejects").count()
+    known.union(known).write.mode("append").parquet(told)  # told twice
+    run()
+    for s in (2_000_000, 3_000_000):
+        late = {"run_id": F.lit(None).cast("long")}
+        pending.limit(1).withColumns(late | {"ts": F.timestamp_seconds(F.lit(s))}).write.mode("append").parquet(beats)
+        known.limit(1).withColumns(late | {"recorded": F.timestamp_seconds(F.lit(s))}).write.mode("append").parquet(told)
+    run(1)
+    step = samples.where("run_id = 1 AND sample_idx = 1").first().ts.timestamp() - 1_000_000
+    near = {r: [i for i in range(SPEC.warmup, n) if abs(i * step - at) <= 60 + 1e-6] for r, n, at in ((1, 60, 98), (2, 50, 98), (4, 30, 30))}
+    got = read_tracked(spark, out, "features").orderBy("run_id", "sample_idx").collect()
+    assert [(r.run_id, r.sample_idx) for r in got] == [(r, i) for r in (1, 4) for i in near[r]]
+    want = feat.wide_features(samples.where("run_id = 1"), meta(spark, (1,)), grades_table(spark), SPEC).drop("y_breach", "y_time_to_breach_min")
+    want = {r.sample_idx: r for r in want.collect()}
+    for a in got:
+        if a.run_id == 1:
+            b = want[a.sample_idx]
+            assert all(a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-9) if isinstance(b[c], float) else b[c]) for c in want[SPEC.warmup].__fields__)
+    lost = {(r.run_id, r.reason): r.n for r in read_tracked(spark, out, "rejects").groupBy("run_id", "reason").agg(F.sum("n_rows").alias("n")).collect()}
+    expect = {(r, "no metadata"): n - SPEC.warmup - len(near.get(r, [])) for r, n in ((1, 60), (2, 50), (3, 40), (4, 30))}
+    expect[2, "unknown grade"] = len(near[2])
+    assert lost == {k: n for k, n in expect.items() if n}
+
+
 def test_stream_gap_is_given_up_after_the_watermark(spark):
     rows = [(1, i, 0.9, i * 60) for i in (0, 1, 3, 4)] + [(2, i, 0.1, 90_000 + i) for i in range(2)] + [(2, 2, 0.1, 200_000)]
     df = spark.createDataFrame(rows, "run_id long, sample_idx int, proba double, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
