@@ -60,6 +60,42 @@ def test_fit_compare_choose(spark, data):
     assert near.exact is False and abs(near.base - 0.5) < 0.3
 
 
+def test_fits_read_their_rows_twice(spark, data):
+    """Medians, then the staged vectors; passes of a fit and further models read those."""
+    df, which = data
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    train = splits.rows_of(df, which, "train")
+    n = train.count()
+    watched = train.mapInArrow(seen, train.schema)
+    ready = models.filled_inputs(watched, ["risk", "noise"])
+    for name, small in (("random_forest", {"trees": 3, "depth": 3}), ("boosted_trees", {"rounds": 2, "depth": 2})):
+        model = models.fit(watched, ["risk", "noise"], models.REGISTRY[name], ready, **small)
+        assert models.score(model, df).where("proba between 0 and 1").count() == df.count()
+    assert read.value == 2 * n
+    assert ready[1].count() == n and "_filled_risk" not in ready[1].columns
+    models.fit(watched, ["risk", "noise"], models.REGISTRY["random_forest"], trees=3, depth=3)
+    assert read.value == 4 * n
+
+
+def test_medians_of_many_tasks(spark):
+    n = 60_000
+    x = F.pmod(F.col("id") * 7919, F.lit(n)).cast("double")
+    rows = spark.range(0, n, 1, 5).select(F.when(F.col("id") % 3 != 0, x).alias("a"), F.when(F.col("id") == 7, float("nan")).otherwise(x * x).alias("b"), F.lit(4).alias("c"))
+    got = models.medians(rows, ["a", "b", "c"]).first()
+    for value, (column, of) in zip(got, (("a", "a"), ("b", "nanvl(b, null)"))):
+        share = rows.selectExpr(f"avg(IF({of} <= {value}, 1, 0)) / avg(IF({of} IS NULL, 0, 1))").first()[0]
+        assert abs(share - 0.5) < 0.01, column
+    assert got.c == 4.0
+    few = spark.createDataFrame([(1.0,), (None,), (3.0,), (9.0,), (5.0,)], "a double")
+    assert models.medians(few, ["a"]).first().a == 3.0
+
+
 def test_boosted_trees_stop_on_held_out_runs(spark, data):
     df, which = data
     train = splits.rows_of(df, which, "train")
