@@ -160,14 +160,13 @@ def windowed_state(samples: DataFrame, spec: RunSpec, size: int = SEGMENT_ROWS)
     two = spec.steps(2.0)
     rows = cut(with_deviation(samples), back=two, ahead=spec.horizon, size=size)
     w = W.partitionBy("run_id", SEG).orderBy("sample_idx")
-    # one struct per look-back instead of one window expression per series
-    now = F.struct(*TRACKED)
+    # one struct of its series per look-back instead of one window expression per series
     last_two = trailing(w, 2.0, spec)
     breach = out_of_band(F.col("bw_dev_pct"), spec.band_pct)
     rows = rows.select(
         "*",
-        F.first(now).over(w).alias("_start"),
-        *[F.lag(now, spec.steps(m)).over(w).alias(f"_{which}") for which, (m, _) in LOOKBACKS.items()],
+        F.first(F.struct(*TRACKED)).over(w).alias("_start"),
+        *[F.lag(F.struct(*tags), spec.steps(m)).over(w).alias(f"_{which}") for which, (m, tags) in LOOKBACKS.items()],
         F.max("bw_abs_dev_pct").over(last_two).alias("bw_dev_max_2min"),
         F.coalesce(F.stddev_samp("bw_dev_pct").over(last_two), F.lit(0.0)).alias("bw_dev_std_2min"),
         F.avg("bw_dev_pct").over(last_two).alias("bw_dev_mean_2min"),

@@ -11,9 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Imputer, ImputerModel, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators import alarms, scores
@@ -57,7 +57,7 @@ def random_forest(features: Sequence[str], trees: int = 300, depth: int = 14, le
         *input_stages(features),
         RandomForestClassifier(
             featuresCol="raw", labelCol="y_breach", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
-            featureSubsetStrategy="sqrt", seed=SEED,
+            featureSubsetStrategy="sqrt", seed=SEED, cacheNodeIds=True,  # else a row descends from the root in every pass
         ),
     ]
 
@@ -113,6 +113,14 @@ def training_rows(rows: DataFrame) -> DataFrame:
 POINTS = 256  # of a batch's or a task's sorted values; a median is off by 1 / POINTS of the ranks at most
 
 
+def _batch_points(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_points` of values that weigh one each: they are sorted as they are."""
+    if len(x) <= n:
+        return x, np.ones(len(x))
+    at = np.ceil((np.arange(n) + 0.5) * len(x) / n).astype(np.int64) - 1
+    return np.sort(x)[at], np.full(n, len(x) / n)
+
+
 def _points(values: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``n`` values at even ranks that stand for all of them (all, if fewer)."""
     if len(values) <= n:
@@ -134,7 +142,7 @@ def medians(rows: DataFrame, features: Sequence[str]) -> DataFrame:
             for (values, weights), column in zip(held, batch.columns):
                 x = column.to_numpy(zero_copy_only=False)
                 x = x[~np.isnan(x)]
-                v, w = _points(x, np.ones(len(x)), POINTS)
+                v, w = _batch_points(x, POINTS)
                 values.append(v)
                 weights.append(w)
         for i, (values, weights) in enumerate(held):
@@ -152,39 +160,72 @@ def medians(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame([tuple(found.get(i) for i in range(len(features)))], ", ".join(f"`{f}` double" for f in features))
 
 
+def _input_pair(stages: Sequence) -> bool:
+    """Whether the first two are the fitted :func:`input_stages`."""
+    return len(stages) > 1 and isinstance(stages[0], ImputerModel) and isinstance(stages[1], VectorAssembler)
+
+
+def with_vectors(rows: DataFrame, stages: Sequence) -> DataFrame:
+    """What two fitted input stages add as their vector, made in one expression: no
+    column is filled on its own and no row is built of the filled ones."""
+    imputer, assembler = stages
+    median = imputer.surrogateDF.first().asDict()
+    values = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(median[f])) for f in imputer.getInputCols()]
+    return rows.withColumn(assembler.getOutputCol(), array_to_vector(F.array(*values)))
+
+
 def filled_inputs(rows: DataFrame, features: Sequence[str]) -> tuple[list, DataFrame]:
     """The fitted input stages and the training rows behind them, staged: the passes of
     a fit, and other models of the same rows, read vectors and fill nothing again."""
     imputer, assembler = input_stages(features)
     done = [imputer.fit(medians(rows, features)), assembler]
-    out = PipelineModel(stages=done).transform(training_rows(rows))
-    return done, staged(out.select(*[c for c in out.columns if c not in features and not c.startswith("_filled_")]))
+    return done, staged(with_vectors(training_rows(rows), done).drop(*features))
 
 
 def fit(rows: DataFrame, features: Sequence[str], spec: ModelSpec, ready: tuple[list, DataFrame] | None = None, **settings) -> PipelineModel:
     """Fit one registered model on training rows; ``ready`` are their :func:`filled_inputs`,
     if there are some already."""
     stages = spec.stages(features, **{**spec.settings, **settings})
+    shared = [type(s) for s in stages[:2]] == [Imputer, VectorAssembler]
+    done, table = (ready or filled_inputs(rows, features)) if shared else ([], training_rows(rows))
     if spec.family == "linear":
         # the penalty is given per data set, the solver wants it per row
-        n = rows.count()
+        n = table.count()
         stages[-1].setRegParam(1.0 / (stages[-1].getRegParam() * max(n, 1)))
-    if [type(s) for s in stages[:2]] != [Imputer, VectorAssembler]:
-        return Pipeline(stages=stages).fit(training_rows(rows))
-    done, table = ready or filled_inputs(rows, features)
+    if not shared:
+        return Pipeline(stages=stages).fit(table)
     return PipelineModel(stages=[*done, *Pipeline(stages=stages[2:]).fit(table).stages])
 
 
+def _proba(out: DataFrame) -> Column:
+    if "probability" in out.columns:
+        return vector_to_array("probability")[1]
+    if "rawPrediction" in out.columns:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction")[1]))
+    return F.col("prediction").cast("double")
+
+
 def score(model, rows: DataFrame, name: str = "proba") -> DataFrame:
     """Add the positive-class probability."""
-    out = model.transform(rows)
-    if "probability" in out.columns:
-        p = vector_to_array("probability")[1]
-    elif "rawPrediction" in out.columns:
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction")[1]))
+    stages = getattr(model, "stages", [])
+    if _input_pair(stages):
+        out = PipelineModel(stages=stages[2:]).transform(with_vectors(rows, stages[:2]))
     else:
-        p = F.col("prediction").cast("double")
-    return out.select(*rows.columns, p.alias(name))
+        out = model.transform(rows)
+    return out.select(*rows.columns, _proba(out).alias(name))
+
+
+def score_each(fitted: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """Add ``proba_<name>`` of models that share their input stages (one ``ready``): the
+    rows are read and their vectors made once."""
+    first = next(iter(fitted.values())).stages[:2]
+    if not _input_pair(first) or any([s.uid for s in m.stages[:2]] != [s.uid for s in first] for m in fitted.values()):
+        raise ValueError("the models do not share their input stages")
+    vector, out = first[1].getOutputCol(), with_vectors(rows, first)
+    for name, model in fitted.items():
+        part = PipelineModel(stages=model.stages[2:]).transform(out)
+        out = part.select(*out.columns, _proba(part).alias(f"proba_{name}"))
+    return out.drop(vector)
 
 
 def fit_all(

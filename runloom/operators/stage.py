@@ -11,7 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CONF = "spark.checkpoint.dir"
 _unset: dict[str, str] = {}
@@ -34,7 +36,10 @@ def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
     spark = df.sparkSession
     path = f"{_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # measurements hardly repeat: a dictionary of them is built in vain, then given up
+    measured = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    measured += [f"{f.name}.values.list.element" for f in df.schema.fields if isinstance(f.dataType, VectorUDT)]
+    df.write.options(**{f"parquet.enable.dictionary#{name}": "false" for name in measured}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

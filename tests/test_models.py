@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from runloom.operators import attribution, forecast, models, splits, targets
@@ -83,6 +86,55 @@ def test_fits_read_their_rows_twice(spark, data):
     assert read.value == 4 * n
 
 
+def test_vectors_equal_those_of_the_input_stages(spark):
+    rows = spark.createDataFrame([(1, 1.0, 4, None), (2, None, 5, 0.5), (3, float("nan"), 6, 2.5), (4, 7.0, 9, float("inf"))], "run_id long, a double, b int, c double")
+    done, table = models.filled_inputs(rows.withColumn("y_breach", F.lit(0)), ["a", "b", "c"])
+    want = PipelineModel(stages=done).transform(rows)
+    assert table.columns == ["run_id", "y_breach", "early_stop", "raw"]
+    got = {r.run_id: r.raw.toArray().tolist() for r in table.collect()}
+    assert got == {r.run_id: r.raw.toArray().tolist() for r in want.collect()}
+    again = models.with_vectors(rows, done).collect()
+    assert {r.run_id: r.raw.toArray().tolist() for r in again} == got
+
+
+def test_models_score_a_row_once(spark, data):
+    """Models behind one set of input stages share a pass over the rows they score."""
+    df, which = data
+    inputs = ["risk", "noise"]
+    train = splits.rows_of(df, which, "train")
+    ready = models.filled_inputs(train, inputs)
+    small = {"random_forest": {"trees": 3, "depth": 3}, "boosted_trees": {"rounds": 2, "depth": 2}, "logistic": {}}
+    fitted = {n: models.fit(train, inputs, models.REGISTRY[n], ready, **kw) for n, kw in small.items()}
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    together = models.score_each(fitted, df.mapInArrow(seen, df.schema)).collect()
+    assert read.value == len(together) == df.count()
+    for n, model in fitted.items():
+        alone = {(r.run_id, r.sample_idx): r.proba for r in models.score(model, df).collect()}
+        assert {(r.run_id, r.sample_idx): r[f"proba_{n}"] for r in together} == alone
+        plain = model.transform(df).select("run_id", "sample_idx", vector_to_array("probability")[1].alias("p")).collect()
+        assert {(r.run_id, r.sample_idx): r.p for r in plain} == alone
+    other = models.fit(train, inputs, models.REGISTRY["logistic"])
+    with pytest.raises(ValueError, match="share"):
+        models.score_each({"logistic": fitted["logistic"], "other": other}, df)
+
+
+def test_points_of_a_batch_are_its_even_ranks():
+    x = np.random.default_rng(3).normal(size=5001)
+    for n in (256, 5001, 6000):
+        for fast, slow in zip(models._batch_points(x, n), models._points(x, np.ones(len(x)), n)):
+            assert np.array_equal(fast, slow)
+
+
+def test_forest_keeps_the_node_of_a_row():
+    assert models.random_forest(["a"])[-1].getCacheNodeIds()
+
+
 def test_medians_of_many_tasks(spark):
     n = 60_000
     x = F.pmod(F.col("id") * 7919, F.lit(n)).cast("double")
