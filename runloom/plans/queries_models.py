@@ -214,22 +214,23 @@ def model_checks(spark: SparkSession, sf: str) -> DataFrame:
     """What must hold of any fitted alarm model: rows and positives it saw and scored,
     probabilities in [0, 1], importances (where it has them) that add up to one."""
     rows, which, inputs = model_data(spark, sf)
-    train, val = (staged(splits.rows_of(rows, which, s)) for s in ("train", "val"))
-    seen = train.agg(F.count(F.lit(1)).alias("n_train"), F.sum("y_breach").alias("pos_train"))
+    train, val = (splits.rows_of(rows, which, s) for s in ("train", "val"))
     ready = models.filled_inputs(train, inputs)
-    out = None
-    for name, spec in models.REGISTRY.items():
-        if spec.missing():
-            continue
-        model = models.fit(train, inputs, spec, ready, **QUERY_SETTINGS[name])
+    seen = ready[1].agg(F.count(F.lit(1)).alias("n_train"), F.sum("y_breach").alias("pos_train"))
+    usable, _ = models.available()
+    fitted = {name: models.fit(train, inputs, spec, ready, **QUERY_SETTINGS[name]) for name, spec in usable.items()}
+    found = []
+    for name, model in fitted.items():
         weight = models.native_importance(model, inputs, spark)
         total = weight.agg(F.sum("importance")).first()[0] if weight is not None else None
-        part = models.score(model, val).agg(
-            F.lit(name).alias("model"), F.lit(spec.family).alias("family"), F.count("proba").alias("n_scored"), F.bool_and(F.col("proba").between(0.0, 1.0)).alias("in_range"),
+        p = F.col(f"proba_{name}")
+        found.append(F.struct(
+            F.lit(name).alias("model"), F.lit(usable[name].family).alias("family"), F.count(p).alias("n_scored"), F.bool_and(p.between(0.0, 1.0)).alias("in_range"),
             F.lit(total is None or abs(total - 1.0) < 1e-9).alias("importance_is_whole"),
-            (F.avg(F.when(F.col("y_breach") == 1, F.col("proba"))) > F.avg(F.when(F.col("y_breach") == 0, F.col("proba")))).alias("parts_classes"),
-        )
-        out = part if out is None else out.unionByName(part)
+            (F.avg(F.when(F.col("y_breach") == 1, p)) > F.avg(F.when(F.col("y_breach") == 0, p))).alias("parts_classes"),
+        ))
+    # all models score a row while it is there
+    out = models.score_each(fitted, val).agg(F.array(*found).alias("_found")).select(F.inline("_found"))
     return out.crossJoin(seen)  # one row a model, one row
 
 
