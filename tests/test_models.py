@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators import attribution, forecast, models, splits, targets
 from runloom.operators.stage import staging_path
-from runloom.plans import live
+from runloom.plans import live, queries_models
 from runloom.settings import ForecastSpec
 
 
@@ -157,6 +157,24 @@ def test_boosted_trees_stop_on_held_out_runs(spark, data):
     assert models.score(model, df).where("proba < 0 OR proba > 1 OR proba IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("name", ["random_forest"])
+def test_risk_queries_fit_the_registrys_sizes(spark, data, monkeypatch, name):
+    df, which = data
+    asked = []
+
+    def fit(rows, features, spec, ready=None, **settings):
+        asked.append((spec.name, spec.stages(features, **{**spec.settings, **settings})[-1]))
+        raise StopIteration
+
+    monkeypatch.setattr(models, "fit", fit)
+    monkeypatch.setattr(queries_models, "model_data", lambda spark, sf: (df, which, ["risk", "noise"]))
+    with pytest.raises(StopIteration):
+        queries_models.risk(name)(spark, "")
+    (found, stage), = asked
+    assert found == name
+    assert (stage.getNumTrees(), stage.getMaxDepth(), stage.getMinInstancesPerNode()) == (300, 14, 20)
+
+
 def test_cone_covers(spark, data):
     df, which = data
     spec = ForecastSpec(horizons_min=(2.0,))
