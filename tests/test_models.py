@@ -157,7 +157,32 @@ def test_boosted_trees_stop_on_held_out_runs(spark, data):
     assert models.score(model, df).where("proba < 0 OR proba > 1 OR proba IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("name", ["random_forest"])
+def test_boosting_waits_for_a_better_round():
+    falling = [1.0 - 0.001 * i for i in range(20)]
+    assert models.rounds_kept(falling, 5) == (20, False)
+    assert models.rounds_kept([1.0, 0.9, 0.95, 0.94, 0.89, *[0.9] * 5], 5) == (5, True)
+    assert models.rounds_kept([1.0, 0.9, 0.95, 0.94, 0.89, *[0.9] * 4], 5) == (5, False)
+    assert models.rounds_kept([1.0], 5) == (1, False)
+
+
+def test_boosted_trees_go_on_while_held_out_runs_gain(spark):
+    """Gains under 1 % a round are gains; the ensemble ends at the best round."""
+    rng = random.Random(1)
+    rows = [(r, i, a := rng.random(), b := rng.random(), int(a + 0.5 * b + rng.gauss(0, 0.25) > 0.75)) for r in range(60) for i in range(20)]
+    df = spark.createDataFrame(rows, "run_id long, sample_idx int, a double, b double, y_breach int")
+    ready = models.filled_inputs(df, ["a", "b"])
+    booster = models.boosted_trees(["a", "b"], rounds=24, depth=2, leaf=5)[-1]
+    booster.patience = 6
+    model = booster.fit(ready[1])
+    whole = booster.booster.fit(ready[1].where("NOT early_stop"))
+    losses = whole.evaluateEachIteration(ready[1].where("early_stop"))
+    kept, _ = models.rounds_kept(losses, 6)
+    assert whole.getNumTrees == 24 and model.getNumTrees == kept > 6
+    shape = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.trees]
+    assert shape(model) == shape(whole)[:kept]
+
+
+@pytest.mark.parametrize("name", ["random_forest", "boosted_trees"])
 def test_risk_queries_fit_the_registrys_sizes(spark, data, monkeypatch, name):
     df, which = data
     asked = []
@@ -172,7 +197,11 @@ def test_risk_queries_fit_the_registrys_sizes(spark, data, monkeypatch, name):
         queries_models.risk(name)(spark, "")
     (found, stage), = asked
     assert found == name
-    assert (stage.getNumTrees(), stage.getMaxDepth(), stage.getMinInstancesPerNode()) == (300, 14, 20)
+    if name == "random_forest":
+        assert (stage.getNumTrees(), stage.getMaxDepth(), stage.getMinInstancesPerNode()) == (300, 14, 20)
+    else:
+        b = stage.booster
+        assert (b.getMaxIter(), b.getMaxDepth(), b.getMinInstancesPerNode(), b.getStepSize(), stage.patience) == (400, 7, 40, 0.06, 30)
 
 
 def test_cone_covers(spark, data):
