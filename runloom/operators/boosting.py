@@ -10,6 +10,10 @@ best cut, and the driver gets one split a node.  The last pass counts residuals
 leaf in buckets of RATIO; such sketches add up exactly, and the leaf becomes the
 quantile of its residuals to half a bucket.
 
+Below the root only the smaller child of a split is counted, the other is its parent less
+that one: whole numbers, so the trees stay the same.  Rows lie in blocks of BLOCK, so that
+reading them costs by bytes and not by rows.
+
 What is shuffled a pass is tasks x models x nodes x features x bins, whatever the number
 of rows.  Every RESTAGE rounds the predictions are written with the rows, so that a pass
 never runs through more than RESTAGE trees a model.
@@ -23,7 +27,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.operators.stage import discard, staged
@@ -31,7 +34,8 @@ from runloom.operators.stage import discard, staged
 BINS = 32
 RESTAGE = 2
 ACCURACY = 2000
-CHUNK = 4096
+#: rows of a block; sums of FIELDS flags over it fit a double side by side
+BLOCK, BITS, FIELDS = 4096, 13, 3
 #: width of a residual bucket and the size below which a residual is nothing
 RATIO, NOTHING, MOST = 1.02, 1e-9, 2500
 STAY = 255  # a cut that no bin passes: the node is not split
@@ -118,20 +122,24 @@ def _lists(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
 
-SCHEMA = "x binary, y array<double>, held boolean, f array<double>"
+SCHEMA = "x binary, y binary, held binary, f binary"
 
 
-def _row_batch(x: np.ndarray, y: np.ndarray, held: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), _lists(y), held, _lists(f)], names=["x", "y", "held", "f"])
+def _row_blocks(x: np.ndarray, y: np.ndarray, held: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    cuts = [slice(i, i + BLOCK) for i in range(0, len(x), BLOCK)]
+    return pa.RecordBatch.from_arrays([pa.array([part[c].tobytes() for c in cuts], pa.binary()) for part in (x, y, held, f)], names=["x", "y", "held", "f"])
 
 
-def _opened(batch: pa.RecordBatch, pending: Sequence[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """bins, targets, held, predictions"""
-    x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    f = _matrix(batch.column(3)).copy()
-    for tree in pending:
-        tree.add_to(f, x)
-    return x, _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), f
+def _opened(batches: Iterator[pa.RecordBatch], pending: Sequence[Tree]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """bins, targets, held, predictions of each block"""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, y, held, f = (np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate((np.uint8, float, bool, float)))
+            x, y, f = (part.reshape(len(held), -1) for part in (x, y, f))
+            f = f.copy()
+            for tree in pending:
+                tree.add_to(f, x)
+            yield x, y, held, f
 
 
 def binned(rows: DataFrame, model: QuantileModel, targets: Sequence[str], held: str) -> DataFrame:
@@ -141,7 +149,8 @@ def binned(rows: DataFrame, model: QuantileModel, targets: Sequence[str], held:
         for batch in batches:
             if batch.num_rows:
                 y = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns[1 : n + 1]], axis=1)
-                yield _row_batch(model.bins(batch.columns[n + 1 :]), y, batch.column(0), np.zeros((batch.num_rows, len(model.models))))
+                held = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                yield _row_blocks(model.bins(batch.columns[n + 1 :]), y, held, np.zeros((batch.num_rows, len(model.models))))
 
     return rows.select(F.col(held).cast("boolean"), *targets, *model.features).mapInArrow(run, SCHEMA)
 
@@ -150,61 +159,78 @@ def moved_on(rows: DataFrame, pending: Sequence[Tree]) -> DataFrame:
     """The rows with the trees of some rounds in their predictions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y, _, f = _opened(batch, pending)
-                yield _row_batch(x, y, batch.column(2), f)
+        for block in _opened(batches, pending):
+            yield _row_blocks(*block)
 
     return rows.mapInArrow(run, SCHEMA)
 
 
 def splits(
     rows: DataFrame, model: QuantileModel, of: np.ndarray, pending: Sequence[Tree], tree: Tree, level: int, active: Sequence[int],
-    bins: int, leaf: int, l2: float,
+    bins: int, leaf: int, l2: float, seen: dict[tuple[int, int], tuple[np.ndarray, int]] | None = None,
 ) -> tuple[list, dict[int, float]]:
-    """Best split of every node of a level, and at the root the mean loss of held-out rows."""
+    """Best split of every node of a level, and at the root the mean loss of held-out rows.
+
+    ``seen`` holds the split nodes of the level above by (model, node): their counts and
+    which child has fewer rows.  Only these children are counted then, and ``seen`` moves on
+    to this level.  It is bounded by models x nodes x features x bins."""
     d, width = len(model.features), 2 * bins
     quantile = np.array([q for _, q in model.models])
+    above = dict(seen) if seen and level else None
+    wanted = {m: np.arange(1 << level) if above is None else np.array(sorted(2 * node + side for (k, node), (_, side) in above.items() if k == m), np.int64) for m in active}
+    keep = seen is not None and level < tree.depth - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (1 << level) * d * width
-        total = {m: np.zeros(size, np.int64) for m in active}
+        total = {m: np.zeros(len(wanted[m]) * d * width, np.int64) for m in active}
+        place = {m: np.full(1 << level, -1, np.int64) for m in active}
+        for m in active:
+            place[m][wanted[m]] = np.arange(len(wanted[m])) * (d * width)
         loss = {m: np.zeros(2) for m in active}
         starts = np.arange(d, dtype=np.int64) * width
         groups = [(t, [m for m in active if of[m] == t]) for t in sorted({int(of[m]) for m in active})]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y, held, f = _opened(batch, pending)
-            # a few rows at a time, so that their cells stay in the processor's cache
-            for lo in range(0, len(x), CHUNK):
-                few = slice(lo, lo + CHUNK)
-                places = x[few].astype(np.int64)
-                places *= 2
-                places += starts
-                for of_target, shared in groups:
-                    gap = y[few, of_target, None] - f[few, shared]
-                    real = ~np.isnan(gap[:, 0])
-                    use = real & ~held[few]
-                    if level == 0:
-                        g = gap[real & held[few]]
-                        for i, m in enumerate(shared):
-                            loss[m][0] += np.maximum(quantile[m] * g[:, i], (quantile[m] - 1) * g[:, i]).sum()
-                            loss[m][1] += len(g)
-                    every = use.all()
-                    slots, gap, z = (places, gap, x[few]) if every else (places[use], gap[use], x[few][use])
+        for x, y, held, f in _opened(batches, pending):
+            slots = x.astype(np.int64)
+            slots *= 2
+            slots += starts
+            for of_target, shared in groups:
+                gap = y[:, of_target, None] - f[:, shared]
+                real = ~np.isnan(gap[:, 0])
+                use = real & ~held
+                if level == 0:
+                    g = gap[real & held]
                     for i, m in enumerate(shared):
-                        at = tree.leaf(z, m, level) * (d * width)
-                        total[m] += np.bincount((slots + (at + (gap[:, i] > 0))[:, None]).ravel(), minlength=size)
+                        loss[m][0] += np.maximum(quantile[m] * g[:, i], (quantile[m] - 1) * g[:, i]).sum()
+                        loss[m][1] += len(g)
+                    # everyone is in the root: one count for some models, their flags side by side
+                    cells = (slots if use.all() else slots[use]).ravel()
+                    over = (gap[use] > 0).astype(np.int64)
+                    for lo in range(0, len(shared), FIELDS):
+                        few = shared[lo : lo + FIELDS]
+                        flags = 1 + sum(over[:, lo + i] << (BITS * (i + 1)) for i in range(len(few)))
+                        sums = np.bincount(cells, np.repeat(flags.astype(float), d), minlength=d * width)[::2].astype(np.int64)
+                        n = sums & ((1 << BITS) - 1)
+                        for i, m in enumerate(few):
+                            up = (sums >> (BITS * (i + 1))) & ((1 << BITS) - 1)
+                            total[m][1::2] += up
+                            total[m][::2] += n - up
+                    continue
+                for i, m in enumerate(shared):
+                    if not len(wanted[m]):
+                        continue
+                    at = place[m].take(tree.leaf(x, m, level))
+                    some = np.flatnonzero(use & (at >= 0))
+                    cells = slots.take(some, axis=0)
+                    cells += (at.take(some) + (gap[:, i].take(some) > 0))[:, None]
+                    total[m] += np.bincount(cells.ravel(), minlength=len(total[m]))
         for m in active:
             # a row a node; what a task counts of a cell fits an int
             cells = total[m].reshape(-1, d * width)
-            node = np.flatnonzero(cells.any(1))
-            seen = [loss[m][0], float(loss[m][1])]
+            some = np.flatnonzero(cells.any(1))
+            node, cells, lost = wanted[m][some], cells[some], [loss[m][0], float(loss[m][1])]
             if level == 0:
                 node, cells = np.append(node, -1), np.vstack([cells, np.zeros((1, d * width), np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(node), m, np.int32)), pa.array(node.astype(np.int32)), _lists(cells[node].astype(np.int32)), _lists(np.tile(seen, (len(node), 1)))],
+                [pa.array(np.full(len(node), m, np.int32)), pa.array(node.astype(np.int32)), _lists(cells.astype(np.int32)), _lists(np.tile(lost, (len(node), 1)))],
                 names=["model", "node", "counts", "loss"],
             )
 
@@ -216,25 +242,33 @@ def splits(
                 for key, counts, loss in zip(keys, _matrix(batch.column(2)), _matrix(batch.column(3))):
                     cells[key] = cells.get(key, 0) + (counts.astype(np.int64) if key[1] >= 0 else loss)
         out = []
+        for (m, node), counts in [*cells.items()]:
+            if node >= 0 and above is not None:
+                cells[m, node ^ 1] = above[m, node >> 1][0] - counts
         for (m, node), counts in cells.items():
             if node < 0:
-                out.append((m, node, 0, 0, counts[0] / counts[1] if counts[1] else 0.0))
+                out.append((m, node, 0, 0, counts[0] / counts[1] if counts[1] else 0.0, 0, None))
                 continue
             both = counts.reshape(d, bins, 2).astype(float)
-            n, above = both.sum(2).cumsum(1), both[:, :, 1].cumsum(1)
-            g = above - (1 - quantile[m]) * n
+            n, over = both.sum(2).cumsum(1), both[:, :, 1].cumsum(1)
+            g = over - (1 - quantile[m]) * n
             side = lambda g, n: g * g / (n + l2)
             gain = side(g, n) + side(g[:, -1:] - g, n[:, -1:] - n) - side(g[:, -1:], n[:, -1:])
             gain[(n < leaf) | (n[:, -1:] - n < leaf)] = -1.0
             # the first feature of equal ones
             feature, best = divmod(int(gain.argmax()), bins)
-            out.append((m, node, feature, best, float(gain[feature, best])))
-        columns = list(zip(*out)) or [()] * 5
-        kinds = [pa.int32()] * 4 + [pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["model", "node", "feature", "cut", "gain"])
+            top = float(gain[feature, best])
+            fewer = int(2 * n[feature, best] > n[feature, -1])
+            out.append((m, node, feature, best, top, fewer, counts.astype(np.int64).tobytes() if keep and top > 0 else None))
+        columns = list(zip(*out)) or [()] * 7
+        kinds = [pa.int32()] * 4 + [pa.float64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["model", "node", "feature", "cut", "gain", "fewer", "counts"])
 
     cells = rows.mapInArrow(count, "model int, node int, counts array<int>, loss array<double>").repartition("model", "node")
-    found = cells.mapInArrow(cut, "model int, node int, feature int, cut int, gain double").collect()
+    found = cells.mapInArrow(cut, "model int, node int, feature int, cut int, gain double, fewer int, counts binary").collect()
+    if seen is not None:
+        seen.clear()
+        seen.update({(r.model, r.node): (np.frombuffer(r.counts, np.int64), r.fewer) for r in found if r.counts is not None})
     return [(r.model, r.node, r.feature, r.cut, r.gain) for r in found if r.node >= 0], {r.model: r.gain for r in found if r.node < 0}
 
 
@@ -244,25 +278,39 @@ def leaf_quantiles(rows: DataFrame, model: QuantileModel, of: np.ndarray, pendin
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {m: np.zeros(leaves * span, np.int64) for m in active}
+        # some blocks at a time: a count runs over all buckets
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y, held, f = _opened(batch, pending)
-            for m in active:
-                gap = y[:, of[m]] - f[:, m]
-                use = ~np.isnan(gap) & ~held
-                total[m] += np.bincount(tree.leaf(x[use], m, tree.depth) * span + bucket(gap[use]) + MOST, minlength=leaves * span)
+            for lo in range(0, batch.num_rows, 32):
+                keys = {m: [] for m in active}
+                for x, y, held, f in _opened([batch.slice(lo, 32)], pending):
+                    for m in active:
+                        gap = y[:, of[m]] - f[:, m]
+                        use = ~np.isnan(gap) & ~held
+                        keys[m].append(tree.leaf(x[use], m, tree.depth) * span + bucket(gap[use]) + MOST)
+                for m in active:
+                    total[m] += np.bincount(np.concatenate(keys[m]), minlength=leaves * span)
         for m in active:
-            some = np.flatnonzero(total[m])
-            columns = (np.full(len(some), m), some // span, some % span - MOST)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(total[m][some])], names=["model", "leaf", "bucket", "n"])
+            # a row a leaf: the buckets it has and how often
+            cells = total[m].reshape(leaves, span)
+            filled = np.flatnonzero(cells.any(1))
+            some = [np.flatnonzero(cells[place]) for place in filled]
+            packed = [[at.astype(np.int16).tobytes() for at in some], [cells[place][at].tobytes() for place, at in zip(filled, some)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), m, np.int32)), pa.array(filled.astype(np.int32)), *(pa.array(c, pa.binary()) for c in packed)], names=["model", "leaf", "at", "n"])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for m, place, at, n in zip(*(column.to_pylist() for column in batch.columns)):
+                total.setdefault((m, place), np.zeros(span, np.int64))[np.frombuffer(at, np.int16)] += np.frombuffer(n, np.int64)
+        first = []
+        for (m, _), n in total.items():
+            upto = n.cumsum()
+            first.append(int(np.searchsorted(upto, model.models[m][1] * upto[-1])) - MOST)
+        columns = [[m for m, _ in total], [place for _, place in total], first]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], names=["model", "leaf", "b"])
 
-    key = W.partitionBy("model", "leaf")
-    counts = rows.mapInArrow(sketch, "model int, leaf int, bucket int, n long").groupBy("model", "leaf", "bucket").agg(F.sum("n").alias("n"))
-    wanted = F.element_at(F.array(*[F.lit(float(q)) for _, q in model.models]), F.col("model") + 1) * F.sum("n").over(key)
-    upto = F.sum("n").over(key.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    found = counts.select("model", "leaf", "bucket", (upto >= wanted).alias("reached")).where("reached").groupBy("model", "leaf").agg(F.min("bucket").alias("b")).collect()
-    return [(r.model, r.leaf, float(bucket_value(np.array(r.b)))) for r in found]
+    sketches = rows.mapInArrow(sketch, "model int, leaf int, at binary, n binary").repartition("model", "leaf")
+    return [(r.model, r.leaf, float(bucket_value(np.array(r.b)))) for r in sketches.mapInArrow(reached, "model int, leaf int, b int").collect()]
 
 
 def fit_quantiles(
@@ -299,14 +347,16 @@ def fit_quantiles(
         return [m for m in active if len(model.trees) - best_at[m] < patience]
 
     for _ in range(rounds):
-        tree = Tree.empty(len(pairs), depth)
+        tree, seen = Tree.empty(len(pairs), depth), {}
         for level in range(depth):
-            found, loss = splits(data, model, of, pending, tree, level, active, bins, leaf, l2)
+            found, loss = splits(data, model, of, pending, tree, level, active, bins, leaf, l2, seen)
             if level == 0 and loss:
                 stopped = True
                 active = judge(loss)
                 if not active:
                     break
+                for key in [k for k in seen if k[0] not in active]:
+                    del seen[key]
             split = [s for s in found if s[4] > 0 and s[0] in active]
             for m, node, feature, cut, _ in split:
                 tree.feature[m, node + (1 << level) - 1], tree.cut[m, node + (1 << level) - 1] = feature, cut

@@ -133,3 +133,37 @@ def test_a_pass_shuffles_a_row_a_node(spark, monkeypatch):
     assert len(found) == 2 and sent[0].count() <= data.rdd.getNumPartitions() * 2 * 2
     totals = sent[0].where("node >= 0").select("model", F.aggregate("counts", F.lit(0), lambda x, y: x + y).alias("n")).groupBy("model").agg(F.sum("n")).collect()
     assert dict(map(tuple, totals)) == {0: 12 * 9000, 1: 12 * rows.where("b IS NOT NULL").count()}
+
+
+def test_only_the_smaller_child_is_counted(spark, monkeypatch):
+    """The other is its parent less that one, and splits as if it were counted."""
+    names = [f"x{i}" for i in range(4)]
+    made = F.randn(9) + 2 * F.col("x0") + F.col("x1") - F.col("x2") - 1  # around the prediction, 0
+    rows = spark.range(0, 9000, 1, 3).select(*[F.rand(i).alias(n) for i, n in enumerate(names)], F.lit(False).alias("held")).withColumn("y", F.when(F.col("x3") < 0.9, made))
+    model = boosting.QuantileModel(names, boosting.bin_edges(rows, names, 8), [("y", q) for q in (0.2, 0.5, 0.7, 0.9)])
+    data, of, everyone = boosting.staged(boosting.binned(rows, model, ["y"], "held")), np.zeros(4, int), [0, 1, 2, 3]
+    tree, seen, sent = boosting.Tree.empty(4, 3), {}, []
+    plain = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: sent.append(self) or plain(self, *a))
+    for level in range(3):
+        whole = sorted(boosting.splits(data, model, of, [], tree, level, everyone, 8, 20, 1.0)[0])
+        every = sent[-1]
+        found = sorted(boosting.splits(data, model, of, [], tree, level, everyone, 8, 20, 1.0, seen)[0])
+        assert found == whole and len(found) == 4 << level
+        n = lambda sent: sent.where("node >= 0").agg(F.sum(F.aggregate("counts", F.lit(0), lambda x, y: x + y))).first()[0]
+        assert n(every) == 4 * 4 * rows.where("y IS NOT NULL").count() and (level == 0 or n(sent[-1]) <= n(every) / 2)
+        for m, node, feature, cut, _ in found:
+            tree.feature[m, node + (1 << level) - 1], tree.cut[m, node + (1 << level) - 1] = feature, cut
+
+
+def test_a_leaf_travels_as_a_row(spark, monkeypatch):
+    rows = spark.range(0, 6000, 1, 3).select(F.rand(1).alias("x"), F.randn(2).alias("y"), F.lit(False).alias("held"))
+    model = boosting.QuantileModel(["x"], boosting.bin_edges(rows, ["x"], 8), [("y", 0.2), ("y", 0.8)])
+    data = boosting.staged(boosting.binned(rows, model, ["y"], "held"))
+    sent = []
+    plain = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: sent.append(self) or plain(self, *a))
+    found = boosting.leaf_quantiles(data, model, np.zeros(2, int), [], boosting.Tree.empty(2, 0), [0, 1])
+    assert sent[0].count() <= 2 * data.rdd.getNumPartitions()
+    want = rows.agg(F.percentile("y", 0.2), F.percentile("y", 0.8)).first()
+    assert [m for m, _, _ in sorted(found)] == [0, 1] and all(abs(v - w) < 0.03 for (_, _, v), w in zip(sorted(found), want))
