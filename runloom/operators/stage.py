@@ -45,14 +45,15 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this session that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(table: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
-    _delete(table.sparkSession, table._staged_at)
+    delete(table.sparkSession, table._staged_at)
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -62,4 +63,4 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 def drop_staged(spark: SparkSession) -> None:
     """Remove every table this session staged."""
-    _delete(spark, _root(spark))
+    delete(spark, _root(spark))

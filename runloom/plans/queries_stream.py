@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions.numeric import rounded
+from runloom.operators import features as feat
 from runloom.operators import ledger as led
-from runloom.operators.stage import staged, staging_path
+from runloom.operators.stage import delete, staged, staging_path
 from runloom.plans import queries_advice as qa
 from runloom.plans import queries_eval as qe
 from runloom.plans import queries_runs as qr
@@ -37,13 +38,18 @@ def drain(stream: DataFrame) -> DataFrame:
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    delete(spark, check)  # nothing goes on from there
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def stream_features(spark: SparkSession, sf: str) -> DataFrame:
-    live = as_stream(dt.wide_samples(spark, sf))
-    meta = staged(qr.meta_rows(spark, sf))
-    return rounded(drain(sfeat.stream_features(live, meta, dt.grades(spark, sf), SPEC)), 5)
+    # raw columns are replayed and made wide in the stream; its sink holds what needs a run's
+    # past, and the stateless features of these rows are made as they are read
+    live = dt.widened(as_stream(dt.samples(spark, sf).select(*dt.RAW)))
+    context = staged(feat.run_context(qr.meta_rows(spark, sf), dt.grades(spark, sf)))  # its size is known then
+    derived = ("bw_dev_pct", "bw_abs_dev_pct")
+    windowed = drain(sfeat.windowed_stream(live, SPEC).drop(*derived))
+    return rounded(sfeat.with_context(feat.with_deviation(windowed), context, SPEC), 5)
 
 
 def _without_labels(sql: str) -> str:

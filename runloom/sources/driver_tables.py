@@ -64,7 +64,15 @@ def tag_expr(tag: str) -> Column:
 
 def wide_samples(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """The 22-series sample table, with the event columns to ``keep``."""
-    return samples(spark, sf_dir).select(
+    return widened(samples(spark, sf_dir), *keep)
+
+
+RAW = ("run_id", "sample_idx", "t_min", "value", "k", "sp")
+
+
+def widened(rows: DataFrame, *keep: str) -> DataFrame:
+    """The 22 series of samples with the columns ``RAW``, batch or stream."""
+    return rows.select(
         "run_id", "sample_idx", "t_min", *[tag_expr(t).alias(t) for t in ALL_TAGS],
         F.col("sp").alias("basis_weight_sp"), F.lit(6.0).alias("moisture_sp"), F.lit(12.0).alias("ash_sp"), *keep,
     )

@@ -74,8 +74,13 @@ def stream_features(
     need samples that have not come yet.  ``meta`` and ``grades`` are static; a run that
     ``meta`` lacks stops the stream with its name, as it stops the batch.  Where metadata
     comes as a stream, maybe after the samples, use :func:`match_metadata`."""
-    rows = windowed_stream(samples, spec, size, **gaps)
-    context = feat.run_context(meta, grades).withColumn("_known", F.lit(True))
+    return with_context(windowed_stream(samples, spec, size, **gaps), feat.run_context(meta, grades), spec)
+
+
+def with_context(rows: DataFrame, context: DataFrame, spec: RunSpec) -> DataFrame:
+    """The features of :func:`windowed_stream`'s rows: stateless, so a stream may end with
+    it, or store the narrower rows and leave this to the reader."""
+    context = context.withColumn("_known", F.lit(True))
     told = F.raise_error(F.concat(F.lit("unknown run: "), F.col("run_id").cast("string"))).cast("long")
     return (
         rows.join(context, "run_id", "left")

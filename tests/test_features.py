@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from runloom.dims import ALL_TAGS, DV_NOMINAL, GRADES, SETPOINT_TAGS, grades_table, known_loops_table, tags_table
 from runloom.functions import sheet
-from runloom.functions.numeric import model_inputs, narrow_doubles
+from runloom.functions.numeric import model_inputs, narrow_doubles, rounded
 from runloom.functions.series import s_curve, transition_context
 from runloom.operators import advice, targets
 from runloom.operators import features as feat
 from runloom.operators.stage import staging_path
+from runloom.plans import queries_runs, queries_stream
 from runloom.settings import PlanBounds, RunSpec
+from runloom.sources import driver_tables
 from runloom.streaming.features import match_metadata, match_stretches, read_tracked, stream_alarms, stream_features, track_features, windowed_stream
 
 SPEC = RunSpec()
@@ -282,3 +284,18 @@ def test_grade_library(spark):
 def test_narrowing_keeps_ids(spark):
     types = dict(narrow_doubles(spark.sql("SELECT 1L AS run_id, 1 AS y_breach, 2D AS x, 'a' AS s")).dtypes)
     assert types == {"run_id": "bigint", "y_breach": "int", "x": "float", "s": "string"}
+
+
+def test_a_stream_query_stores_what_needs_the_past(spark, monkeypatch):
+    """Raw columns are replayed, the sink has no stateless feature, no checkpoint stays."""
+    sf = "/root/testdata/sf0.001"
+    replayed, kept, gone = [], [], []
+    plain, drain, delete = queries_stream.as_stream, queries_stream.drain, queries_stream.delete
+    monkeypatch.setattr(queries_stream, "as_stream", lambda rows: replayed.append(rows.columns) or plain(rows))
+    monkeypatch.setattr(queries_stream, "drain", lambda stream: kept.append(drain(stream)) or kept[0])
+    monkeypatch.setattr(queries_stream, "delete", lambda spark, path: gone.append(path) or delete(spark, path))
+    got = queries_stream.stream_features(spark, sf)
+    assert replayed == [list(driver_tables.RAW)] and len(gone) == 1 and "progress" in gone[0]
+    assert len(kept[0].columns) < 60 and not {"bw_dev_pct", "mv_stock_flow_slew_util", "plan_ramp_min", "from_grade"} & set(kept[0].columns)
+    want = rounded(queries_runs.feature_table(spark, sf), 5).select(got.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
